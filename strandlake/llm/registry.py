@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op6_simhash
+from . import op1_packing, op2_quality_rules, op4_decontamination, op6_simhash, op9_sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_simhash_dedup": op6_simhash.query}
+    return {
+        "op1_packing": op1_packing.query,
+        "op2_quality_rules": op2_quality_rules.query,
+        "op4_decontamination": op4_decontamination.query,
+        "op6_simhash_dedup": op6_simhash.query,
+        "op9_sharding": op9_sharding.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_decontamination": op4_decontamination.SQL}
