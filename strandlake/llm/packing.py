@@ -9,9 +9,8 @@ span partitions need no exchange of neighbours.
 from __future__ import annotations
 
 import itertools
+import json
 import os
-import re
-import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +22,6 @@ from .common import map_arrow, materialize, texts
 
 WINDOW = 1024
 END_ID = 0
-#: Pre-tokens whose ids a worker keeps; beyond, it starts again.
-CACHE_WORDS = 300_000
 
 
 def default_tokenizer() -> str:
@@ -33,80 +30,63 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class CachedTokenizer:
-    """Ids as the tokenizer file gives them, each distinct pre-token being encoded once.
+class FastTokenizer:
+    """The ids that `tokenizers` gives with a byte-level BPE file, found by tiktoken where the file allows it.
 
-    Byte-level BPE never merges over the bounds of pre-tokens, so a text's ids are those of its pre-tokens in turn. The
-    pattern below cuts as the tokenizer's own does on texts without the characters of `odd`; other texts, and those that
-    hold the string of an added token, go to the tokenizer whole. Only for tokenizers with that standard byte-level pattern.
+    tiktoken merges the pair of lowest id. That is the file's own order if each merge makes the next id, which is checked
+    here, as is the file's standard pattern; else, and for texts that tiktoken gives up on, `tokenizers` does the work.
     """
 
-    _cut = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-    _odd = None
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.ids: dict[str, bytes] = {}
-        self.line_end = self._encode("\n")
-        if CachedTokenizer._odd is None:
-            # letters or numbers to one of the patterns but not to the other, and white space to one only
-            odd = [
-                chr(c)
-                for c in range(0x110000)
-                if (k := unicodedata.category(chr(c))) in ("Nl", "No", "Cn", "Cs") or (k[0] != "L" and chr(c).isalnum() and k != "Nd") or chr(c) in "\x1c\x1d\x1e\x1f\x85᠎​⁠﻿"
-            ]
-            spans, first, last = [], None, -2
-            for c in map(ord, odd):
-                if c != last + 1:
-                    if first is not None:
-                        spans.append((first, last))
-                    first = c
-                last = c
-            spans.append((first, last))
-            CachedTokenizer._odd = re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans) + "]")
-
-    def _encode(self, text: str) -> list[int]:
-        return self.whole.encode(text, add_special_tokens=False).ids
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.ids) + len(words) > CACHE_WORDS:
-            self.ids.clear()
-        plain = [w for w in words if not w[-1].isspace()]
-        ids = np.array(self._encode("\n".join(plain)), "<u4")
-        # a line end between two pre-tokens is a pre-token itself
-        cuts = np.flatnonzero(ids == self.line_end[0])
-        if len(plain) and len(cuts) == len(plain) - 1:
-            for w, a, b in zip(plain, [0, *(cuts + 1)], [*cuts, len(ids)]):
-                self.ids[w] = ids[a:b].tobytes()
-        else:
-            plain = []
-        for w in words:
-            if w not in self.ids:
-                self.ids[w] = np.array(self._encode(w), "<u4").tobytes()
-
-    def encode_all(self, batch: list[str]) -> list[bytes]:
-        """Of each text, its ids as little-endian unsigned 32-bit numbers."""
-        cut = [None if self._odd.search(t) or any(a in t for a in self.added) else self._cut.findall(t) for t in batch]
-        new = set(itertools.chain.from_iterable(c for c in cut if c)).difference(self.ids)
-        if new:
-            before = len(self.ids)
-            self._learn(list(new))
-            if len(self.ids) < before + len(new):  # the cache began again
-                self._learn([w for w in set(itertools.chain.from_iterable(c for c in cut if c)) if w not in self.ids])
-        get = self.ids.__getitem__
-        return [np.array(self._encode(t), "<u4").tobytes() if c is None else b"".join(map(get, c)) for t, c in zip(batch, cut)]
-
-
-_tokenizers: dict[str, CachedTokenizer] = {}
-
-
-def _tokenizer(path: str) -> CachedTokenizer:
+        self.whole, self.fast = Tokenizer.from_file(path), None
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model.get("merges", ())]
+        vocab = model["vocab"]
+        added = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
+        plain = {t: i for t, i in vocab.items() if t not in added}
+        made = {a + b for a, b in merges}
+        rising = all(vocab[x[0] + x[1]] < vocab[y[0] + y[1]] for x, y in zip(merges, merges[1:]))
+        standard = model["type"] == "BPE" and cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space") and spec.get("normalizer") is None
+        if standard and rising and all(len(t) == 1 or t in made for t in plain):
+            import tiktoken
+
+            octets = _octets()
+            ranks = {bytes(octets[c] for c in t): i for t, i in plain.items()}
+            self.fast = tiktoken.Encoding("file", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens=added)
+            self.added = set(added)
+
+    def encode(self, text: str) -> bytes:
+        """A text's ids as little-endian unsigned 32-bit numbers."""
+        if self.fast is not None:
+            try:
+                return self.fast.encode_to_numpy(text, allowed_special=self.added, disallowed_special=()).astype("<u4", copy=False).tobytes()
+            except Exception:  # noqa: BLE001  tiktoken's pattern engine has a limit of steps
+                pass
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+#: Fixed value: the pattern by which byte-level BPE cuts texts.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def _octets() -> dict[str, int]:
+    """The characters by which byte-level BPE files write bytes: printable ones stand for themselves."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+_tokenizers: dict[str, FastTokenizer] = {}
+
+
+def _tokenizer(path: str) -> FastTokenizer:
     if path not in _tokenizers:
-        _tokenizers[path] = CachedTokenizer(path)
+        _tokenizers[path] = FastTokenizer(path)
     return _tokenizers[path]
 
 
@@ -119,10 +99,7 @@ def tokenize(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             nonlocal done
-            ids = []
-            rows = [t or "" for t in texts(batch)]
-            for at in range(0, len(rows), 200):
-                ids += [x + end for x in tok.encode_all(rows[at : at + 200])]
+            ids = [tok.encode(t or "") + end for t in texts(batch)]
             n = np.array([len(x) // 4 for x in ids], np.int64)
             before = done + np.cumsum(n) - n
             done += int(n.sum())

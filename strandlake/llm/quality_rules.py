@@ -119,28 +119,38 @@ def measured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return map_arrow(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), make, schema)
 
 
-def fit(patterns: dict[str, int], rounds: int = 200, accuracy: float = 0.85, weight: float = 20.0) -> tuple[dict[str, float], dict]:
+#: Prior shares of the votes bad, good, abstain by class. A good vote says little: junk of one kind passes most other rules.
+PRIOR_VOTES = {"bad": (0.35, 0.45, 0.2), "good": (0.02, 0.9, 0.08)}
+
+#: The rules are built to fire on junk: at most this share of good documents gets a bad vote from any of them.
+MOST_FALSE = 0.01
+
+
+def fit(patterns: dict[str, int], rounds: int = 200, weight: float = 20.0) -> tuple[dict[str, float], dict]:
     """EM over the counts of vote patterns. Returns each pattern's posterior of good, and the estimates.
 
-    accuracy and weight are the prior on each rule's voting (as so many documents of either class), which also says which
-    class is good. No patterns: an empty result.
+    It starts from the patterns with a bad vote against those without; PRIOR_VOTES count as `weight` documents of each class,
+    which also keeps the classes from changing places. No patterns: an empty result.
     """
     if not patterns:
         return {}, {"good": None, "rules": {}}
     keys = sorted(patterns)
     n = np.array([patterns[k] for k in keys], float)
-    v = np.array([["bg-".index(c) for c in k] for k in keys])
-    one = np.eye(3)[v]  # pattern, rule, vote
-    prior = np.array([[accuracy, 1 - accuracy, 1.0], [1 - accuracy, accuracy, 1.0]]) * weight / 2  # class bad and good
-    good, table = 0.8, np.repeat((prior / prior.sum(1, keepdims=True))[:, None, :], v.shape[1], 1)
+    one = np.eye(3)[np.array([["bg-".index(c) for c in k] for k in keys])]  # pattern, rule, vote
+    prior = weight * np.array([PRIOR_VOTES["bad"], PRIOR_VOTES["good"]])
+    suspect = np.array([0.9 if "b" in k else 0.1 for k in keys])
+    post, good = np.stack([suspect, 1 - suspect], 1), -1.0
     for _ in range(rounds):
-        like = np.einsum("prv,crv->pc", one, np.log(table)) + np.log([1 - good, good])
-        post = np.exp(like - like.max(1, keepdims=True))
-        post /= post.sum(1, keepdims=True)
         w = post * n[:, None]
-        good, before = float(np.clip((w[:, 1].sum() + 8) / (n.sum() + 10), 1e-6, 1 - 1e-6)), good
+        good, before = float((w[:, 1].sum() + 8) / (n.sum() + 10)), good
         table = np.einsum("pc,prv->crv", w, one) + prior[:, None, :]
         table /= table.sum(2, keepdims=True)
+        over = np.maximum(table[1, :, 0] - MOST_FALSE, 0)
+        table[1, :, 0] -= over
+        table[1, :, 2] += over
+        like = np.einsum("prv,crv->pc", one, np.log(table)) + np.log([1 - good, good])
+        post = np.exp(like - like.max(1, keepdims=True))
+        post /= post.sum(1, keepdims=True)
         if abs(good - before) < 1e-10:
             break
     rules = {name: {"bad": dict(zip("bg-", table[0, i])), "good": dict(zip("bg-", table[1, i]))} for i, name in enumerate(RULES)}
@@ -152,12 +162,12 @@ def judged(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
 
     base_failed: fewer than 50 words, or over half of the words in repeated 3-word windows. kept: not base_failed and
     posterior >= threshold. Null texts count as empty, so base_failed; null and repeated ids are kept as they are; an empty
-    table gives no rows. All rows' patterns count in EM; only the counts of distinct patterns reach the driver.
+    table gives no rows. EM counts all rows that base_failed leaves; only the counts of distinct patterns reach the driver.
     """
     rows, _ = materialize(measured(df, id_col, text_col), "measures")
-    counts = {r["votes"]: r["count"] for r in rows.groupBy("votes").count().collect()}  # at most 3 ** len(RULES)
-    posterior, _ = fit(counts)
-    table = df.sparkSession.createDataFrame(sorted(posterior.items()), "votes string, posterior double")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    seen = rows.groupBy("votes").agg(F.sum(F.when(failed, 0).otherwise(1)).alias("n")).collect()  # at most 3 ** len(RULES)
+    posterior, _ = fit({r["votes"]: r["n"] for r in seen})
+    table = df.sparkSession.createDataFrame(sorted(posterior.items()), "votes string, posterior double")
     out = rows.join(F.broadcast(table), "votes").withColumn("base_failed", failed)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))

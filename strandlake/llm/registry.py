@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_packing, op2_quality_rules, op4_decontamination, op6_simhash, op9_sharding
+from . import op1_packing, op2_quality_rules, op4_decontamination, op5_toxicity, op6_simhash, op8_substring_dedup, op9_sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,7 +14,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_packing": op1_packing.query,
         "op2_quality_rules": op2_quality_rules.query,
         "op4_decontamination": op4_decontamination.query,
+        "op5_toxicity": op5_toxicity.query,
         "op6_simhash_dedup": op6_simhash.query,
+        "op8_substring_dedup": op8_substring_dedup.query,
         "op9_sharding": op9_sharding.query,
     }
 
