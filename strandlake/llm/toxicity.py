@@ -20,11 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, map_arrow, texts
+from .common import crc_of_id, map_arrow, materialize, release, texts
 
 #: At most so many labelled rows of each class are used for learning: those with the smallest hashes of their ids.
 SAMPLE_ROWS = 3000
 MAX_CANDIDATES = 4000
+LIFT = 5
 PREFIX_LENGTHS = range(4, 9)
 
 # English insults, and phrases in which some of them are harmless.
@@ -102,10 +103,14 @@ def _entries(words: list[str]) -> set[str]:
     return {f" {w} " for w in kinds if len(w) > 2} | {f" {w[:k]}" for w in kinds for k in PREFIX_LENGTHS if len(w) > k}
 
 
+def _labelled(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1)).where(crc_of_id("doc_id") % 5 != 0)
+    return known.groupBy("doc_id").agg(F.max("y").alias("y"))
+
+
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE_ROWS) -> DataFrame:
     """(text, y): labelled documents to learn from, at most `rows` of each class; rows with crc32(id) mod 5 = 0 are left out."""
-    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1)).where(crc_of_id("doc_id") % 5 != 0)
-    known = known.groupBy("doc_id").agg(F.max("y").alias("y")).withColumn("o", F.xxhash64("doc_id"))
+    known = _labelled(labels, id_col, label_col).withColumn("o", F.xxhash64("doc_id"))
     chosen = known.where("y = 1").orderBy("o", "doc_id").limit(rows).unionByName(known.where("y = 0").orderBy("o", "doc_id").limit(rows)).drop("o")
     # at most twice `rows` ids
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "y").where("text is not null")
@@ -144,20 +149,24 @@ def _having(rows: DataFrame, entries: list[str]) -> list[tuple[int, list[str]]]:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, **columns: str) -> Model:
     """Learn entries, weights and curve.
 
-    Candidates stand in three toxic sample documents or more and hardly in others. Entries are then taken one by one, each
-    time the one that covers most toxic documents not yet covered three times, so that words which only belong to copies of
-    one toxic document stay out. No labelled rows: the fixed entries with weight 1.
+    Candidates stand in three toxic sample documents or more, and in a share of them that is LIFT times the share of the
+    others. Entries are then taken one by one, each time the one that covers most toxic documents not yet covered three
+    times, less those others, so that words which only belong to copies of one toxic document stay out. The curve is set for
+    the classes as they are among all labelled rows outside the held-out fifth. No labelled rows: the fixed entries, weight 1.
     """
-    rows_df = sample(docs, labels, rows=rows, **columns)
+    rows_df, path = materialize(sample(docs, labels, rows=rows, **columns), "toxicity-sample")
+    sizes = {r["y"]: r["count"] for r in rows_df.groupBy("y").count().collect()}
+    base = [f" {w} " for w in BASE_LEXICON]
+    if len(sizes) < 2:
+        release(docs.sparkSession, path)
+        return Model(dict.fromkeys(base, 1.0), (-2.0, 3.0, 0.5))
+    n_bad, n_good = sizes[1], sizes[0]
     counts = _counted(rows_df)
-    likely = counts.where("bad >= 3 and good <= 0.02 * bad").orderBy(F.desc("bad"), F.length("entry"), "entry").limit(MAX_CANDIDATES)
+    likely = counts.where(f"bad >= 3 and bad * {n_good} >= {LIFT} * good * {n_bad}").orderBy(F.desc("bad"), F.length("entry"), "entry").limit(MAX_CANDIDATES)
     stats = {r["entry"]: (r["bad"], r["good"]) for r in likely.collect()}
-    base = [f" {w} " for w in BASE_LEXICON]
     have = _having(rows_df, [*stats, *base])
     toxic = [e for y, e in have if y == 1]
-    n_bad, n_good = len(toxic), len(have) - len(toxic)
-    if not n_bad or not n_good:
-        return Model(dict.fromkeys(base, 1.0), (-2.0, 3.0, 0.5))
+    good = Counter(e for y, es in have if y == 0 for e in es)
     owners: dict[str, list[int]] = defaultdict(list)
     for i, es in enumerate(toxic):
         for e in es:
@@ -166,9 +175,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, **columns:
     chosen: list[str] = []
     live = {e: np.array(o) for e, o in owners.items() if e in stats}
     gain = {e: len(o) for e, o in live.items()}
+    cost = {e: 2 * n_bad * good[e] / n_good for e in gain}
+    gain = {e: g - cost[e] for e, g in gain.items()}
     while gain:
         e = max(gain, key=lambda e: (gain[e], -len(e), e))
-        now = int((covered[live[e]] < 3).sum())
+        now = int((covered[live[e]] < 3).sum()) - cost[e]
         if now < least:
             gain.pop(e)
         elif now < gain[e]:
@@ -177,13 +188,16 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, **columns:
             chosen.append(e)
             covered[live[e]] += 1
             gain.pop(e)
-    good = Counter(e for y, es in have if y == 0 for e in es)
     weights = {}
     for e in [*chosen, *base]:
         bad = len(owners.get(e, ()))
         weights[e] = max(0.05, math.log((bad + 0.5) / (n_bad + 1)) - math.log((good[e] + 0.5) / (n_good + 1))) if bad + good[e] else 3.0
     model = Model(weights, (0.0, 0.0, 0.0))
-    model.curve = _curve(rows_df, model)
+    bias, *rest = _curve(rows_df, model)
+    all_sizes = {r["y"]: r["count"] for r in _labelled(labels, columns.get("id_col", "doc_id"), columns.get("label_col", "toxic")).groupBy("y").count().collect()}
+    odds = all_sizes[1] / all_sizes[0] * n_good / n_bad
+    model.curve = (bias + math.log(odds), *rest)
+    release(docs.sparkSession, path)
     return model
 
 
