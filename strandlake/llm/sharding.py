@@ -72,7 +72,7 @@ def external_shuffle(df: DataFrame, seed: int = SEED, bucket_bytes: int = BUCKET
     schema = df.withColumn("_bucket", F.lit(0)).withColumn("_slot", F.lit(0).cast("long")).schema
     for field in schema:
         field.nullable = True
-    dealt = placed.repartition(n, "_bucket").sortWithinPartitions("_bucket").select(*names, "_hash", "_row", "_bucket")
+    dealt = placed.repartitionById(n, F.col("_bucket")).select(*names, "_hash", "_row", "_bucket")
     return materialize(dealt.mapInArrow(run, schema), "buckets")
 
 
@@ -85,7 +85,7 @@ def shard(df: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: i
     counts = sorted(written.groupBy("_bucket").count().collect())
     firsts = itertools.accumulate((n for _, n in counts), initial=0)
     table = df.sparkSession.createDataFrame([(b, f) for (b, _), f in zip(counts, firsts)], "_bucket int, _first long")
-    g = F.col("_first") + F.col("_slot")
+    g = F.col("_first") + F.col("_slot")  # the place in the whole order
     out = written.join(F.broadcast(table), "_bucket")
     return out.select(*df.columns, F.pmod(g, F.lit(shards)).cast("int").alias("shard"), F.expr(f"(_first + _slot) div {shards}").alias("slot"))
 
