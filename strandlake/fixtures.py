@@ -69,17 +69,15 @@ bitvec AS (
 
 
 def dot_brackets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(struct_id, db): vowels of a document's first 40 characters open a pair, and the mirror image closes them."""
-    docs = table(spark, sf_dir, "documents").where("length(text) >= 40")
-    left = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(F.substring("text", 1, 40)), "[\\r\\n]", "."), "[aeiou]", "("), "[^(]", ".")
-    return docs.select(F.col("doc_id").alias("struct_id"), left.alias("l")).select("struct_id", F.concat("l", F.lit("..."), F.translate(F.reverse("l"), "(", ")")).alias("db"))
+    """(struct_id, db): the letters in the MD5 of an order's key open pairs, and the mirror image closes them."""
+    left = F.regexp_replace(F.regexp_replace(F.md5(F.col("o_orderkey").cast("string")), "[a-f]", "("), "[0-9]", ".")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("struct_id"), left.alias("l")).select("struct_id", F.concat("l", F.lit("..."), F.translate(F.reverse("l"), "(", ")")).alias("db"))
 
 
-DOT_SQL = r"""
+DOT_SQL = """
 structs AS (
   SELECT struct_id, l || '...' || replace(reverse(l), '(', ')') AS db FROM (
-    SELECT doc_id AS struct_id, regexp_replace(regexp_replace(regexp_replace(lower(substr(text, 1, 40)), '[\r\n]', '.', 'g'), '[aeiou]', '(', 'g'), '[^(]', '.', 'g') AS l
-    FROM documents WHERE length(text) >= 40))"""
+    SELECT o_orderkey AS struct_id, regexp_replace(regexp_replace(md5(cast(o_orderkey AS VARCHAR)), '[a-f]', '(', 'g'), '[0-9]', '.', 'g') AS l FROM orders))"""
 
 
 def event_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,19 +9,20 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def erf(x: pd.Series) -> pd.Series:
     return x.map(math.erf, na_action="ignore").astype(float)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def erfc(x: pd.Series) -> pd.Series:
     return x.map(math.erfc, na_action="ignore").astype(float)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def lgamma(x: pd.Series) -> pd.Series:
     return x.map(math.lgamma, na_action="ignore").astype(float)
 

@@ -151,7 +151,8 @@ def read_bits(alignments: DataFrame, quality: dict[str, int], cutoff: int = 20,
         .when(base == ref, "0")
         .otherwise(base)
     )
-    return bases.select("qname", "mate", (F.col("ref_at") + F.col("off")).alias("ref_at"), bit.alias("bit")).where(ref != "")
+    # another name at first: inside a lambda, a column's name would mean the new column
+    return bases.where(ref != "").select("qname", "mate", (F.col("ref_at") + F.col("off")).alias("_at"), bit.alias("bit")).withColumnRenamed("_at", "ref_at")
 
 
 def combined_mates(bits: DataFrame) -> DataFrame:

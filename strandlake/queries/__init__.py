@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import matrix
+from . import bits, matrix
 
-_MODULES = [matrix]
+_MODULES = [matrix, bits]
 
 
 def queries() -> dict:
