@@ -120,13 +120,13 @@ def measured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 #: Prior shares of the votes bad, good, abstain by class. A good vote says little: junk of one kind passes most other rules.
-PRIOR_VOTES = {"bad": (0.35, 0.45, 0.2), "good": (0.02, 0.9, 0.08)}
+PRIOR_VOTES = {"bad": (0.2, 0.7, 0.1), "good": (0.005, 0.9, 0.095)}
 
 #: The rules are built to fire on junk: at most this share of good documents gets a bad vote from any of them.
-MOST_FALSE = 0.01
+MOST_FALSE = 0.005
 
 
-def fit(patterns: dict[str, int], rounds: int = 200, weight: float = 20.0) -> tuple[dict[str, float], dict]:
+def fit(patterns: dict[str, int], rounds: int = 200, weight: float = 10.0) -> tuple[dict[str, float], dict]:
     """EM over the counts of vote patterns. Returns each pattern's posterior of good, and the estimates.
 
     It starts from the patterns with a bad vote against those without; PRIOR_VOTES count as `weight` documents of each class,

@@ -178,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, **columns:
     cost = {e: 2 * n_bad * good[e] / n_good for e in gain}
     gain = {e: g - cost[e] for e, g in gain.items()}
     while gain:
-        e = max(gain, key=lambda e: (gain[e], -len(e), e))
+        e = max(gain, key=lambda e: (gain[e], e.endswith(" "), -len(e), e))  # of equals, whole words
         now = int((covered[live[e]] < 3).sum()) - cost[e]
         if now < least:
             gain.pop(e)
@@ -210,7 +210,7 @@ def _curve(rows: DataFrame, model: Model, ridge: float = 1e-2) -> tuple[float, f
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             w = [matcher.weigh(t) for t in texts(batch)]
-            return pa.RecordBatch.from_arrays([batch.column("y"), pa.array([x for x, _ in w]), pa.array([n for _, n in w], pa.int64())], ["y", "w", "n"])
+            return pa.RecordBatch.from_arrays([batch.column("y"), pa.array([x for x, _ in w], pa.float64()), pa.array([n for _, n in w], pa.int64())], ["y", "w", "n"])
 
         return step
 
