@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bits, matrix
+from . import bits, matrix, models
 
-_MODULES = [matrix, bits]
+_MODULES = [matrix, bits, models]
 
 
 def queries() -> dict:
