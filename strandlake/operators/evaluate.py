@@ -5,12 +5,12 @@ assignments: (read_id, cond, cluster), cond 0 or 1.
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.stats import adjusted_mutual_information
+from strandlake.operators.ordered import hash_bucket, rank
 
 
 def cluster_purity(assignments: DataFrame, unknown: float = 0.0) -> DataFrame:
@@ -52,8 +52,8 @@ def split_unknown(called_reads: DataFrame, seed: int = 386) -> DataFrame:
     share = called_reads.agg((F.count_if(F.col("cond") == 0) / F.count("*")).alias("share"))
     un = called_reads.where("call = 'UN'")
     size = un.agg(F.count("*").alias("size"))
-    order = F.md5(F.concat(F.col("read_id").cast("string"), F.lit(f"|{seed}")))
-    ranked = un.withColumn("rank", F.row_number().over(Window.orderBy(order, "read_id"))).join(F.broadcast(share)).join(F.broadcast(size))
+    keyed = un.withColumn("_key", F.md5(F.concat(F.col("read_id").cast("string"), F.lit(f"|{seed}"))))
+    ranked = rank(keyed, hash_bucket(F.col("_key")), ["_key", "read_id"]).drop("_key").join(F.broadcast(share)).join(F.broadcast(size))
     un = ranked.withColumn("group", F.when(F.col("rank") <= F.floor(F.col("share") * F.col("size")), "WT").otherwise("MT"))
     known = called_reads.where("call <> 'UN'").withColumn("group", F.col("call"))
     return known.unionByName(un.select(*known.columns))

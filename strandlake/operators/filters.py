@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlake.operators.ordered import hash_bucket, quantile_bucket, rank
+
 
 def read_counts(reads: DataFrame, mods: DataFrame) -> DataFrame:
     """reads with n_mods (long), 0 where there is none."""
@@ -114,12 +116,12 @@ def collapse_positions(mods: DataFrame, length: int, width: int = 5, drop_tail:
 
 
 def first_reads(reads: DataFrame, depth: int | None, by: str = "cond", order: str = "read_id") -> DataFrame:
-    """The first `depth` reads of each group; None: all; -1: as many as the smallest group has."""
+    """The first `depth` reads of each group by a numeric column; None: all; -1: as many as the smallest group has."""
     if depth is None:
         return reads
     if depth == -1:
         depth = reads.groupBy(by).count().agg(F.min("count")).first()[0] or 0
-    return reads.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(order))).where(F.col("_n") <= depth).drop("_n")
+    return rank(reads, quantile_bucket(reads, order), [order], (by,), "_n").where(F.col("_n") <= depth).drop("_n")
 
 
 def sample_key(seed: int = 386) -> Column:
@@ -128,20 +130,12 @@ def sample_key(seed: int = 386) -> Column:
 
 
 def downsample(reads: DataFrame, quota: dict[int, int], by: str = "cond", seed: int = 386) -> DataFrame:
-    """So many reads of each group as its quota says, the first ones by sample_key.
-
-    A threshold on the hash, twice as wide as needed, goes before the ranking, so that the window ranks few rows.
-    """
-    sizes = {r[by]: r["count"] for r in reads.groupBy(by).count().collect()}
-    wide = F.lit(None).cast("double")
+    """So many reads of each group as its quota says, the first ones by sample_key."""
     exact = F.lit(0)
     for key, n in quota.items():
-        share = 1.0 if not sizes.get(key) else min(1.0, (2.0 * n + 1000) / sizes[key])
-        wide = F.when(F.col(by) == key, F.lit(share)).otherwise(wide)
         exact = F.when(F.col(by) == key, F.lit(n)).otherwise(exact)
-    uniform = F.conv(F.substring(sample_key(seed), 1, 8), 16, 10).cast("double") / 2.0**32
-    ranked = reads.where(uniform <= wide).withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(sample_key(seed), "read_id")))
-    return ranked.where(F.col("_n") <= exact).drop("_n")
+    keyed = reads.withColumn("_key", sample_key(seed))
+    return rank(keyed, hash_bucket(F.col("_key")), ["_key", "read_id"], (by,), "_n").where(F.col("_n") <= exact).drop("_n", "_key")
 
 
 def equal_quota(reads: DataFrame, by: str = "cond", least: int = -1, share: float | None = None) -> dict[int, int]:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.stats import normal_cdf
+from strandlake.operators.ordered import quantile_bucket, running
 from strandlake.operators.relational import cooccurrence
 
 
@@ -99,22 +100,25 @@ def minus_log10(p: Column, filled: float = 318.0) -> Column:
     return F.coalesce(-F.log10(F.nullif(p, F.lit(0.0))), F.lit(filled))
 
 
+def _by_score(scores: DataFrame, score: str, truth: str) -> DataFrame:
+    """(threshold, p, n): positives and negatives of each distinct score."""
+    return scores.groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(truth) == 1).alias("p"), F.count_if(F.col(truth) == 0).alias("n"))
+
+
 def roc(scores: DataFrame, score: str = "score", truth: str = "truth") -> DataFrame:
     """(threshold, tpr, fpr): a point for each distinct score, larger scores first; counts are summed by score beforehand."""
-    by = scores.groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(truth) == 1).alias("tp"), F.count_if(F.col(truth) == 0).alias("fp"))
-    run = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(F.lit(1))
-    return by.select(
-        "threshold", (F.sum("tp").over(run) / F.sum("tp").over(every)).alias("tpr"), (F.sum("fp").over(run) / F.sum("fp").over(every)).alias("fpr")
-    )
+    by = _by_score(scores, score, truth)
+    run = running(by, {"tp": F.col("p"), "fp": F.col("n")}, quantile_bucket(by, "threshold"), ["threshold"], descending=True)
+    every = by.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
+    return run.join(F.broadcast(every)).select("threshold", F.try_divide("tp", "all_p").alias("tpr"), F.try_divide("fp", "all_n").alias("fpr"))
 
 
 def auc(scores: DataFrame, score: str = "score", truth: str = "truth") -> DataFrame:
     """(auc) as the share of pairs of a positive and a negative in which the positive scores higher, ties counting half."""
-    by = scores.groupBy(score).agg(F.count_if(F.col(truth) == 1).alias("p"), F.count_if(F.col(truth) == 0).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    t = by.select("p", "n", (F.col("p") * (below + F.col("n") / 2.0)).alias("won"))
-    return t.agg(F.try_divide(F.sum("won"), F.sum("p").cast("double") * F.sum("n")).alias("auc"))
+    by = _by_score(scores, score, truth)
+    run = running(by, {"below": F.col("n")}, quantile_bucket(by, "threshold"), ["threshold"])
+    won = F.col("p") * (F.col("below") - F.col("n") / 2.0)
+    return run.agg(F.try_divide(F.sum(won), F.sum("p").cast("double") * F.sum("n")).alias("auc"))
 
 
 def best_threshold(points: DataFrame) -> DataFrame:
