@@ -50,9 +50,9 @@ def counted_by_region(sites: DataFrame, regions: DataFrame) -> DataFrame:
 
 def chimeric_intervals(pairs: DataFrame, start: int, end: int, most: int = 300, arm: int = 5) -> DataFrame:
     """(iid, first, last, counts): intervals of `arm` positions to either side of both midpoints of chimeric reads (iid, s1,
-    e1, s2, e2, counts) whose midpoints are closer than `most` and within [start, end)."""
+    e1, s2, e2, counts) whose midpoints are closer than `most`, the first one at start or behind, the second one at end or before."""
     mids = pairs.select("iid", "counts", F.expr("(s1 + e1) div 2").alias("m1"), F.expr("(s2 + e2) div 2").alias("m2"))
-    near = mids.where((F.abs(F.col("m1") - F.col("m2")) < most) & F.col("m1").between(start, end - 1) & F.col("m2").between(start, end - 1))
+    near = mids.where((F.abs(F.col("m1") - F.col("m2")) < most) & (F.col("m1") >= start) & (F.col("m2") <= end))
     return near.select("iid", "counts", F.explode(F.array("m1", "m2")).alias("m")).select("iid", (F.col("m") - arm).alias("first"), (F.col("m") + arm).alias("last"), "counts")
 
 

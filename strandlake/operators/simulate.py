@@ -2,15 +2,44 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlake.operators.nulls import hash_uniform
 
-# Mixtures of clusters by code.
-MIXTURES: dict[str, tuple[float, ...]] = {"A1": (1.0,), "B1": (0.5, 0.5), "B2": (0.7, 0.3), "B3": (0.9, 0.1), "C1": (0.34, 0.33, 0.33), "C2": (0.6, 0.3, 0.1), "D1": (0.25, 0.25, 0.25, 0.25)}
+# Shares of the clusters by the code of a mixture.
+MIXTURES: dict[str, tuple[float, ...]] = {
+    "A1": (1.0,),
+    "A2": (0.5, 0.5),
+    "B2": (0.6, 0.4),
+    "C2": (0.75, 0.25),
+    "D2": (0.80, 0.20),
+    "E2": (0.90, 0.10),
+    "F2": (0.95, 0.05),
+    "G2": (0.99, 0.01),
+    "A3": (0.5, 0.25, 0.25),
+    "A4": (0.5, 0.25, 0.125, 0.125),
+    "A5": (0.5, 0.25, 0.125, 0.075, 0.05),
+    "A6": (0.5, 0.25, 0.125, 0.075, 0.025, 0.025),
+    "A7": (0.5, 0.25, 0.125, 0.075, 0.025, 0.015, 0.01),
+    "A8": (0.5, 0.25, 0.125, 0.075, 0.025, 0.010, 0.01, 0.005),
+    "U3": (0.34, 0.33, 0.33),
+    "U4": (0.25, 0.25, 0.25, 0.25),
+    "U5": (0.2, 0.2, 0.2, 0.2, 0.2),
+    "U6": (0.167, 0.167, 0.167, 0.167, 0.167, 0.165),
+    "U7": (0.148, 0.142, 0.142, 0.142, 0.142, 0.142, 0.142),
+    "U8": (0.125, 0.125, 0.125, 0.125, 0.125, 0.125, 0.125, 0.125),
+}
+# A, b, location and scale of the Beta distribution of a read's modification rate by probe.
+PROBES: dict[str, tuple[float, float, float, float]] = {
+    "NAI": (2.743941781321144, 18.316278199484522, -0.001104242858945835, 0.054028979717955),
+    "1AI": (2.6334556377049547, 12.2767347158523, 0.0020349613579214616, 0.049000229105008154),
+}
 
 
 @dataclass(frozen=True)
@@ -64,6 +93,35 @@ def library(spark: SparkSession, s: Simulation) -> DataFrame:
     return grid.where(hit | wrong).select("read_id", "truth", "pos")
 
 
+def probed_library(spark: SparkSession, s: Simulation, probe: str = "NAI") -> DataFrame:
+    """(read_id, truth, pos): like library(), but a read's number of modifications is drawn first (from the Beta distribution
+    of NAI or 1AI, for "poisson" from a Poisson distribution with mean rate x length, for "fixed" that mean itself) and then
+    as many unpaired positions, with replacement. Reads are drawn where they are, each with a seed of its own."""
+    open_at: dict[int, list[int]] = {k: [] for k in range(len(s.shares))}
+    for r in structures(spark, s).where("unpaired").orderBy("cluster", "pos").collect():  # clusters x length rows at most
+        open_at[r["cluster"]].append(r["pos"])
+    shared = spark.sparkContext.broadcast({k: np.array(v, np.int64) for k, v in open_at.items()})
+
+    def amount(rng: np.random.Generator) -> int:
+        if probe in PROBES:
+            a, b, low, scale = PROBES[probe]
+            return max(0, int((low + scale * rng.beta(a, b)) * s.length))
+        return int(rng.poisson(s.rate * s.length)) if probe == "poisson" else int(s.rate * s.length)
+
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for read, truth in zip(f["read_id"], f["truth"]):
+                rng = np.random.default_rng([s.seed, int(read)])
+                places = shared.value[truth]
+                hit = np.unique(rng.choice(places, amount(rng))) if len(places) else places
+                wrong = np.flatnonzero(rng.random(s.length) < s.false_positives)
+                rows += [(read, truth, int(p)) for p in np.union1d(hit, wrong)]
+            yield pd.DataFrame(rows, columns=["read_id", "truth", "pos"])
+
+    return truths(spark, s).mapInPandas(draw, "read_id long, truth long, pos long")
+
+
 def chimeric_reads(reads: DataFrame, pairs: DataFrame, length: int, arm: int = 30, seed: int = 386) -> DataFrame:
     """(read_id, first1, last1, first2, last2): for each read one of the base pairs (i, j), by hash, with arms around it."""
     numbered = pairs.withColumn("k", F.row_number().over(Window.orderBy("i", "j")) - 1)

@@ -68,13 +68,19 @@ def rgb_to_hex(r: Column, g: Column, b: Column) -> Column:
 
 
 def shape_color_ramp(value: Column) -> Column:
-    """A reactivity's place on a linear colour ramp from 0 (0 or less) to 1 (4 or more); null stands for no value."""
-    return F.when(value < -998, None).when(value < 0, 0.0).when(value > 4, 1.0).otherwise(value / 4.0)
+    """A reactivity's CSS colour: white without a value (under -998), grey below 0, and from light to full red at 4."""
+    pale = ((F.lit(4.0) - value) / 4.0 * 90).cast("int")
+    return (
+        F.when(value < -998, "rgb(100%, 100%, 100%)")
+        .when(value < 0, "rgb(90%, 90%, 90%)")
+        .when(value > 4, "rgb(90%, 0%, 0%)")
+        .otherwise(F.format_string("rgb(90%%, %d%%, %d%%)", pale, pale))
+    )
 
 
 def shape_color_bins(value: Column) -> Column:
-    """A reactivity's class: none, low (under 0.35), middle (under 0.85), high."""
-    return F.when(value < -998, "none").when(value < 0.35, "low").when(value < 0.85, "middle").otherwise("high")
+    """A reactivity's CSS colour in three classes, bounded at 0.35 and 0.85; white without a value."""
+    return F.when(value < -998, "rgb(100%, 100%, 100%)").when(value < 0.35, "rgb(80%, 80%, 80%)").when(value < 0.85, "rgb(90%, 49%, 13%)").otherwise("rgb(90%, 30%, 23%)")
 
 
 def centroids(assignments: DataFrame, structs: DataFrame) -> DataFrame:

@@ -252,8 +252,14 @@ def structure_centroids(spark, sf):
     return structure.centroids(structs.select("struct_id", (F.col("struct_id") % 4).cast("long").alias("cluster")), structs).select("cluster", "struct_id", r6("distance"))
 
 
-@query("color_scales", "SELECT n_nationkey, printf('#%02x%02x%02x', cast(least(255, n_nationkey * 20) AS INT), cast(greatest(0, n_nationkey - 5) AS INT), 7) AS rgb, CASE WHEN v < -998 THEN 'none' WHEN v < cast(0.35 AS DOUBLE) THEN 'low' WHEN v < cast(0.85 AS DOUBLE) THEN 'middle' ELSE 'high' END AS bin, round(CASE WHEN v < -998 THEN NULL WHEN v < 0 THEN 0 WHEN v > 4 THEN 1 ELSE v / 4 END, 6) AS ramp FROM (SELECT n_nationkey, CASE WHEN n_nationkey = 0 THEN -999 ELSE cast(n_nationkey AS DOUBLE) / 5 - cast(0.5 AS DOUBLE) END AS v FROM nation)")
+@query(
+    "color_scales",
+    """SELECT n_nationkey, printf('#%02x%02x%02x', cast(least(255, n_nationkey * 20) AS INT), cast(greatest(0, n_nationkey - 5) AS INT), 7) AS rgb,
+  CASE WHEN v < -998 THEN 'rgb(100%, 100%, 100%)' WHEN v < cast(0.35 AS DOUBLE) THEN 'rgb(80%, 80%, 80%)' WHEN v < cast(0.85 AS DOUBLE) THEN 'rgb(90%, 49%, 13%)' ELSE 'rgb(90%, 30%, 23%)' END AS bin,
+  CASE WHEN v < -998 THEN 'rgb(100%, 100%, 100%)' WHEN v < 0 THEN 'rgb(90%, 90%, 90%)' WHEN v > 4 THEN 'rgb(90%, 0%, 0%)' ELSE 'rgb(90%, ' || cast(trunc((4 - v) / 4 * 90) AS INT) || '%, ' || cast(trunc((4 - v) / 4 * 90) AS INT) || '%)' END AS ramp
+FROM (SELECT n_nationkey, CASE WHEN n_nationkey = 0 THEN -999 ELSE cast(n_nationkey AS DOUBLE) / 5 - cast(0.5 AS DOUBLE) END AS v FROM nation)""",
+)
 def color_scales(spark, sf):
     t = spark.read.parquet(f"{sf}/nation.parquet").select("n_nationkey", F.when(F.col("n_nationkey") == 0, -999.0).otherwise(F.col("n_nationkey") / 5.0 - 0.5).alias("v"))
     k = F.col("n_nationkey")
-    return t.select("n_nationkey", structure.rgb_to_hex(k * 20, k - 5, F.lit(7)).alias("rgb"), structure.shape_color_bins(F.col("v")).alias("bin"), F.round(structure.shape_color_ramp(F.col("v")), 6).alias("ramp"))
+    return t.select("n_nationkey", structure.rgb_to_hex(k * 20, k - 5, F.lit(7)).alias("rgb"), structure.shape_color_bins(F.col("v")).alias("bin"), structure.shape_color_ramp(F.col("v")).alias("ramp"))

@@ -470,7 +470,7 @@ def tabulate_regions(spark, sf):
 
 
 _CHIMERIC = """WITH m AS (SELECT l_orderkey AS iid, cast(l_quantity AS BIGINT) AS counts, (2 * (l_partkey % 700) + 20) // 2 AS m1, (2 * (l_suppkey * 37 % 700) + 20) // 2 AS m2 FROM lineitem),
-iv AS (SELECT counts, unnest([m1, m2]) AS m FROM m WHERE abs(m1 - m2) < 300 AND m1 BETWEEN 0 AND 719 AND m2 BETWEEN 0 AND 719),
+iv AS (SELECT counts, unnest([m1, m2]) AS m FROM m WHERE abs(m1 - m2) < 300 AND m1 >= 0 AND m2 <= 720),
 w AS (SELECT cast(unnest(range(0, 620, 31)) AS BIGINT) AS s),
 j AS (SELECT w.s, sum(counts) AS c, sum(counts * ln(counts::DOUBLE)) AS l FROM w JOIN iv ON m - 5 < w.s + 100 AND w.s < m + 5 GROUP BY w.s)"""
 
@@ -576,6 +576,12 @@ _SIM = f"""WITH g AS (SELECT cast(unnest(range(0, 2)) AS BIGINT) AS cluster), p
 st AS (SELECT cluster, pos, ({_HASH.format("'base|' || pos || '|386'")} < 0.5) <> (cluster > 0 AND {_HASH.format("'flip|' || cluster || '|' || pos || '|386'")} < 0.5) AS unpaired FROM g, p)"""
 
 
+@query("sim_probed")
+def sim_probed(spark, sf):
+    s = simulate.Simulation(length=400, shares=simulate.MIXTURES["A3"])
+    return simulate.probed_library(spark, s).groupBy("truth", "pos").agg(F.count("*").alias("n"))
+
+
 @query("sim_structures", _SIM + " SELECT cluster, pos, unpaired FROM st")
 def sim_structures(spark, sf):
     return simulate.structures(spark, simulate.Simulation())

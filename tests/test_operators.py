@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandlake.functions import stats
-from strandlake.operators import bitvec, clustering, evaluate, filters, mixtures, nulls, regions, signals, structure, windows
+from strandlake.operators import bitvec, clustering, evaluate, filters, mixtures, nulls, ordered, regions, signals, simulate, structure, windows
 from strandlake.plans import folding, two_sample
 from strandlake.sources import readers, writers
 
@@ -197,3 +197,25 @@ def test_bit_filters(spark):
     v = spark.createDataFrame([(1, "0A00T0"), (2, "0A000T"), (3, "0?A000"), (4, "......")], "read_id long, bits string")
     got = {r["read_id"]: r["reason"] for r in bitvec.filter_reasons(v, 6, 0.5).collect()}
     assert got[4] == "info" and got[3] == "surroundings" and got[1] == "distance" and got[2] == "ok"
+
+
+def test_probed_reads(spark):
+    s = simulate.Simulation(depth=60, length=300, shares=simulate.MIXTURES["A2"])
+    open_at = {(r["cluster"], r["pos"]) for r in simulate.structures(spark, s).where("unpaired").collect()}
+    for probe in ("NAI", "1AI", "poisson", "fixed"):
+        rows = simulate.probed_library(spark, s, probe).collect()
+        assert rows and {(r["truth"], r["pos"]) for r in rows} <= open_at
+    assert all(abs(sum(v) - 1) < 1e-9 for v in simulate.MIXTURES.values()) and len(simulate.MIXTURES) == 20
+
+
+def test_ranks_and_running_sums(spark):
+    rng = np.random.default_rng(1)
+    rows = [(int(i), float(v), int(g)) for i, (v, g) in enumerate(zip(rng.integers(0, 40, 500), rng.integers(0, 2, 500)))]
+    df = spark.createDataFrame(rows, "id long, v double, g long")
+    got = ordered.rank(df, ordered.quantile_bucket(df, "v", 16), ["v", "id"], ("g",)).collect()
+    for g in (0, 1):
+        want = sorted((v, i) for i, v, x in rows if x == g)
+        assert [r["id"] for r in sorted((r for r in got if r["g"] == g), key=lambda r: r["rank"])] == [i for _, i in want]
+    down = ordered.running(df, {"s": F.col("v")}, ordered.quantile_bucket(df, "v", 16), ["v", "id"], descending=True).collect()
+    top = sorted(down, key=lambda r: (-r["v"], r["id"]))
+    assert np.allclose(np.cumsum([r["v"] for r in top]), [r["s"] for r in top])
