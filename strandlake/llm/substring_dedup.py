@@ -16,10 +16,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, release, texts
+from .common import map_arrow, materialize, prepare, release, texts
 from .components import components
 
 SHINGLE_WORDS = 5
@@ -27,6 +27,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 5, 2  # 1 - (1 - 0.8 ** 2) ** 5 = 0.994 of the pairs at the threshold collide
 PIECE_WORDS = 5
 RUN_WORDS = 25
+#: Members of a bucket that are compared in one place, at most.
+BLOCK = 4096
 #: A side of at most so many rows of a few numbers each is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 500_000
 _MIX = np.random.default_rng(20240501).integers(1, 2**63, (BANDS * ROWS + SHINGLE_WORDS, 2), dtype=np.uint64) | np.uint64(1)
@@ -143,13 +145,9 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, spots: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of paragraph hashes, those with an exact Jaccard similarity of SIMILARITY or more.
-
-    spots: (h, doc_id), a document that has each paragraph; only those documents are read again.
-    """
-    wanted = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct().join(spots, "h")
-    by_doc = wanted.groupBy("doc_id").agg(F.collect_set("h").alias("hs"))  # of one document's paragraphs
+def _bodies(docs: DataFrame, wanted: DataFrame, spots: DataFrame) -> DataFrame:
+    """(h, body): the text of each wanted paragraph, from one document that has it (spots: h, doc_id)."""
+    by_doc = wanted.distinct().join(spots, "h").groupBy("doc_id").agg(F.collect_set("h").alias("hs"))  # of one document
     chosen = docs.join(_small(materialize(by_doc, "wanted")[0]), "doc_id")
 
     def make():
@@ -166,17 +164,65 @@ def _verified(docs: DataFrame, pairs: DataFrame, spots: DataFrame) -> DataFrame:
 
         return step
 
-    bodies = map_arrow(chosen, make, "h long, body string").dropDuplicates(["h"])
-    both = pairs.join(bodies.select(F.col("h").alias("a"), F.col("body").alias("x")), "a").join(bodies.select(F.col("h").alias("b"), F.col("body").alias("y")), "b")
+    return map_arrow(chosen, make, "h long, body string").dropDuplicates(["h"])
 
-    def check():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            good = [jaccard(x.split(" "), y.split(" ")) >= SIMILARITY for x, y in zip(texts(batch, "x"), texts(batch, "y"))]
-            return batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-        return step
+def spanning_links(hashes: list[int], bodies: list[str]) -> list[tuple[int, int]]:
+    """Verified links that connect all paragraphs of a bucket which any verified links would connect.
 
-    return map_arrow(both.select("a", "b", "x", "y"), check, "a long, b long")
+    Each paragraph is compared with the members of each component so far until one is similar enough. Paragraphs that come
+    first should be the likely centres: then a group of near copies costs one comparison for each of its members.
+    """
+    sets = [shingles(b.split(" ")) for b in bodies]
+    links: list[tuple[int, int]] = []
+    groups: list[list[int]] = []
+    for z, own in enumerate(sets):
+        near, far = [z], []
+        for group in groups:
+            for m in group:
+                small, large = sorted((len(own), len(sets[m])))
+                if small >= SIMILARITY * large:
+                    both = len(own & sets[m])
+                    if both >= SIMILARITY * (small + large - both):
+                        links.append((hashes[z], hashes[m]))
+                        near = group + near
+                        break
+            else:
+                far.append(group)
+        groups = [*far, near] if len(near) == 1 else [near, *far]
+    return links
+
+
+def _linked(members: DataFrame) -> DataFrame:
+    """(a, b): spanning links of all buckets; members: (k, rank, size, h, body), rank from 0 on within a bucket.
+
+    A bucket of more than BLOCK members is dealt out in pairs of blocks, so no task holds more than two blocks of it, and
+    each two of its members still meet.
+    """
+    blocks = F.expr(f"cast((size - 1) div {BLOCK} as int)")
+    mine = F.expr(f"cast(rank div {BLOCK} as int)")
+    dealt = members.select("k", "rank", "h", "body", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks)).alias("other"))
+    dealt = dealt.select("k", "rank", "h", "body", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    dealt = dealt.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", "rank")
+    prepare(members.sparkSession)
+
+    def flush(held: list[tuple]) -> pa.RecordBatch:
+        found = spanning_links([x[2] for x in held], [x[3] for x in held])
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("k", "rank", "h", "body", "i", "j"))):
+                if (row[0], row[4], row[5]) != key:
+                    if len(held) > 1:
+                        yield flush(held)
+                    key, held = (row[0], row[4], row[5]), []
+                held.append(row)
+        if len(held) > 1:
+            yield flush(held)
+
+    return dealt.select("k", "rank", "h", "body", "i", "j").mapInArrow(run, "a long, b long")
 
 
 def shared_paragraphs(docs: DataFrame) -> DataFrame:
@@ -185,13 +231,15 @@ def shared_paragraphs(docs: DataFrame) -> DataFrame:
     keys = [f"k{k}" for k in range(BANDS)]
     units = _paragraph_rows(docs, True)
     distinct, path = materialize(
-        units.groupBy("h").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other"), *[F.min(k).alias(k) for k in keys]), "paragraphs"
+        units.groupBy("h").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other"), F.count("*").alias("n"), *[F.min(k).alias(k) for k in keys]),
+        "paragraphs",
     )
-    banded = distinct.where("k0 <> 0").select("h", F.explode(F.array(*keys)).alias("k"))
-    x, y = banded.alias("x"), banded.alias("y")
-    met = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.h") < F.col("y.h"))).select(F.col("x.h").alias("a"), F.col("y.h").alias("b"))
-    pairs, at = materialize(met.distinct(), "pairs")
-    links, held = materialize(_verified(docs, pairs, distinct.select("h", F.col("owner").alias("doc_id"))), "links")
+    banded = distinct.where("k0 <> 0").select("h", "n", F.explode(F.array(*keys)).alias("k"))
+    bucket = Window.partitionBy("k")
+    met = banded.select("k", "h", F.row_number().over(bucket.orderBy(F.desc("n"), "h")).alias("rank"), F.count("*").over(bucket).alias("size"))
+    met, at = materialize(met.where("size > 1").withColumn("rank", F.col("rank") - 1), "buckets")
+    bodies = _bodies(docs, met.select("h"), distinct.select("h", F.col("owner").alias("doc_id")))
+    links, held = materialize(_linked(met.join(bodies, "h")), "links")
     groups, kept = materialize(components(links).select(F.col("node").alias("h"), "component"), "groups")
     near = groups.join(distinct.select("h", "owner", "other"), "h")
     spans = near.groupBy("component").agg(F.min("owner").alias("owner"), F.max("other").alias("other")).where("owner < other")
