@@ -261,7 +261,7 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tid"), F.col(text_col).alias("text")).where("doc_id is not null")
     shared = shared_paragraphs(docs)
     units = _paragraph_rows(docs, False)
-    gone = units.join(_small(shared), "h").where("doc_id <> owner")
+    gone = units.join(shared, "h").where("doc_id <> owner")
     per_doc = gone.groupBy("doc_id", "tid").agg(F.sort_array(F.collect_set(F.struct("idx", "first", "last", "owner"))).alias("p"))  # of one text
     span = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("n_words", pa.int64()), ("kept_in", pa.list_(pa.int64()))])
 
