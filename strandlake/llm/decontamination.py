@@ -8,6 +8,7 @@ character spans of the original text.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -61,10 +62,10 @@ def _blocks(items: DataFrame, size: int, most: int) -> Iterator[list[tuple[bytes
         yield [(p, n, i) for p, (n, i) in held.items()]
 
 
-_automata: dict[int, ahocorasick.Automaton] = {}
+_automata: dict[str, ahocorasick.Automaton] = {}
 
 
-def _automaton(key: int, patterns: list[tuple[bytes, int, list[str]]]) -> ahocorasick.Automaton:
+def _automaton(key: str, patterns: list[tuple[bytes, int, list[str]]]) -> ahocorasick.Automaton:
     """The automaton of a broadcast block; a worker holds one at a time."""
     if key not in _automata:
         _automata.clear()
@@ -118,7 +119,7 @@ def scan(
     block, old = next(blocks, []), None
     while True:
         following = next(blocks, None)
-        rows = map_arrow(rows, _scanner(spark.sparkContext.broadcast(block), text_col), schema)
+        rows = map_arrow(rows, _scanner(spark.sparkContext.broadcast(block), uuid.uuid4().hex, text_col), schema)
         if following is None:
             return rows
         rows, path = materialize(rows, "scanned")
@@ -133,9 +134,9 @@ def judged(scanned: DataFrame) -> DataFrame:
     return scanned.withColumn("n_hit", n_hit).withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
 
 
-def _scanner(shared, text_col: str):
+def _scanner(shared, key: str, text_col: str):
     def make():
-        made = _automaton(shared._jbroadcast_id if hasattr(shared, "_jbroadcast_id") else hash(shared._path), shared.value) if shared.value else None
+        made = _automaton(key, shared.value) if shared.value else None
         pair = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:

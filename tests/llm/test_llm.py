@@ -299,7 +299,7 @@ def plain_count(word, scores, single):
     for end in range(1, len(word) + 1):
         n = len(word[end - 1].encode("utf-8", "surrogatepass"))
         options = [(best[end - 1][0] + n * single, best[end - 1][1] + n)]
-        options += [(best[s][0] + scores[word[s:end]], best[s][1] + 1) for s in range(end) if word[s:end] in scores]
+        options += [(best[s][0] + scores[word[s:end]], best[s][1] + 1) for s in range(end - 1, -1, -1) if word[s:end] in scores]
         best.append(max(options, key=lambda o: o[0]))
     return best[-1][1]
 
@@ -363,7 +363,7 @@ def test_spanning_links_keep_components(spark):
     links = substring_dedup.spanning_links(list(range(len(bodies))), bodies)
     assert all(tuple(sorted(x)) in set(edges) for x in links)
     assert _parts(len(bodies), links) == _parts(len(bodies), edges) and len(links) < len(bodies)
-    old, substring_dedup.BLOCK = substring_dedup.BLOCK, 10
+    old, substring_dedup.BLOCK = substring_dedup.BLOCK, 10  # several blocks
     try:
         rows = [(1, k, len(bodies), k, b) for k, b in enumerate(bodies)]
         got = [(r["a"], r["b"]) for r in substring_dedup._linked(spark.createDataFrame(rows, "k long, rank long, size long, h long, body string")).collect()]
