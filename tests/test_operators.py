@@ -219,3 +219,16 @@ def test_ranks_and_running_sums(spark):
     down = ordered.running(df, {"s": F.col("v")}, ordered.quantile_bucket(df, "v", 16), ["v", "id"], descending=True).collect()
     top = sorted(down, key=lambda r: (-r["v"], r["id"]))
     assert np.allclose(np.cumsum([r["v"] for r in top]), [r["s"] for r in top])
+
+
+def test_running_rates_stream(spark, tmp_path):
+    from strandlake.streaming import running_rates
+
+    rows = [("g", i % 3, i % 5, f"2024-01-01 0{i % 2}:10:00") for i in range(40)]
+    df = spark.createDataFrame(rows, "gene string, read_id int, pos int, ts string").withColumn("ts", F.to_timestamp("ts"))
+    df.write.parquet(str(tmp_path / "in"))
+    stream = running_rates(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
+    q = stream.writeStream.format("memory").queryName("rates").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {(r["window"]["start"].hour, r["pos"]): r["n"] for r in spark.table("rates").collect()}
+    assert len(got) == 10 and set(got.values()) == {4}
