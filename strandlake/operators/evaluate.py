@@ -120,6 +120,14 @@ def capped_by_top(profiles: DataFrame, key: str, top: int) -> DataFrame:
     return profiles.join(F.broadcast(middle), key).withColumn("norm", F.round(F.least(F.lit(1.0), F.col("rate") / F.col("middle")), 3)).drop("middle")
 
 
+def fold_constraints(profiles: DataFrame, key: str, sequence: str, top: int, missing: float = -999.0, open_bases: str = "AC") -> DataFrame:
+    """(key, pos, constraint): capped_by_top of the positions whose base can be modified, `missing` at the others. sequence
+    is the reference, one base for each position."""
+    base = F.substring(F.lit(sequence), (F.col("pos") + 1).cast("int"), F.lit(1))
+    t = capped_by_top(profiles, key, top)
+    return t.select(key, "pos", F.when(base.isin(*open_bases), F.col("norm")).otherwise(F.lit(missing)).alias("constraint"))
+
+
 def cluster_scatter(profiles: DataFrame, key: str, reference: dict[int, str] | None = None) -> DataFrame:
     """(x, y, n, slope, r2) for clusters x < y: regression of y's rates on x's over positions above 0 in both (and with A or
     C in the reference, if given), each scaled by its largest."""

@@ -23,8 +23,10 @@ def quantile_bucket(df: DataFrame, column: str, buckets: int = BUCKETS) -> Colum
     distinct = sorted(set(bounds))
     if not distinct:
         return F.lit(0)
-    array = F.array(*[F.lit(float(b)) for b in distinct])
-    return F.coalesce(F.size(F.filter(array, lambda b: b <= F.col(column).cast("double"))), F.lit(0))
+    x = F.col(column).cast("double")
+    # the value's place among the bounds; without a lambda, which the optimizer would carry into the other side of a join
+    placed = F.sort_array(F.array_append(F.array(*[F.lit(float(b)) for b in distinct]), x))
+    return F.coalesce(F.array_position(placed, x), F.lit(0)).cast("int")
 
 
 def running(df: DataFrame, values: dict[str, Column], bucket: Column, order: list, by: tuple[str, ...] = (), descending: bool = False) -> DataFrame:

@@ -92,6 +92,13 @@ def abundance(reads: DataFrame, mods: DataFrame) -> DataFrame:
     return sets.groupBy("positions").agg(F.count("*").alias("n_reads"), F.min("read_id").alias("first_read"))
 
 
+def predicted_by_bits(library: DataFrame, predictions: DataFrame, least: float = 0.5) -> DataFrame:
+    """library (bits) with the cluster that predictions (line, bits, cluster, post) give to its text: of several lines the
+    last one; those with a posterior under `least`, and texts without a prediction, are left out."""
+    last = predictions.groupBy("bits").agg(F.max_by(F.struct("cluster", "post"), "line").alias("p"))
+    return library.join(last, "bits").where(F.col("p.post") >= least).select(*library.columns, F.col("p.cluster").alias("cluster"))
+
+
 def group_counts(assignments: DataFrame, mods: DataFrame) -> DataFrame:
     """(cluster, pos, n): modifications of each position in each cluster."""
     return mods.join(assignments, "read_id").groupBy("cluster", "pos").agg(F.count("*").alias("n"))

@@ -6,9 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.fixtures import EMBEDDING_SQL, EVENT_SQL, L_EMBEDDING, L_ORDER, ORDER_SQL, embedding_mods, embedding_reads, event_profiles, order_mods, order_reads, table
+from strandlake.fixtures import EMBEDDING_SQL, EVENT_SQL, L_EMBEDDING, L_ORDER, ORDER_SQL, bit_strings, embedding_mods, embedding_reads, event_profiles, order_mods, order_reads, table
 from strandlake.operators import clustering, evaluate, filters, mixtures, nulls, regions, relational, signals, simulate, windows
-from strandlake.plans import two_sample
+from strandlake.plans import benchmark, two_sample
 from strandlake.queries.matrix import r6
 
 QUERIES, SQL = {}, {}
@@ -320,6 +320,26 @@ def two_sample_purity(spark, sf):
     return two_sample.analyse(order_reads(spark, sf), order_mods(spark, sf), s)["purity"]
 
 
+@query("fold_constraints", _emb(_PROFILES + ", k AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY rate DESC, pos) AS k FROM profile), m AS (SELECT cluster, median(rate) AS m FROM k WHERE k <= 10 GROUP BY cluster) SELECT p.cluster, pos, CASE WHEN pos % 4 IN (0, 3) THEN round(least(1, rate / m), 3) ELSE -999.0::DOUBLE END AS \"constraint\" FROM profile p JOIN m ON p.cluster = m.cluster"))
+def fold_constraints(spark, sf):
+    return evaluate.fold_constraints(_profiles(spark, sf), "cluster", "ATGC" * (L_EMBEDDING // 4), 10)
+
+
+@query("predicted_by_bits", _emb(" SELECT read_id, label % 3 AS cluster FROM reads WHERE (label * 13 % 7) / 7.0::DOUBLE >= cast(0.5 AS DOUBLE)"))
+def predicted_by_bits(spark, sf):
+    """Each read's text predicted twice: the later line holds."""
+    bits = bit_strings(spark, sf)
+    first = bits.select(F.lit(0).alias("line"), "bits", F.lit(9).cast("long").alias("cluster"), F.lit(1.0).alias("post"))
+    second = bits.select(F.lit(1).alias("line"), "bits", (F.col("label") % 3).alias("cluster"), (F.col("label") * 13 % 7 / 7.0).alias("post"))
+    return relational.predicted_by_bits(bits.select("read_id", "bits"), first.unionByName(second)).select("read_id", "cluster")
+
+
+@query("simulation_benchmark")
+def simulation_benchmark(spark, sf):
+    s = simulate.Simulation(depth=300, length=60, similarity=0.2, rate=0.2)
+    return benchmark.run(spark, s, "bmm").unionByName(benchmark.run(spark, s, "kmeans"))
+
+
 # --- windows and null libraries ---------------------------------------------------------------------------------------
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import stats
 from strandlake.operators import bitvec, clustering, evaluate, filters, mixtures, nulls, ordered, regions, signals, simulate, structure, windows
-from strandlake.plans import folding, two_sample
+from strandlake.plans import benchmark, folding, heterogeneity, library, two_sample
 from strandlake.sources import readers, writers
 
 PROFILES = np.array([[0.1, 0.9] * 5, [0.1] * 5 + [0.9] * 5, [0.9] * 5 + [0.1] * 5])
@@ -232,3 +232,25 @@ def test_running_rates_stream(spark, tmp_path):
     q.awaitTermination(120)
     got = {(r["window"]["start"].hour, r["pos"]): r["n"] for r in spark.table("rates").collect()}
     assert len(got) == 10 and set(got.values()) == {4}
+
+
+def test_library_of_samples(spark):
+    a = spark.createDataFrame([("x", 0), ("y", 1), ("z", 2)], "read_id string, row_idx long"), spark.createDataFrame([("x", 3), ("y", 9), ("z", 4)], "read_id string, pos long")
+    b = spark.createDataFrame([("x", 0), ("w", 1)], "read_id string, row_idx long"), spark.createDataFrame([("x", 4), ("w", 5)], "read_id string, pos long")
+    reads, mods = library.load({"a": a, "b": b}, 2, 6)
+    assert sorted((r["sample"], r["read_id"]) for r in reads.collect()) == [("a", "x"), ("b", "w"), ("b", "x")]
+    assert sorted(tuple(r) for r in mods.select("sample", "pos").collect()) == [("a", 3), ("b", 4), ("b", 5)]
+
+
+def test_heterogeneity_plan(spark, mixture):
+    _, mods, _ = mixture
+    out = heterogeneity.analyse(mods, heterogeneity.Settings(10, 6, 2, seeds=(1, 2, 3), rounds=3))
+    assert out["tests"].count() == 2 and out["tests"].where("difference > 0").count() == 2
+    assert out["simulated"].count() == 6
+
+
+@pytest.mark.parametrize("method", ["kmeans", "ward", "kmedoids", "spectral"])
+def test_benchmark_methods(spark, method):
+    s = simulate.Simulation(depth=80, length=60, similarity=0.0, rate=0.3)
+    row = benchmark.run(spark, s, method).first()
+    assert row["ari"] > 0.9 and row["accuracy"] > 0.95
