@@ -27,8 +27,9 @@ SIMILARITY = 0.8
 BANDS, ROWS = 5, 2  # 1 - (1 - 0.8 ** 2) ** 5 = 0.994 of the pairs at the threshold collide
 PIECE_WORDS = 5
 RUN_WORDS = 25
-#: Members of a bucket that are compared in one place, at most.
-BLOCK = 4096
+#: Members of a bucket in one block; two blocks at most are compared in one place, with the first CENTRES members.
+BLOCK = 512
+CENTRES = 4
 #: A side of at most so many rows of a few numbers each is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 500_000
 _MIX = np.random.default_rng(20240501).integers(1, 2**63, (BANDS * ROWS + SHINGLE_WORDS, 2), dtype=np.uint64) | np.uint64(1)
@@ -197,12 +198,13 @@ def _linked(members: DataFrame) -> DataFrame:
     """(a, b): spanning links of all buckets; members: (k, rank, size, h, body), rank from 0 on within a bucket.
 
     A bucket of more than BLOCK members is dealt out in pairs of blocks, so no task holds more than two blocks of it, and
-    each two of its members still meet.
+    each two of its members still meet. Its first members go to all pairs: as the likely centres they spare most comparisons.
     """
-    blocks = F.expr(f"cast((size - 1) div {BLOCK} as int)")
+    last = F.expr(f"cast((size - 1) div {BLOCK} as int)")
     mine = F.expr(f"cast(rank div {BLOCK} as int)")
-    dealt = members.select("k", "rank", "h", "body", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks)).alias("other"))
-    dealt = dealt.select("k", "rank", "h", "body", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    own = F.transform(F.sequence(F.lit(0), last), lambda o: F.struct(F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j")))
+    every = F.flatten(F.transform(F.sequence(F.lit(0), last), lambda i: F.transform(F.sequence(i, last), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    dealt = members.select("k", "rank", "h", "body", F.inline(F.when(F.col("rank") < CENTRES, every).otherwise(own)))
     dealt = dealt.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", "rank")
     prepare(members.sparkSession)
 
