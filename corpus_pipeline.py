@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm import decontamination, packing, simhash, substring_dedup, toxicity
-from strandlake.llm.common import materialize, read_table
+from strandlake.llm.common import fresh, materialize, read_table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity under 0.5."""
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model).where("toxicity < 0.5").drop("toxicity")
+    (score,) = fresh(docs, "toxicity")
+    return toxicity.scored(docs, model, out_col=score).where(F.col(score) < 0.5).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +26,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Documents without a word are copies of one another. Rows without a doc_id stay.
     """
     fps, _ = materialize(simhash.fingerprints(docs), "fingerprints")
-    gone = simhash.near_duplicates(fps).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    stay = docs.where("doc_id is not null").join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    (key,) = fresh(docs, "gone")
+    gone = simhash.near_duplicates(fps).where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
+    stay = docs.where("doc_id is not null").join(gone, F.col("doc_id").cast("long") == F.col(key), "left_anti")
     return stay.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
 
 
@@ -38,8 +40,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than one word in 20 stands in a benchmark window."""
-    found = decontamination.judged(decontamination.scan(docs, read_table(spark, sf_dir, "benchmark")))
-    return found.where("not contaminated").select(*docs.columns)
+    inner = [f"c{i}" for i in range(len(docs.columns))]  # apart from the operator's own columns
+    text = inner[docs.columns.index("text")]
+    found = decontamination.judged(decontamination.scan(docs.toDF(*inner), read_table(spark, sf_dir, "benchmark"), text_col=text))
+    return found.where("not contaminated").select(*[F.col(c).alias(n) for c, n in zip(inner, docs.columns)])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -35,7 +37,9 @@ def shared_dir(spark: SparkSession) -> str:
         if option.isDefined():
             at = option.get()
         else:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strandlake-"))
+            own = tempfile.mkdtemp(prefix="strandlake-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            spark.sparkContext.setCheckpointDir(own)
             at = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return at.rstrip("/")
 
@@ -60,6 +64,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """names, with as many underscores before them as keep them apart from df's columns."""
+    taken, lead = {c.lower() for c in df.columns}, "_"
+    while any((lead + n).lower() in taken for n in names):
+        lead += "_"
+    return [lead + n for n in names]
+
+
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
     """Arrow map; make() runs once in each task and returns the function for its batches."""
     prepare(df.sparkSession)

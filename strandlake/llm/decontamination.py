@@ -90,7 +90,6 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def scan(
     docs: DataFrame,
     items: DataFrame,
-    id_col: str = "doc_id",
     text_col: str = "text",
     item_id: str = "item_id",
     item_text: str = "text",
@@ -98,7 +97,7 @@ def scan(
     max_patterns: int = MAX_PATTERNS,
 ) -> DataFrame:
     """docs with the columns n_words, hits (array of [a, b) word positions), hit_items (ids as strings, sorted) and spans
-    (array of [a, b) character positions in the original text).
+    (array of [a, b) character positions in the original text), which replace columns of these names.
 
     Null and empty texts have no words, so no hits; null or wordless items have no windows; an item without an id is "null".
     No items: no hits. Repeated documents and items are all kept (an item id is listed once). Patterns beyond max_patterns
@@ -106,10 +105,7 @@ def scan(
     """
     spark = docs.sparkSession
     pair = "array<struct<a:int,b:int>>"
-    names = docs.columns
-    if clash := {"n_words", "hits", "hit_items", "spans"} & set(names):
-        raise ValueError(f"columns {sorted(clash)} are made here")
-    rows = docs.select(
+    rows = docs.drop("n_words", "hits", "hit_items", "spans").select(
         "*", F.lit(0).cast("long").alias("n_words"), F.expr(f"cast(array() as {pair})").alias("hits"), F.expr("cast(array() as array<string>)").alias("hit_items"), F.expr(f"cast(array() as {pair})").alias("spans")
     )
     for field in (schema := rows.schema):

@@ -234,9 +234,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def predicted(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """df with lang_pred and lang_score (double, 0 to 1). Null texts and those without a letter: UNKNOWN and 0."""
-    if clash := {"lang_pred", "lang_score"} & set(df.columns):
-        raise ValueError(f"columns {sorted(clash)} are made here")
+    """df with lang_pred and lang_score (double, 0 to 1), which replace columns of these names. Null texts and those without a
+    letter: UNKNOWN and 0."""
+    df = df.drop("lang_pred", "lang_score")
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def make():

@@ -213,9 +213,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, epochs: int
 
 
 def scored(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """df with the column quality (double, 0 to 1). Null, empty and wordless texts get 0."""
-    if "quality" in df.columns:
-        raise ValueError("column quality is made here")
+    """df with the column quality (double, 0 to 1), which replaces one of that name. Null, empty and wordless texts get 0."""
+    df = df.drop("quality")
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def make():

@@ -42,11 +42,10 @@ def _fisher_yates(tables: list[pa.RecordBatch], seed: int) -> Iterator[pa.Record
 def external_shuffle(df: DataFrame, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, text_col: str = "text") -> tuple[DataFrame, str]:
     """df's columns, and _bucket (int) and _slot (long: the place in the bucket), from the written buckets; and their path.
 
-    Every row is kept, repeated rows and nulls too; an empty table gives no rows. df may not have columns _bucket, _slot,
-    _hash or _row.
+    Every row is kept, repeated rows and nulls too; an empty table gives no rows. Columns _bucket, _slot, _hash and _row of
+    df are replaced.
     """
-    if clash := {"_bucket", "_slot", "_hash", "_row"} & set(df.columns):
-        raise ValueError(f"columns {sorted(clash)} are made here")
+    df = df.drop("_bucket", "_slot", "_hash", "_row")
     prepare(df.sparkSession)
     size = df.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + 64)).first()[0] or 0
     n = max(1, -(-size // bucket_bytes))
@@ -77,17 +76,22 @@ def external_shuffle(df: DataFrame, seed: int = SEED, bucket_bytes: int = BUCKET
 
 
 def shard(df: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, text_col: str = "text") -> DataFrame:
-    """df's columns with shard (int) and slot (long, gapless from 0 in each shard); law `rows`: counts at most one apart."""
+    """df's columns with shard (int) and slot (long, gapless from 0 in each shard), which replace columns of these names; law
+    `rows`: counts at most one apart. Column names of df are free otherwise."""
     if shards < 1:
         raise ValueError("at least one shard")
-    written, _ = external_shuffle(df, seed, bucket_bytes, text_col)
+    df = df.drop("shard", "slot")
+    # the shuffle's own columns stay apart from df's
+    inner = [f"c{i}" for i in range(len(df.columns))]
+    at = inner[df.columns.index(text_col)]
+    written, _ = external_shuffle(df.toDF(*inner), seed, bucket_bytes, at)
     # one count for each bucket of bucket_bytes
     counts = sorted(written.groupBy("_bucket").count().collect())
     firsts = itertools.accumulate((n for _, n in counts), initial=0)
     table = df.sparkSession.createDataFrame([(b, f) for (b, _), f in zip(counts, firsts)], "_bucket int, _first long")
     g = F.col("_first") + F.col("_slot")  # the place in the whole order
     out = written.join(F.broadcast(table), "_bucket")
-    return out.select(*df.columns, F.pmod(g, F.lit(shards)).cast("int").alias("shard"), F.expr(f"(_first + _slot) div {shards}").alias("slot"))
+    return out.select(*[F.col(c).alias(n) for c, n in zip(inner, df.columns)], F.pmod(g, F.lit(shards)).cast("int").alias("shard"), F.expr(f"(_first + _slot) div {shards}").alias("slot"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, prepare, release, texts
+from .common import fresh, map_arrow, materialize, prepare, release, texts
 from .components import components
 
 SHINGLE_WORDS = 5
@@ -303,14 +303,15 @@ def cut(text: str | None, spans: list[dict] | None) -> str | None:
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
     """df with the passages of removals() cut out of its texts; a document of which nothing is left goes."""
-    found, _ = materialize(removals(df, id_col, text_col, run_words).selectExpr("doc_id _gone_id", "tid _gone_tid", "spans _gone"), "removals")
-    same = (F.col(id_col).cast("long") == F.col("_gone_id")) & (F.xxhash64(text_col) == F.col("_gone_tid"))
-    rows = df.join(_small(found), same, "left").drop("_gone_id", "_gone_tid")
+    gone_id, gone_tid, gone = fresh(df, "gone_id", "gone_tid", "gone")
+    found, _ = materialize(removals(df, id_col, text_col, run_words).toDF(gone_id, gone_tid, gone), "removals")
+    same = (F.col(id_col).cast("long") == F.col(gone_id)) & (F.xxhash64(text_col) == F.col(gone_tid))
+    rows = df.join(_small(found), same, "left").drop(gone_id, gone_tid)
     schema, names = df.schema, df.columns
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            spans = batch.column("_gone").to_pylist()
+            spans = batch.column(gone).to_pylist()
             new = [cut(t, s) for t, s in zip(texts(batch, text_col), spans)]
             left = pa.array([not s or bool(t.strip()) for t, s in zip(new, spans)], pa.bool_())
             text = pa.array(new, batch.schema.field(text_col).type)

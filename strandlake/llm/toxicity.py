@@ -228,21 +228,21 @@ def _curve(rows: DataFrame, model: Model, ridge: float = 1e-2) -> tuple[float, f
     return tuple(map(float, theta))
 
 
-def scored(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """df with the column toxicity (double, 0 to 1). Null, empty and wordless texts get the curve's value without a match."""
-    if "toxicity" in df.columns:
-        raise ValueError("column toxicity is made here")
+def scored(df: DataFrame, model: Model, text_col: str = "text", out_col: str = "toxicity") -> DataFrame:
+    """df with the column out_col (double, 0 to 1), which replaces one of that name. Null, empty and wordless texts get the
+    curve's value without a match."""
+    df = df.drop(out_col)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def make():
         matcher = Matcher(shared.value)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*batch.columns, pa.array([matcher.score(t) for t in texts(batch, text_col)], pa.float64())], [*batch.schema.names, "toxicity"])
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array([matcher.score(t) for t in texts(batch, text_col)], pa.float64())], [*batch.schema.names, out_col])
 
         return step
 
-    schema = df.withColumn("toxicity", F.lit(0.0)).schema
+    schema = df.withColumn(out_col, F.lit(0.0)).schema
     for f in schema:
         f.nullable = True
     return map_arrow(df, make, schema)
