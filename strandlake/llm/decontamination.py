@@ -47,17 +47,19 @@ def windows_of(text: str | None, size: int = WINDOW_WORDS) -> list[tuple[bytes,
 
 
 def _blocks(items: DataFrame, size: int, most: int) -> Iterator[list[tuple[bytes, int, list[str]]]]:
-    """Patterns with their items, in blocks of at most `most` patterns or one item."""
+    """Patterns with the items that own them, in blocks of at most `most` owners. Items are read one by one, and an item's
+    windows, or a window's owners, may be spread over blocks."""
     held: dict[bytes, tuple[int, list[str]]] = {}
+    owners = 0
     for item, text in items.toLocalIterator():
-        new = windows_of(text, size)
-        if held and len(held) + len(new) > most:
-            yield [(p, n, i) for p, (n, i) in held.items()]
-            held = {}
-        for p, n in new:
-            owners = held.setdefault(p, (n, []))[1]
-            if not owners or owners[-1] != item:
-                owners.append(item)
+        for pattern, n in windows_of(text, size):
+            own = held.setdefault(pattern, (n, []))[1]
+            if not own or own[-1] != item:
+                own.append(item)
+                owners += 1
+            if owners >= most:
+                yield [(p, n, i) for p, (n, i) in held.items()]
+                held, owners = {}, 0
     if held:
         yield [(p, n, i) for p, (n, i) in held.items()]
 
