@@ -11,7 +11,6 @@ count one token for each byte.
 from __future__ import annotations
 
 import math
-import os.path
 import re
 
 import numpy as np
@@ -25,6 +24,8 @@ from .common import map_arrow, texts
 KEEP = 400_000
 RANK_SHIFT = 2.7
 BYTE_PENALTY = 10.0
+#: Above any score.
+NO_ENDING = 1.0
 SPACE = "▁"
 _cut = re.compile(rf"{SPACE}?[^{SPACE}\s]+|{SPACE}+|\s")
 
@@ -52,24 +53,34 @@ def pre_tokens(text: str) -> list[str]:
 class TrieCounter:
     def __init__(self, scores: dict[str, float]):
         self.scores = scores
-        self.longest = max(map(len, scores), default=1)
+        # ends of pieces: with their score if they are pieces themselves, else None
+        self.endings: dict[str, float | None] = {p[k:]: None for p in scores for k in range(1, len(p))} | scores
         self.single = min(scores.values(), default=0.0) - BYTE_PENALTY
         self.counts: dict[str, int] = {}
 
     def learn(self, words: set[str]) -> None:
-        """Terminal counts of words, each shared prefix being scored once."""
-        get, longest, single = self.scores.get, self.longest, self.single
+        """Terminal counts of words, each shared prefix being scored once. Of equal scores the shorter last piece wins."""
+        get, single = self.endings.get, self.single
         best, pieces = [0.0], [0]
         before = ""
         for w in sorted(words):
-            keep = len(os.path.commonprefix((before, w)))
+            keep = 0
+            for x, y in zip(before, w):
+                if x != y:
+                    break
+                keep += 1
             del best[keep + 1 :], pieces[keep + 1 :]
             for end in range(keep + 1, len(w) + 1):
-                n = len(w[end - 1].encode("utf-8", "surrogatepass"))
+                c = w[end - 1]
+                n = 1 if c < "\x80" else len(c.encode("utf-8", "surrogatepass"))
                 top, count = best[end - 1] + n * single, pieces[end - 1] + n
-                for start in range(max(0, end - longest), end):
-                    s = get(w[start:end])
-                    if s is not None and best[start] + s > top:
+                for start in range(end - 1, -1, -1):
+                    s = get(w[start:end], NO_ENDING)
+                    if s is None:
+                        continue
+                    if s > 0:  # no piece ends like this, so none ends like what is longer
+                        break
+                    if best[start] + s > top:
                         top, count = best[start] + s, pieces[start] + 1
                 best.append(top)
                 pieces.append(count)
