@@ -1,8 +1,9 @@
 """Substring dedup by MinHash banding of paragraphs.
 
-A text is cut into paragraphs wherever a line or sentence begins or a capitalised word follows; a piece of fewer than five
-words joins the one before it. Cuts depend on nearby words only, so a passage that stands inside different documents falls
-into the same paragraphs there. Equal paragraphs become one row first. Distinct ones of nine words or more (shorter ones have
+A text is cut into paragraphs wherever a line or sentence begins or a capitalised word follows one that isn't; a piece of fewer
+than five words joins the one before it, unless it begins a line after a longer piece. Pieces of 14 words or more are cut further
+by hashes of their words, so texts in capitals, or without case or sentence ends, are cut too. Cuts depend on nearby words only,
+so a passage that stands inside different documents falls into the same paragraphs there. Equal paragraphs become one row first. Distinct ones of nine words or more (shorter ones have
 too few 5-word shingles to differ and still reach a similarity of 0.8) are banded by MinHash; pairs that collide in a band
 are verified by the exact Jaccard similarity of their 5-word shingles, and linked paragraphs make components. Each
 component stays where the smallest doc_id has it; elsewhere its paragraphs go, if a run of them has RUN_WORDS words.
@@ -27,6 +28,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 5, 2  # 1 - (1 - 0.8 ** 2) ** 5 = 0.994 of the pairs at the threshold collide
 PIECE_WORDS = 5
 RUN_WORDS = 25
+CUT_WINDOW = 12  # 51 words less a window at either end leave RUN_WORDS and more
 #: Members of a bucket in one block; two blocks at most are compared in one place, with the first CENTRES members.
 BLOCK = 512
 CENTRES = 4
@@ -36,24 +38,61 @@ _MIX = np.random.default_rng(20240501).integers(1, 2**63, (BANDS * ROWS + SHINGL
 _nonspace = re.compile(r"\S+")
 
 
+def _extreme(values: np.ndarray, width: int, of: np.ufunc) -> np.ndarray:
+    """The minimum or maximum of each `width` values in a row."""
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        values, done = of(values[:-step], values[step:]), done + step
+    return values
+
+
+def content_cuts(hashes: np.ndarray, starts: list[int]) -> np.ndarray:
+    """Cuts inside paragraphs of word hashes: of each CUT_WINDOW places in a row that lie inside one, the place with the least
+    hash of two words. A passage has the same cuts in all documents, but for CUT_WINDOW words at either end of it."""
+    pair = (hashes[:-1] * _MIX[0, 0]) ^ (hashes[1:] * _MIX[1, 0])
+    pair = (pair ^ (pair >> np.uint64(31))) * _MIX[2, 0] | np.uint64(1)
+    sizes = np.diff(starts)
+    at = np.arange(len(pair) - CUT_WINDOW + 1)
+    least = _extreme(pair, CUT_WINDOW, np.minimum)
+    first, end = np.repeat(starts[:-1], sizes)[: len(at)], np.repeat(starts[1:], sizes)[: len(at)]
+    least[(at == first) | (at + CUT_WINDOW >= end)] = 0
+    edge = np.zeros(CUT_WINDOW - 1, np.uint64)
+    chosen = _extreme(np.concatenate([edge, least, edge]), CUT_WINDOW, np.maximum) == pair
+    chosen[1:] &= pair[1:] != pair[:-1]
+    return np.flatnonzero(chosen)
+
+
 def paragraphs(text: str) -> tuple[list[str], list[int]]:
     """A text's lower-case words, and the word positions where paragraphs begin, ended by the number of words."""
     words: list[str] = []
     cuts: list[int] = []
+    heads: set[int] = set()
     for line in text.split("\n"):
-        opens = True
+        opens, head, capital = True, True, False
         for w in line.split():
-            if opens or w[0].isupper():
+            upper = w[0].isupper()
+            if opens or upper and not capital:
                 cuts.append(len(words))
-            opens = w[-1] in ".!?"
+                if head:
+                    heads.add(len(words))
+            opens, head, capital = w[-1] in ".!?", False, upper
             words.append(w)
     n = len(words)
-    cuts.append(n)
-    starts = [a for a, b in zip(cuts, cuts[1:]) if b - a >= PIECE_WORDS]
-    if n and (not starts or starts[0]):
-        starts.insert(0, 0)
+    if not n:
+        return [], []
+    starts = [0]
+    for before, a, b in zip(cuts, cuts[1:], [*cuts[2:], n]):
+        if b - a >= PIECE_WORDS or a in heads and a - before >= PIECE_WORDS:
+            starts.append(a)
+    starts.append(n)
     low = text.lower().split()
-    return (low if len(low) == n else [w.lower() for w in words]), [*starts, n] if n else []
+    if len(low) != n:
+        low = [w.lower() for w in words]
+    if max(b - a for a, b in zip(starts, starts[1:])) >= CUT_WINDOW + 2:
+        more = content_cuts(np.fromiter(map(xxhash.xxh64_intdigest, low), np.uint64, n), starts)
+        starts = sorted([*starts, *more.tolist()])
+    return low, starts
 
 
 def shingles(words: list[str]) -> set[tuple[str, ...]]:

@@ -326,6 +326,32 @@ def test_paragraphs_cover_the_words():
         assert not words and not cuts or (cuts[0] == 0 and cuts[-1] == len(words) and sorted(set(cuts)) == cuts)
 
 
+def test_paragraphs_cut_passages_alike_whatever_their_case():
+    rng = np.random.default_rng(4)
+    plain = lambda n: [f"{WORDS[int(i)]}{int(j)}".lower() for i, j in zip(rng.integers(0, len(WORDS), n), rng.integers(0, 99, n))]
+    short = lambda words: [w.capitalize() if i % 3 == 0 else w + "." if i % 3 == 2 else w for i, w in enumerate(words)]
+    for style in (list, lambda ws: [w.upper() for w in ws], lambda ws: [w.title() for w in ws], short):
+        for gap in (" ", "\n"):
+            for _ in range(30):
+                passage, found = style(plain(51)), []
+                for _ in range(2):
+                    before, after = style(plain(int(rng.integers(3, 40)))), style(plain(int(rng.integers(3, 40))))
+                    words, cuts = substring_dedup.paragraphs(gap.join([" ".join(x) for x in (before, passage, after)]))
+                    found.append([tuple(words[a:b]) for a, b in zip(cuts, cuts[1:])])
+                run = best = 0
+                for p in found[0]:
+                    run = run + len(p) if p in found[1] else 0
+                    best = max(best, run)
+                assert best >= substring_dedup.RUN_WORDS
+
+
+def test_passages_in_capitals_go(spark):
+    licence = prose(60, 31).upper().replace(".", "")
+    rows = [(i, " ".join(prose(10, 50 + i).split()[:10]).lower() + "\n" + licence) for i in range(4)]
+    found = substring_dedup.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], s["first"], s["n_words"]) for r in found for s in r["spans"]} == {(i, 10, 60) for i in (1, 2, 3)}
+
+
 def test_substring_dedup(spark, empty):
     passage = prose(70, 900)
     rows = [(i, prose(90, 700 + i), 1) for i in range(12)]
