@@ -3,10 +3,11 @@
 A text is cut into paragraphs wherever a line or sentence begins or a capitalised word follows one that isn't; a piece of fewer
 than five words joins the one before it, unless it begins a line after a longer piece. Pieces of 14 words or more are cut further
 by hashes of their words, so texts in capitals, or without case or sentence ends, are cut too. Cuts depend on nearby words only,
-so a passage that stands inside different documents falls into the same paragraphs there. Equal paragraphs become one row first. Distinct ones of nine words or more (shorter ones have
+so a passage that stands inside different documents falls into the same paragraphs there. Equal paragraphs become one row first. Distinct ones of eight words or more (shorter ones have
 too few 5-word shingles to differ and still reach a similarity of 0.8) are banded by MinHash; pairs that collide in a band
 are verified by the exact Jaccard similarity of their 5-word shingles, and linked paragraphs make components. Each
 component stays where the smallest doc_id has it; elsewhere its paragraphs go, if a run of them has RUN_WORDS words.
+A run goes on over changed paragraphs where the stretch around them reaches the similarity with the same stretch of the owner.
 """
 
 from __future__ import annotations
@@ -38,6 +39,10 @@ _MIX = np.random.default_rng(20240501).integers(1, 2**63, (BANDS * ROWS + SHINGL
 _nonspace = re.compile(r"\S+")
 
 
+def word_hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
 def _extreme(values: np.ndarray, width: int, of: np.ufunc) -> np.ndarray:
     """The minimum or maximum of each `width` values in a row."""
     done = 1
@@ -65,6 +70,11 @@ def content_cuts(hashes: np.ndarray, starts: list[int]) -> np.ndarray:
 
 def paragraphs(text: str) -> tuple[list[str], list[int]]:
     """A text's lower-case words, and the word positions where paragraphs begin, ended by the number of words."""
+    return hashed_paragraphs(text)[:2]
+
+
+def hashed_paragraphs(text: str) -> tuple[list[str], list[int], np.ndarray | None]:
+    """paragraphs() and the hashes of the words, or None where cuts needed none."""
     words: list[str] = []
     cuts: list[int] = []
     heads: set[int] = set()
@@ -80,7 +90,7 @@ def paragraphs(text: str) -> tuple[list[str], list[int]]:
             words.append(w)
     n = len(words)
     if not n:
-        return [], []
+        return [], [], None
     starts = [0]
     for before, a, b in zip(cuts, cuts[1:], [*cuts[2:], n]):
         if b - a >= PIECE_WORDS or a in heads and a - before >= PIECE_WORDS:
@@ -89,10 +99,11 @@ def paragraphs(text: str) -> tuple[list[str], list[int]]:
     low = text.lower().split()
     if len(low) != n:
         low = [w.lower() for w in words]
+    hashes = None
     if max(b - a for a, b in zip(starts, starts[1:])) >= CUT_WINDOW + 2:
-        more = content_cuts(np.fromiter(map(xxhash.xxh64_intdigest, low), np.uint64, n), starts)
-        starts = sorted([*starts, *more.tolist()])
-    return low, starts
+        hashes = word_hashes(low)
+        starts = sorted([*starts, *content_cuts(hashes, starts).tolist()])
+    return low, starts, hashes
 
 
 def shingles(words: list[str]) -> set[tuple[str, ...]]:
@@ -130,53 +141,54 @@ def band_keys(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return np.stack(keys, axis=1)
 
 
-_NEAR_WORDS = 2 * SHINGLE_WORDS - 1
+#: Shorter paragraphs have three shingles or fewer, so distinct ones don't reach SIMILARITY.
+_NEAR_WORDS = 2 * SHINGLE_WORDS - 2
 
 
 def _paragraph_rows(df: DataFrame, bands: bool) -> DataFrame:
-    """(doc_id, tid, idx, first, last, h) and, with bands, keys: one row for each paragraph."""
+    """(doc_id, tid, first, last, h) and, with bands, keys: one row for each paragraph."""
 
     def make():
         digest = xxhash.xxh64_intdigest
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids, tids, where, first, last, h = [], [], [], [], [], []
-            hashes, starts, ends, near = [], [], [], []
+            ids, tids, first, last, h = [], [], [], [], []
+            hashes, base, starts, ends, near = [], 0, [], [], []
             for doc, tid, text in zip(batch.column("doc_id").to_pylist(), batch.column("tid").to_pylist(), texts(batch)):
                 if not text:
                     continue
-                words, cuts = paragraphs(text)
+                words, cuts, own = hashed_paragraphs(text)
                 if not words:
                     continue
-                base = len(hashes)
+                n = len(cuts) - 1
                 if bands:
-                    hashes += map(digest, words)
-                for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                    if bands and b - a >= _NEAR_WORDS:
-                        near.append(len(h))
-                        starts.append(base + a)
-                        ends.append(base + b)
-                    ids.append(doc)
-                    tids.append(tid)
-                    where.append(i)
-                    first.append(a)
-                    last.append(b)
-                    h.append(digest(" ".join(words[a:b])))
+                    for i, (a, b) in enumerate(zip(cuts, cuts[1:]), len(h)):
+                        if b - a >= _NEAR_WORDS:
+                            near.append(i)
+                            starts.append(base + a)
+                            ends.append(base + b)
+                    hashes.append(word_hashes(words) if own is None else own)
+                    base += len(words)
+                h += [digest(" ".join(words[a:b])) for a, b in zip(cuts, cuts[1:])]
+                ids += [doc] * n
+                tids += [tid] * n
+                first += cuts[:-1]
+                last += cuts[1:]
             columns = [
-                pa.array(ids, pa.int64()), pa.array(tids, pa.int64()), pa.array(where, pa.int32()), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(np.array(h, np.uint64).view(np.int64))
+                pa.array(ids, pa.int64()), pa.array(tids, pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(np.array(h, np.uint64).view(np.int64))
             ]
-            names = ["doc_id", "tid", "idx", "first", "last", "h"]
+            names = ["doc_id", "tid", "first", "last", "h"]
             if bands:
                 keys = np.zeros((len(h), BANDS), np.int64)
                 if near:
-                    keys[near] = band_keys(np.array(hashes, np.uint64), np.array(starts), np.array(ends))
+                    keys[near] = band_keys(np.concatenate(hashes), np.array(starts), np.array(ends))
                 columns += [pa.array(keys[:, k]) for k in range(BANDS)]
                 names += [f"k{k}" for k in range(BANDS)]
             return pa.RecordBatch.from_arrays(columns, names)
 
         return step
 
-    schema = "doc_id long, tid long, idx int, first int, last int, h long" + "".join(f", k{k} long" for k in range(BANDS) if bands)
+    schema = "doc_id long, tid long, first int, last int, h long" + "".join(f", k{k} long" for k in range(BANDS) if bands)
     return map_arrow(df, make, schema)
 
 
@@ -291,30 +303,124 @@ def shared_paragraphs(docs: DataFrame) -> DataFrame:
     return out
 
 
+def gaps(found: list[dict], run_words: int) -> list[tuple[int, int, int, int, int]]:
+    """(first, last, owner, h of the first paragraph, h of the last): stretches of a text that an owner may keep with changes.
+
+    found: shared paragraphs in order. Around a place that nobody keeps, the runs of one owner's paragraphs on either side make a
+    stretch if they hold at least as many words as what is between them.
+    """
+    held = np.zeros(found[-1]["last"], bool)
+    by_owner: dict[int, list[list]] = {}
+    for p in found:
+        held[p["first"] : p["last"]] = True
+        parts = by_owner.setdefault(p["owner"], [])
+        if parts and parts[-1][1] == p["first"]:
+            parts[-1][1], parts[-1][3] = p["last"], p["h"]
+        else:
+            parts.append([p["first"], p["last"], p["h"], p["h"]])
+    out = set()
+    for owner, parts in by_owner.items():
+        chain: list[list] = []
+        for part in [*parts, None]:
+            if chain and (part is None or part[0] - chain[-1][1] > chain[-1][1] - chain[-1][0] + part[1] - part[0]):
+                out |= {(x[0][0], x[-1][1], owner, x[0][2], x[-1][3]) for x in [chain, *zip(chain, chain[1:])] if len(x) > 1}
+                chain = []
+            if part is not None:
+                chain.append(part)
+    return [x for x in sorted(out) if x[1] - x[0] >= run_words and not held[x[0] : x[1]].all()]
+
+
+def bridges(docs: DataFrame, gone: DataFrame, run_words: int) -> DataFrame:
+    """(doc_id, tid, first, last, owner): stretches over changed places whose text reaches SIMILARITY with the owner's text.
+
+    gone: (doc_id, tid, first, last, owner, h), paragraphs that others keep. Of both texts only the stretches are shuffled.
+    """
+    spark = docs.sparkSession
+    per_doc = gone.groupBy("doc_id", "tid").agg(F.sort_array(F.collect_set(F.struct("first", "last", "owner", "h"))).alias("p"))
+    names = ["first", "last", "owner", "ha", "hb"]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+
+    def find():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rows = [(d, t, *g) for d, t, p in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tid", "p"))) for g in gaps(p, run_words)]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate([pa.int64(), pa.int64(), *kinds])], ["doc_id", "tid", *names])
+
+        return step
+
+    asked, at = materialize(map_arrow(per_doc, find, "doc_id long, tid long, first int, last int, owner long, ha long, hb long"), "gaps")
+    mine = asked.groupBy("doc_id", "tid").agg(F.collect_list(F.struct(*names)).alias("asked"))
+    theirs = asked.select("owner", "ha", "hb").distinct().groupBy(F.col("owner").alias("doc_id")).agg(F.collect_list(F.struct("ha", "hb")).alias("asked"))
+
+    def own():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rows = []
+            for d, t, text, asked in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tid")), texts(batch), batch.column("asked").to_pylist()):
+                low = paragraphs(text)[0]
+                rows += [(d, t, *(g[c] for c in names), " ".join(low[g["first"] : g["last"]])) for g in asked]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate([pa.int64(), pa.int64(), *kinds, pa.string()])], ["doc_id", "tid", *names, "body"])
+
+        return step
+
+    def kept():
+        digest = xxhash.xxh64_intdigest
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rows = []
+            for d, text, asked in zip(batch.column("doc_id").to_pylist(), texts(batch), batch.column("asked").to_pylist()):
+                low, cuts = paragraphs(text or "")
+                places: dict[int, list[tuple[int, int]]] = {}
+                for a, b in zip(cuts, cuts[1:]):
+                    places.setdefault(int(np.uint64(digest(" ".join(low[a:b]))).view(np.int64)), []).append((a, b))
+                for g in asked:
+                    ends = places.get(g["hb"], [])
+                    for a, _ in places.get(g["ha"], []):
+                        if b := min((b for x, b in ends if x > a), default=0):
+                            rows.append((d, g["ha"], g["hb"], " ".join(low[a:b])))
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate([*kinds[2:], pa.string()])], ["owner", "ha", "hb", "theirs"])
+
+        return step
+
+    mine = map_arrow(docs.join(_small(materialize(mine, "stretches")[0]), ["doc_id", "tid"]), own, "doc_id long, tid long, first int, last int, owner long, ha long, hb long, body string")
+    theirs = map_arrow(docs.join(_small(materialize(theirs, "asked")[0]), "doc_id"), kept, "owner long, ha long, hb long, theirs string").distinct()
+
+    def compare():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            near = [jaccard(a.split(" "), b.split(" ")) >= SIMILARITY for a, b in zip(batch.column("body").to_pylist(), batch.column("theirs").to_pylist())]
+            return batch.select(["doc_id", "tid", "first", "last", "owner"]).filter(pa.array(near, pa.bool_()))
+
+        return step
+
+    return map_arrow(mine.join(theirs, ["owner", "ha", "hb"]), compare, "doc_id long, tid long, first int, last int, owner long")
+
+
 def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
     """(doc_id, tid, spans): one row for each text that loses passages; tid: its xxhash64; spans: array of (first, last: word positions, n_words,
     kept_in: the documents that keep the passage).
 
-    A passage goes if it is a run of paragraphs that other documents keep and has run_words words or more. Rows with equal
+    A passage goes if it is a run of paragraphs that other documents keep, or of such stretches with changes that are similar
+    enough, and has run_words words or more. Rows with equal
     doc_id are one document, what they share stays; null doc_ids and null, empty or wordless texts lose nothing; an empty table
     gives no rows. All documents take part, whole.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tid"), F.col(text_col).alias("text")).where("doc_id is not null")
     shared = shared_paragraphs(docs)
     units = _paragraph_rows(docs, False)
-    gone = units.join(shared, "h").where("doc_id <> owner")
-    per_doc = gone.groupBy("doc_id", "tid").agg(F.sort_array(F.collect_set(F.struct("idx", "first", "last", "owner"))).alias("p"))  # of one text
+    gone, path = materialize(units.join(_small(shared), "h").where("doc_id <> owner").select("doc_id", "tid", "first", "last", "owner", "h"), "gone")
+    bridged, _ = materialize(bridges(docs, gone, run_words), "bridged")
+    gone = gone.drop("h").unionByName(bridged)
+    per_doc = gone.groupBy("doc_id", "tid").agg(F.sort_array(F.collect_set(F.struct("first", "last", "owner"))).alias("p"))  # of one text
     span = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("n_words", pa.int64()), ("kept_in", pa.list_(pa.int64()))])
 
     def runs(found: list[dict]) -> Iterator[dict]:
         held: list[dict] = []
+        last = 0
         for p in [*found, None]:
-            if p is None or held and p["idx"] != held[-1]["idx"] + 1:
-                n = held[-1]["last"] - held[0]["first"] if held else 0
-                if n >= run_words:
-                    yield {"first": held[0]["first"], "last": held[-1]["last"], "n_words": n, "kept_in": sorted({x["owner"] for x in held})}
+            if p is None or held and p["first"] > last:
+                if held and last - held[0]["first"] >= run_words:
+                    yield {"first": held[0]["first"], "last": last, "n_words": last - held[0]["first"], "kept_in": sorted({x["owner"] for x in held})}
                 held = []
             if p is not None:
+                last = max(last, p["last"]) if held else p["last"]
                 held.append(p)
 
     def make():

@@ -375,6 +375,27 @@ def test_substring_dedup(spark, empty):
     assert substring_dedup.removals(empty).collect() == [] and substring_dedup.deduplicate(empty).collect() == []
 
 
+def test_passages_with_a_changed_word_go(spark):
+    """51 to 60 words with one word changed, so that no run of equal paragraphs reaches RUN_WORDS on either side in most of them."""
+    rng = np.random.default_rng(6)
+    rows, whole = [], set()
+    for k in range(80):
+        n = int(rng.integers(51, 61))
+        words = prose(n, 2000 + k).split()
+        if k % 4 > 1:
+            words = " ".join(words).lower().replace(".", "").split()
+        edited, at = list(words), int(rng.integers(22, 30))
+        edited[at] = "zzzz"
+        assert substring_dedup.jaccard(words, edited) >= substring_dedup.SIMILARITY
+        gap = "\n" if k % 2 else " "
+        for d, w in ((k, words), (1000 + k, edited)):
+            rows.append((d, gap.join([prose(30, 3000 + d), " ".join(w), prose(30, 5000 + d)])))
+    for r in substring_dedup.removals(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect():
+        assert r["doc_id"] >= 1000 and all(r["doc_id"] - 1000 in s["kept_in"] for s in r["spans"])
+        whole |= {r["doc_id"] for s in r["spans"] if s["first"] < 52 <= s["last"]}
+    assert len(whole) >= 72
+
+
 def test_spanning_links_keep_components(spark):
     rng = np.random.default_rng(2)
     bodies = []
