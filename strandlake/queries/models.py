@@ -288,19 +288,19 @@ def spaced_probability(spark, sf):
 
 @query("bmm_fit")
 def bmm_fit(spark, sf):
-    m = mixtures.fit(_sets(spark, sf), 3, L_EMBEDDING, min_iters=3, max_iters=8)
+    m = mixtures.fit(_sets(spark, sf), 3, L_EMBEDDING)
     return _mu_rows(spark, m.mu)
 
 
 @query("hbbmm_fit")
 def hbbmm_fit(spark, sf):
-    m = mixtures.fit(_sets(spark, sf), 2, L_EMBEDDING, min_iters=3, max_iters=6, hierarchical=True)
+    m = mixtures.fit(_sets(spark, sf), 2, L_EMBEDDING, hierarchical=True)
     return _mu_rows(spark, m.mu)
 
 
 @query("bmm_vi")
 def bmm_vi(spark, sf):
-    m = mixtures.fit_variational(_sets(spark, sf), 3, L_EMBEDDING, updates=8)
+    m = mixtures.fit_variational(_sets(spark, sf), 3, L_EMBEDDING)
     return _mu_rows(spark, m.mu)
 
 
@@ -309,14 +309,14 @@ def spaced_em_fit(spark, sf):
     """EM over the reads without close modifications."""
     reads, mods = embedding_reads(spark, sf), embedding_mods(spark, sf)
     kept = filters.filter_reads_by_distance(reads, mods)
-    fits = mixtures.fit_spaced(mixtures.position_sets(kept, mods.join(kept.select("read_id"), "read_id", "left_semi")), 2, L_EMBEDDING, runs=1, min_iters=3, max_iters=6)
+    fits = mixtures.fit_spaced(mixtures.position_sets(kept, mods.join(kept.select("read_id"), "read_id", "left_semi")), 2, L_EMBEDDING)
     rows = [(len(m.pi), k, float(m.pi[k]), float(t), m.ll, m.bic) for m in fits for k, t in enumerate(mixtures.true_shares(m))]
     return spark.createDataFrame(rows, "clusters long, cluster long, observed double, true_share double, ll double, bic double")
 
 
 @query("two_sample_purity")
 def two_sample_purity(spark, sf):
-    s = two_sample.Settings(length=L_ORDER, min_iters=3, max_iters=6)
+    s = two_sample.Settings(length=L_ORDER)
     return two_sample.analyse(order_reads(spark, sf), order_mods(spark, sf), s)["purity"]
 
 

@@ -1,5 +1,6 @@
 """Properties of kernels that SQL doesn't express, and of text formats."""
 
+import inspect
 import itertools
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from strandlake.functions import stats
 from strandlake.operators import bitvec, clustering, evaluate, filters, mixtures, nulls, ordered, regions, signals, simulate, structure, windows
 from strandlake.plans import benchmark, folding, heterogeneity, library, two_sample
+from strandlake.queries import models
 from strandlake.sources import readers, writers
 
 PROFILES = np.array([[0.1, 0.9] * 5, [0.1] * 5 + [0.9] * 5, [0.9] * 5 + [0.1] * 5])
@@ -254,3 +256,37 @@ def test_benchmark_methods(spark, method):
     s = simulate.Simulation(depth=80, length=60, similarity=0.0, rate=0.3)
     row = benchmark.run(spark, s, method).first()
     assert row["ari"] > 0.9 and row["accuracy"] > 0.95
+
+
+def test_registered_fits_run_to_the_operators_defaults(spark, monkeypatch, mixture):
+    reads, mods, _ = mixture
+    seen = {}
+
+    class Stop(Exception):
+        pass
+
+    def recorder(name, f):
+        def stop(*args, **kwargs):
+            bound = inspect.signature(f).bind(*args, **kwargs)
+            bound.apply_defaults()
+            seen[name] = bound.arguments
+            raise Stop
+
+        return stop
+
+    for module, name in ((mixtures, "fit"), (mixtures, "fit_variational"), (mixtures, "fit_spaced"), (two_sample, "analyse")):
+        monkeypatch.setattr(module, name, recorder(name, getattr(module, name)))
+    for name in ("embedding_reads", "order_reads"):
+        monkeypatch.setattr(models, name, lambda *_: reads)
+    for name in ("embedding_mods", "order_mods"):
+        monkeypatch.setattr(models, name, lambda *_: mods)
+    for query, name, want in (
+        ("bmm_fit", "fit", {"min_iters": 20, "max_iters": 100}),
+        ("hbbmm_fit", "fit", {"min_iters": 20, "max_iters": 100, "hierarchical": True}),
+        ("bmm_vi", "fit_variational", {"updates": 1000}),
+        ("spaced_em_fit", "fit_spaced", {"runs": 10, "min_iters": 300, "max_iters": 1000}),
+        ("two_sample_purity", "analyse", {"s": two_sample.Settings(length=models.L_ORDER)}),
+    ):
+        with pytest.raises(Stop):
+            models.QUERIES[query](spark, "")
+        assert {k: seen[name][k] for k in want} == want
