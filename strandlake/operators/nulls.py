@@ -51,16 +51,57 @@ def shuffled_library(mods: DataFrame, seeds: list[int], rounds: int = 4, bucket_
     return rows.select("seed", "read_id", F.explode("p").alias("pos"))
 
 
-def independent_reads(rates: DataFrame, histogram: DataFrame, length: int, limit: int = 1_000_000, seed: int = 386) -> DataFrame:
-    """(read_id, pos): reads drawn position by position from the rates, the first ones of each number of modifications up to
-    the quota in the histogram (n_mods, n_reads); `limit` reads are drawn in all. Empty reads have no rows.
+def _reads_of_counts(histogram: DataFrame, p: np.ndarray, seed: int) -> DataFrame:
+    """independent_reads() without a limit."""
+    spark, length = histogram.sparkSession, len(p)
+    quotas = sorted((r["n_mods"], r["n_reads"]) for r in histogram.where("n_mods > 0 and n_reads > 0").collect())
+    top = max((k for k, _ in quotas), default=0)
+    with np.errstate(divide="ignore"):
+        on, off = np.log(p), np.log1p(-p)
+    # tail[i, m]: log-probability of m modifications from position i on
+    tail = np.full((length + 1, top + 1), -np.inf)
+    tail[length, 0] = 0.0
+    for i in range(length - 1, -1, -1):
+        tail[i] = off[i] + tail[i + 1]
+        tail[i, 1:] = np.logaddexp(tail[i, 1:], on[i] + tail[i + 1, :-1])
+    if barred := [k for k, _ in quotas if np.isneginf(tail[0, k])]:
+        raise ValueError(f"the rates allow no read with {barred} modifications")
+    counts, ends = np.array([k for k, _ in quotas], int), np.cumsum([n for _, n in quotas], dtype=np.int64)
+    total = int(ends[-1]) if quotas else 0
+    shared = spark.sparkContext.broadcast((on, tail, counts, ends))
 
-    rates: (pos, rate), one row for each position; they are broadcast.
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        on, tail, counts, ends = shared.value
+        for f in frames:
+            for block in f["id"]:
+                ids = np.arange(int(block) * 1000, min(int(block) * 1000 + 1000, total))
+                left = counts[np.searchsorted(ends, ids, "right")]
+                u = np.random.default_rng([seed, int(block)]).random((length, len(ids)))
+                hit = np.zeros((length, len(ids)), bool)
+                for i in range(length):
+                    some = left > 0
+                    hit[i, some] = u[i, some] < np.exp(on[i] + tail[i + 1, left[some] - 1] - tail[i, left[some]])
+                    left = left - hit[i]
+                at, pos = np.nonzero(hit.T)
+                yield pd.DataFrame({"read_id": ids[at], "pos": pos.astype(np.int64)})
+
+    return spark.range(-(-total // 1000)).mapInPandas(draw, "read_id long, pos long")
+
+
+def independent_reads(rates: DataFrame, histogram: DataFrame, length: int, limit: int | None = None, seed: int = 386) -> DataFrame:
+    """(read_id, pos): reads drawn position by position from the rates, of each number of modifications as many as the quota
+    in the histogram (n_mods, n_reads). Empty reads have no rows.
+
+    Each read is drawn given its number of modifications, so every quota is filled; one that the rates rule out is an error.
+    With a limit, so many reads are drawn whatever their number, and the first ones up to the quotas stay.
+    rates: (pos, rate), one row for each position; they are broadcast, as is a table of positions x numbers of modifications.
     """
     spark = rates.sparkSession
     p = np.zeros(length)
     for r in rates.collect():
         p[r["pos"]] = r["rate"] or 0.0
+    if limit is None:
+        return _reads_of_counts(histogram, p, seed)
     shared = spark.sparkContext.broadcast(p)
 
     def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -400,7 +400,7 @@ def null_read_margins(spark, sf):
 @query("null_independent")
 def null_independent(spark, sf):
     reads, mods = embedding_reads(spark, sf), embedding_mods(spark, sf)
-    made = nulls.independent_reads(filters.position_rates(reads, mods, L_EMBEDDING), filters.mods_histogram(reads, mods), L_EMBEDDING, 20_000)
+    made = nulls.independent_reads(filters.position_rates(reads, mods, L_EMBEDDING), filters.mods_histogram(reads, mods), L_EMBEDDING)
     return made.groupBy("pos").agg(F.count("*").alias("n"))
 
 

@@ -290,3 +290,19 @@ def test_registered_fits_run_to_the_operators_defaults(spark, monkeypatch, mixtu
         with pytest.raises(Stop):
             models.QUERIES[query](spark, "")
         assert {k: seen[name][k] for k in want} == want
+
+
+def test_independent_reads_fill_every_quota(spark):
+    """Reads with five modifications are rare under these rates, but their quota is filled, with the rates' conditional margins."""
+    p = [0.01, 0.02, 0.03, 0.05, 0.08, 0.1]
+    rates = spark.createDataFrame(list(enumerate(p)), "pos long, rate double")
+    quotas = {0: 7, 1: 5000, 5: 2500}
+    made = nulls.independent_reads(rates, spark.createDataFrame(list(quotas.items()), "n_mods long, n_reads long"), 6).toPandas()
+    n = made.groupby("read_id")["pos"].agg(["count", "nunique"])
+    assert (n["count"] == n["nunique"]).all() and n["count"].value_counts().to_dict() == {1: 5000, 5: 2500}
+    odds = np.array(p) / (1 - np.array(p))
+    for k, share in ((1, odds / odds.sum()), (5, 1 - (1 / odds) / (1 / odds).sum())):
+        got = made[made["read_id"].isin(n.index[n["count"] == k])]["pos"].value_counts().reindex(range(6), fill_value=0) / quotas[k]
+        assert np.allclose(got, share, atol=0.04)
+    with pytest.raises(ValueError):
+        nulls.independent_reads(rates.withColumn("rate", F.when(F.col("pos") > 2, F.col("rate")).otherwise(0.0)), spark.createDataFrame([(4, 1)], "n_mods long, n_reads long"), 6)
