@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strandlake.fixtures import EMBEDDING_SQL, EVENT_SQL, L_EMBEDDING, L_ORDER, ORDER_SQL, bit_strings, embedding_mods, embedding_reads, event_profiles, order_mods, order_reads, table
 from strandlake.operators import clustering, evaluate, filters, mixtures, nulls, regions, relational, signals, simulate, windows
-from strandlake.plans import benchmark, two_sample
+from strandlake.plans import benchmark, heterogeneity, two_sample
 from strandlake.queries.matrix import r6
 
 QUERIES, SQL = {}, {}
@@ -404,16 +404,9 @@ def null_independent(spark, sf):
     return made.groupBy("pos").agg(F.count("*").alias("n"))
 
 
-def _tested(spark, sf) -> tuple[DataFrame, DataFrame]:
-    mods = order_mods(spark, sf)
-    observed = windows.window_entropy(mods, L_ORDER, 100, 20, 30)
-    simulated = windows.window_entropy(nulls.shuffled_library(mods, SEEDS, 2), L_ORDER, 100, 20, 30, ("seed",))
-    return observed, simulated
-
-
 @query("call_sites_normal")
 def call_sites_normal(spark, sf):
-    return windows.normal_test(*_tested(spark, sf))
+    return heterogeneity.analyse(order_mods(spark, sf), heterogeneity.Settings(L_ORDER))["tests"].drop("null_mean", "difference")
 
 
 _ENTROPIES = f"""WITH {EVENT_SQL},

@@ -306,3 +306,11 @@ def test_independent_reads_fill_every_quota(spark):
         assert np.allclose(got, share, atol=0.04)
     with pytest.raises(ValueError):
         nulls.independent_reads(rates.withColumn("rate", F.when(F.col("pos") > 2, F.col("rate")).otherwise(0.0)), spark.createDataFrame([(4, 1)], "n_mods long, n_reads long"), 6)
+
+
+def test_registered_heterogeneity_uses_the_whole_plan(spark, monkeypatch, mixture):
+    seen, analyse = [], heterogeneity.analyse
+    monkeypatch.setattr(models, "order_mods", lambda *_: mixture[1])
+    monkeypatch.setattr(heterogeneity, "analyse", lambda mods, s: seen.append(s) or analyse(mods, s))
+    models.QUERIES["call_sites_normal"](spark, "")
+    assert [(s.length, len(s.seeds), s.rounds, s.step) for s in seen] == [(models.L_ORDER, 20, 4, 10)]
