@@ -37,6 +37,19 @@ def scaled(x: np.ndarray) -> np.ndarray:
     return (x - x.mean()) / s if s > 0 else np.zeros_like(x)
 
 
+def align_self(signals: DataFrame) -> DataFrame:
+    """(id, first, last, final_length, distance) of every signal (id, samples) on itself, as it is; those without samples have
+    no rows."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            own = [(i, np.asarray(x, float)) for i, x in zip(f["id"], f["samples"]) if x is not None and len(x)]
+            found = [(i, *subsequence_path(x, x)) for i, x in own]
+            yield pd.DataFrame([(i, a, b, b - a, d) for i, a, b, d in found], columns=["id", "first", "last", "final_length", "distance"])
+
+    return signals.select("id", "samples").mapInPandas(run, "id long, first long, last long, final_length long, distance double")
+
+
 def align(signals: DataFrame, references: dict[str, np.ndarray], normalise: bool = True) -> DataFrame:
     """(id, reference, first, last, final_length, distance, similarity, norm_score) of every signal (id, samples) on every
     reference; signals without samples have no rows. norm_score: the distance over the root of the query's length.

@@ -513,6 +513,15 @@ def dtw_self(spark, sf):
     return signals.align(series, ref).select("id", "first", "final_length", F.round("distance", 6).alias("distance"))
 
 
+@query("dtw_self_all", "SELECT user_id AS id, cast(0 AS BIGINT) AS first, cast(count(*) - 1 AS BIGINT) AS final_length, 0.0::DOUBLE AS distance FROM events GROUP BY user_id")
+def dtw_self_all(spark, sf):
+    """The series of every user on itself."""
+    ev = table(spark, sf, "events")
+    series = ev.groupBy(F.col("user_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", F.col("value").cast("double").alias("value")))).alias("x"))
+    found = signals.align_self(series.select("id", F.transform("x", lambda x: x["value"]).alias("samples")))
+    return found.select("id", "first", "final_length", F.round("distance", 6).alias("distance"))
+
+
 @query("dtw_subseq")
 def dtw_subseq(spark, sf):
     ev = table(spark, sf, "events")

@@ -314,3 +314,15 @@ def test_registered_heterogeneity_uses_the_whole_plan(spark, monkeypatch, mixtur
     monkeypatch.setattr(heterogeneity, "analyse", lambda mods, s: seen.append(s) or analyse(mods, s))
     models.QUERIES["call_sites_normal"](spark, "")
     assert [(s.length, len(s.seeds), s.rounds, s.step) for s in seen] == [(models.L_ORDER, 20, 4, 10)]
+
+
+def test_every_series_lies_on_itself(spark):
+    x = spark.createDataFrame([(1, [1.0, 3.0, 2.0]), (2, [5.0]), (3, []), (4, [0.5, 4.0, 4.5, 0.1])], "id long, samples array<double>")
+    got = sorted(tuple(r) for r in signals.align_self(x).collect())
+    assert got == [(1, 0, 2, 2, 0.0), (2, 0, 0, 0, 0.0), (4, 0, 3, 3, 0.0)]
+
+
+def test_dtw_self_all_has_every_user(spark, monkeypatch):
+    ev = spark.createDataFrame([(i, i % 3, i, float(i * 7 % 11)) for i in range(15)], "event_id long, user_id long, ts long, value double")
+    monkeypatch.setattr(models, "table", lambda *_: ev)
+    assert sorted(tuple(r) for r in models.QUERIES["dtw_self_all"](spark, "").collect()) == [(u, 0, 4, 0.0) for u in range(3)]
