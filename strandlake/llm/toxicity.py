@@ -9,6 +9,7 @@ A few entries are fixed; the others, all weights and the curve are learned from
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter, defaultdict
@@ -24,7 +25,6 @@ from .common import crc_of_id, map_arrow, materialize, release, texts
 
 #: At most so many labelled rows of each class are used for learning: those with the smallest hashes of their ids.
 SAMPLE_ROWS = 3000
-MAX_CANDIDATES = 4000
 LIFT = 5
 PREFIX_LENGTHS = range(4, 9)
 
@@ -162,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, **columns:
         return Model(dict.fromkeys(base, 1.0), (-2.0, 3.0, 0.5))
     n_bad, n_good = sizes[1], sizes[0]
     counts = _counted(rows_df)
-    likely = counts.where(f"bad >= 3 and bad * {n_good} >= {LIFT} * good * {n_bad}").orderBy(F.desc("bad"), F.length("entry"), "entry").limit(MAX_CANDIDATES)
+    likely = counts.where(f"bad >= 3 and bad * {n_good} >= {LIFT} * good * {n_bad}")
     stats = {r["entry"]: (r["bad"], r["good"]) for r in likely.collect()}
     have = _having(rows_df, [*stats, *base])
     toxic = [e for y, e in have if y == 1]
@@ -174,20 +174,23 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, **columns:
     covered, least = np.zeros(n_bad, int), max(3, round(0.002 * n_bad))
     chosen: list[str] = []
     live = {e: np.array(o) for e, o in owners.items() if e in stats}
-    gain = {e: len(o) for e, o in live.items()}
-    cost = {e: 2 * n_bad * good[e] / n_good for e in gain}
-    gain = {e: g - cost[e] for e, g in gain.items()}
-    while gain:
-        e = max(gain, key=lambda e: (gain[e], e.endswith(" "), -len(e), e))  # of equals, whole words
+    cost = {e: 2 * n_bad * good[e] / n_good for e in live}
+    # the largest gain first; of equals, whole words; gains only fall, so they are brought up to date when they come up
+    order = sorted(live, key=lambda e: (e.endswith(" "), -len(e), e), reverse=True)
+    heap = [(cost[e] - len(live[e]), i) for i, e in enumerate(order)]
+    heapq.heapify(heap)
+    while heap:
+        gain, i = heap[0]
+        e = order[i]
         now = int((covered[live[e]] < 3).sum()) - cost[e]
         if now < least:
-            gain.pop(e)
-        elif now < gain[e]:
-            gain[e] = now
+            heapq.heappop(heap)
+        elif now < -gain:
+            heapq.heapreplace(heap, (-now, i))
         else:
             chosen.append(e)
             covered[live[e]] += 1
-            gain.pop(e)
+            heapq.heappop(heap)
     weights = {}
     for e in [*chosen, *base]:
         bad = len(owners.get(e, ()))

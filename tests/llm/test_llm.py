@@ -316,6 +316,16 @@ def test_token_counts(docs, empty):
     assert token_counts.counted(empty).collect() == []
 
 
+def test_toxicity_learns_words_beside_a_copied_document(spark):
+    """One toxic document of 1,500 rare words stands 30 times; the word of 12 other toxic documents is learned all the same."""
+    rng = np.random.default_rng(9)
+    rare = " ".join("".join(rng.choice(list("abcdefghijklmnop"), 10)) for _ in range(1500))
+    rows = [(i, rare, 1) for i in range(30)] + [(100 + i, prose(30, 60 + i) + " qxzorgblatt", 1) for i in range(15)] + [(200 + i, prose(30, 90 + i), 0) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert any(e.strip() and "qxzorgblatt".startswith(e.strip()) for e in model.weights)
+
+
 # --- substring dedup --------------------------------------------------------------------------------------------------
 
 
