@@ -21,7 +21,6 @@ from .common import crc_of_id, map_arrow, texts
 #: Rows to learn from, at most, for each language, and chunks of each of their texts, evenly spaced.
 SAMPLE_ROWS = 800
 SAMPLE_CHUNKS = 6
-MAX_LANGUAGES = 64
 HIDDEN = 8
 CHUNK = 96
 STEPS = 240
@@ -200,12 +199,12 @@ class Model:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS, chunks: int = SAMPLE_CHUNKS, steps: int = STEPS, hidden: int = HIDDEN) -> Model:
     """Learn from about `rows` documents of each language (a threshold on the hash of their ids; all of them if there are
-    fewer) with crc32(id) mod 4 other than 2. Languages beyond the MAX_LANGUAGES most frequent ones are not learned; with
-    none, every text is UNKNOWN.
+    fewer) with crc32(id) mod 4 other than 2. All languages are learned, from at most `chunks` chunks of
+    each text; with none, every text is UNKNOWN.
     """
     known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     known = known.where("lang is not null and text is not null and text <> ''").where(crc_of_id("doc_id") % 4 != 2)
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not sizes:
         return Model([], None)
     languages = sorted(sizes)

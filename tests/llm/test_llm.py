@@ -317,7 +317,7 @@ def test_token_counts(docs, empty):
 
 
 def test_toxicity_learns_words_beside_a_copied_document(spark):
-    """One toxic document of 1,500 rare words stands 30 times; the word of 12 other toxic documents is learned all the same."""
+    """One toxic document of 1,500 rare words stands 30 times; the word of 15 other toxic documents is learned all the same."""
     rng = np.random.default_rng(9)
     rare = " ".join("".join(rng.choice(list("abcdefghijklmnop"), 10)) for _ in range(1500))
     rows = [(i, rare, 1) for i in range(30)] + [(100 + i, prose(30, 60 + i) + " qxzorgblatt", 1) for i in range(15)] + [(200 + i, prose(30, 90 + i), 0) for i in range(60)]
@@ -554,3 +554,9 @@ def test_pipeline_stages(spark, tmp_path):
 
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, prose(20, i), f"l{i % 70:02}") for i in range(280)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), steps=1, hidden=4)
+    assert model.languages == [f"l{k:02}" for k in range(70)]
