@@ -1,24 +1,28 @@
 """Substring dedup by MinHash banding of paragraphs.
 
-A text is cut into paragraphs wherever a line or sentence begins or a capitalised word follows one that isn't; a piece of fewer
-than five words joins the one before it, unless it begins a line after a longer piece. Pieces of 14 words or more are cut further
-by hashes of their words, so texts in capitals, or without case or sentence ends, are cut too. Cuts depend on nearby words only,
-so a passage that stands inside different documents falls into the same paragraphs there. Equal paragraphs become one row first. Distinct ones of eight words or more (shorter ones have
-too few 5-word shingles to differ and still reach a similarity of 0.8) are banded by MinHash; pairs that collide in a band
-are verified by the exact Jaccard similarity of their 5-word shingles, and linked paragraphs make components. Each
-component stays where the smallest doc_id has it; elsewhere its paragraphs go, if a run of them has RUN_WORDS words.
-A run goes on over changed paragraphs where the stretch around them reaches the similarity with the same stretch of the owner.
+Paragraphs are the lines of a text; each is also cut into pieces at places chosen by the hashes of nearby words alone, so that a
+passage falls into the same pieces wherever it stands, whatever its case, sentences or line. Words are runs without white space,
+in lower case.
+
+Equal pieces: each piece that stands in several documents belongs to the one with the smallest doc_id. Where a run of pieces
+belongs to another document, the words around it are compared with those around the owner's run, over changed words too, as long
+as the whole stretch keeps a Jaccard similarity of 0.8 with the owner's.
+
+Near paragraphs: distinct lines are banded by MinHash, lines that collide in a band are verified by the exact Jaccard similarity
+of their 5-word shingles, linked lines make components, and a component belongs to its document with the smallest doc_id.
+
+What belongs to other documents goes where it makes a passage of RUN_WORDS words or more.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, map_arrow, materialize, prepare, release, texts
@@ -27,83 +31,141 @@ from .components import components
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 5, 2  # 1 - (1 - 0.8 ** 2) ** 5 = 0.994 of the pairs at the threshold collide
+#: Of lines with fewer shingles than this no two distinct ones reach SIMILARITY: n of n + 1 shingles is the closest they get.
+NEAR_SHINGLES = math.ceil(SIMILARITY / (1 - SIMILARITY) - 1e-9)
+NEAR_WORDS = NEAR_SHINGLES + SHINGLE_WORDS - 1
+#: A line of fewer words doesn't begin a piece after another such line.
 PIECE_WORDS = 5
+#: A cut has the least hash of two words among so many places on either side.
+CUT_RADIUS = 5
 RUN_WORDS = 25
-CUT_WINDOW = 12  # 51 words less a window at either end leave RUN_WORDS and more
-#: Members of a bucket in one block; two blocks at most are compared in one place, with the first CENTRES members.
+#: Runs of fewer words aren't compared further; of others, so many words on either side are.
+ANCHOR_WORDS = 6
+CONTEXT_WORDS = 48
+#: Longest insertion or deletion that a stretch goes over.
+MOST_SKIPPED = 8
+#: Members of a bucket in one task, twice so many at most; larger buckets are first compared with CENTRES of their members.
 BLOCK = 512
 CENTRES = 4
-#: A side of at most so many rows of a few numbers each is broadcast; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 500_000
-_MIX = np.random.default_rng(20240501).integers(1, 2**63, (BANDS * ROWS + SHINGLE_WORDS, 2), dtype=np.uint64) | np.uint64(1)
-_nonspace = re.compile(r"\S+")
-
-
-def word_hashes(words: list[str]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-
-
-def _extreme(values: np.ndarray, width: int, of: np.ufunc) -> np.ndarray:
-    """The minimum or maximum of each `width` values in a row."""
+#: Bytes of text that are hashed at once.
+SLICE = 1 << 18
+
+_solid = re.compile(r"\S+")
+_odd_gap = re.compile(r"[^\S \t\n\v\f\r]")
+_gap = re.compile(rb"[ \t\n\v\f\r]")
+_U = np.uint64
+_is_space = np.zeros(256, bool)
+_is_space[[9, 10, 11, 12, 13, 32]] = True
+_rng = np.random.default_rng(20240501)
+_octet = _rng.integers(1, 2**63, 256, dtype=np.uint64) | _U(1)
+_mix = _rng.integers(1, 2**63, (BANDS * ROWS + SHINGLE_WORDS + 8, 2), dtype=np.uint64) | _U(1)
+_places = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+
+
+def _scramble(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
+
+
+def _place(n: int, which: int = 0) -> np.ndarray:
+    """Factors of n places; `which`: one of two independent sets."""
+    if len(_places[which]) < n:
+        _places[which] = _scramble(np.arange(max(n, 1024), dtype=np.uint64) * _mix[-1 - which, 0] + _mix[-1 - which, 1]) | _U(1)
+    return _places[which][:n]
+
+
+def _summed(values: np.ndarray, starts: np.ndarray, which: int = 0) -> np.ndarray:
+    """A hash of each stretch of values that begins at starts and ends at the next one."""
+    sizes = np.diff(starts, append=len(values))
+    at = np.arange(len(values)) - np.repeat(starts, sizes)
+    return _scramble(np.add.reduceat(values * _place(int(sizes.max()), which)[at], starts) + sizes.astype(np.uint64))
+
+
+def _word_table(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte bounds and hashes of all words."""
+    parts, at = [], 0
+    while at < len(raw):
+        end = len(raw)
+        if end - at > SLICE and (m := _gap.search(raw, at + SLICE)):
+            end = m.end()
+        octets = np.frombuffer(raw, np.uint8, end - at, at)
+        space = _is_space[octets]
+        edges = np.flatnonzero(np.diff(space, prepend=True, append=True))
+        if len(edges):
+            starts, ends = edges[::2], edges[1::2]
+            sizes = ends - starts
+            parts.append((starts + at, ends + at, _summed(_octet[octets[~space]], np.cumsum(sizes) - sizes)))
+        at = end
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _least(values: np.ndarray, width: int) -> np.ndarray:
+    """The minimum of each `width` values in a row."""
     done = 1
     while done < width:
         step = min(done, width - done)
-        values, done = of(values[:-step], values[step:]), done + step
+        values, done = np.minimum(values[:-step], values[step:]), done + step
     return values
 
 
-def content_cuts(hashes: np.ndarray, starts: list[int]) -> np.ndarray:
-    """Cuts inside paragraphs of word hashes: of each CUT_WINDOW places in a row that lie inside one, the place with the least
-    hash of two words. A passage has the same cuts in all documents, but for CUT_WINDOW words at either end of it."""
-    pair = (hashes[:-1] * _MIX[0, 0]) ^ (hashes[1:] * _MIX[1, 0])
-    pair = (pair ^ (pair >> np.uint64(31))) * _MIX[2, 0] | np.uint64(1)
-    sizes = np.diff(starts)
-    at = np.arange(len(pair) - CUT_WINDOW + 1)
-    least = _extreme(pair, CUT_WINDOW, np.minimum)
-    first, end = np.repeat(starts[:-1], sizes)[: len(at)], np.repeat(starts[1:], sizes)[: len(at)]
-    least[(at == first) | (at + CUT_WINDOW >= end)] = 0
-    edge = np.zeros(CUT_WINDOW - 1, np.uint64)
-    chosen = _extreme(np.concatenate([edge, least, edge]), CUT_WINDOW, np.maximum) == pair
-    chosen[1:] &= pair[1:] != pair[:-1]
-    return np.flatnonzero(chosen)
+class Units:
+    """The words, lines and pieces of some texts. Positions count the words of all texts.
+
+    hashes: of words; docs: first words of the texts, ended by the number of words; lines: first words of the lines with a word;
+    pieces: first words of the pieces.
+    """
+
+    def __init__(self, rows: list[str | None]):
+        raws = [_odd_gap.sub(" ", t or "").lower().encode("utf-8", "surrogatepass") for t in rows]
+        self.raw = b"\n".join(raws)
+        with np.errstate(over="ignore"):
+            self.starts, self.ends, self.hashes = _word_table(self.raw)
+            n = len(self.hashes)
+            offsets = np.cumsum([0, *(len(r) + 1 for r in raws)])
+            self.docs = np.searchsorted(self.starts, offsets)
+            breaks = np.flatnonzero(np.frombuffer(self.raw, np.uint8) == 10)
+            at = np.unique(np.concatenate([[0], np.searchsorted(self.starts, breaks)]))
+            self.lines = at[at < n]
+            self.pieces = self._cuts(n)
+
+    def _cuts(self, n: int) -> np.ndarray:
+        if not n:
+            return self.lines
+        sizes = np.diff(self.lines, append=n)
+        long = sizes >= PIECE_WORDS
+        heads = self.lines[long | np.r_[True, long[:-1]] | np.isin(self.lines, self.docs)]
+        r = CUT_RADIUS
+        if n < 2 * r + 2:
+            return heads
+        pair = _scramble(self.hashes[:-1] * _mix[0, 0] + self.hashes[1:] * _mix[1, 0])
+        near = _least(pair, r)
+        at = np.arange(r, len(pair) - r)
+        chosen = at[(pair[at] < near[at - r]) & (pair[at] < near[at + 1])]
+        line = np.searchsorted(self.lines, chosen, "right") - 1
+        inside = (chosen - r >= self.lines[line]) & (chosen + r + 1 < self.lines[line] + sizes[line])
+        return np.union1d(heads, chosen[inside])
+
+    def ids(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """96 bits of hash of each stretch between starts: a long and an int."""
+        if not len(starts):
+            return np.zeros(0, np.int64), np.zeros(0, np.int32)
+        with np.errstate(over="ignore"):
+            first, second = _summed(self.hashes, starts), _summed(self.hashes, starts, 1)
+        return first.view(np.int64), (second >> _U(32)).astype(np.uint32).view(np.int32)
+
+    def text(self, first: int, last: int) -> str:
+        """The words from first to last, parted by one space."""
+        return b" ".join(self.raw[self.starts[first] : self.ends[last - 1]].split()).decode("utf-8", "surrogatepass") if last > first else ""
 
 
 def paragraphs(text: str) -> tuple[list[str], list[int]]:
-    """A text's lower-case words, and the word positions where paragraphs begin, ended by the number of words."""
-    return hashed_paragraphs(text)[:2]
-
-
-def hashed_paragraphs(text: str) -> tuple[list[str], list[int], np.ndarray | None]:
-    """paragraphs() and the hashes of the words, or None where cuts needed none."""
-    words: list[str] = []
-    cuts: list[int] = []
-    heads: set[int] = set()
-    for line in text.split("\n"):
-        opens, head, capital = True, True, False
-        for w in line.split():
-            upper = w[0].isupper()
-            if opens or upper and not capital:
-                cuts.append(len(words))
-                if head:
-                    heads.add(len(words))
-            opens, head, capital = w[-1] in ".!?", False, upper
-            words.append(w)
-    n = len(words)
-    if not n:
-        return [], [], None
-    starts = [0]
-    for before, a, b in zip(cuts, cuts[1:], [*cuts[2:], n]):
-        if b - a >= PIECE_WORDS or a in heads and a - before >= PIECE_WORDS:
-            starts.append(a)
-    starts.append(n)
-    low = text.lower().split()
-    if len(low) != n:
-        low = [w.lower() for w in words]
-    hashes = None
-    if max(b - a for a, b in zip(starts, starts[1:])) >= CUT_WINDOW + 2:
-        hashes = word_hashes(low)
-        starts = sorted([*starts, *content_cuts(hashes, starts).tolist()])
-    return low, starts, hashes
+    """A text's words, and the word positions where pieces begin, ended by the number of words."""
+    u = Units([text])
+    n = len(u.hashes)
+    return u.text(0, n).split(" ") if n else [], [*u.pieces.tolist(), n] if n else []
 
 
 def shingles(words: list[str]) -> set[tuple[str, ...]]:
@@ -120,103 +182,82 @@ def band_keys(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     with np.errstate(over="ignore"):
         mixed = np.zeros(len(hashes) - SHINGLE_WORDS + 1, np.uint64)
         for j in range(SHINGLE_WORDS):
-            mixed += (hashes[j : len(mixed) + j] ^ (hashes[j : len(mixed) + j] >> np.uint64(29))) * _MIX[j, 0]
-        mixed ^= mixed >> np.uint64(32)
+            mixed += (hashes[j : len(mixed) + j] ^ (hashes[j : len(mixed) + j] >> _U(29))) * _mix[j, 0]
+        mixed ^= mixed >> _U(32)
         n = ends - starts - SHINGLE_WORDS + 1
         at = np.concatenate([[0], np.cumsum(n)[:-1]])
         own = mixed[np.arange(int(n.sum())) - np.repeat(at, n) + np.repeat(starts, n)]
         least = []
         for k in range(BANDS * ROWS):
-            a, b = _MIX[SHINGLE_WORDS + k]
+            a, b = _mix[SHINGLE_WORDS + k]
             v = own * a + b
-            v ^= v >> np.uint64(31)
+            v ^= v >> _U(31)
             least.append(np.minimum.reduceat(v, at))
         keys = []
         for k in range(BANDS):
             key = np.full(len(starts), k, np.uint64)
             for v in least[k * ROWS : (k + 1) * ROWS]:
-                key = (key ^ v) * np.uint64(0x9E3779B97F4A7C15)
-                key ^= key >> np.uint64(29)
+                key = (key ^ v) * _U(0x9E3779B97F4A7C15)
+                key ^= key >> _U(29)
             keys.append(key.view(np.int64))
     return np.stack(keys, axis=1)
 
 
-#: Shorter paragraphs have three shingles or fewer, so distinct ones don't reach SIMILARITY.
-_NEAR_WORDS = 2 * SHINGLE_WORDS - 2
+def _groups(rows: list[str | None]) -> Iterator[slice]:
+    """Slices of rows with about SLICE characters each."""
+    at = size = 0
+    for i, t in enumerate(rows):
+        size += len(t or "")
+        if size >= SLICE:
+            yield slice(at, i + 1)
+            at, size = i + 1, 0
+    if at < len(rows):
+        yield slice(at, len(rows))
 
 
-def _paragraph_rows(df: DataFrame, bands: bool) -> DataFrame:
-    """(doc_id, tid, first, last, h) and, with bands, keys: one row for each paragraph."""
+def units(docs: DataFrame) -> DataFrame:
+    """(doc_id, tid, pieces, lines) of each text with a word. pieces: (first, last, h, g); lines of NEAR_WORDS words or more: these
+    and their band keys k0, k1 and so on. first and last are word positions in the text; h and g are 96 bits of hash."""
+    part = [("first", pa.int32()), ("last", pa.int32()), ("h", pa.int64()), ("g", pa.int32())]
+    band = [(f"k{k}", pa.int64()) for k in range(BANDS)]
+    fields = lambda x: ",".join(f"{n}:{'int' if t == pa.int32() else 'long'}" for n, t in x)
 
-    def make():
-        digest = xxhash.xxh64_intdigest
+    def nested(owners: np.ndarray, n: int, columns: list[np.ndarray], names: list[tuple]) -> pa.ListArray:
+        offsets = pa.array(np.searchsorted(owners, np.arange(n + 1)).astype(np.int32))
+        return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, names)], [x for x, _ in names]))
 
+    def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids, tids, first, last, h = [], [], [], [], []
-            hashes, base, starts, ends, near = [], 0, [], [], []
-            for doc, tid, text in zip(batch.column("doc_id").to_pylist(), batch.column("tid").to_pylist(), texts(batch)):
-                if not text:
-                    continue
-                words, cuts, own = hashed_paragraphs(text)
-                if not words:
-                    continue
-                n = len(cuts) - 1
-                if bands:
-                    for i, (a, b) in enumerate(zip(cuts, cuts[1:]), len(h)):
-                        if b - a >= _NEAR_WORDS:
-                            near.append(i)
-                            starts.append(base + a)
-                            ends.append(base + b)
-                    hashes.append(word_hashes(words) if own is None else own)
-                    base += len(words)
-                h += [digest(" ".join(words[a:b])) for a, b in zip(cuts, cuts[1:])]
-                ids += [doc] * n
-                tids += [tid] * n
-                first += cuts[:-1]
-                last += cuts[1:]
-            columns = [
-                pa.array(ids, pa.int64()), pa.array(tids, pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(np.array(h, np.uint64).view(np.int64))
-            ]
-            names = ["doc_id", "tid", "first", "last", "h"]
-            if bands:
-                keys = np.zeros((len(h), BANDS), np.int64)
-                if near:
-                    keys[near] = band_keys(np.concatenate(hashes), np.array(starts), np.array(ends))
-                columns += [pa.array(keys[:, k]) for k in range(BANDS)]
-                names += [f"k{k}" for k in range(BANDS)]
-            return pa.RecordBatch.from_arrays(columns, names)
+            rows, out = texts(batch), []
+            for s in _groups(rows):
+                u = Units(rows[s])
+                n, docs_n = len(u.hashes), len(u.docs) - 1
+                own = lambda at: np.searchsorted(u.docs, at, "right") - 1  # noqa: E731, B023
+                cuts, ends = u.pieces, np.append(u.pieces, n)[1:]
+                doc = own(cuts)
+                pieces = nested(doc, docs_n, [cuts - u.docs[doc], ends - u.docs[doc], *u.ids(cuts)], part)
+                ends = np.append(u.lines, n)[1:]
+                long = ends - u.lines >= NEAR_WORDS
+                keys = band_keys(u.hashes, u.lines[long], ends[long]) if long.any() else np.zeros((0, BANDS), np.int64)
+                h, g = u.ids(u.lines)
+                doc = own(u.lines[long])
+                lines = nested(doc, docs_n, [u.lines[long] - u.docs[doc], ends[long] - u.docs[doc], h[long], g[long], *keys.T], part + band)
+                whole = batch.slice(s.start, s.stop - s.start)
+                made = pa.RecordBatch.from_arrays([whole.column("doc_id"), whole.column("tid"), pieces, lines], ["doc_id", "tid", "pieces", "lines"])
+                out.append(made.filter(pa.array(np.diff(u.docs) > 0)))
+            return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if sum(b.num_rows for b in out) else None
 
         return step
 
-    schema = "doc_id long, tid long, first int, last int, h long" + "".join(f", k{k} long" for k in range(BANDS) if bands)
-    return map_arrow(df, make, schema)
-
-
-def _small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if its counted rows are few."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return map_arrow(docs.select("doc_id", "tid", "text"), make, f"doc_id long, tid long, pieces array<struct<{fields(part)}>>, lines array<struct<{fields(part + band)}>>")
 
 
-def _bodies(docs: DataFrame, wanted: DataFrame, spots: DataFrame) -> DataFrame:
-    """(h, body): the text of each wanted paragraph, from one document that has it (spots: h, doc_id)."""
-    by_doc = wanted.distinct().join(spots, "h").groupBy("doc_id").agg(F.collect_set("h").alias("hs"))  # of one document
-    chosen = docs.join(_small(materialize(by_doc, "wanted")[0]), "doc_id")
-
-    def make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found: dict[int, str] = {}
-            for text, hs in zip(texts(batch), batch.column("hs").to_pylist()):
-                words, cuts = paragraphs(text or "")
-                hs = set(hs)
-                for a, b in zip(cuts, cuts[1:]):
-                    body = " ".join(words[a:b])
-                    if (h := int(np.uint64(xxhash.xxh64_intdigest(body)).view(np.int64))) in hs:
-                        found[h] = body
-            return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.string())], ["h", "body"])
-
-        return step
-
-    return map_arrow(chosen, make, "h long, body string").dropDuplicates(["h"])
+def _alike(a: set, b: set, least: float) -> bool:
+    small, large = sorted((len(a), len(b)))
+    if small < least * large - 1e-9:
+        return False
+    both = len(a & b)
+    return both >= least * (small + large - both) - 1e-9
 
 
 def spanning_links(hashes: list[int], bodies: list[str]) -> list[tuple[int, int]]:
@@ -232,196 +273,307 @@ def spanning_links(hashes: list[int], bodies: list[str]) -> list[tuple[int, int]
         near, far = [z], []
         for group in groups:
             for m in group:
-                small, large = sorted((len(own), len(sets[m])))
-                if small >= SIMILARITY * large:
-                    both = len(own & sets[m])
-                    if both >= SIMILARITY * (small + large - both):
-                        links.append((hashes[z], hashes[m]))
-                        near = group + near
-                        break
+                if _alike(own, sets[m], SIMILARITY):
+                    links.append((hashes[z], hashes[m]))
+                    near = group + near
+                    break
             else:
                 far.append(group)
         groups = [*far, near] if len(near) == 1 else [near, *far]
     return links
 
 
-def _linked(members: DataFrame) -> DataFrame:
-    """(a, b): spanning links of all buckets; members: (k, rank, size, h, body), rank from 0 on within a bucket.
+def _grouped(df: DataFrame, key: list[str], rest: list[str], order: list, handle, schema: str) -> DataFrame:
+    """handle(rows of one key, in order) gives the result's rows; a key's rows must fit a task's memory."""
+    prepare(df.sparkSession)
+    dealt = df.repartition(*key).sortWithinPartitions(*key, *order).select(*key, *rest)
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [pa.list_(pa.int64()) if "array" in x else pa.string() if "string" in x else pa.int64() for x in schema.split(", ")]
 
-    A bucket of more than BLOCK members is dealt out in pairs of blocks, so no task holds more than two blocks of it, and
-    each two of its members still meet. Its first members go to all pairs: as the likely centres they spare most comparisons.
-    """
-    last = F.expr(f"cast((size - 1) div {BLOCK} as int)")
-    mine = F.expr(f"cast(rank div {BLOCK} as int)")
-    own = F.transform(F.sequence(F.lit(0), last), lambda o: F.struct(F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j")))
-    every = F.flatten(F.transform(F.sequence(F.lit(0), last), lambda i: F.transform(F.sequence(i, last), lambda j: F.struct(i.alias("i"), j.alias("j")))))
-    dealt = members.select("k", "rank", "h", "body", F.inline(F.when(F.col("rank") < CENTRES, every).otherwise(own)))
-    dealt = dealt.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", "rank")
-    prepare(members.sparkSession)
-
-    def flush(held: list[tuple]) -> pa.RecordBatch:
-        found = spanning_links([x[2] for x in held], [x[3] for x in held])
-        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+    def give(held: list[tuple]) -> pa.RecordBatch:
+        found = list(handle(held))
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate(kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        now, held = None, []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("k", "rank", "h", "body", "i", "j"))):
-                if (row[0], row[4], row[5]) != key:
-                    if len(held) > 1:
-                        yield flush(held)
-                    key, held = (row[0], row[4], row[5]), []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[: len(key)] != now:
+                    if held:
+                        yield give(held)
+                    now, held = row[: len(key)], []
                 held.append(row)
-        if len(held) > 1:
-            yield flush(held)
+        if held:
+            yield give(held)
+
+    return dealt.mapInArrow(run, schema)
+
 
-    return dealt.select("k", "rank", "h", "body", "i", "j").mapInArrow(run, "a long, b long")
+def _spanned(members: DataFrame) -> DataFrame:
+    """(a, b): spanning links of buckets; members: (k, blocks, n, h, body). A bucket of several blocks is dealt out in pairs of
+    blocks, so each two of its members meet and no task holds more than two blocks of it."""
+    mine = F.expr("cast(pmod(xxhash64(h), blocks) as int)")
+    pairs = F.transform(F.sequence(F.lit(0), F.expr("cast(blocks - 1 as int)")), lambda o: F.struct(F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j")))
+    dealt = members.select("k", "n", "h", "body", F.inline(pairs))
+    return _grouped(dealt, ["k", "i", "j"], ["h", "body"], [F.desc("n"), "h"], lambda rows: spanning_links([r[3] for r in rows], [r[4] for r in rows]), "a long, b long")
 
 
-def shared_paragraphs(docs: DataFrame) -> DataFrame:
-    """(h, owner): paragraphs that stand in two documents or more, near-equal ones counted as one, with the smallest doc_id."""
-    spark = docs.sparkSession
-    keys = [f"k{k}" for k in range(BANDS)]
-    units = _paragraph_rows(docs, True)
+def _pivoted(large: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Links of large buckets over their centres, and the members left to compare with one another; large: (k, size, n, h, body).
+
+    All members are compared with CENTRES frequent ones. Those within SIMILARITY of a centre, its ball, hang together already.
+    The Jaccard distance is a metric, so whatever links with a member of the ball has a similarity of 2 SIMILARITY - 1 or more
+    with the centre: such members outside of the ball, the shell, are compared with the ball's members until one is similar
+    enough. Members in no ball are left for _spanned. So nothing is lost, and a group of near copies costs one comparison a member.
+    """
+    blocks = F.expr(f"cast((size - 1) div {BLOCK} + 1 as int)")
+    top = large.groupBy("k", F.pmod("h", F.lit(CENTRES)).alias("s")).agg(F.max(F.struct("n", "h", "body", "size")).alias("c")).select("k", "c.*")
+    dealt = large.select("k", F.expr(f"pmod(xxhash64(h), (size - 1) div {BLOCK} + 1)").cast("int").alias("i"), F.lit(1).alias("role"), "n", "h", "body")
+    dealt = dealt.unionByName(top.select("k", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("i"), F.lit(0).alias("role"), "n", "h", "body"))
+
+    def judge(rows: list[tuple]) -> Iterator[tuple]:
+        centres = [(r[4], shingles(r[5].split(" "))) for r in rows if r[2] == 0]
+        for k, _, role, n, h, body in rows:
+            if role:
+                own = shingles(body.split(" "))
+                ball = [c for c, s in centres if _alike(own, s, SIMILARITY)]
+                yield k, n, h, body, ball, [c for c, s in centres if c not in ball and _alike(own, s, 2 * SIMILARITY - 1)]
+
+    judged, path = materialize(
+        _grouped(dealt, ["k", "i"], ["role", "n", "h", "body"], ["role", "h"], judge, "k long, n long, h long, body string, ball array<long>, shell array<long>"), "pivots"
+    )
+    direct = judged.select(F.col("h").alias("a"), F.explode("ball").alias("b")).where("a <> b")
+    shell = judged.select("k", F.explode("shell").alias("c"), "h", "body")
+    ball = judged.select("k", F.explode("ball").alias("c"), "h", "body")
+    of = lambda df, name: df.groupBy("k", "c").agg(F.expr(f"cast((count(*) - 1) div {BLOCK} + 1 as int)").alias(name))
+    sizes = of(ball, "u").join(of(shell, "v"), ["k", "c"])
+    place = lambda n: F.expr(f"cast(pmod(xxhash64(h), {n}) as int)")
+    each = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
+    meet = ball.join(sizes, ["k", "c"]).select("k", "c", place("u").alias("i"), each("v").alias("j"), F.lit(0).alias("role"), "h", "body")
+    meet = meet.unionByName(shell.join(sizes, ["k", "c"]).select("k", "c", each("u").alias("i"), place("v").alias("j"), F.lit(1).alias("role"), "h", "body"))
+
+    def across(rows: list[tuple]) -> Iterator[tuple]:
+        inner = [(r[5], shingles(r[6].split(" "))) for r in rows if r[4] == 0]
+        for r in rows:
+            if r[4]:
+                own = shingles(r[6].split(" "))
+                if (hit := next((h for h, s in inner if _alike(own, s, SIMILARITY)), None)) is not None:
+                    yield r[5], hit
+
+    links = direct.unionByName(_grouped(meet, ["k", "c", "i", "j"], ["role", "h", "body"], ["role", "h"], across, "a long, b long"))
+    alone = judged.where(F.size("ball") == 0)
+    counts = alone.groupBy("k").agg(F.expr(f"(count(*) - 1) div {BLOCK} + 1").alias("blocks"))
+    return links, alone.join(counts, "k").select("k", "blocks", "n", "h", "body"), [path]
+
+
+def bucket_links(members: DataFrame) -> DataFrame:
+    """(a, b): verified links that connect what any verified links of a bucket would; members: (k, size, n, h, body)."""
+    small = members.where(f"size <= {BLOCK}").select("k", F.lit(1).cast("long").alias("blocks"), "n", "h", "body")
+    links, left, _ = _pivoted(members.where(f"size > {BLOCK}"))
+    return links.unionByName(_spanned(small.unionByName(left)))
+
+
+def _bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(h, body): the text of each wanted line; wanted: (h, doc_id), a document that has it."""
+    by_doc = wanted.groupBy("doc_id").agg(F.collect_set("h").alias("hs"))  # lines of one document
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found: dict[int, str] = {}
+            rows, asked = texts(batch), batch.column("hs").to_pylist()
+            for s in _groups(rows):
+                u = Units(rows[s])
+                h, ends = u.ids(u.lines)[0].tolist(), np.append(u.lines, len(u.hashes))[1:].tolist()
+                want = set().union(*asked[s])
+                found |= {x: u.text(a, b) for x, a, b in zip(h, u.lines.tolist(), ends) if x in want}
+            return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.string())], ["h", "body"])
+
+        return step
+
+    return map_arrow(docs.select("doc_id", "text").join(by_doc, "doc_id"), make, "h long, body string").dropDuplicates(["h"])
+
+
+def near_lines(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(h, g, owner): lines that are similar to others, with the smallest doc_id of their component; found: units(docs)."""
+    spark, keys = docs.sparkSession, [f"k{k}" for k in range(BANDS)]
+    lines = found.select("doc_id", F.inline("lines"))
     distinct, path = materialize(
-        units.groupBy("h").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other"), F.count("*").alias("n"), *[F.min(k).alias(k) for k in keys]),
-        "paragraphs",
+        lines.groupBy("h", "g").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other"), F.count("*").alias("n"), *[F.min(k).alias(k) for k in keys]), "lines"
     )
-    banded = distinct.where("k0 <> 0").select("h", "n", F.explode(F.array(*keys)).alias("k"))
-    bucket = Window.partitionBy("k")
-    met = banded.select("k", "h", F.row_number().over(bucket.orderBy(F.desc("n"), "h")).alias("rank"), F.count("*").over(bucket).alias("size"))
-    met, at = materialize(met.where("size > 1").withColumn("rank", F.col("rank") - 1), "buckets")
-    bodies = _bodies(docs, met.select("h"), distinct.select("h", F.col("owner").alias("doc_id")))
-    links, held = materialize(_linked(met.join(bodies, "h")), "links")
-    groups, kept = materialize(components(links).select(F.col("node").alias("h"), "component"), "groups")
-    near = groups.join(distinct.select("h", "owner", "other"), "h")
+    banded = distinct.select("h", "g", "n", "owner", F.explode(F.array(*keys)).alias("k"))
+    sizes, counted = materialize(banded.groupBy("k").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
+    met, at = materialize(banded.join(sizes, "k"), "met")
+    bodies, told = materialize(_bodies(docs, met.select("h", F.col("owner").alias("doc_id")).distinct()), "bodies")
+    links, held = materialize(bucket_links(met.join(bodies, "h").select("k", "size", "n", "h", "body")).distinct(), "links")
+    release(spark, counted, told)
+    groups = components(links).withColumnRenamed("node", "h")
+    ids = met.select("h", "g").distinct()
+    near, kept = materialize(groups.join(ids, "h").join(distinct.select("h", "g", "owner", "other"), ["h", "g"]), "groups")
     spans = near.groupBy("component").agg(F.min("owner").alias("owner"), F.max("other").alias("other")).where("owner < other")
-    near = near.select("h", "component").join(spans, "component").select("h", "owner")
-    equal = distinct.where("owner < other").select("h", "owner").join(groups, "h", "left_anti")
-    out, _ = materialize(equal.unionByName(near), "shared")
+    out, _ = materialize(near.select("h", "g", "component").join(spans, "component").select("h", "g", "owner"), "near")
     release(spark, path, at, held, kept)
     return out
 
 
-def gaps(found: list[dict], run_words: int) -> list[tuple[int, int, int, int, int]]:
-    """(first, last, owner, h of the first paragraph, h of the last): stretches of a text that an owner may keep with changes.
-
-    found: shared paragraphs in order. Around a place that nobody keeps, the runs of one owner's paragraphs on either side make a
-    stretch if they hold at least as many words as what is between them.
+def _follow(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Ends of the equal runs of a and b, from their beginnings, over changes of at most MOST_SKIPPED words on either side."""
+    ends: list[tuple[int, int]] = []
+    i = j = 0
+    while True:
+        n = next((k for k, (x, y) in enumerate(zip(a[i:], b[j:])) if x != y), min(len(a) - i, len(b) - j))
+        i, j = i + n, j + n
+        if n:
+            ends.append((i, j))
+        grams: dict[tuple, int] = {}
+        for k in range(min(MOST_SKIPPED, len(b) - j - SHINGLE_WORDS), -1, -1):
+            grams[tuple(b[j + k : j + k + SHINGLE_WORDS])] = k
+        skips = [(k + m, k, m) for k in range(min(MOST_SKIPPED, len(a) - i - SHINGLE_WORDS) + 1) if (m := grams.get(tuple(a[i + k : i + k + SHINGLE_WORDS]))) is not None]
+        if not skips:
+            return ends
+        _, k, m = min(skips)
+        i, j = i + k, j + m
+
+
+def reach(a: list[str], b: list[str], anchor: list[str], both: int, either: int) -> tuple[int, int, int]:
+    """How many words of a the stretch goes on for while it stays similar to that over b, and its shared and all shingles.
+
+    anchor: the equal words before a and b, SHINGLE_WORDS - 1 at most; both, either: shingles counted so far.
     """
-    held = np.zeros(found[-1]["last"], bool)
-    by_owner: dict[int, list[list]] = {}
-    for p in found:
-        held[p["first"] : p["last"]] = True
-        parts = by_owner.setdefault(p["owner"], [])
-        if parts and parts[-1][1] == p["first"]:
-            parts[-1][1], parts[-1][3] = p["last"], p["h"]
-        else:
-            parts.append([p["first"], p["last"], p["h"], p["h"]])
-    out = set()
-    for owner, parts in by_owner.items():
-        chain: list[list] = []
-        for part in [*parts, None]:
-            if chain and (part is None or part[0] - chain[-1][1] > chain[-1][1] - chain[-1][0] + part[1] - part[0]):
-                out |= {(x[0][0], x[-1][1], owner, x[0][2], x[-1][3]) for x in [chain, *zip(chain, chain[1:])] if len(x) > 1}
-                chain = []
-            if part is not None:
-                chain.append(part)
-    return [x for x in sorted(out) if x[1] - x[0] >= run_words and not held[x[0] : x[1]].all()]
-
-
-def bridges(docs: DataFrame, gone: DataFrame, run_words: int) -> DataFrame:
-    """(doc_id, tid, first, last, owner): stretches over changed places whose text reaches SIMILARITY with the owner's text.
-
-    gone: (doc_id, tid, first, last, owner, h), paragraphs that others keep. Of both texts only the stretches are shuffled.
+    for i, j in reversed(_follow(a, b)):
+        x = [*anchor, *a[:i]]
+        if i == j and a[:i] == b[:j]:
+            n = max(len(x) - SHINGLE_WORDS + 1, 0)
+            return i, both + n, either + n
+        x, y = shingles(x), shingles([*anchor, *b[:j]])
+        same = len(x & y)
+        now = both + same, either + len(x) + len(y) - same
+        if now[0] >= SIMILARITY * now[1] - 1e-9:
+            return i, *now
+    return 0, both, either
+
+
+def stretches(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """(doc_id, tid, first, last, owner): runs of pieces that an owner keeps, with the words around them that are alike there.
+
+    gone: (doc_id, tid, first, last, owner, h), pieces that others keep. A run is compared where its owner first has it in the same
+    length. Of both texts only the words around the runs are shuffled.
     """
-    spark = docs.sparkSession
-    per_doc = gone.groupBy("doc_id", "tid").agg(F.sort_array(F.collect_set(F.struct("first", "last", "owner", "h"))).alias("p"))
+    per_doc = gone.groupBy("doc_id", "tid").agg(F.sort_array(F.collect_set(F.struct("first", "last", "owner", "h"))).alias("p"))  # of one text
     names = ["first", "last", "owner", "ha", "hb"]
     kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    tail = SHINGLE_WORDS - 1
+
+    def chains(p: list[dict]) -> Iterator[tuple]:
+        run: list = []
+        for x in [*p, None]:
+            if run and (x is None or x["first"] != run[1] or x["owner"] != run[2]):
+                if run[1] - run[0] >= ANCHOR_WORDS:
+                    yield tuple(run)
+                run = []
+            if x is not None:
+                run = [run[0], x["last"], run[2], run[3], x["h"]] if run else [x["first"], x["last"], x["owner"], x["h"], x["h"]]
 
     def find():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = [(d, t, *g) for d, t, p in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tid", "p"))) for g in gaps(p, run_words)]
+            rows = [(d, t, *c) for d, t, p in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tid", "p"))) for c in chains(p)]
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate([pa.int64(), pa.int64(), *kinds])], ["doc_id", "tid", *names])
 
         return step
 
-    asked, at = materialize(map_arrow(per_doc, find, "doc_id long, tid long, first int, last int, owner long, ha long, hb long"), "gaps")
-    mine = asked.groupBy("doc_id", "tid").agg(F.collect_list(F.struct(*names)).alias("asked"))
-    theirs = asked.select("owner", "ha", "hb").distinct().groupBy(F.col("owner").alias("doc_id")).agg(F.collect_list(F.struct("ha", "hb")).alias("asked"))
-
-    def own():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = []
-            for d, t, text, asked in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tid")), texts(batch), batch.column("asked").to_pylist()):
-                low = paragraphs(text)[0]
-                rows += [(d, t, *(g[c] for c in names), " ".join(low[g["first"] : g["last"]])) for g in asked]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate([pa.int64(), pa.int64(), *kinds, pa.string()])], ["doc_id", "tid", *names, "body"])
-
-        return step
+    runs, _ = materialize(map_arrow(per_doc, find, "doc_id long, tid long, first int, last int, owner long, ha long, hb long"), "runs")
+    theirs = runs.select(F.col("owner").alias("doc_id"), F.lit(None).cast("long").alias("tid"), F.lit(0).alias("first"), F.expr("last - first").alias("last"), "owner", "ha", "hb").distinct()
+    asked = runs.unionByName(theirs).groupBy("doc_id").agg(F.collect_list(F.struct("tid", *names)).alias("asked"))
 
-    def kept():
-        digest = xxhash.xxh64_intdigest
+    def around(u: Units, doc: int, first: int, last: int) -> tuple[str, str]:
+        """The words before and after [first, last), each with the first or last words of the run."""
+        least, most = u.docs[doc], u.docs[doc + 1]
+        return u.text(max(least, first - CONTEXT_WORDS), min(first + tail, last)), u.text(max(first, last - tail), min(most, last + CONTEXT_WORDS))
 
+    def look():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = []
-            for d, text, asked in zip(batch.column("doc_id").to_pylist(), texts(batch), batch.column("asked").to_pylist()):
-                low, cuts = paragraphs(text or "")
-                places: dict[int, list[tuple[int, int]]] = {}
-                for a, b in zip(cuts, cuts[1:]):
-                    places.setdefault(int(np.uint64(digest(" ".join(low[a:b]))).view(np.int64)), []).append((a, b))
-                for g in asked:
-                    ends = places.get(g["hb"], [])
-                    for a, _ in places.get(g["ha"], []):
-                        if b := min((b for x, b in ends if x > a), default=0):
-                            rows.append((d, g["ha"], g["hb"], " ".join(low[a:b])))
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate([*kinds[2:], pa.string()])], ["owner", "ha", "hb", "theirs"])
+            out = []
+            rows, ids, tids, wanted = texts(batch), *(batch.column(c).to_pylist() for c in ("doc_id", "tid", "asked"))
+            for s in _groups(rows):
+                u = Units(rows[s])
+                h = u.ids(u.pieces)[0].tolist()
+                ends = np.append(u.pieces, len(u.hashes))[1:].tolist()
+                cuts = u.pieces.tolist()
+                bounds = np.searchsorted(u.pieces, u.docs).tolist()
+                for doc, at in enumerate(range(s.start, s.stop)):
+                    base = int(u.docs[doc])
+                    heads: dict[int, list[int]] = {}
+                    tails: dict[int, set[int]] = {}
+                    for p in range(bounds[doc], bounds[doc + 1]):
+                        heads.setdefault(h[p], []).append(cuts[p])
+                        tails.setdefault(h[p], set()).add(ends[p])
+                    for g in wanted[at]:
+                        if g["tid"] is None:
+                            n, stop = g["last"], tails.get(g["hb"], ())
+                            if (a := next((a for a in heads.get(g["ha"], ()) if a + n in stop), None)) is not None:
+                                out.append((None, None, 0, n, g["owner"], g["ha"], g["hb"], *around(u, doc, a, a + n)))
+                        elif g["tid"] == tids[at]:
+                            out.append((ids[at], g["tid"], *(g[c] for c in names), *around(u, doc, base + g["first"], base + g["last"])))
+            types = [pa.int64(), pa.int64(), *kinds, pa.string(), pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(types)], ["doc_id", "tid", *names, "before", "after"])
 
         return step
 
-    mine = map_arrow(docs.join(_small(materialize(mine, "stretches")[0]), ["doc_id", "tid"]), own, "doc_id long, tid long, first int, last int, owner long, ha long, hb long, body string")
-    theirs = map_arrow(docs.join(_small(materialize(theirs, "asked")[0]), "doc_id"), kept, "owner long, ha long, hb long, theirs string").distinct()
+    schema = "doc_id long, tid long, first int, last int, owner long, ha long, hb long, before string, after string"
+    seen, _ = materialize(map_arrow(docs.join(asked, "doc_id"), look, schema), "contexts")
+    mine = seen.where("tid is not null").withColumn("n", F.expr("last - first"))
+    kept = seen.where("tid is null").select("owner", "ha", "hb", F.col("last").alias("n"), F.col("before").alias("before2"), F.col("after").alias("after2"))
 
     def compare():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            near = [jaccard(a.split(" "), b.split(" ")) >= SIMILARITY for a, b in zip(batch.column("body").to_pylist(), batch.column("theirs").to_pylist())]
-            return batch.select(["doc_id", "tid", "first", "last", "owner"]).filter(pa.array(near, pa.bool_()))
+            firsts, lasts = [], []
+            for first, last, *around in zip(*(batch.column(c).to_pylist() for c in ("first", "last", "before", "after", "before2", "after2"))):
+                b, a, b2, a2 = (x.split(" ") if x else [] for x in around)
+                k = min(tail, last - first)
+                n = max(last - first - tail, 0)
+                after, both, either = reach(a[k:], a2[k:], a[:k], n, n)
+                b.reverse()
+                b2.reverse()
+                before, _, _ = reach(b[k:], b2[k:], b[:k], both, either)
+                firsts.append(first - before)
+                lasts.append(last + after)
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tid"), pa.array(firsts, pa.int32()), pa.array(lasts, pa.int32()), batch.column("owner")], ["doc_id", "tid", "first", "last", "owner"])
 
         return step
 
-    return map_arrow(mine.join(theirs, ["owner", "ha", "hb"]), compare, "doc_id long, tid long, first int, last int, owner long")
+    return map_arrow(mine.join(kept, ["owner", "ha", "hb", "n"]), compare, "doc_id long, tid long, first int, last int, owner long")
 
 
 def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
     """(doc_id, tid, spans): one row for each text that loses passages; tid: its xxhash64; spans: array of (first, last: word positions, n_words,
     kept_in: the documents that keep the passage).
 
-    A passage goes if it is a run of paragraphs that other documents keep, or of such stretches with changes that are similar
-    enough, and has run_words words or more. Rows with equal
-    doc_id are one document, what they share stays; null doc_ids and null, empty or wordless texts lose nothing; an empty table
-    gives no rows. All documents take part, whole.
+    A passage goes if it is made of pieces, lines or similar stretches that documents of smaller doc_id keep, one after the other
+    without a gap, and has run_words words or more. Rows with equal doc_id are one document, what they share stays; null doc_ids
+    and null, empty or wordless texts lose nothing; an empty table gives no rows. All documents take part, whole.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tid"), F.col(text_col).alias("text")).where("doc_id is not null")
-    shared = shared_paragraphs(docs)
-    units = _paragraph_rows(docs, False)
-    gone, path = materialize(units.join(_small(shared), "h").where("doc_id <> owner").select("doc_id", "tid", "first", "last", "owner", "h"), "gone")
-    bridged, _ = materialize(bridges(docs, gone, run_words), "bridged")
-    gone = gone.drop("h").unionByName(bridged)
-    per_doc = gone.groupBy("doc_id", "tid").agg(F.sort_array(F.collect_set(F.struct("first", "last", "owner"))).alias("p"))  # of one text
+    found, path = materialize(units(docs), "units")
+    pieces = found.select("doc_id", "tid", F.inline("pieces"))
+    shared = pieces.groupBy("h", "g").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other")).where("owner < other").drop("other")
+    gone, _ = materialize(pieces.join(shared, ["h", "g"]).where("doc_id <> owner").select("doc_id", "tid", "first", "last", "owner", "h"), "gone")
+    near = found.select("doc_id", "tid", F.inline("lines")).join(near_lines(docs, found), ["h", "g"]).where("doc_id <> owner")
+    more, _ = materialize(near.select("doc_id", "tid", "first", "last", "owner").unionByName(stretches(docs, gone)), "stretches")
+    release(df.sparkSession, path)
+    every = gone.drop("h").unionByName(more)
+    per_doc = every.groupBy("doc_id", "tid").agg(F.sort_array(F.collect_set(F.struct("first", "last", "owner"))).alias("p"))  # of one text
     span = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("n_words", pa.int64()), ("kept_in", pa.list_(pa.int64()))])
 
     def runs(found: list[dict]) -> Iterator[dict]:
-        held: list[dict] = []
-        last = 0
-        for p in [*found, None]:
-            if p is None or held and p["first"] > last:
-                if held and last - held[0]["first"] >= run_words:
-                    yield {"first": held[0]["first"], "last": last, "n_words": last - held[0]["first"], "kept_in": sorted({x["owner"] for x in held})}
-                held = []
-            if p is not None:
-                last = max(last, p["last"]) if held else p["last"]
-                held.append(p)
+        first, last, owners = 0, -1, set()
+        for p in [*sorted(found, key=lambda x: (x["first"], -x["last"], x["owner"])), None]:
+            if p is None or p["first"] > last:
+                if last - first >= run_words:
+                    yield {"first": first, "last": last, "n_words": last - first, "kept_in": sorted(owners)}
+                if p is not None:
+                    first, last, owners = p["first"], p["last"], {p["owner"]}
+            elif p["last"] > last:  # not inside of those before it
+                last = p["last"]
+                owners.add(p["owner"])
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -438,7 +590,7 @@ def cut(text: str | None, spans: list[dict] | None) -> str | None:
     """A text without the words of spans and the white space after them."""
     if not text or not spans:
         return text
-    at = [m.start() for m in _nonspace.finditer(text)] + [len(text)]
+    at = [m.start() for m in _solid.finditer(text)] + [len(text)]
     out, done = [], 0
     for s in spans:
         out.append(text[done : at[s["first"]]])
@@ -451,7 +603,7 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     gone_id, gone_tid, gone = fresh(df, "gone_id", "gone_tid", "gone")
     found, _ = materialize(removals(df, id_col, text_col, run_words).toDF(gone_id, gone_tid, gone), "removals")
     same = (F.col(id_col).cast("long") == F.col(gone_id)) & (F.xxhash64(text_col) == F.col(gone_tid))
-    rows = df.join(_small(found), same, "left").drop(gone_id, gone_tid)
+    rows = df.join(found, same, "left").drop(gone_id, gone_tid)
     schema, names = df.schema, df.columns
 
     def make():

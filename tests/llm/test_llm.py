@@ -336,23 +336,20 @@ def test_paragraphs_cover_the_words():
         assert not words and not cuts or (cuts[0] == 0 and cuts[-1] == len(words) and sorted(set(cuts)) == cuts)
 
 
-def test_paragraphs_cut_passages_alike_whatever_their_case():
+def test_passages_go_whole_whatever_their_case(spark):
+    """51 words in the middle of a line or as lines of their own, in four styles."""
     rng = np.random.default_rng(4)
     plain = lambda n: [f"{WORDS[int(i)]}{int(j)}".lower() for i, j in zip(rng.integers(0, len(WORDS), n), rng.integers(0, 99, n))]
     short = lambda words: [w.capitalize() if i % 3 == 0 else w + "." if i % 3 == 2 else w for i, w in enumerate(words)]
+    rows = []
     for style in (list, lambda ws: [w.upper() for w in ws], lambda ws: [w.title() for w in ws], short):
         for gap in (" ", "\n"):
             for _ in range(30):
-                passage, found = style(plain(51)), []
-                for _ in range(2):
-                    before, after = style(plain(int(rng.integers(3, 40)))), style(plain(int(rng.integers(3, 40))))
-                    words, cuts = substring_dedup.paragraphs(gap.join([" ".join(x) for x in (before, passage, after)]))
-                    found.append([tuple(words[a:b]) for a, b in zip(cuts, cuts[1:])])
-                run = best = 0
-                for p in found[0]:
-                    run = run + len(p) if p in found[1] else 0
-                    best = max(best, run)
-                assert best >= substring_dedup.RUN_WORDS
+                passage, k = style(plain(51)), len(rows)
+                rows += [(k + i, gap.join(" ".join(x) for x in (style(plain(20)), passage, style(plain(20))))) for i in range(2)]
+    found = {r["doc_id"]: r["spans"] for r in substring_dedup.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(found) <= set(range(1, len(rows), 2)) and len(found) >= 0.98 * len(rows) / 2
+    assert all([(s["first"], s["n_words"], s["kept_in"]) for s in spans] == [(20, 51, [d - 1])] for d, spans in found.items())
 
 
 def test_passages_in_capitals_go(spark):
@@ -420,13 +417,57 @@ def test_spanning_links_keep_components(spark):
     links = substring_dedup.spanning_links(list(range(len(bodies))), bodies)
     assert all(tuple(sorted(x)) in set(edges) for x in links)
     assert _parts(len(bodies), links) == _parts(len(bodies), edges) and len(links) < len(bodies)
-    old, substring_dedup.BLOCK = substring_dedup.BLOCK, 10  # several blocks
-    try:
-        rows = [(1, k, len(bodies), k, b) for k, b in enumerate(bodies)]
-        got = [(r["a"], r["b"]) for r in substring_dedup._linked(spark.createDataFrame(rows, "k long, rank long, size long, h long, body string")).collect()]
-    finally:
-        substring_dedup.BLOCK = old
-    assert _parts(len(bodies), got) == _parts(len(bodies), edges)
+    # several blocks of one bucket, among them with another group's centres
+    rows = [(1, len(bodies), 1 + (k % 12 == 0), k, b) for k, b in enumerate(bodies)]
+    for block, centres in ((10, 4), (10, 1), (7, 60)):
+        old = substring_dedup.BLOCK, substring_dedup.CENTRES
+        substring_dedup.BLOCK, substring_dedup.CENTRES = block, centres
+        try:
+            got = [(r["a"], r["b"]) for r in substring_dedup.bucket_links(spark.createDataFrame(rows, "k long, size long, n long, h long, body string")).collect()]
+        finally:
+            substring_dedup.BLOCK, substring_dedup.CENTRES = old
+        assert all(tuple(sorted(x)) in set(edges) for x in got)
+        assert _parts(len(bodies), got) == _parts(len(bodies), edges)
+
+
+def test_near_lines_are_those_of_all_pairs(spark):
+    """300 documents with lines of 5 to 40 words and near copies of them, against all pairs: exact links, at least 0.95 found."""
+    rng = np.random.default_rng(12)
+    pool = [[WORDS[int(i)] for i in rng.integers(0, len(WORDS), rng.integers(5, 41))] for _ in range(250)]
+    rows = []
+    for d in range(300):
+        lines = []
+        for p in rng.integers(0, len(pool), 6):
+            w = list(pool[p])
+            for _ in range(int(rng.integers(0, 3))):
+                at, kind = int(rng.integers(len(w))), int(rng.integers(3))
+                w[at : at + (kind < 2)] = [[f"new{rng.integers(10**6)}"], [], [f"new{rng.integers(10**6)}"]][kind]
+            lines.append(" ".join(w))
+        rows.append((d, "\n".join(lines)))
+    first: dict[str, list[int]] = {}
+    for d, t in rows:
+        for line in t.split("\n"):
+            first.setdefault(line, []).append(d)
+    kinds = [x for x in first if len(x.split()) >= substring_dedup.NEAR_WORDS]
+    edges = [(i, j) for i, j in itertools.combinations(range(len(kinds)), 2) if substring_dedup.jaccard(kinds[i].split(), kinds[j].split()) >= 0.8]
+    part = _parts(len(kinds), edges)
+    assert any({len(kinds[i].split()), len(kinds[j].split())} == {8, 9} for i, j in edges)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("tid", F.xxhash64("text"))
+    found = substring_dedup.units(docs).cache()
+    near = {(r["h"], r["g"]): r["owner"] for r in substring_dedup.near_lines(docs, found).collect()}
+    u = substring_dedup.Units(["\n".join(kinds)])
+    ids = list(zip(*(x.tolist() for x in u.ids(u.lines))))
+    truth = {i: min(min(first[kinds[j]]) for j in range(len(kinds)) if part[j] == part[i]) for e in edges for i in e}
+    truth = {i: o for i, o in truth.items() if any(d != o for j in range(len(kinds)) if part[j] == part[i] for d in first[kinds[j]])}
+    right = sum(near.get(ids[i]) == o for i, o in truth.items())
+    assert len(truth) > 150 and right >= 0.95 * len(truth) and set(near) <= {ids[i] for i in truth}
+
+
+def test_lines_of_eight_words_are_near(spark):
+    base = [prose(8, 60 + i).split() for i in range(6)]
+    rows = [(1, "\n".join(" ".join(w) for w in base)), (2, "\n".join(" ".join([*w, "more"]) for w in base))]
+    found = substring_dedup.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r["doc_id"], [(s["first"], s["last"]) for s in r["spans"]]) for r in found] == [(2, [(0, 54)])]
 
 
 def _parts(n, edges):
