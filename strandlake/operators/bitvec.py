@@ -105,7 +105,10 @@ def parse_cigar(cigar: Column) -> Column:
 
 
 def cigar_steps(alignments: DataFrame) -> DataFrame:
-    """Each operation of (qname, pos, cigar) with idx, len, op, read_at (0-based place in the read) and ref_at (0-based)."""
+    """Each operation of (qname, mate, pos, cigar) with idx, len, op, read_at (0-based place in the read) and ref_at (0-based).
+
+    A mate has one alignment at most: leave secondary and supplementary ones out (readers.sam does).
+    """
     steps = alignments.select("*", F.posexplode(parse_cigar(F.col("cigar"))).alias("idx", "step")).select("*", "step.len", "step.op").drop("step")
     before = Window.partitionBy("qname", "mate").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
     read = F.when(F.col("op").isin("M", "I", "S", "=", "X"), F.col("len")).otherwise(0)

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 def louvain(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, resolution: float = 1.0, refine: bool = False, seed: int = 386) -> np.ndarray:
     """Communities (numbered from 0) of a weighted graph by moving nodes while modularity rises, then merging communities.
 
-    With refine, communities that have come apart are split before they are merged (as Leiden does).
+    With refine, communities that have come apart are split before they are merged: of Leiden's refinement only the guarantee
+    that communities are connected.
     """
     names = np.arange(n)
     rng = np.random.default_rng(seed)
@@ -77,36 +78,41 @@ def modularity(labels: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray,
     return float(inside / w.sum() - resolution * (np.bincount(labels, degree) ** 2).sum() / (degree.sum() ** 2))
 
 
-def communities(reads: DataFrame, edges: DataFrame, resolution: float = 1.0, least_share: float = 0.0, refine: bool = False) -> DataFrame:
-    """(read_id, cluster): communities of the graph of edges (a, b, score) over all reads, those under least_share left out.
+def communities(reads: DataFrame, edges: DataFrame, resolution: float = 1.0, least_share: float = 0.0, refine: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """(read_id, cluster), after the columns `by`: communities of the graph of edges (a, b, score) over all reads, those under
+    least_share of their graph's reads left out.
 
-    The edges of one gene's graph are gathered in one task, since the moves depend on one another; select edges by their
-    score beforehand. Reads without an edge are communities of their own.
+    Each value of `by`, such as the gene, has a graph of its own, in a task of its own, since the moves depend on one another;
+    select edges by their score beforehand. Read ids are numbers or strings; a community is named by its smallest read. Reads
+    without an edge are communities of their own.
     """
-    gathered = edges.select("a", "b", F.col("score").cast("double").alias("score"))
+    kinds = {f.name: f.dataType.simpleString() for f in reads.schema}
+    keys = list(by)
 
     def kernel(rows: pd.DataFrame) -> pd.DataFrame:
         ids = np.unique(np.concatenate([rows["a"], rows["b"]]))
         labels = louvain(len(ids), np.searchsorted(ids, rows["a"]), np.searchsorted(ids, rows["b"]), rows["score"].to_numpy(), resolution, refine)
-        # a community is named by its smallest read
         name = pd.Series(ids).groupby(labels).min()
-        return pd.DataFrame({"read_id": ids, "cluster": name.loc[labels].to_numpy()})
+        return pd.DataFrame({**{k: rows[k].iloc[0] for k in keys}, "read_id": ids, "cluster": name.loc[labels].to_numpy()})
 
-    found = gathered.groupBy().applyInPandas(kernel, "read_id long, cluster long")
-    all_reads = reads.select("read_id").join(found, "read_id", "left").withColumn("cluster", F.coalesce("cluster", "read_id"))
-    sizes = all_reads.groupBy("cluster").agg(F.count("*").alias("n"))
-    total = all_reads.agg(F.count("*").alias("total"))
-    large = sizes.join(F.broadcast(total)).where(F.col("n") >= least_share * F.col("total")).select("cluster")
-    return all_reads.join(large, "cluster", "left_semi").select("read_id", "cluster")
+    schema = ", ".join([f"{k} {kinds[k]}" for k in keys] + [f"read_id {kinds['read_id']}", f"cluster {kinds['read_id']}"])
+    found = edges.select(*keys, "a", "b", F.col("score").cast("double").alias("score")).groupBy(*keys).applyInPandas(kernel, schema)
+    all_reads = reads.select(*keys, "read_id").join(found, [*keys, "read_id"], "left").withColumn("cluster", F.coalesce("cluster", "read_id"))
+    sizes = all_reads.groupBy(*keys, "cluster").agg(F.count("*").alias("n"))
+    total = all_reads.groupBy(*keys).agg(F.count("*").alias("total"))
+    with_total = sizes.join(total, keys) if keys else sizes.join(F.broadcast(total))
+    large = with_total.where(F.col("n") >= least_share * F.col("total")).select(*keys, "cluster")
+    return all_reads.join(large, [*keys, "cluster"], "left_semi").select(*keys, "read_id", "cluster")
 
 
 def vectors(reads: DataFrame, mods: DataFrame, length: int) -> DataFrame:
-    """reads with features: a sparse MLlib vector of their positions."""
-    from pyspark.ml.linalg import SparseVector, VectorUDT
+    """reads with features: an MLlib vector of length 0s and 1s, made in the JVM."""
+    from pyspark.ml.functions import array_to_vector
 
-    lists = mods.groupBy("read_id").agg(F.array_sort(F.collect_list(F.col("pos").cast("int"))).alias("p"))
-    make = F.udf(lambda p: SparseVector(length, p or [], [1.0] * len(p or [])), VectorUDT())
-    return reads.join(lists, "read_id", "left").withColumn("features", make("p")).drop("p")
+    lists = mods.groupBy("read_id").agg(F.collect_set(F.col("pos").cast("int")).alias("_p"))
+    places = F.sequence(F.lit(0), F.lit(length - 1))
+    dense = F.transform(places, lambda i: F.coalesce(F.array_contains("_p", i), F.lit(False)).cast("double"))
+    return reads.join(lists, "read_id", "left").withColumn("features", array_to_vector(dense)).drop("_p")
 
 
 def k_means(points: DataFrame, k: int, seed: int = 386) -> DataFrame:
@@ -117,6 +123,22 @@ def k_means(points: DataFrame, k: int, seed: int = 386) -> DataFrame:
     return model.transform(points).withColumn("cluster", F.col("cluster").cast("long"))
 
 
+def lloyd_step(reads: DataFrame, mods: DataFrame, assignments: DataFrame, length: int) -> DataFrame:
+    """(read_id, cluster, distance): one step of k-means from assignments (read_id, cluster): each read goes to the cluster with
+    the nearest mean by squared distance, ties to the smallest; the means, clusters x length numbers at most, are broadcast."""
+    size = assignments.groupBy("cluster").agg(F.count("*").alias("n"))
+    counts = mods.join(assignments, "read_id").groupBy("cluster", "pos").agg(F.count("*").alias("c"))
+    mean = counts.join(F.broadcast(size), "cluster").select("cluster", "pos", (F.col("c") / F.col("n")).alias("m"))
+    norm = size.select("cluster").join(mean.groupBy("cluster").agg(F.sum(F.col("m") * F.col("m")).alias("s")), "cluster", "left").select("cluster", F.coalesce("s", F.lit(0.0)).alias("s"))
+    # |x - m|^2 = |m|^2 + sum over the read's positions of 1 - 2 m
+    per_read = mods.join(reads.select("read_id"), "read_id", "left_semi").join(F.broadcast(mean), "pos").groupBy("read_id", "cluster").agg(F.sum("m").alias("hit"))
+    n = reads.select("read_id").join(mods.groupBy("read_id").agg(F.count("*").alias("k")), "read_id", "left")
+    grid = n.join(F.broadcast(norm)).join(per_read, ["read_id", "cluster"], "left")
+    far = grid.select("read_id", "cluster", F.round(F.col("s") + F.coalesce("k", F.lit(0)) - 2 * F.coalesce("hit", F.lit(0.0)), 9).alias("d"))
+    best = far.groupBy("read_id").agg(F.min(F.struct("d", "cluster")).alias("m"))
+    return best.select("read_id", "m.cluster", F.col("m.d").alias("distance"))
+
+
 def principal_components(points: DataFrame, k: int = 2) -> DataFrame:
     """points (features) with pc (array of k)."""
     from pyspark.ml.feature import PCA

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import math
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -40,6 +41,39 @@ class Weights:
         return cls(np.log(pi) + off.sum(1), np.log(mu + EPS) - off)
 
 
+@dataclass
+class LocalSets:
+    """Few position sets, held by the driver: set number and position of each modification, and the sets' weights."""
+
+    row: np.ndarray
+    pos: np.ndarray
+    weight: np.ndarray
+
+    def em_pass(self, weights: Weights) -> Sums:
+        k_all, d = weights.by_pos.shape
+        n = len(self.weight)
+        ll = np.stack([np.bincount(self.row, w[self.pos], n) + c for w, c in zip(weights.by_pos, weights.const)])
+        total = np.logaddexp.reduce(ll, axis=0)
+        post = np.exp(ll - total) * self.weight
+        counts = np.stack([np.bincount(self.pos, p[self.row], d) for p in post])
+        return Sums(counts, post.sum(1), float((post * ll).sum()), float((self.weight * total).sum()))
+
+
+#: Modifications in distinct position sets up to which EM runs on the driver (about 100 MB of numbers for each four clusters).
+LOCAL_MODS = 2_000_000
+
+
+def gathered(sets: DataFrame, most: int = LOCAL_MODS) -> LocalSets | None:
+    """The sets on the driver if their counted modifications and rows are at most `most`, else None."""
+    rows, mods = sets.agg(F.count("*"), F.sum(F.size("p"))).first()
+    if rows > most or (mods or 0) > most:
+        return None
+    t = sets.select("p", "weight").toArrow()
+    p = t.column("p").combine_chunks()
+    sizes = np.asarray(p.value_lengths())
+    return LocalSets(np.repeat(np.arange(len(sizes)), sizes), np.asarray(p.flatten()).astype(np.int64), t.column("weight").to_numpy().astype(float))
+
+
 @dataclass
 class Sums:
     counts: np.ndarray  # K x D: posterior-weighted modifications
@@ -75,8 +109,10 @@ def predicted(sets: DataFrame, weights: Weights) -> DataFrame:
     return posteriors(sets, weights).withColumn("cluster", (F.array_position("post", F.array_max("post")) - 1).cast("long"))
 
 
-def em_pass(sets: DataFrame, weights: Weights) -> Sums:
+def em_pass(sets: DataFrame | LocalSets, weights: Weights) -> Sums:
     """One E-step, with the sums that any M-step needs."""
+    if isinstance(sets, LocalSets):
+        return sets.em_pass(weights)
     k_all, d = weights.by_pos.shape
     t = posteriors(sets, weights)
     post = [(F.col("weight") * F.col("post")[k]).alias(f"w{k}") for k in range(k_all)]
@@ -106,6 +142,7 @@ class Mixture:
     ll: float
     bic: float
     trace: list[tuple[int, float, float]] = field(default_factory=list)  # iteration, ll, change
+    converged: bool = True  # ended by its rule, not by the limit of iterations
 
     @property
     def weights(self) -> Weights:
@@ -135,11 +172,14 @@ def maximised(sums: Sums, prior: tuple[float, float] | None = None) -> tuple[np.
     return np.clip(mu, 0.0, 1.0), sums.totals / sums.totals.sum()
 
 
-def fit(sets: DataFrame, clusters: int, length: int, runs: int = 1, threshold: float = 0.5, min_iters: int = 20, max_iters: int = 100, seed: int = 386, hierarchical: bool = False) -> Mixture:
+def fit(sets: DataFrame, clusters: int, length: int, runs: int = 1, threshold: float = 0.5, min_iters: int = 20, max_iters: int = 1000, seed: int = 386, hierarchical: bool = False, local_mods: int = LOCAL_MODS) -> Mixture:
     """The run of least BIC. Starts are drawn from Beta(1.5, 20); a run ends when the likelihood changes by less than the
-    threshold after min_iters, or at max_iters. sets is cached meanwhile. Needs at least one read."""
+    threshold after min_iters, or at max_iters (min_iters at least) with converged False. sets is cached meanwhile; if it has
+    at most local_mods modifications, the same passes run on the driver. Needs at least one read."""
     sets = sets.cache()
+    max_iters = max(max_iters, min_iters)
     try:
+        passed = gathered(sets, local_mods) or sets
         n, ones = sets.agg(F.sum("weight"), F.sum(F.col("weight") * F.size("p"))).first()
         if not n:
             raise ValueError("no reads")
@@ -147,39 +187,40 @@ def fit(sets: DataFrame, clusters: int, length: int, runs: int = 1, threshold: f
         best: Mixture | None = None
         for run in range(runs):
             mu, pi = np.random.default_rng([seed, run]).beta(1.5, 20, (clusters, length)), np.full(clusters, 1 / clusters)
-            before, trace = 0.0, []
+            before, trace, done = 0.0, [], False
             for i in range(1, max_iters + 1):
-                sums = em_pass(sets, Weights.of(mu, pi))
+                sums = em_pass(passed, Weights.of(mu, pi))
                 mu, pi = maximised(sums, prior)
                 pi = np.maximum(pi, 1e-300)
                 trace.append((i, sums.complete, sums.complete - before))
-                if i >= min_iters and abs(sums.complete - before) < threshold:
+                if done := i >= min_iters and abs(sums.complete - before) < threshold:
                     break
                 before = sums.complete
-            found = Mixture(mu, pi, trace[-1][1], bic(n, clusters, length, trace[-1][1]), trace)
+            found = Mixture(mu, pi, trace[-1][1], bic(n, clusters, length, trace[-1][1]), trace, done)
             best = found if best is None or found.bic < best.bic else best
         return best
     finally:
         sets.unpersist()
 
 
-def fit_variational(sets: DataFrame, clusters: int, length: int, updates: int = 1000, tolerance: float = 1e-6, seed: int = 386) -> Mixture:
+def fit_variational(sets: DataFrame, clusters: int, length: int, updates: int = 1000, tolerance: float = 1e-6, seed: int = 386, local_mods: int = LOCAL_MODS) -> Mixture:
     """Variational Bayes with Dirichlet(1e-5) weights and Beta(1/2, 1/2) rates; the same passes with expected log rates."""
     sets = sets.cache()
     try:
-        n = sets.agg(F.sum("weight")).first()[0]
+        n, done = sets.agg(F.sum("weight")).first()[0], False
         start = np.random.default_rng(seed).beta(1.5, 20, (clusters, length))
-        sums, before = em_pass(sets, Weights.of(start, np.full(clusters, 1 / clusters))), None
+        passed = gathered(sets, local_mods) or sets
+        sums, before = em_pass(passed, Weights.of(start, np.full(clusters, 1 / clusters))), None
         for _ in range(updates):
             a, b = 0.5 + sums.counts, 0.5 + sums.totals[:, None] - sums.counts
             both, share = digamma(a + b), 1e-5 + sums.totals
             e_log, e_off = digamma(a) - both, digamma(b) - both
-            sums = em_pass(sets, Weights(digamma(share) - digamma(share.sum(keepdims=True)) + e_off.sum(1), e_log - e_off))
-            if before is not None and np.abs(sums.totals - before).max() < tolerance * n:
+            sums = em_pass(passed, Weights(digamma(share) - digamma(share.sum(keepdims=True)) + e_off.sum(1), e_log - e_off))
+            if done := before is not None and np.abs(sums.totals - before).max() < tolerance * n:
                 break
             before = sums.totals.copy()
         mu, pi = sums.counts / np.maximum(sums.totals[:, None], 1e-300), np.maximum(sums.totals / sums.totals.sum(), 1e-300)
-        return Mixture(mu, pi, sums.marginal, bic(n, clusters, length, sums.marginal))
+        return Mixture(mu, pi, sums.marginal, bic(n, clusters, length, sums.marginal), converged=bool(done))
     finally:
         sets.unpersist()
 
@@ -209,8 +250,9 @@ def spaced_means(mu: np.ndarray, gap: int = 4) -> np.ndarray:
     return out
 
 
-def solve_spaced(target: np.ndarray, gap: int = 4, rounds: int = 200, tolerance: float = 1e-10) -> np.ndarray:
-    """Rates whose spaced_means are the target, by damped fixed-point steps on the odds, kept within (0, 1)."""
+def solve_spaced(target: np.ndarray, gap: int = 4, rounds: int = 1000, tolerance: float = 1e-10) -> np.ndarray:
+    """Rates whose spaced_means are the target, by damped fixed-point steps on the odds, kept within (0, 1). Targets that no
+    rates have (they need more mutations than the gap allows) end with a warning and the last step."""
     target = np.clip(target, 0, 1 - 1e-9)
     mu = target.copy()
     for _ in range(rounds):
@@ -220,10 +262,11 @@ def solve_spaced(target: np.ndarray, gap: int = 4, rounds: int = 200, tolerance:
         if np.abs(new - mu).max() < tolerance:
             return new
         mu = new
+    warnings.warn(f"solve_spaced: not settled after {rounds} rounds", stacklevel=2)
     return mu
 
 
-def fit_spaced(sets: DataFrame, max_clusters: int, length: int, runs: int = 10, cutoff: float = 0.5, min_iters: int = 300, max_iters: int = 1000, gap: int = 4, seed: int = 386) -> list[Mixture]:
+def fit_spaced(sets: DataFrame, max_clusters: int, length: int, runs: int = 10, cutoff: float = 0.5, min_iters: int = 300, max_iters: int = 1000, gap: int = 4, seed: int = 386, local_mods: int = LOCAL_MODS) -> list[Mixture]:
     """EM for 1, 2, ... clusters while the BIC falls; each result is the run of the largest likelihood.
 
     Likelihoods are over the probability of a read without close mutations, and BIC counts the distinct position sets. A run
@@ -231,26 +274,26 @@ def fit_spaced(sets: DataFrame, max_clusters: int, length: int, runs: int = 10,
     """
     sets = sets.cache()
     try:
-        distinct = sets.count()
+        distinct, passed = sets.count(), gathered(sets, local_mods) or sets
         out: list[Mixture] = []
         for clusters in range(1, max_clusters + 1):
             best: Mixture | None = None
             for run in range(1 if clusters == 1 else runs):
                 rng = np.random.default_rng([seed, clusters, run])
                 mu, pi, before, trace = rng.beta(1.5, 20, (clusters, length)), np.full(clusters, 1 / clusters), -np.inf, []
-                least, most = (0, 10) if clusters == 1 else (min_iters, max_iters)
+                least, most, done = (0, 10, False) if clusters == 1 else (min_iters, max(min_iters, max_iters), False)
                 for i in range(1, most + 1):
                     w = Weights.of(mu, pi)
                     w.const = w.const - np.log([spaced_probability(m, gap)[0] for m in mu])
-                    sums = em_pass(sets, w)
+                    sums = em_pass(passed, w)
                     means, share = maximised(sums)
                     mu, pi = np.stack([solve_spaced(m, gap) for m in means]), np.maximum(share, 1e-300)
                     trace.append((i, sums.marginal, sums.marginal - before))
-                    if i >= least and sums.marginal - before <= cutoff:
+                    if done := i >= least and sums.marginal - before <= cutoff:
                         break
                     before = sums.marginal
                 ll = trace[-1][1]
-                found = Mixture(mu, pi, ll, math.log(max(distinct, 1)) * length * clusters - 2 * ll, trace)
+                found = Mixture(mu, pi, ll, math.log(max(distinct, 1)) * length * clusters - 2 * ll, trace, bool(done))
                 best = found if best is None or found.ll > best.ll else best
             if out and best.bic >= out[-1].bic:
                 break

@@ -17,24 +17,25 @@ def hash_uniform(*parts: Column | str) -> Column:
 
 
 def _traded(rows: DataFrame, turn: int, bucket_rows: int, n_reads: int) -> DataFrame:
-    """One round: reads are paired at random, and each pair deals the positions that only one of them has anew."""
+    """One round: reads are paired at random, and each pair deals the positions that only one of them has anew.
+
+    Each read of an even rank looks at the one after it and gives both reads' rows, so a round reads its input once and shuffles
+    once. Buckets hold about bucket_rows reads, so no task sorts a library.
+    """
     buckets = max(1, n_reads // bucket_rows)
     order = F.md5(F.concat_ws("|", F.col("seed"), F.col("read_id"), F.lit(turn)))
     dealt = rows.withColumn("_o", order).withColumn("_b", F.pmod(F.conv(F.substring("_o", 1, 8), 16, 10).cast("long"), F.lit(buckets)))
     w = Window.partitionBy("seed", "_b").orderBy("_o", "read_id")
-    dealt = dealt.withColumn("_r", F.row_number().over(w) - 1)
-    one, two = dealt.where("_r % 2 = 0"), dealt.where("_r % 2 = 1")
-    a = one.select("seed", "_b", F.expr("_r div 2").alias("_k"), F.col("read_id").alias("ra"), F.col("p").alias("pa"))
-    b = two.select("seed", "_b", F.expr("_r div 2").alias("_k"), F.col("read_id").alias("rb"), F.col("p").alias("pb"))
-    pair = a.join(b, ["seed", "_b", "_k"], "left")
-    both = F.array_intersect("pa", F.coalesce("pb", F.array().cast("array<bigint>")))
-    free = F.concat(F.array_except("pa", F.coalesce("pb", F.array().cast("array<bigint>"))), F.array_except(F.coalesce("pb", F.array().cast("array<bigint>")), "pa"))
-    keyed = F.transform(free, lambda x: F.struct(F.md5(F.concat_ws("|", F.col("seed"), F.col("ra"), F.lit(turn), x.cast("string"))).alias("k"), x.alias("x")))
+    pair = dealt.select("seed", "read_id", "p", (F.row_number().over(w) % 2).alias("_odd"), F.lead("read_id").over(w).alias("rb"), F.lead("p").over(w).alias("pb")).where("_odd = 1")
+    pb = F.coalesce("pb", F.array().cast("array<bigint>"))
+    both = F.array_intersect("p", pb)
+    free = F.concat(F.array_except("p", pb), F.array_except(pb, "p"))
+    keyed = F.transform(free, lambda x: F.struct(F.md5(F.concat_ws("|", F.col("seed"), F.col("read_id"), F.lit(turn), x.cast("string"))).alias("k"), x.alias("x")))
     mixed = F.transform(F.array_sort(keyed), lambda s: s["x"])
-    pair = pair.withColumn("both", both).withColumn("mixed", mixed).withColumn("na", F.size("pa") - F.size("both"))
-    first = pair.select("seed", F.col("ra").alias("read_id"), F.concat("both", F.slice("mixed", 1, F.col("na"))).alias("p"))
-    second = pair.where("rb is not null").select("seed", F.col("rb").alias("read_id"), F.concat("both", F.slice("mixed", F.col("na") + 1, F.size("mixed") - F.col("na"))).alias("p"))
-    return first.unionByName(second)
+    pair = pair.withColumn("both", both).withColumn("mixed", mixed).withColumn("na", F.size("p") - F.size("both"))
+    first = F.struct(F.col("read_id"), F.concat("both", F.slice("mixed", 1, F.col("na"))).alias("p"))
+    second = F.struct(F.col("rb").alias("read_id"), F.concat("both", F.slice("mixed", F.col("na") + 1, F.size("mixed") - F.col("na"))).alias("p"))
+    return pair.select("seed", F.inline(F.array(first, second))).where("read_id is not null")
 
 
 def shuffled_library(mods: DataFrame, seeds: list[int], rounds: int = 4, bucket_rows: int = 5000) -> DataFrame:
@@ -93,7 +94,8 @@ def independent_reads(rates: DataFrame, histogram: DataFrame, length: int, limit
     in the histogram (n_mods, n_reads). Empty reads have no rows.
 
     Each read is drawn given its number of modifications, so every quota is filled; one that the rates rule out is an error.
-    With a limit, so many reads are drawn whatever their number, and the first ones up to the quotas stay.
+    With a limit (rejection), so many reads are drawn whatever their number, and the first ones up to the quotas stay; quotas()
+    tells which ones were not filled.
     rates: (pos, rate), one row for each position; they are broadcast, as is a table of positions x numbers of modifications.
     """
     spark = rates.sparkSession
@@ -116,6 +118,13 @@ def independent_reads(rates: DataFrame, histogram: DataFrame, length: int, limit
     return ranked.where(F.col("_n") <= F.col("n_reads")).select("read_id", F.explode("p").alias("pos"))
 
 
+def quotas(histogram: DataFrame, made: DataFrame) -> DataFrame:
+    """(n_mods, quota, n): of each number of modifications the reads asked for and the reads in made (read_id, pos)."""
+    counts = made.groupBy("read_id").agg(F.count("*").alias("n_mods")).groupBy("n_mods").agg(F.count("*").alias("n"))
+    asked = histogram.where("n_mods > 0").select("n_mods", F.col("n_reads").alias("quota"))
+    return asked.join(counts, "n_mods", "left").select("n_mods", "quota", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def margin_fit(real: DataFrame, simulated: DataFrame, key: str) -> DataFrame:
     """(r2): how well a margin (key, n) of the simulated library follows the real one."""
     t = real.select(key, F.col("n").alias("y")).join(simulated.select(key, F.col("n").alias("x")), key, "left").withColumn("x", F.coalesce("x", F.lit(0)))

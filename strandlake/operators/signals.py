@@ -52,7 +52,7 @@ def align_self(signals: DataFrame) -> DataFrame:
 
 def align(signals: DataFrame, references: dict[str, np.ndarray], normalise: bool = True) -> DataFrame:
     """(id, reference, first, last, final_length, distance, similarity, norm_score) of every signal (id, samples) on every
-    reference; signals without samples have no rows. norm_score: the distance over the root of the query's length.
+    reference; signals without samples have no rows. norm_score: the distance over the query's length.
 
     References are few and are broadcast; signals are aligned where they are.
     """
@@ -67,7 +67,7 @@ def align(signals: DataFrame, references: dict[str, np.ndarray], normalise: bool
                 q = np.asarray(samples, float)
                 for name, ref in shared.value.items():
                     first, last, d = subsequence_path(scaled(ref), scaled(q)) if normalise else subsequence_path(ref, q)
-                    rows.append((i, name, first, last, last - first, d, 1 / (1 + d), d / np.sqrt(len(q))))
+                    rows.append((i, name, first, last, last - first, d, 1 / (1 + d), d / len(q)))
             yield pd.DataFrame(rows, columns=["id", "reference", "first", "last", "final_length", "distance", "similarity", "norm_score"])
 
     return signals.select("id", "samples").mapInPandas(run, "id long, reference string, first long, last long, final_length long, distance double, similarity double, norm_score double")

@@ -50,6 +50,7 @@ class Simulation:
     similarity: float = 0.5
     rate: float = 0.02
     false_positives: float = 0.0
+    on_top: bool = False  # false positives come on top of the rate, instead of out of it
     seed: int = 386
 
 
@@ -82,12 +83,13 @@ def truths(spark: SparkSession, s: Simulation) -> DataFrame:
 
 
 def library(spark: SparkSession, s: Simulation) -> DataFrame:
-    """(read_id, truth, pos): each read is modified at unpaired positions of its cluster's structure, on average at rate of
-    all positions, and anywhere else with the probability of a false positive."""
+    """(read_id, truth, pos): each read is modified at unpaired positions of its cluster's structure, and anywhere with the
+    probability of a false positive. The rate is that of all modifications, and the real ones have what the false ones leave of
+    it, unless these come on top."""
     st = structures(spark, s)
     share = st.groupBy("cluster").agg(F.avg(F.when(F.col("unpaired"), 1.0).otherwise(0.0)).alias("open"))
     grid = truths(spark, s).join(F.broadcast(st.join(share, "cluster").withColumnRenamed("cluster", "truth")), "truth")
-    chance = F.when(F.col("unpaired"), F.least(F.lit(1.0), F.lit(s.rate) / F.nullif(F.col("open"), F.lit(0.0)))).otherwise(F.lit(0.0))
+    chance = F.when(F.col("unpaired"), F.least(F.lit(1.0), F.lit(s.rate if s.on_top else max(s.rate - s.false_positives, 0.0)) / F.nullif(F.col("open"), F.lit(0.0)))).otherwise(F.lit(0.0))
     hit = hash_uniform("mod", F.col("read_id"), F.col("pos"), str(s.seed)) < chance
     wrong = hash_uniform("err", F.col("read_id"), F.col("pos"), str(s.seed)) < s.false_positives
     return grid.where(hit | wrong).select("read_id", "truth", "pos")

@@ -23,7 +23,7 @@ class Settings:
     runs: int = 1
     threshold: float = 0.5
     min_iters: int = 20
-    max_iters: int = 100
+    max_iters: int = 1000
     unknown: float = 0.0
     least: int = -1
     share: float | None = None

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bits, matrix, models
+from . import bits, ensembles, files, matrix, models
 
-_MODULES = [matrix, bits, models]
+_MODULES = [matrix, bits, models, ensembles, files]
 
 
 def queries() -> dict:

@@ -609,14 +609,24 @@ def sim_structures(spark, sf):
     return simulate.structures(spark, simulate.Simulation())
 
 
-@query(
-    "sim_library",
-    _SIM
-    + f""",
+def _library_sql(rate: str) -> str:
+    return (
+        _SIM
+        + f""",
 t AS (SELECT id AS read_id, CASE WHEN {_HASH.format("'truth|' || id || '|386'")} < 0.5 THEN 0 ELSE 1 END AS truth FROM (SELECT cast(unnest(range(0, 100)) AS BIGINT) AS id)),
 o AS (SELECT cluster, avg(CASE WHEN unpaired THEN 1.0::DOUBLE ELSE 0 END) AS open FROM st GROUP BY cluster)
 SELECT read_id, cast(truth AS BIGINT) AS truth, pos FROM t JOIN st ON truth = st.cluster JOIN o ON o.cluster = st.cluster
-WHERE (unpaired AND {_HASH.format("'mod|' || read_id || '|' || pos || '|386'")} < least(1, cast(0.02 AS DOUBLE) / open)) OR {_HASH.format("'err|' || read_id || '|' || pos || '|386'")} < cast(0.001 AS DOUBLE)""",
-)
+WHERE (unpaired AND {_HASH.format("'mod|' || read_id || '|' || pos || '|386'")} < least(1, cast({rate} AS DOUBLE) / open)) OR {_HASH.format("'err|' || read_id || '|' || pos || '|386'")} < cast(0.001 AS DOUBLE)"""
+    )
+
+
+@query("sim_library", _library_sql("0.02"))
 def sim_library(spark, sf):
+    """False positives on top of the rate."""
+    return simulate.library(spark, simulate.Simulation(false_positives=0.001, on_top=True))
+
+
+@query("sim_library_net", _library_sql("0.019"))
+def sim_library_net(spark, sf):
+    """The rate is that of all modifications."""
     return simulate.library(spark, simulate.Simulation(false_positives=0.001))

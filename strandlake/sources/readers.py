@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,17 +18,33 @@ def read_ids(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     return spark.read.schema("row_idx long, read_id string, length long, start long").option("mode", "PERMISSIVE").csv(path, sep=sep)
 
 
-def matrix_market(spark: SparkSession, path: str, width: int | None = None) -> DataFrame:
-    """(row_idx, pos), 0-based, of the entries other than 0. A matrix wider than `width` is an error when it is read."""
-    lines = spark.read.text(path).withColumn("_at", F.monotonically_increasing_id()).where(~F.col("value").startswith("%") & (F.trim("value") != ""))
-    first = lines.agg(F.min("_at").alias("_first"), F.min_by("value", "_at").alias("_dims"))
-    cells = lines.join(F.broadcast(first))
+def matrix_market(spark: SparkSession, path: str, width: int | None = None, named: bool = False) -> DataFrame:
+    """(row_idx, pos), 0-based, of the entries other than 0; with named, also matrix: its file, or its folder of part files.
+
+    Several matrices may stand under one path. The first line of each that is no comment has its dimensions. A matrix wider than
+    `width` is an error when it is read.
+    """
+    file = F.col("_metadata.file_path")
+    of = F.when(file.rlike("/part-[^/]*$"), F.regexp_replace(file, "/[^/]*$", "")).otherwise(file)
+    at = F.struct(file, F.col("_metadata.file_block_start"), F.monotonically_increasing_id())  # large files are read first
+    lines = spark.read.text(path).select("value", of.alias("matrix"), at.alias("_at")).where(~F.col("value").startswith("%") & (F.trim("value") != ""))
+    first = lines.groupBy("matrix").agg(F.min("_at").alias("_first"), F.min_by("value", "_at").alias("_dims"))
+    cells = lines.join(first, "matrix")
     if width is not None:
         wide = F.split(F.trim("_dims"), "\\s+")[1].cast("long") > width
         cells = cells.where(F.when(wide, F.raise_error(F.lit("the matrix is wider than its gene"))).otherwise(F.lit(True)))
     part = F.split(F.trim("value"), "\\s+")
-    cells = cells.where(F.col("_at") != F.col("_first")).select((part[0].cast("long") - 1).alias("row_idx"), (part[1].cast("long") - 1).alias("pos"), F.coalesce(F.get(part, F.lit(2)).cast("double"), F.lit(1.0)).alias("v"))
-    return cells.where("v <> 0").select("row_idx", "pos")
+    cells = cells.where(F.col("_at") != F.col("_first")).select("matrix", (part[0].cast("long") - 1).alias("row_idx"), (part[1].cast("long") - 1).alias("pos"), F.coalesce(F.get(part, F.lit(2)).cast("double"), F.lit(1.0)).alias("v"))
+    return cells.where("v <> 0").select(*["matrix"] * named, "row_idx", "pos")
+
+
+def dense_table(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
+    """(bits, p) of the rows of a table of 0s and 1s: their text without separators and the positions of the 1s. A header line
+    of positions or names, in each file or in the first, is no such row."""
+    rows = spark.read.text(path).where(F.col("value").rlike("^[01](?:" + re.escape(sep) + "[01])*$"))
+    cells = F.split("value", re.escape(sep))
+    ones = F.filter(F.transform(cells, lambda x, i: F.when(x == "1", i.cast("long"))), lambda x: x.isNotNull())
+    return rows.select(F.array_join(cells, "").alias("bits"), ones.alias("p"))
 
 
 def read_matrix(spark: SparkSession, matrix: str, ids: str, gene: str, sizes_path: str, sep: str = ",", share: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -41,11 +59,11 @@ def read_matrix(spark: SparkSession, matrix: str, ids: str, gene: str, sizes_pat
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(id, seq): records of a FASTA file; the id is the header's first word. Files are read whole: one file, one task."""
-    files = spark.read.text(path, wholetext=True)
-    record = F.explode(F.expr("filter(split(value, '(^|\\\\n)>'), x -> trim(x) <> '')")).alias("r")
-    head = F.regexp_extract("r", r"^(\S*)", 1)
-    return files.select(record).select(head.alias("id"), F.upper(F.regexp_replace(F.regexp_replace("r", r"^[^\n]*\n?", ""), r"\s", "")).alias("seq"))
+    """(id, seq): records of FASTA files; the id is the header's first word. Files are cut at their records, so a task holds one
+    record at a time, not a file."""
+    record = F.regexp_replace("value", "^>", "")
+    rows = spark.read.text(path, lineSep="\n>").where(F.trim(F.regexp_replace(record, "\\s", "")) != "").select(record.alias("r"))
+    return rows.select(F.regexp_extract("r", r"^(\S*)", 1).alias("id"), F.upper(F.regexp_replace(F.regexp_replace("r", r"^[^\n]*\n?", ""), r"\s", "")).alias("seq"))
 
 
 def phred(spark: SparkSession, path: str) -> dict[str, int]:
@@ -54,13 +72,15 @@ def phred(spark: SparkSession, path: str) -> dict[str, int]:
     return {r["p"][1]: int(r["p"][0]) for r in rows if r["p"][0].isdigit()}
 
 
-def sam(spark: SparkSession, path: str) -> DataFrame:
-    """Alignments: qname, flag, rname, pos (1-based), mapq, cigar, rnext, pnext, tlen, seq, qual, md."""
+def sam(spark: SparkSession, path: str, every: bool = False) -> DataFrame:
+    """Alignments: qname, flag, rname, pos (1-based), mapq, cigar, rnext, pnext, tlen, seq, qual, md. Secondary and
+    supplementary ones (flags 256 and 2048) are left out unless every is set: bits of a mate come from one alignment."""
     p = F.split("value", "\t")
     names = ("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual")
     cols = [(p[i].cast("long") if n in ("flag", "pos", "mapq", "pnext", "tlen") else p[i]).alias(n) for i, n in enumerate(names)]
     md = F.regexp_extract("value", r"\tMD:Z:(\S+)", 1)
-    return spark.read.text(path).where("value NOT RLIKE '^@(HD|SQ|RG|PG|CO)\t' AND size(split(value, '\t')) >= 11").select(*cols, md.alias("md"))
+    rows = spark.read.text(path).where("value NOT RLIKE '^@(HD|SQ|RG|PG|CO)\t' AND size(split(value, '\t')) >= 11").select(*cols, md.alias("md"))
+    return rows if every else rows.where(F.col("flag").bitwiseAND(256 + 2048) == 0)
 
 
 def paired(alignments: DataFrame) -> DataFrame:
@@ -114,12 +134,19 @@ def arcs_bed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def svg_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(x, y, text) of the text nodes of an SVG file."""
-    node = r'<text[^>]*x="([-0-9.]+)"[^>]*y="([-0-9.]+)"[^>]*>([^<]*)</text>'
-    rows = spark.read.text(path).where(F.col("value").rlike(node))
-    return rows.select(F.regexp_extract("value", node, 1).cast("double").alias("x"), F.regexp_extract("value", node, 2).cast("double").alias("y"), F.regexp_extract("value", node, 3).alias("text"))
-
-
-def signals(spark: SparkSession, path: str) -> DataFrame:
-    """(id, samples) from Parquet."""
-    return spark.read.parquet(path).select("id", "samples")
+    """(x, y, text) of the text nodes of SVG files; attributes stand in any order, and a node may go over several lines."""
+    node = F.explode(F.regexp_extract_all("value", F.lit(r"(?s)(<text\b[^>]*>[^<]*)</text>"), F.lit(1))).alias("node")
+    rows = spark.read.text(path, lineSep="</svg>").select(F.concat("value", F.lit("")).alias("value")).select(node)
+    at = lambda name: F.regexp_extract("node", rf'\s{name}="([-0-9.]+)"', 1)
+    rows = rows.where((at("x") != "") & (at("y") != ""))
+    return rows.select(at("x").cast("double").alias("x"), at("y").cast("double").alias("y"), F.regexp_extract("node", r"(?s)>([^<]*)$", 1).alias("text"))
+
+
+def signals(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
+    """(id, samples) from Parquet; with sep, ids that are names parted by it also give (run, read): what stands before its last
+    place and behind it."""
+    rows = spark.read.parquet(path).select("id", "samples")
+    if sep is None:
+        return rows
+    parts = F.split("id", re.escape(sep))
+    return rows.withColumn("run", F.array_join(F.slice(parts, 1, F.size(parts) - 1), sep)).withColumn("read", F.element_at(parts, -1))

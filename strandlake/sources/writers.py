@@ -32,6 +32,36 @@ def dense_table_lines(reads: DataFrame, mods: DataFrame, length: int) -> DataFra
     return head.unionByName(dense_text(reads, mods, length, "\t").select(F.col("bits").alias("value")))
 
 
+def matrix_market_lines(entries: DataFrame, rows: int, columns: int) -> DataFrame:
+    """Lines of a MatrixMarket file from 0-based (row_idx, pos), the dimensions first."""
+    spark, n = entries.sparkSession, entries.count()
+    head = spark.createDataFrame([("%%MatrixMarket matrix coordinate integer general",), (f"{rows} {columns} {n}",)], "value string").coalesce(1)
+    return head.unionByName(entries.select(F.format_string("%d %d 1", F.col("row_idx") + 1, F.col("pos") + 1).alias("value")))
+
+
+def mutation_summary(reads: DataFrame, mods: DataFrame, length: int) -> dict[str, DataFrame]:
+    """histogram (n_mut, n_reads) and coverage (pos, n, share): how many reads are modified at a position, and their share."""
+    n = reads.agg(F.count("*").alias("total"))
+    per_read = reads.select("read_id").join(mods.groupBy("read_id").agg(F.count("*").alias("k")), "read_id", "left")
+    places = reads.sparkSession.range(length).withColumnRenamed("id", "pos")
+    at = places.join(mods.groupBy("pos").agg(F.count("*").alias("n")), "pos", "left").select("pos", F.coalesce("n", F.lit(0)).alias("n"))
+    return {
+        "histogram": per_read.groupBy(F.coalesce("k", F.lit(0)).alias("n_mut")).agg(F.count("*").alias("n_reads")),
+        "coverage": at.join(F.broadcast(n)).select("pos", "n", (F.col("n") / F.col("total")).alias("share")),
+    }
+
+
+def run_log(spark, runs: list[Mixture], parameters: dict[str, object] | None = None) -> dict[str, DataFrame]:
+    """runs (run, clusters, ll, bic, iterations, converged, largest) and parameters (name, value) of a fit's restarts; largest
+    marks the run of the largest likelihood of its number of clusters."""
+    top = {len(m.pi): max(x.ll for x in runs if len(x.pi) == len(m.pi)) for m in runs}
+    rows = [(i, len(m.pi), float(m.ll), float(m.bic), len(m.trace), bool(m.converged), m.ll == top[len(m.pi)]) for i, m in enumerate(runs)]
+    return {
+        "runs": spark.createDataFrame(rows, "run long, clusters long, ll double, bic double, iterations long, converged boolean, largest boolean"),
+        "parameters": spark.createDataFrame([(k, str(v)) for k, v in (parameters or {}).items()], "name string, value string"),
+    }
+
+
 def fasta_lines(sequences: DataFrame) -> DataFrame:
     """Lines of a FASTA file from (id, seq)."""
     return sequences.select(F.explode(F.array(F.concat(F.lit(">"), "id"), "seq")).alias("value"))
@@ -59,4 +89,4 @@ def mixture_tables(spark, mixture: Mixture) -> dict[str, DataFrame]:
 def write_mixture(spark, mixture: Mixture, path: str) -> None:
     for name, table in mixture_tables(spark, mixture).items():
         table.write.parquet(f"{path}/{name}")
-    spark.createDataFrame([(json.dumps({"ll": mixture.ll, "bic": mixture.bic}),)], "value string").write.text(f"{path}/summary")
+    spark.createDataFrame([(json.dumps({"ll": mixture.ll, "bic": mixture.bic, "converged": mixture.converged}),)], "value string").write.text(f"{path}/summary")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import stats
 from strandlake.operators import bitvec, clustering, evaluate, filters, mixtures, nulls, ordered, regions, signals, simulate, structure, windows
-from strandlake.plans import benchmark, folding, heterogeneity, library, two_sample
+from strandlake.plans import benchmark, ensembles, folding, heterogeneity, library, two_sample
 from strandlake.queries import models
 from strandlake.sources import readers, writers
 
@@ -281,8 +281,8 @@ def test_registered_fits_run_to_the_operators_defaults(spark, monkeypatch, mixtu
     for name in ("embedding_mods", "order_mods"):
         monkeypatch.setattr(models, name, lambda *_: mods)
     for query, name, want in (
-        ("bmm_fit", "fit", {"min_iters": 20, "max_iters": 100}),
-        ("hbbmm_fit", "fit", {"min_iters": 20, "max_iters": 100, "hierarchical": True}),
+        ("bmm_fit", "fit", {"min_iters": 20, "max_iters": 1000}),
+        ("hbbmm_fit", "fit", {"min_iters": 20, "max_iters": 1000, "hierarchical": True}),
         ("bmm_vi", "fit_variational", {"updates": 1000}),
         ("spaced_em_fit", "fit_spaced", {"runs": 10, "min_iters": 300, "max_iters": 1000}),
         ("two_sample_purity", "analyse", {"s": two_sample.Settings(length=models.L_ORDER)}),
@@ -326,3 +326,92 @@ def test_dtw_self_all_has_every_user(spark, monkeypatch):
     ev = spark.createDataFrame([(i, i % 3, i, float(i * 7 % 11)) for i in range(15)], "event_id long, user_id long, ts long, value double")
     monkeypatch.setattr(models, "table", lambda *_: ev)
     assert sorted(tuple(r) for r in models.QUERIES["dtw_self_all"](spark, "").collect()) == [(u, 0, 4, 0.0) for u in range(3)]
+
+
+def test_em_on_the_driver_is_that_of_the_executors(spark, mixture):
+    reads, mods = mixture[0], mixture[1]
+    sets = mixtures.position_sets(reads, mods)
+    local = mixtures.gathered(sets)
+    w = mixtures.Weights.of(mixtures.hashed_start(3, 10), np.full(3, 1 / 3))
+    a, b = mixtures.em_pass(sets, w), mixtures.em_pass(local, w)
+    assert np.allclose(a.counts, b.counts) and np.allclose(a.totals, b.totals) and np.allclose((a.complete, a.marginal), (b.complete, b.marginal))
+    assert mixtures.gathered(sets, 5) is None
+    x, y = (mixtures.fit(sets, 2, 10, max_iters=25, local_mods=n) for n in (0, 10**6))
+    assert np.allclose(x.mu, y.mu, atol=1e-6) and x.converged == y.converged
+    assert len(mixtures.fit(sets, 2, 10, min_iters=130, max_iters=100, threshold=np.inf).trace) == 130
+    assert not mixtures.fit(sets, 2, 10, min_iters=2, max_iters=2, threshold=0.0).converged
+
+
+def test_shuffled_library_reads_its_input_once_a_round(spark):
+    rng = np.random.default_rng(3)
+    mods = spark.createDataFrame([(f"r{i}", int(p)) for i in range(300) for p in rng.choice(30, 4, replace=False)], "read_id string, pos long")
+    sizes = []
+    for rounds in (1, 4):
+        plan = nulls.shuffled_library(mods, [1, 2], rounds, 50)._jdf.queryExecution().optimizedPlan().toString()
+        sizes.append((plan.count("LogicalRDD") + plan.count("LocalRelation") + plan.count("Relation ["), plan.count("Window ")))
+    assert sizes[0][0] == sizes[1][0] and sizes[1][1] == 4 * sizes[0][1]
+    made, real = nulls.shuffled_library(mods, [1, 2], 4, 50).toPandas(), mods.toPandas()
+    for seed in (1, 2):
+        own = made[made["seed"] == seed]
+        assert own.groupby("pos").size().equals(real.groupby("pos").size()) and own.groupby("read_id").size().equals(real.groupby("read_id").size())
+        assert not own.duplicated().any()
+        assert len(own.merge(real, on=["read_id", "pos"])) < 0.5 * len(real)
+
+
+def test_communities_of_string_ids_and_genes(spark):
+    edges = [(g, f"{g}{a}", f"{g}{b}", 1.0) for g in "xy" for k in (0, 10) for a in range(k, k + 4) for b in range(a + 1, k + 4)] + [("x", "x3", "x10", 1.0)]
+    reads = spark.createDataFrame([(g, f"{g}{i}") for g in "xy" for i in (*range(4), *range(10, 14), 99)], "gene string, read_id string")
+    e = spark.createDataFrame(edges, "gene string, a string, b string, score double")
+    got = {(r["gene"], r["read_id"]): r["cluster"] for r in clustering.communities(reads, e, by=("gene",)).collect()}
+    assert len(got) == 18 and got["x", "x99"] == "x99"
+    assert all(got[g, f"{g}{i}"] == (f"{g}0" if i < 4 else f"{g}10") for g in "xy" for i in (*range(4), *range(10, 14)))
+    one = clustering.communities(reads.where("gene = 'x'").select("read_id"), e.where("gene = 'x'"))
+    assert dict(one.dtypes) == {"read_id": "string", "cluster": "string"} and one.count() == 9
+
+
+def test_lloyd_steps_lead_to_the_nearest_means(spark):
+    rng = np.random.default_rng(5)
+    x = (rng.random((40, 12)) < 0.4).astype(int)
+    reads = spark.createDataFrame([(i,) for i in range(40)], "read_id long")
+    mods = spark.createDataFrame([(int(i), int(p)) for i, p in zip(*np.nonzero(x))], "read_id long, pos long")
+    start = spark.createDataFrame([(i, i % 3) for i in range(40)], "read_id long, cluster long")
+    got = {r["read_id"]: (r["cluster"], r["distance"]) for r in clustering.lloyd_step(reads, mods, start, 12).collect()}
+    means = np.stack([x[np.arange(40) % 3 == k].mean(0) for k in range(3)])
+    d = ((x[:, None, :] - means[None]) ** 2).sum(2)
+    assert all(got[i][0] == int(np.round(d[i], 9).argmin()) and abs(got[i][1] - d[i].min()) < 1e-8 for i in range(40))
+
+
+def test_readers_take_apart_what_stands_together(spark, tmp_path):
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "a.mtx").write_text("%%MatrixMarket\n3 4 2\n1 1 1\n3 4 1\n")
+    (tmp_path / "m" / "b.mtx").write_text("%%MatrixMarket\n% x\n2 9 2\n2 9 1\n1 2 0\n")
+    got = {(r["matrix"].rsplit("/", 1)[1], r["row_idx"], r["pos"]) for r in readers.matrix_market(spark, str(tmp_path / "m"), named=True).collect()}
+    assert got == {("a.mtx", 0, 0), ("a.mtx", 2, 3), ("b.mtx", 1, 8)}
+    (tmp_path / "f.fa").write_text(">g1 first > second\nacg\nT\n\n>g2\nGG>x\n>g3\n")
+    assert [tuple(r) for r in readers.fasta(spark, str(tmp_path / "f.fa")).orderBy("id").collect()] == [("g1", "ACGT"), ("g2", "GG>X"), ("g3", "")]
+    (tmp_path / "p.svg").write_text('<svg>\n<text y="2.5"\n class="t" x="1">A</text><text x="3" y="4">G\n</text>\n<text x="3">no</text></svg>')
+    assert sorted(tuple(r) for r in readers.svg_texts(spark, str(tmp_path / "p.svg")).collect()) == [(1.0, 2.5, "A"), (3.0, 4.0, "G\n")]
+    (tmp_path / "d.csv").write_text("0,1,2\n0,1,1\n0,0,0\n")
+    assert sorted((r["bits"], r["p"]) for r in readers.dense_table(spark, str(tmp_path / "d.csv"), ",").collect()) == [("000", []), ("011", [1, 2])]
+    sam = "q\t{}\tr\t5\t9\t3M\t=\t9\t0\tACG\tIII\tMD:Z:3\n"
+    (tmp_path / "x.sam").write_text("@HD\tx\n" + sam.format(99) + sam.format(99 + 256) + sam.format(2048 + 147))
+    assert [r["flag"] for r in readers.sam(spark, str(tmp_path / "x.sam")).collect()] == [99] and readers.sam(spark, str(tmp_path / "x.sam"), True).count() == 3
+
+
+def test_similarity_scores_are_over_the_length_of_the_query(spark):
+    x = spark.createDataFrame([(1, [0.0, 2.0, 0.0])], "id long, samples array<double>")
+    (r,) = signals.align(x, {"flat": np.zeros(5)}, normalise=False).collect()
+    assert r["distance"] == 2.0 and abs(r["norm_score"] - 2 / 3) < 1e-12
+
+
+def test_ensembles(spark):
+    dbs = ["((...))....", "((....))...", "((...))....", "....((...))", "...((....))", "....((...))", "....((...))"]
+    structs = spark.createDataFrame(list(enumerate(dbs)), "struct_id long, db string")
+    for method in ("kmeans", "bmm"):
+        got = ensembles.analyse(structs, 11, ensembles.Settings(method=method), lambda reads: reads.withColumn("truth", (F.col("read_id") > 2).cast("long")))
+        assert got["concordance"].first()[0] == 1.0
+        assert {(r["n"], r["db"]) for r in got["centres"].collect()} == {(3, "((...))...."), (4, "....((...))")}
+        (pair,) = got["similarity"].collect()
+        assert abs(pair["similarity"] - (1 - 6 / 11)) < 1e-12 and abs(pair["jaccard"] - 4 / 10) < 1e-12
+    made = ensembles.generated(spark.createDataFrame([("s", "ACGU", None)], "id string, seq string, reactivity array<double>"), lambda seq, react, t, n: ["." * len(seq)] * n, 3)
+    assert made.count() == 3
