@@ -18,9 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import crc_of_id, map_arrow, texts
 
-#: Rows to learn from, at most, for each language, and chunks of each of their texts, evenly spaced.
-SAMPLE_ROWS = 800
-SAMPLE_CHUNKS = 6
+#: Texts to learn from, about so many in all, evenly over the languages, at least one of each; they are learned from whole.
+SAMPLE_ROWS = 3200
 HIDDEN = 8
 CHUNK = 96
 STEPS = 240
@@ -150,13 +149,20 @@ def random_network(classes: int, hidden: int = HIDDEN, seed: int = 1) -> Network
     return Network(table, inner, np.zeros((h2, 1), np.float32), out, np.zeros((classes, 1), np.float32))
 
 
-def train(codes: np.ndarray, valid: np.ndarray, labels: np.ndarray, classes: int, steps: int = STEPS, hidden: int = HIDDEN, batch: int = BATCH, seed: int = 1) -> Network:
-    """Adam with a falling rate; each batch draws its rows evenly over the classes."""
+def train(codes: np.ndarray, valid: np.ndarray, labels: np.ndarray, owner: np.ndarray, steps: int = STEPS, hidden: int = HIDDEN, batch: int = BATCH, seed: int = 1) -> Network:
+    """Adam with a falling rate. Each batch draws evenly over the classes, in them over texts, and in these over their chunks.
+
+    owner: the text of each chunk; chunks of a text stand together and have one label; each class from 0 on has a text.
+    """
+    starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    sizes = np.diff(starts, append=len(owner))
+    classes = int(labels.max()) + 1
     net, rng = random_network(classes, hidden, seed), np.random.default_rng(seed + 1)
-    rows = [np.flatnonzero(labels == k) for k in range(classes)]
+    own = [np.flatnonzero(labels[starts] == k) for k in range(classes)]
     first, second = ({k: np.zeros_like(getattr(net, k)) for k in net.PARTS} for _ in range(2))
     for i in range(1, steps + 1):
-        pick = np.concatenate([rng.choice(r, -(-batch // classes)) for r in rows])
+        drawn = np.concatenate([rng.choice(x, -(-batch // classes)) for x in own])
+        pick = starts[drawn] + (rng.random(len(drawn)) * sizes[drawn]).astype(int)
         _, grad = net.gradients(codes[pick], valid[pick], labels[pick])
         size = float(np.sqrt(sum((g.astype(float) ** 2).sum() for g in grad.values())))
         rate = 0.02 * (1 - 0.95 * i / steps)
@@ -197,44 +203,40 @@ class Model:
         return langs, scores
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS, chunks: int = SAMPLE_CHUNKS, steps: int = STEPS, hidden: int = HIDDEN) -> Model:
-    """Learn from about `rows` documents of each language (a threshold on the hash of their ids; all of them if there are
-    fewer) with crc32(id) mod 4 other than 2. All languages are learned, from at most `chunks` chunks of
-    each text; with none, every text is UNKNOWN.
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS, steps: int = STEPS, hidden: int = HIDDEN) -> Model:
+    """Learn every non-null language from documents with crc32(id) mod 4 other than 2.
+
+    Texts are drawn by a threshold on their hashes, about `rows` / languages different ones of each language (all if there are
+    fewer), at least the one with the least hash; so copies and repeated rows count once and no id matters. A text that stands
+    under several languages counts for each. Null and empty texts teach nothing; without any other, or with an empty table, every
+    text is UNKNOWN. Long texts are learned from whole.
     """
-    known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    known = known.where("lang is not null and text is not null and text <> ''").where(crc_of_id("doc_id") % 4 != 2)
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    if not sizes:
+    known = docs.where(F.col(lang_col).isNotNull() & (F.coalesce(F.length(text_col), F.lit(0)) > 0)).where(crc_of_id(id_col) % 4 != 2)
+    known = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col, F.lit(7)).alias("h"))
+    # one row for each language
+    seen = sorted(known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"), F.min("h").alias("least")).collect())
+    if not seen:
         return Model([], None)
-    languages = sorted(sizes)
-    share = known.sparkSession.createDataFrame([(k, i, min(1.0, rows / sizes[k])) for i, k in enumerate(languages)], "lang string, y int, share double")
-    chosen = known.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 24)) < F.col("share") * (1 << 24))
-
-    def make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            y, doc, code, size = [], [], [], []
-            for i, k, t in zip(batch.column("doc_id").to_pylist(), batch.column("y").to_pylist(), texts(batch)):
-                raw = t.encode("utf-8", "surrogatepass")
-                all_chunks = chunked(raw)
-                for at in sorted({int(x) for x in np.linspace(0, len(all_chunks) - 1, min(chunks, len(all_chunks)))}):
-                    y.append(k)
-                    doc.append(i)
-                    code.append(all_chunks[at].tobytes())
-                    size.append(min(CHUNK, len(raw) - at * CHUNK))
-            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(y, pa.int32()), pa.array(code, pa.binary()), pa.array(size, pa.int32())], ["doc_id", "y", "code", "size"])
-
-        return step
+    share = rows / len(seen)
+    limits = [(r["lang"], y, max(r["least"], min((1 << 63) - 1, -(1 << 63) + int(min(1.0, share / max(r["n"], 1)) * (1 << 64))))) for y, r in enumerate(seen)]
+    table = known.sparkSession.createDataFrame(limits, "lang string, y int, most long")
+    chosen = known.join(F.broadcast(table), "lang").where("h <= most").groupBy("y", "h").agg(F.min("text").alias("text"))
 
-    got = map_arrow(chosen.select("doc_id", "y", "text"), make, "doc_id long, y int, code binary, size int").toArrow().sort_by([("doc_id", "ascending"), ("code", "ascending")])
-    codes = np.frombuffer(b"".join(got.column("code").to_pylist()), np.uint8).reshape(-1, CHUNK)
-    y = got.column("y").to_numpy()
-    return Model(languages, train(codes, got.column("size").to_numpy(), y, len(languages), steps, hidden))
+    got = chosen.toArrow().sort_by([("y", "ascending"), ("h", "ascending")])
+    raw = [t.encode("utf-8", "surrogatepass") for t in got.column("text").to_pylist()]
+    parts = [chunked(b) for b in raw]
+    n = np.array([len(p) for p in parts])
+    valid = np.minimum(CHUNK, np.repeat([len(b) for b in raw], n) - CHUNK * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)))
+    network = train(np.concatenate(parts), valid, np.repeat(got.column("y").to_numpy(), n), np.repeat(np.arange(len(raw)), n), steps, hidden)
+    return Model([r["lang"] for r in seen], network)
 
 
 def predicted(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """df with lang_pred and lang_score (double, 0 to 1), which replace columns of these names. Null texts and those without a
-    letter: UNKNOWN and 0."""
+    """df with lang_pred and lang_score (double, 0 to 1), which replace columns of these names.
+
+    Null texts and those without a letter, empty ones too: UNKNOWN and 0. Texts are scored whole, however long; repeated rows and ids
+    are kept and get equal results; an empty table gives no rows.
+    """
     df = df.drop("lang_pred", "lang_score")
     shared = df.sparkSession.sparkContext.broadcast(model)
 

@@ -213,7 +213,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, epochs: int
 
 
 def scored(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """df with the column quality (double, 0 to 1), which replaces one of that name. Null, empty and wordless texts get 0."""
+    """df with the column quality (double, 0 to 1), which replaces one of that name.
+
+    Null, empty and wordless texts get 0. Texts are scored whole, however long; repeated rows and ids are kept and get equal scores;
+    an empty table gives no rows.
+    """
     df = df.drop("quality")
     shared = df.sparkSession.sparkContext.broadcast(model)
 

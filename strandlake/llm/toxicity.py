@@ -1,7 +1,7 @@
 """Toxicity from a weighted lexicon, matched by Aho-Corasick.
 
-Texts are folded first (case, homoglyphs, digits and signs that stand for letters), so that spellings meant to evade the list
-meet it. Entries are whole words or beginnings of words. Matches inside an exception phrase don't count. The weights of the
+Texts are folded first (case, accents, homoglyphs, digits and signs that stand for letters), so that spellings meant to evade the
+list meet it. Entries are whole words or beginnings of words. Matches inside an exception phrase don't count. The weights of the
 matches, as they are and for the text's length, give a score through a logistic curve.
 
 A few entries are fixed; the others, all weights and the curve are learned from labelled rows.
@@ -12,6 +12,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
+import unicodedata
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
@@ -41,7 +42,7 @@ DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
 
 _table = {ord(k): v for k, v in (HOMOGLYPHS | DIGITS).items()}
 _table |= {c: chr(c - 0xFEE0).lower() for c in range(0xFF21, 0xFF5B) if chr(c - 0xFEE0).isalpha()}  # full-width letters
-_table |= dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])  # characters without width
+_table |= dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, *range(0x300, 0x370)])  # characters without width
 _inside = re.compile(r"(?<=\w)[!|](?=\w)")
 _before = re.compile(r"[@$](?=\w)")
 _word = re.compile(r"\w+")
@@ -50,6 +51,8 @@ _word = re.compile(r"\w+")
 def fold(text: str) -> list[str]:
     """The folded words of a text."""
     text = text.lower()
+    if not text.isascii():
+        text = unicodedata.normalize("NFKD", text)
     if "!" in text or "|" in text:
         text = _inside.sub("i", text)
     if "@" in text or "$" in text:
@@ -90,7 +93,14 @@ class Matcher:
                 spared.append((start, start + n))
             else:
                 best[start] = max(weight, best.get(start, weight))
-        return sum(w for at, w in best.items() if not any(a <= at < b for a, b in spared)), len(words)
+        spared.sort()
+        total, reach, k = 0.0, 0, 0
+        for at in sorted(best):
+            while k < len(spared) and spared[k][0] <= at:
+                reach, k = max(reach, spared[k][1]), k + 1
+            if at >= reach:
+                total += best[at]
+        return total, len(words)
 
     def score(self, text: str | None) -> float:
         weight, n = self.weigh(text)
@@ -232,8 +242,11 @@ def _curve(rows: DataFrame, model: Model, ridge: float = 1e-2) -> tuple[float, f
 
 
 def scored(df: DataFrame, model: Model, text_col: str = "text", out_col: str = "toxicity") -> DataFrame:
-    """df with the column out_col (double, 0 to 1), which replaces one of that name. Null, empty and wordless texts get the
-    curve's value without a match."""
+    """df with the column out_col (double, 0 to 1), which replaces one of that name.
+
+    Null, empty and wordless texts get the curve's value without a match. Texts are scored whole, in time that grows with their
+    length; repeated rows and ids are kept and get equal scores; an empty table gives no rows.
+    """
     df = df.drop(out_col)
     shared = df.sparkSession.sparkContext.broadcast(model)
 

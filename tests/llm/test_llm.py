@@ -138,6 +138,43 @@ def test_quality_rules(spark, docs, empty):
     assert quality_rules.judged(empty).collect() == [] and quality_rules.fit({}) == ({}, {"good": None, "rules": {}})
 
 
+def test_em_finds_the_rules_accuracies():
+    """Votes drawn from known accuracies: estimates come near them, posteriors are those of Bayes's rule by enumeration."""
+    rng = np.random.default_rng(8)
+    k, n = len(quality_rules.RULES), 40_000
+    bad_on = np.stack([np.linspace(0.2, 0.8, k), np.full(k, 0.01)])
+    good = rng.random(n) < 0.9
+    votes = np.where(rng.random((n, k)) < 0.15, 2, rng.random((n, k)) < bad_on[good.astype(int)])
+    patterns = Counter("".join("gb-"[v] for v in row) for row in votes)
+    post, found = quality_rules.fit(patterns)
+    assert abs(found["good"] - 0.9) < 0.02
+    rates = np.array([[r["bad"], r["good"]] for r in found["rules"].values()]).T
+    assert np.abs(rates - bad_on).max() < 0.05
+    for p in list(patterns)[::50]:
+        joint = [1 - found["good"], found["good"]]
+        for c in (0, 1):
+            for i, v in enumerate(p):
+                joint[c] *= {"b": rates[c][i], "g": 1 - rates[c][i], "-": 1.0}[v]
+        assert abs(post[p] - joint[1] / sum(joint)) < 1e-6
+    right = np.mean([(post["".join("gb-"[v] for v in row)] >= 0.5) == g for row, g in zip(votes, good)])
+    assert right > 0.97
+
+
+def test_the_verdict_is_that_of_em():
+    """Rules that fire together on junk carry the verdict; a rule that fires alone, and the majority, do not."""
+    names, one = list(quality_rules.RULES), lambda *fired: "".join("b" if r in fired else "g" for r in quality_rules.RULES)
+    patterns = {one(): 8000, one("letters", "mark_runs"): 300, one("bare_words", "top_word"): 280, one("same_lines"): 40, one("same_lines", "bare_words", "top_word"): 4}
+    post, found = quality_rules.fit(patterns)
+    kept = {p: post[p] >= 0.5 for p in patterns}
+    assert kept == {p: p in (one(), one("same_lines")) for p in patterns}
+    for i in range(len(names)):  # no single rule gives this
+        assert any((p[i] != "b") != kept[p] for p in patterns)
+    assert any((p.count("b") <= p.count("g")) != kept[p] for p in patterns) and any(("b" not in p) != kept[p] for p in patterns)
+    # the same votes mean something else where they come with other ones: it is the counts that decide
+    other, _ = quality_rules.fit({one(): 500, one("same_lines", "repeats"): 150, one("same_lines", "variety"): 150, one("repeats", "variety"): 150, one("same_lines"): 40, one("letters"): 3})
+    assert other[one("same_lines")] < 0.5 < other[one("letters")]
+
+
 # --- quality classifier -----------------------------------------------------------------------------------------------
 
 
@@ -562,6 +599,43 @@ def test_language(spark, docs, empty):
 # --- pipeline ---------------------------------------------------------------------------------------------------------
 
 
+def test_languages_of_repeated_rows_are_learned(spark):
+    """A language whose rows all share one doc_id, or are one text many times, is learned, whatever that id."""
+    a, b = "kalomi takalo mi " * 8, "schung erü ungsch " * 8
+    for doc in (9, 10, 5):
+        assert zlib.crc32(str(doc).encode()) % 4 != 2 or doc == 5
+        rows = [(doc, a, "xa")] * 300 + [(i, b + str(i), "yb") for i in range(100, 150)]
+        model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), steps=4, hidden=4)
+        assert model.languages == (["xa", "yb"] if zlib.crc32(str(doc).encode()) % 4 != 2 else ["yb"])
+        assert set(model.predict([a, b, "1", None])[0]) <= {"xa", "yb", "und"}
+
+
+def test_language_samples_are_whole_texts(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(language_id, "train", lambda codes, valid, labels, owner, *_: seen.update(c=codes, v=valid, y=labels, o=owner))
+    texts = ["ab" * 5000, "x", "é" * 96, "yz " * 33]
+    language_id.fit(spark.createDataFrame([(i, t, "l" + str(i % 2)) for i, t in zip((0, 1, 3, 4), texts)], "doc_id long, text string, lang string").where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
+    whole = {b"".join(c[:n].tobytes() for c, n, o in zip(seen["c"], seen["v"], seen["o"]) if o == k).decode() for k in set(seen["o"])}
+    assert whole == {t for i, t in zip((0, 1, 3, 4), texts) if zlib.crc32(str(i).encode()) % 4 != 2}
+
+
+def test_exception_phrases_take_linear_time():
+    import time
+
+    m = toxicity.Matcher(toxicity.Model({" trash ": 2.0, " can ": 1.0}, (0, 1, 1)))
+    took = []
+    for n in (20_000, 80_000):
+        began = time.perf_counter()
+        assert m.weigh("trash can " * n) == (0.0, 2 * n)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * took[0] and took[1] < 5
+    assert m.weigh("trash the trash can now, can") == (3.0, 6)
+
+
+def test_folding_takes_accents_off():
+    assert toxicity.fold("Ídiöt ｍoron 1D10T café") == ["idiot", "moron", "idiot", "cafe"]
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
