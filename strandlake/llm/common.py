@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -30,12 +31,15 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a local one only where that is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where it is unset, a local one, in a local session only:
+    on a cluster the executors would each write to a disk of their own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at is None:
         option = spark.sparkContext._jsc.sc().getCheckpointDir()
         if option.isDefined():
             at = option.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         else:
             own = tempfile.mkdtemp(prefix="strandlake-")
             atexit.register(shutil.rmtree, own, ignore_errors=True)
@@ -44,10 +48,25 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_written: list[list[str]] = []
+
+
+@contextmanager
+def scratch_tables() -> Iterator[list[str]]:
+    """The paths of all tables that materialize() writes inside of the block; release them when nothing reads them any more."""
+    _written.append([])
+    try:
+        yield _written[-1]
+    finally:
+        _written.pop()
+
+
 def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write df to a table in the shared folder and read it again: lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strandlake/{name}-{uuid.uuid4().hex}"
+    for held in _written:
+        held.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

@@ -1,15 +1,18 @@
-"""Benchmark decontamination with an Aho-Corasick automaton over normalised test items.
+"""Benchmark decontamination with one Aho-Corasick automaton over normalised test items.
 
-Texts become lower-case words parted by one space; each window of 13 item words (an item of fewer: the whole of it) is a
-pattern with a space at either end. A document is scanned once, ends of matches give word positions, and those map back to
-character spans of the original text.
+Texts become sequences of lower-case words, and each word of the items a character of its own, so that an item, or a document, is
+a short string. Windows of 13 item words count, and each of them holds an anchor: six item words, chosen so that every eight
+places in a row of an item have one, the one that fewest items share. The automaton holds the anchors (and whole items of fewer
+than 13 words); where a document has one, the words around it are compared with the item's, and an equal run of 13 words or more
+is a hit. A document is scanned once, and word positions map back to character spans of the original text.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -17,11 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, release, texts
+from .common import map_arrow, materialize, texts
 
 WINDOW_WORDS = 13
-#: Patterns of one automaton; more items go to further automata, one after the other over the same documents.
-MAX_PATTERNS = 20_000
+ANCHOR_WORDS = 6
+#: Bytes of item texts in one automaton, about ten times as many in a worker's memory; more items go to further passes.
+ITEM_BYTES = 16 << 20
 _words = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _fold = bytes(
     (c + 32 if 65 <= c <= 90 else c) if c >= 128 or 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 else 32 for c in range(256)
@@ -38,45 +42,120 @@ def word_spans(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _words.finditer(text)]
 
 
-def windows_of(text: str | None, size: int = WINDOW_WORDS) -> list[tuple[bytes, int]]:
-    w = words_of(text)
-    if not w:
-        return []
-    n = min(size, len(w))
-    return [(b" ".join(w[i : i + n]), n) for i in range(len(w) - n + 1)]
+@dataclass
+class Index:
+    """codes: a character for each word of the items; items: distinct items as strings of these, with the ids that have them;
+    patterns: of each anchor the items and places that have it, and the item that it is the whole of, or -1."""
 
+    codes: dict[bytes, str]
+    items: list[tuple[str, list[str]]]
+    patterns: dict[str, tuple[list[tuple[int, int]], int]]
+    size: int
 
-def _blocks(items: DataFrame, size: int, most: int) -> Iterator[list[tuple[bytes, int, list[str]]]]:
-    """Patterns with the items that own them, in blocks of at most `most` owners. Items are read one by one, and an item's
-    windows, or a window's owners, may be spread over blocks."""
-    held: dict[bytes, tuple[int, list[str]]] = {}
-    owners = 0
-    for item, text in items.toLocalIterator():
-        for pattern, n in windows_of(text, size):
-            own = held.setdefault(pattern, (n, []))[1]
-            if not own or own[-1] != item:
+
+_UNKNOWN = "\0"
+
+
+def _code(i: int) -> str:
+    return chr(i + 1 if i < 0xD7FF else i + 0x801)  # surrogates are left out
+
+
+def anchors(lengths: list[int], rarity: np.ndarray, size: int, width: int) -> list[list[int]]:
+    """Places of each item's anchors: each `size` words in a row hold one. rarity: how often the `width` words from a place on stand
+    in all items, for all places of all items."""
+    out, base = [], 0
+    for n in lengths:
+        own, at = [], -1
+        while at < n - size:
+            low, high = at + 1, min(at + 1 + size - width, n - width)
+            near = rarity[base + low : base + high + 1]
+            at = low + len(near) - 1 - int(near[::-1].argmin())  # the rarest, of equals the farthest
+            own.append(at)
+        out.append(own)
+        base += n
+    return out
+
+
+def build(items: list[tuple[str, str | None]], size: int = WINDOW_WORDS) -> Index:
+    """The index of items (id, text); ids of equal texts are kept together, null and wordless texts left out."""
+    width = min(ANCHOR_WORDS, size)
+    codes: dict[bytes, str] = {}
+    by_text: dict[str, list[str]] = {}
+    for item, text in items:
+        line = "".join([codes.setdefault(w, _code(len(codes))) for w in words_of(text)])
+        if line:
+            own = by_text.setdefault(line, [])
+            if item not in own:
                 own.append(item)
-                owners += 1
-            if owners >= most:
-                yield [(p, n, i) for p, (n, i) in held.items()]
-                held, owners = {}, 0
-    if held:
-        yield [(p, n, i) for p, (n, i) in held.items()]
+    found = sorted(by_text.items())
+    patterns: dict[str, tuple[list[tuple[int, int]], int]] = {}
+    long = [(i, line) for i, (line, _) in enumerate(found) if len(line) >= size]
+    for i, (line, _) in enumerate(found):
+        if len(line) < size:
+            patterns.setdefault(line, ([], i))
+    if long:
+        flat = np.concatenate([np.frombuffer(line.encode("utf-32-le"), "<u4") for _, line in long]).astype(np.uint64)
+        grams = np.zeros(len(flat), np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(width):
+                grams[: len(flat) - width + 1] = grams[: len(flat) - width + 1] * np.uint64(0x9E3779B97F4A7C15) + flat[k : len(flat) - width + 1 + k]
+        _, kind, count = np.unique(grams, return_inverse=True, return_counts=True)
+        for (i, line), places in zip(long, anchors([len(x) for _, x in long], count[kind], size, width)):
+            for at in places:
+                key = line[at : at + width]
+                where, whole = patterns.get(key, ([], -1))
+                where.append((i, at))
+                patterns[key] = (where, whole)
+    return Index(codes, found, patterns, size)
 
 
-_automata: dict[str, ahocorasick.Automaton] = {}
+class Scanner:
+    def __init__(self, index: Index):
+        self.index, self.made = index, ahocorasick.Automaton()
+        for p, value in index.patterns.items():
+            self.made.add_word(p, (len(p), *value))
+        if index.patterns:
+            self.made.make_automaton()
 
+    def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+        """Word spans of a text that stand in windows of items, and these items' ids."""
+        index, spans, owners = self.index, [], set()
+        if not index.patterns or not words:
+            return spans, owners
+        line = "".join(map(index.codes.get, words, repeat(_UNKNOWN)))
+        seen: dict[tuple[int, int], int] = {}
+        for end, (n, where, whole) in self.made.iter(line):
+            first = end - n + 1
+            if whole >= 0:
+                spans.append((first, end + 1))
+                owners.update(index.items[whole][1])
+            for i, at in where:
+                run = (i, first - at)
+                if seen.get(run, -1) > end:
+                    continue
+                item = index.items[i][0]
+                a, b = first, end + 1
+                low, high = max(0, first - at), min(len(line), first - at + len(item))
+                while a > low and line[a - 1] == item[a - 1 - run[1]]:
+                    a -= 1
+                while b < high and line[b] == item[b - run[1]]:
+                    b += 1
+                seen[run] = b
+                if b - a >= index.size:
+                    spans.append((a, b))
+                    owners.update(index.items[i][1])
+        return spans, owners
 
-def _automaton(key: str, patterns: list[tuple[bytes, int, list[str]]]) -> ahocorasick.Automaton:
-    """The automaton of a broadcast block; a worker holds one at a time."""
-    if key not in _automata:
-        _automata.clear()
-        made = ahocorasick.Automaton()
-        for p, n, items in patterns:
-            made.add_word(f" {p.decode('latin-1')} ", (n, items))
-        made.make_automaton()
-        _automata[key] = made
-    return _automata[key]
+
+_scanners: dict[str, Scanner] = {}
+
+
+def _scanner(key: str, index: Index) -> Scanner:
+    """The scanner of a broadcast index; a worker holds one at a time."""
+    if key not in _scanners:
+        _scanners.clear()
+        _scanners[key] = Scanner(index)
+    return _scanners[key]
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -89,6 +168,10 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+_PAIR = "array<struct<a:int,b:int>>"
+_ADDED = {"n_words": "long", "hits": _PAIR, "hit_items": "array<string>", "spans": _PAIR}
+
+
 def scan(
     docs: DataFrame,
     items: DataFrame,
@@ -96,34 +179,35 @@ def scan(
     item_id: str = "item_id",
     item_text: str = "text",
     size: int = WINDOW_WORDS,
-    max_patterns: int = MAX_PATTERNS,
+    item_bytes: int = ITEM_BYTES,
 ) -> DataFrame:
     """docs with the columns n_words, hits (array of [a, b) word positions), hit_items (ids as strings, sorted) and spans
     (array of [a, b) character positions in the original text), which replace columns of these names.
 
     Null and empty texts have no words, so no hits; null or wordless items have no windows; an item without an id is "null".
-    No items: no hits. Repeated documents and items are all kept (an item id is listed once). Patterns beyond max_patterns
-    go to further automata; between those the rows are written to the shared folder, so memory stays that of one automaton.
+    No items: no hits. Repeated documents and items are all kept (an item id is listed once). The items' texts are counted first: up
+    to item_bytes they make one automaton, and documents are scanned in one pass. More items are dealt out by their hashes; each
+    part is a pass over the documents that keeps only what it hits, by the texts' hashes, and texts are never written.
     """
     spark = docs.sparkSession
-    pair = "array<struct<a:int,b:int>>"
-    rows = docs.drop("n_words", "hits", "hit_items", "spans").select(
-        "*", F.lit(0).cast("long").alias("n_words"), F.expr(f"cast(array() as {pair})").alias("hits"), F.expr("cast(array() as array<string>)").alias("hit_items"), F.expr(f"cast(array() as {pair})").alias("spans")
-    )
-    for field in (schema := rows.schema):
-        field.nullable = True
-    chosen = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")), F.col(item_text))
-    blocks = _blocks(chosen, size, max_patterns)
-    block, old = next(blocks, []), None
-    while True:
-        following = next(blocks, None)
-        rows = map_arrow(rows, _scanner(spark.sparkContext.broadcast(block), uuid.uuid4().hex, text_col), schema)
-        if following is None:
-            return rows
-        rows, path = materialize(rows, "scanned")
-        if old:
-            release(spark, old)
-        old, block = path, following
+    rows = docs.drop(*_ADDED)
+    schema = rows.select("*", *[F.lit(None).cast(t).alias(c) for c, t in _ADDED.items()]).schema
+    chosen = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("i"), F.col(item_text).alias("t"))
+    total = chosen.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    parts = max(1, -(-total // item_bytes))
+    index = lambda some: spark.sparkContext.broadcast(build([tuple(r) for r in some.collect()], size))  # noqa: E731  item_bytes or so
+    if parts == 1:
+        return map_arrow(rows, _adding(index(chosen), uuid.uuid4().hex, text_col), schema)
+    one, two = F.xxhash64(text_col).alias("_h1"), F.xxhash64(F.lit(7), text_col).alias("_h2")
+    found = None
+    for part in range(parts):
+        shared = index(chosen.where(F.pmod(F.xxhash64("t"), F.lit(parts)) == part))
+        hit = map_arrow(rows.select(one, two, F.col(text_col).alias("text")), _finding(shared, uuid.uuid4().hex), f"h1 long, h2 long, found {_PAIR}, who array<string>")
+        hit, _ = materialize(hit.groupBy("h1", "h2").agg(F.any_value("found").alias("found"), F.any_value("who").alias("who")), "hits")
+        found = hit if found is None else found.unionByName(hit)
+    every = found.groupBy("h1", "h2").agg(F.flatten(F.collect_list("found")).alias("_found"), F.flatten(F.collect_list("who")).alias("_who"))
+    joined = rows.join(every, (one == F.col("h1")) & (two == F.col("h2")), "left").drop("h1", "h2")
+    return map_arrow(joined, _merging(text_col), schema)
 
 
 def judged(scanned: DataFrame) -> DataFrame:
@@ -132,33 +216,55 @@ def judged(scanned: DataFrame) -> DataFrame:
     return scanned.withColumn("n_hit", n_hit).withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
 
 
-def _scanner(shared, key: str, text_col: str):
+def _completed(batch: pa.RecordBatch, names: list[str], rows: list[tuple]) -> pa.RecordBatch:
+    """The columns `names` of the batch, and n_words, hits, hit_items and spans from rows of text, words, word spans, ids."""
+    count, hits, found, chars = [], [], [], []
+    for text, words, spans, owners in rows:
+        spans = _merged(spans)
+        at = word_spans(text) if spans else ()
+        count.append(len(words))
+        hits.append([{"a": a, "b": b} for a, b in spans])
+        found.append(sorted(owners))
+        chars.append([{"a": at[a][0], "b": at[b - 1][1]} for a, b in spans])
+    pair = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+    new = [pa.array(count, pa.int64()), pa.array(hits, pair), pa.array(found, pa.list_(pa.string())), pa.array(chars, pair)]
+    return pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *new], [*names, *_ADDED])
+
+
+def _adding(shared, key: str, text_col: str):
+    def make():
+        scanner = _scanner(key, shared.value)
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            words = [words_of(t) for t in texts(batch, text_col)]
+            return _completed(batch, batch.schema.names, [(t, w, *scanner.hits(w)) for t, w in zip(texts(batch, text_col), words)])
+
+        return step
+
+    return make
+
+
+def _finding(shared, key: str):
     def make():
-        made = _automaton(key, shared.value) if shared.value else None
-        pair = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+        scanner = _scanner(key, shared.value)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            count, hits, found, chars = [], [], [], []
-            for text, before, items in zip(texts(batch, text_col), batch.column("hits").to_pylist(), batch.column("hit_items").to_pylist()):
-                w = words_of(text)
-                spans, owners = [(x["a"], x["b"]) for x in before or ()], set(items or ())
-                count.append(len(w))
-                if w and made is not None:
-                    line = b" " + b" ".join(w) + b" "
-                    ends = None
-                    for end, (n, who) in made.iter(line.decode("latin-1")):
-                        if ends is None:
-                            ends = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
-                        last = int(np.searchsorted(ends, end))
-                        spans.append((last - n, last))
-                        owners.update(who)
-                spans = _merged(spans)
-                at = word_spans(text) if spans else ()
-                hits.append([{"a": a, "b": b} for a, b in spans])
-                chars.append([{"a": at[a][0], "b": at[b - 1][1]} for a, b in spans])
-                found.append(sorted(owners))
-            new = {"n_words": pa.array(count, pa.int64()), "hits": pa.array(hits, pair), "hit_items": pa.array(found, pa.list_(pa.string())), "spans": pa.array(chars, pair)}
-            return pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in batch.schema.names], batch.schema.names)
+            hits = [scanner.hits(words_of(t)) for t in texts(batch)]
+            spans = pa.array([[{"a": a, "b": b} for a, b in s] for s, _ in hits], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
+            who = pa.array([sorted(x) for _, x in hits], pa.list_(pa.string()))
+            return pa.RecordBatch.from_arrays([batch.column("_h1"), batch.column("_h2"), spans, who], ["h1", "h2", "found", "who"]).filter(pa.array([bool(s) for s, _ in hits]))
+
+        return step
+
+    return make
+
+
+def _merging(text_col: str):
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rows = zip(texts(batch, text_col), batch.column("_found").to_pylist(), batch.column("_who").to_pylist())
+            names = [c for c in batch.schema.names if c not in ("_found", "_who")]
+            return _completed(batch, names, [(t, words_of(t), [(x["a"], x["b"]) for x in f or ()], set(who or ())) for t, f, who in rows])
 
         return step
 

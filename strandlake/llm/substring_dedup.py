@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, map_arrow, materialize, prepare, release, texts
+from .buckets import Likeness, bucket_links
+from .common import fresh, map_arrow, materialize, release, texts
 from .components import components
 
 SHINGLE_WORDS = 5
@@ -44,9 +45,6 @@ ANCHOR_WORDS = 6
 CONTEXT_WORDS = 48
 #: Longest insertion or deletion that a stretch goes over.
 MOST_SKIPPED = 8
-#: Members of a bucket in one task, twice so many at most; larger buckets are first compared with CENTRES of their members.
-BLOCK = 512
-CENTRES = 4
 #: Bytes of text that are hashed at once.
 SLICE = 1 << 18
 
@@ -260,117 +258,8 @@ def _alike(a: set, b: set, least: float) -> bool:
     return both >= least * (small + large - both) - 1e-9
 
 
-def spanning_links(hashes: list[int], bodies: list[str]) -> list[tuple[int, int]]:
-    """Verified links that connect all paragraphs of a bucket which any verified links would connect.
-
-    Each paragraph is compared with the members of each component so far until one is similar enough. Paragraphs that come
-    first should be the likely centres: then a group of near copies costs one comparison for each of its members.
-    """
-    sets = [shingles(b.split(" ")) for b in bodies]
-    links: list[tuple[int, int]] = []
-    groups: list[list[int]] = []
-    for z, own in enumerate(sets):
-        near, far = [z], []
-        for group in groups:
-            for m in group:
-                if _alike(own, sets[m], SIMILARITY):
-                    links.append((hashes[z], hashes[m]))
-                    near = group + near
-                    break
-            else:
-                far.append(group)
-        groups = [*far, near] if len(near) == 1 else [near, *far]
-    return links
-
-
-def _grouped(df: DataFrame, key: list[str], rest: list[str], order: list, handle, schema: str) -> DataFrame:
-    """handle(rows of one key, in order) gives the result's rows; a key's rows must fit a task's memory."""
-    prepare(df.sparkSession)
-    dealt = df.repartition(*key).sortWithinPartitions(*key, *order).select(*key, *rest)
-    names = [x.split()[0] for x in schema.split(", ")]
-    kinds = [pa.list_(pa.int64()) if "array" in x else pa.string() if "string" in x else pa.int64() for x in schema.split(", ")]
-
-    def give(held: list[tuple]) -> pa.RecordBatch:
-        found = list(handle(held))
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate(kinds)], names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[: len(key)] != now:
-                    if held:
-                        yield give(held)
-                    now, held = row[: len(key)], []
-                held.append(row)
-        if held:
-            yield give(held)
-
-    return dealt.mapInArrow(run, schema)
-
-
-def _spanned(members: DataFrame) -> DataFrame:
-    """(a, b): spanning links of buckets; members: (k, blocks, n, h, body). A bucket of several blocks is dealt out in pairs of
-    blocks, so each two of its members meet and no task holds more than two blocks of it."""
-    mine = F.expr("cast(pmod(xxhash64(h), blocks) as int)")
-    pairs = F.transform(F.sequence(F.lit(0), F.expr("cast(blocks - 1 as int)")), lambda o: F.struct(F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j")))
-    dealt = members.select("k", "n", "h", "body", F.inline(pairs))
-    return _grouped(dealt, ["k", "i", "j"], ["h", "body"], [F.desc("n"), "h"], lambda rows: spanning_links([r[3] for r in rows], [r[4] for r in rows]), "a long, b long")
-
-
-def _pivoted(large: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Links of large buckets over their centres, and the members left to compare with one another; large: (k, size, n, h, body).
-
-    All members are compared with CENTRES frequent ones. Those within SIMILARITY of a centre, its ball, hang together already.
-    The Jaccard distance is a metric, so whatever links with a member of the ball has a similarity of 2 SIMILARITY - 1 or more
-    with the centre: such members outside of the ball, the shell, are compared with the ball's members until one is similar
-    enough. Members in no ball are left for _spanned. So nothing is lost, and a group of near copies costs one comparison a member.
-    """
-    blocks = F.expr(f"cast((size - 1) div {BLOCK} + 1 as int)")
-    top = large.groupBy("k", F.pmod("h", F.lit(CENTRES)).alias("s")).agg(F.max(F.struct("n", "h", "body", "size")).alias("c")).select("k", "c.*")
-    dealt = large.select("k", F.expr(f"pmod(xxhash64(h), (size - 1) div {BLOCK} + 1)").cast("int").alias("i"), F.lit(1).alias("role"), "n", "h", "body")
-    dealt = dealt.unionByName(top.select("k", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("i"), F.lit(0).alias("role"), "n", "h", "body"))
-
-    def judge(rows: list[tuple]) -> Iterator[tuple]:
-        centres = [(r[4], shingles(r[5].split(" "))) for r in rows if r[2] == 0]
-        for k, _, role, n, h, body in rows:
-            if role:
-                own = shingles(body.split(" "))
-                ball = [c for c, s in centres if _alike(own, s, SIMILARITY)]
-                yield k, n, h, body, ball, [c for c, s in centres if c not in ball and _alike(own, s, 2 * SIMILARITY - 1)]
-
-    judged, path = materialize(
-        _grouped(dealt, ["k", "i"], ["role", "n", "h", "body"], ["role", "h"], judge, "k long, n long, h long, body string, ball array<long>, shell array<long>"), "pivots"
-    )
-    direct = judged.select(F.col("h").alias("a"), F.explode("ball").alias("b")).where("a <> b")
-    shell = judged.select("k", F.explode("shell").alias("c"), "h", "body")
-    ball = judged.select("k", F.explode("ball").alias("c"), "h", "body")
-    of = lambda df, name: df.groupBy("k", "c").agg(F.expr(f"cast((count(*) - 1) div {BLOCK} + 1 as int)").alias(name))
-    sizes = of(ball, "u").join(of(shell, "v"), ["k", "c"])
-    place = lambda n: F.expr(f"cast(pmod(xxhash64(h), {n}) as int)")
-    each = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
-    meet = ball.join(sizes, ["k", "c"]).select("k", "c", place("u").alias("i"), each("v").alias("j"), F.lit(0).alias("role"), "h", "body")
-    meet = meet.unionByName(shell.join(sizes, ["k", "c"]).select("k", "c", each("u").alias("i"), place("v").alias("j"), F.lit(1).alias("role"), "h", "body"))
-
-    def across(rows: list[tuple]) -> Iterator[tuple]:
-        inner = [(r[5], shingles(r[6].split(" "))) for r in rows if r[4] == 0]
-        for r in rows:
-            if r[4]:
-                own = shingles(r[6].split(" "))
-                if (hit := next((h for h, s in inner if _alike(own, s, SIMILARITY)), None)) is not None:
-                    yield r[5], hit
-
-    links = direct.unionByName(_grouped(meet, ["k", "c", "i", "j"], ["role", "h", "body"], ["role", "h"], across, "a long, b long"))
-    alone = judged.where(F.size("ball") == 0)
-    counts = alone.groupBy("k").agg(F.expr(f"(count(*) - 1) div {BLOCK} + 1").alias("blocks"))
-    return links, alone.join(counts, "k").select("k", "blocks", "n", "h", "body"), [path]
-
-
-def bucket_links(members: DataFrame) -> DataFrame:
-    """(a, b): verified links that connect what any verified links of a bucket would; members: (k, size, n, h, body)."""
-    small = members.where(f"size <= {BLOCK}").select("k", F.lit(1).cast("long").alias("blocks"), "n", "h", "body")
-    links, left, _ = _pivoted(members.where(f"size > {BLOCK}"))
-    return links.unionByName(_spanned(small.unionByName(left)))
+#: The Jaccard distance is a metric: within 1 - SIMILARITY of a third line, two are within twice that of one another.
+LIKENESS = Likeness(lambda body: shingles(body.split(" ")), lambda x, y: _alike(x, y, SIMILARITY), lambda x, y: _alike(x, y, 2 * SIMILARITY - 1))
 
 
 def _bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -404,7 +293,7 @@ def near_lines(docs: DataFrame, found: DataFrame) -> DataFrame:
     sizes, counted = materialize(banded.groupBy("k").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
     met, at = materialize(banded.join(sizes, "k"), "met")
     bodies, told = materialize(_bodies(docs, met.select("h", F.col("owner").alias("doc_id")).distinct()), "bodies")
-    links, held = materialize(bucket_links(met.join(bodies, "h").select("k", "size", "n", "h", "body")).distinct(), "links")
+    links, held = materialize(bucket_links(met.join(bodies, "h").select("k", "size", "n", "h", "body"), LIKENESS).distinct(), "links")
     release(spark, counted, told)
     groups = components(links).withColumnRenamed("node", "h")
     ids = met.select("h", "g").distinct()

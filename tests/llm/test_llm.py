@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from strandlake.llm import (
+    buckets,
     components,
     decontamination,
     language_id,
@@ -229,12 +230,12 @@ def plain_hits(text, items):
     return len(w), len(hit), sorted(owners)
 
 
-@pytest.mark.parametrize("most", [20_000, 7])
+@pytest.mark.parametrize("most", [1 << 20, 90])
 def test_decontamination(spark, docs, most):
     items = [(1, prose(30, 3)), (2, "Word"), (3, None), (4, " ,. "), (10, prose(20, 4).upper()), (2, "Word"), (11, "Ä ß é")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     some = docs.where("doc_id <> 6 AND doc_id <> 7")
-    got = all_rows(decontamination.judged(decontamination.scan(some.select("doc_id", "text", "idx"), bench, max_patterns=most)))
+    got = all_rows(decontamination.judged(decontamination.scan(some.select("doc_id", "text", "idx"), bench, item_bytes=most)))
     assert len(got) == some.count()
     for r in got:
         n, hit, owners = plain_hits(r["text"], items)
@@ -243,10 +244,38 @@ def test_decontamination(spark, docs, most):
         for word, char in zip(r["hits"], r["spans"]):
             assert decontamination.words_of(r["text"][char["a"] : char["b"]]) == decontamination.words_of(r["text"])[word["a"] : word["b"]]
     assert any(r["contaminated"] for r in got) and not all(r["n_hit"] for r in got)
-    again = decontamination.scan(some.withColumn("hits", F.lit("x")), bench, max_patterns=most)
+    again = decontamination.scan(some.withColumn("hits", F.lit("x")), bench, item_bytes=most)
     assert sorted(r["n_words"] for r in again.collect()) == sorted(r["n_words"] for r in got)
 
 
+def test_decontamination_by_anchors():
+    """Few words, so that items share anchors, windows overlap and repeat: hits are those of all windows."""
+    rng = np.random.default_rng(9)
+    word = lambda n, kinds: " ".join(f"w{i}" for i in rng.integers(0, kinds, n))
+    for kinds in (2, 3, 40):
+        items = [(f"i{k}", word(int(rng.integers(1, 40)), kinds)) for k in range(25)] + [("again", "w0 w1 w0"), ("i1", "w1 " * 14)]
+        items.append(("same", items[3][1]))
+        scanner = decontamination.Scanner(decontamination.build(items))
+        for _ in range(60):
+            parts = [word(int(rng.integers(1, 12)), kinds + 1)]
+            for k in rng.integers(0, len(items), 2):
+                own = items[int(k)][1].split()
+                at = int(rng.integers(0, len(own)))
+                parts += [" ".join(own[at : at + int(rng.integers(1, 40))]), word(int(rng.integers(0, 6)), kinds + 1)]
+            text = " ".join(parts)
+            spans, owners = scanner.hits(decontamination.words_of(text))
+            n, hit, want = plain_hits(text, items)
+            assert (len({x for a, b in spans for x in range(a, b)}), sorted(owners)) == (hit, want)
+
+
+def test_every_window_holds_an_anchor():
+    rng = np.random.default_rng(2)
+    lengths = [int(n) for n in rng.integers(13, 80, 50)]
+    places = decontamination.anchors(lengths, rng.integers(1, 9, sum(lengths)), 13, 6)
+    for n, own in zip(lengths, places):
+        assert all(any(s <= a <= s + 7 for a in own) for s in range(n - 12)) and own[-1] <= n - 6
+
+
 def test_decontamination_without_items_or_documents(docs, empty):
     none = empty.withColumnRenamed("doc_id", "item_id")
     assert decontamination.judged(decontamination.scan(docs.select("doc_id", "text"), none)).where("n_hit > 0 OR contaminated").count() == 0
@@ -311,6 +340,48 @@ def test_links_are_complete(spark):
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
 
 
+def test_tally_drops_pairs_before_the_distance(spark):
+    """Pairs that meet in a list share four bytes at least; the count leaves those with five, and no link is among the others."""
+    rng = np.random.default_rng(15)
+    fps = set()
+    for b in rng.integers(0, 2**63, 15):
+        octets = int(b).to_bytes(8)
+        for _ in range(30):  # three to five changed bytes
+            x = bytearray(octets)
+            for at in rng.choice(8, int(rng.integers(3, 6)), replace=False):
+                x[at] ^= 1 << int(rng.integers(8))
+            fps.add(simhash._signed(int.from_bytes(x)))
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    met = {(r["a"], r["b"]): r["shared"] for r in simhash.candidates(df).collect()}
+    full = 2**64 - 1
+    assert all(n == simhash.shared_bytes((a ^ b) & full) >= 4 for (a, b), n in met.items())
+    kept = {p for p, n in met.items() if n >= 5}
+    found = {(r["a"], r["b"]) for r in simhash.links(df).collect()}
+    assert found <= kept and len(found) < len(kept) < len(met) and sum(n == 4 for n in met.values()) > 100
+
+
+def test_spanning_links_of_hot_lists(spark, monkeypatch):
+    """A family of near fingerprints in one list, over several blocks: the components are those of all pairs."""
+    rng = np.random.default_rng(16)
+    fps = {int(x) for x in rng.integers(0, 2**63, 30)}
+    for b in rng.integers(0, 2**63, 3):
+        for _ in range(120):
+            x = int(b)
+            for bit in rng.choice(24, int(rng.integers(1, 5)), replace=False):
+                x ^= 1 << int(bit)
+            fps.add(x)
+    fps = sorted(simhash._signed(x) for x in fps)
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    at = {x: i for i, x in enumerate(fps)}
+    want = _parts(len(fps), [(at[r["a"]], at[r["b"]]) for r in simhash.links(df).collect()])
+    for block, centres in ((512, 4), (40, 4), (25, 1)):
+        monkeypatch.setattr(buckets, "BLOCK", block)
+        monkeypatch.setattr(buckets, "CENTRES", centres)
+        got = simhash.spanning(df).collect()
+        assert all(((r["a"] ^ r["b"]) & (2**64 - 1)).bit_count() <= 3 for r in got)
+        assert _parts(len(fps), [(at[r["a"]], at[r["b"]]) for r in got]) == want
+
+
 def test_near_duplicates(spark):
     chain = [0, 0b111, 0b111111, 1 << 40 | 0b111111]
     rows = [(10, chain[3]), (4, chain[2]), (7, chain[1]), (9, chain[0]), (9, chain[0]), (1, 1 << 20), (5, (1 << 63) - 1), (None, chain[0]), (None, 0xFFFF0000FFFF)]
@@ -440,7 +511,7 @@ def test_passages_with_a_changed_word_go(spark):
     assert len(whole) >= 72
 
 
-def test_spanning_links_keep_components(spark):
+def test_spanning_links_keep_components(spark, monkeypatch):
     rng = np.random.default_rng(2)
     bodies = []
     for s in range(6):
@@ -451,18 +522,15 @@ def test_spanning_links_keep_components(spark):
                 w[at] = WORDS[int(rng.integers(len(WORDS)))]
             bodies.append(" ".join(w))
     edges = [(i, j) for i, j in itertools.combinations(range(len(bodies)), 2) if substring_dedup.jaccard(bodies[i].split(" "), bodies[j].split(" ")) >= 0.8]
-    links = substring_dedup.spanning_links(list(range(len(bodies))), bodies)
+    links = buckets.spanning_links(list(range(len(bodies))), bodies, substring_dedup.LIKENESS)
     assert all(tuple(sorted(x)) in set(edges) for x in links)
     assert _parts(len(bodies), links) == _parts(len(bodies), edges) and len(links) < len(bodies)
     # several blocks of one bucket, among them with another group's centres
     rows = [(1, len(bodies), 1 + (k % 12 == 0), k, b) for k, b in enumerate(bodies)]
     for block, centres in ((10, 4), (10, 1), (7, 60)):
-        old = substring_dedup.BLOCK, substring_dedup.CENTRES
-        substring_dedup.BLOCK, substring_dedup.CENTRES = block, centres
-        try:
-            got = [(r["a"], r["b"]) for r in substring_dedup.bucket_links(spark.createDataFrame(rows, "k long, size long, n long, h long, body string")).collect()]
-        finally:
-            substring_dedup.BLOCK, substring_dedup.CENTRES = old
+        monkeypatch.setattr(buckets, "BLOCK", block)
+        monkeypatch.setattr(buckets, "CENTRES", centres)
+        got = [(r["a"], r["b"]) for r in buckets.bucket_links(spark.createDataFrame(rows, "k long, size long, n long, h long, body string"), substring_dedup.LIKENESS).collect()]
         assert all(tuple(sorted(x)) in set(edges) for x in got)
         assert _parts(len(bodies), got) == _parts(len(bodies), edges)
 
@@ -544,11 +612,23 @@ def test_sharding(spark, docs, empty):
     for s in sizes:
         assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sizes[s]))
     assert sharding.shard(empty, 3).collect() == []
+    few = all_rows(sharding.external_shuffle(rows, bucket_bytes=20_000, most_parts=2)[0])  # several buckets in a partition
+    for p in (0, 1):
+        assert sorted(r["_slot"] for r in few if r["_part"] == p) == list(range(sum(r["_part"] == p for r in few)))
+    assert Counter((r["doc_id"], r["text"]) for r in few) == Counter((r["doc_id"], r["text"]) for r in rows.collect())
     clash = docs.select("doc_id", "text", F.lit("a").alias("_slot"), F.lit("b").alias("shard"), F.lit("c").alias("_hash"), F.lit("d").alias("c0"))
     again = all_rows(sharding.shard(clash, 2))
     assert sorted({r["shard"] for r in again}) == [0, 1] and all((r["_slot"], r["_hash"], r["c0"]) == ("a", "c", "d") for r in again)
 
 
+def test_shards_do_not_depend_on_the_layout(spark):
+    rows = spark.createDataFrame([(i % 190, prose(10 + i % 30, i)) for i in range(400)], "doc_id long, text string")
+    place = lambda df: sorted((r["doc_id"], r["text"], r["shard"], r["slot"]) for r in sharding.shard(df, 5, bucket_bytes=8000).collect())
+    first = place(rows.coalesce(1))
+    assert first == place(rows.repartition(7)) == place(rows.orderBy("text"))
+    assert first != place(rows.withColumn("text", F.concat("text", F.lit("."))).coalesce(1))
+
+
 def test_shards_are_written(docs, tmp_path):
     sharding.write_shards(sharding.shard(docs, 3), str(tmp_path / "shards"))
     assert docs.sparkSession.read.parquet(str(tmp_path / "shards")).count() == docs.count()
@@ -599,6 +679,15 @@ def test_language(spark, docs, empty):
 # --- pipeline ---------------------------------------------------------------------------------------------------------
 
 
+def test_pipeline_keeps_unlike_texts_of_one_id(spark):
+    import corpus_pipeline
+
+    rows = [(1, prose(80, 1)), (1, prose(80, 2)), (1, prose(80, 1)), (2, prose(80, 2)), (2, prose(80, 3)), (3, None), (4, ""), (None, prose(80, 1))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("gone", F.lit("x"))
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()), key=repr)
+    assert got == sorted([(1, rows[0][1]), (1, rows[1][1]), (2, rows[4][1]), (3, None), (None, rows[0][1])], key=repr)
+
+
 def test_languages_of_repeated_rows_are_learned(spark):
     """A language whose rows all share one doc_id, or are one text many times, is learned, whatever that id."""
     a, b = "kalomi takalo mi " * 8, "schung erü ungsch " * 8
