@@ -57,10 +57,11 @@ def zero_positions(mods: DataFrame, rates: DataFrame, low: float, high: float) -
     return mods.join(F.broadcast(kept), "pos", "left_semi")
 
 
-def retained_positions(mods: DataFrame) -> DataFrame:
-    """(pos, new_pos): positions with a modification anywhere, renumbered; one row for each position of a gene."""
-    used = mods.select("pos").distinct()
-    return used.withColumn("new_pos", (F.row_number().over(Window.orderBy("pos")) - 1).cast("long"))
+def retained_positions(mods: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, pos, new_pos): positions with a modification anywhere, renumbered in each group of `by`, such as the gene; without it
+    all positions are one gene's, which one task numbers."""
+    used = mods.select(*by, "pos").distinct()
+    return used.withColumn("new_pos", (F.row_number().over(Window.partitionBy(*by).orderBy("pos")) - 1).cast("long"))
 
 
 def profile(reads: DataFrame, mods: DataFrame, length: int, by: str = "cond") -> DataFrame:

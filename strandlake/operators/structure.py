@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -14,19 +17,42 @@ def structure_bits(db: Column, single: bool = True) -> Column:
     return F.when(known, out if single else F.translate(out, "01", "10"))
 
 
+def matched(db: str | None) -> list[tuple[int, int]]:
+    """The pairs of ( and ) of one structure, by their first place; none if it is unbalanced."""
+    stack: list[int] = []
+    pairs: list[tuple[int, int]] = []
+    for at, c in enumerate(db or ""):
+        if c == "(":
+            stack.append(at)
+        elif c == ")":
+            if not stack:
+                return []
+            pairs.append((stack.pop(), at))
+    return [] if stack else sorted(pairs)
+
+
 def base_pairs(structs: DataFrame) -> DataFrame:
-    """(struct_id, i, j): the pairs of ( and ), 0-based, i < j; unbalanced structures have none.
-
-    A base at depth d that opens pairs with the next one at depth d that closes.
-    """
-    at = structs.select("struct_id", F.posexplode(F.split("db", "")).alias("pos", "c")).where("c IN ('(', ')')")
-    up = F.when(F.col("c") == "(", 1).otherwise(-1)
-    run = F.sum(up).over(Window.partitionBy("struct_id").orderBy("pos"))
-    deep = at.withColumn("run", run).withColumn("depth", F.when(F.col("c") == "(", F.col("run")).otherwise(F.col("run") + 1))
-    w = Window.partitionBy("struct_id")
-    whole = deep.withColumn("ok", (F.min("run").over(w) >= 0) & (F.sum(up).over(w) == 0)).where("ok")
-    mate = F.lead("pos").over(Window.partitionBy("struct_id", "depth").orderBy("pos"))
-    return whole.withColumn("j", mate).where("c = '('").select("struct_id", F.col("pos").cast("long").alias("i"), F.col("j").cast("long").alias("j"))
+    """(struct_id, i, j): the pairs of ( and ), 0-based, i < j; unbalanced structures have none. Each structure is read where it is,
+    with a stack: nothing is shuffled."""
+    kind = structs.schema["struct_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [matched(db) for db in batch.column("db").to_pylist()]
+            owner = [k for k, pairs in enumerate(found) for _ in pairs]
+            i, j = ([p[x] for pairs in found for p in pairs] for x in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column("struct_id").take(pa.array(owner, pa.int64())), pa.array(i, pa.int64()), pa.array(j, pa.int64())], ["struct_id", "i", "j"])
+
+    return structs.select("struct_id", "db").mapInArrow(run, f"struct_id {kind}, i long, j long")
+
+
+def structure_offsets(structs: DataFrame) -> DataFrame:
+    """(cluster, n, first, last): where each cluster's structures stand when ensembles (cluster, struct_id) are put one after the
+    other in the order of the clusters; clusters are few."""
+    sizes = structs.groupBy("cluster").agg(F.count("*").alias("n"))
+    before = sizes.select(F.col("cluster").alias("_c"), F.col("n").alias("_n"))
+    first = sizes.join(F.broadcast(before), F.col("_c") < F.col("cluster"), "left").groupBy("cluster", "n").agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("first"))
+    return first.withColumn("last", F.col("first") + F.col("n"))
 
 
 def balanced(structs: DataFrame) -> DataFrame:

@@ -18,16 +18,26 @@ def window_coords(spark: SparkSession, length: int, window: int = 100, step: int
     return starts.select("start", (F.col("start") + window).alias("end"), F.expr(f"(2 * start + {window}) div 2").alias("mid"))
 
 
-def window_correlation(profiles: DataFrame, window: int) -> DataFrame:
-    """(start, mid, r): Pearson correlation of columns x and y over windows of positions that are all there."""
-    w = Window.orderBy("pos").rowsBetween(0, window - 1)
+def gene_windows(sizes: DataFrame, window: int = 100, step: int = 1) -> DataFrame:
+    """(gene, start, end, mid): the windows of every gene of a size table (gene, length); the one that ends at its length is left
+    out, and genes shorter than a window have none."""
+    starts = F.sequence(F.lit(0).cast("long"), F.col("length") - window - 1, F.lit(step).cast("long"))
+    rows = sizes.where(F.col("length") > window).select("gene", F.explode(starts).alias("start"))
+    return rows.select("gene", "start", (F.col("start") + window).alias("end"), F.expr(f"(2 * start + {window}) div 2").alias("mid"))
+
+
+def window_correlation(profiles: DataFrame, window: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, start, mid, r): Pearson correlation of columns x and y over windows of positions that are all there, in each group of
+    `by`, such as the gene; without it the positions are one gene's, in one task."""
+    w = Window.partitionBy(*by).orderBy("pos").rowsBetween(0, window - 1)
     t = profiles.withColumn("r", F.corr("x", "y").over(w)).withColumn("n", F.count("*").over(w))
-    return t.where(F.col("n") == window).select(F.col("pos").alias("start"), (F.col("pos") + window // 2).alias("mid"), "r")
+    return t.where(F.col("n") == window).select(*by, F.col("pos").alias("start"), (F.col("pos") + window // 2).alias("mid"), "r")
 
 
-def moving_sum(counts: DataFrame, width: int, value: str = "n") -> DataFrame:
-    """counts with total: the sum of value over positions from pos - width / 2 to pos + width / 2, half-open."""
-    w = Window.orderBy("pos").rangeBetween(-(width // 2), width - width // 2 - 1)
+def moving_sum(counts: DataFrame, width: int, value: str = "n", by: tuple[str, ...] = ()) -> DataFrame:
+    """counts with total: the sum of value over positions from pos - width / 2 to pos + width / 2, half-open, in each group of `by`,
+    such as the gene."""
+    w = Window.partitionBy(*by).orderBy("pos").rangeBetween(-(width // 2), width - width // 2 - 1)
     return counts.withColumn("total", F.sum(value).over(w))
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.operators import nulls, windows
+from strandlake.operators import filters, nulls, windows
 
 
 @dataclass(frozen=True)
@@ -22,6 +22,21 @@ class Settings:
     normal: bool = True
 
 
+def rejected_library(reads: DataFrame, mods: DataFrame, length: int, limit: int = 1_000_000, seed: int = 386) -> dict[str, DataFrame]:
+    """The null library by rejection: reads drawn from the positions' rates, kept up to the number of reads of each count of
+    modifications; with quotas (asked for and filled) and R2 of both margins."""
+    rates, histogram = filters.position_rates(reads, mods, length), filters.mods_histogram(reads, mods)
+    made = nulls.independent_reads(rates, histogram, length, limit, seed)
+    per_pos = lambda m: m.groupBy("pos").agg(F.count("*").alias("n"))
+    filled = nulls.quotas(histogram, made)
+    return {
+        "library": made,
+        "quotas": filled,
+        "position_fit": nulls.margin_fit(per_pos(mods), per_pos(made), "pos"),
+        "read_fit": nulls.margin_fit(filled.select("n_mods", F.col("quota").alias("n")), filled.select("n_mods", "n"), "n_mods"),
+    }
+
+
 def analyse(mods: DataFrame, s: Settings) -> dict[str, DataFrame]:
     """observed and simulated entropies, tests of every window, and intervals of significant ones (by window number)."""
     observed = windows.window_entropy(mods, s.length, s.window, s.step, s.components).cache()

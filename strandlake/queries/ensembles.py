@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.fixtures import DOT_SQL, EMBEDDING_SQL, EVENT_SQL, L_EMBEDDING, L_ORDER, ORDER_SQL, dot_brackets, embedding_mods, embedding_reads, event_profiles, order_mods
-from strandlake.operators import clustering, relational, windows
-from strandlake.plans import ensembles
+from strandlake.fixtures import DOT_SQL, EMBEDDING_SQL, EVENT_SQL, L_EMBEDDING, L_ORDER, ORDER_SQL, dot_brackets, embedding_mods, embedding_reads, event_profiles, order_mods, order_reads, table
+from strandlake.operators import clustering, filters, mixtures, nulls, relational, simulate, structure, windows
+from strandlake.plans import ensembles, heterogeneity, two_sample
 from strandlake.queries.matrix import r6
 
 QUERIES, SQL = {}, {}
@@ -81,12 +82,40 @@ def ensemble_concordance(spark, sf):
     return ensembles.concordance(found, found.select("read_id", (F.col("read_id") % 2).alias("truth"))).select(r6("concordance"))
 
 
+@query("structure_offsets", f"WITH {DOT_SQL}, c AS (SELECT cast(length(replace(db, '.', '')) AS BIGINT) AS cluster, cast(count(*) AS BIGINT) AS n FROM structs GROUP BY 1) SELECT cluster, n, cast(sum(n) OVER (ORDER BY cluster) - n AS BIGINT) AS first, cast(sum(n) OVER (ORDER BY cluster) AS BIGINT) AS last FROM c")
+def structure_offsets(spark, sf):
+    """Where the structures with each number of paired bases stand, one number after the other."""
+    structs = dot_brackets(spark, sf).select("struct_id", F.length(F.translate("db", ".", "")).cast("long").alias("cluster"))
+    return structure.structure_offsets(structs)
+
+
 @query("ensemble_kmeans")
 def ensemble_kmeans(spark, sf):
     """Sizes and centres of the clusters of k-means."""
     return ensembles.analyse(dot_brackets(spark, sf), L_STRUCT, ensembles.Settings(clusters=3))["centres"]
 
 
+# --- windows of genes, null libraries, the other flows -----------------------------------------------------------------
+
+
+@query("gene_windows", "SELECT 'g' || p_partkey AS gene, s AS \"start\", s + 20 AS \"end\", s + 10 AS mid FROM (SELECT p_partkey, cast(unnest(range(0, p_size - 20, 5)) AS BIGINT) AS s FROM part WHERE p_size > 20)")
+def gene_windows(spark, sf):
+    part = table(spark, sf, "part").select(F.concat(F.lit("g"), F.col("p_partkey").cast("string")).alias("gene"), F.col("p_size").cast("long").alias("length"))
+    return windows.gene_windows(part, 20, 5)
+
+
+@query("null_rejection")
+def null_rejection(spark, sf):
+    """Quotas of a null library by rejection, and how many reads of each were drawn."""
+    return heterogeneity.rejected_library(embedding_reads(spark, sf), embedding_mods(spark, sf), L_EMBEDDING)["quotas"]
+
+
+@query("two_sample_hbbmm")
+def two_sample_hbbmm(spark, sf):
+    s = two_sample.Settings(length=L_ORDER, hierarchical=True)
+    return two_sample.analyse(order_reads(spark, sf), order_mods(spark, sf), s)["purity"]
+
+
 # --- closed forms -----------------------------------------------------------------------------------------------------
 
 
@@ -128,15 +157,82 @@ def normal_test_sites(spark, sf):
     return windows.normal_test(observed, null).select("start", r6("entropy"), r6("mean"), r6("std"), F.round("p", 5).alias("p"), "significant")
 
 
-@query(
-    "louvain_connected",
-    f"""WITH RECURSIVE {EMBEDDING_SQL.strip()},
+_REACH = f"""WITH RECURSIVE {EMBEDDING_SQL.strip()},
 e AS (SELECT x.read_id AS a, y.read_id AS b FROM mods x JOIN mods y ON x.pos = y.pos AND x.read_id < y.read_id GROUP BY ALL HAVING count(*) >= 5),
 both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
-reach(n, m) AS (SELECT read_id, read_id FROM reads UNION SELECT r.n, b.b FROM reach r JOIN both_ways b ON b.a = r.m)
-SELECT n AS read_id, min(m) AS cluster FROM reach GROUP BY n""",
-)
-def louvain_connected(spark, sf):
+reach(n, m) AS (SELECT read_id, read_id FROM reads UNION SELECT r.n, b.b FROM reach r JOIN both_ways b ON b.a = r.m),
+part AS (SELECT n AS read_id, min(m) AS cluster FROM reach GROUP BY n)"""
+
+
+def _connected(spark, sf, **more) -> DataFrame:
     """At resolution 0 communities are the connected parts of the graph."""
+    return clustering.communities(embedding_reads(spark, sf), relational.shared_edges(embedding_mods(spark, sf), 5), resolution=0.0, **more)
+
+
+@query("louvain_connected", _REACH + " SELECT read_id, cluster FROM part")
+def louvain_connected(spark, sf):
+    return _connected(spark, sf)
+
+
+@query("leiden_connected", _REACH + " SELECT read_id, cluster FROM part")
+def leiden_connected(spark, sf):
+    return _connected(spark, sf, refine=True)
+
+
+@query("small_communities_left_out", _REACH + " SELECT read_id, p.cluster FROM part p JOIN (SELECT cluster, count(*) AS n FROM part GROUP BY cluster) s ON s.cluster = p.cluster WHERE n >= cast(0.01 AS DOUBLE) * (SELECT count(*) FROM reads)")
+def small_communities_left_out(spark, sf):
+    return _connected(spark, sf, least_share=0.01)
+
+
+@query("margin_fit", f"WITH {EMBEDDING_SQL}, t AS (SELECT pos, count(*) FILTER (read_id % 2 = 0) AS y, count(*) FILTER (read_id % 2 = 1) AS x FROM mods GROUP BY pos) SELECT round(1 - sum((y - x) * (y - x)) / sum((y - m) * (y - m)), 6) AS r2 FROM t, (SELECT avg(y) AS m FROM t) a")
+def margin_fit(spark, sf):
+    """How well the positions of the odd reads follow those of the even ones."""
     mods = embedding_mods(spark, sf)
-    return clustering.communities(embedding_reads(spark, sf), relational.shared_edges(mods, 5), resolution=0.0)
+    real, other = (mods.groupBy("pos").agg(F.count_if(F.col("read_id") % 2 == k).alias("n")) for k in (0, 1))
+    return nulls.margin_fit(real, other, "pos").select(r6("r2"))
+
+
+@query("null_independent_quotas", f"WITH {EMBEDDING_SQL}, c AS (SELECT read_id, cast(count(*) AS BIGINT) AS n_mods FROM mods GROUP BY read_id), h AS (SELECT n_mods, cast(count(*) AS BIGINT) AS n FROM c GROUP BY n_mods), top AS (SELECT cast(unnest(range(1, (SELECT max(n_mods) + 1 FROM h))) AS BIGINT) AS n_mods) SELECT t.n_mods, coalesce(n, 0) AS quota, coalesce(n, 0) AS n FROM top t LEFT JOIN h ON h.n_mods = t.n_mods")
+def null_independent_quotas(spark, sf):
+    """Every quota of the null library of independent positions is filled."""
+    reads, mods = embedding_reads(spark, sf), embedding_mods(spark, sf)
+    histogram = filters.mods_histogram(reads, mods)
+    made = nulls.independent_reads(filters.position_rates(reads, mods, L_EMBEDDING), histogram, L_EMBEDDING)
+    return nulls.quotas(histogram, made)
+
+
+_HASH = "cast(('0x' || substr(md5({}), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE"
+
+
+@query("sim_sequence", f"SELECT string_agg(substr('ATGC', cast(floor({_HASH.format("'seq|' || id || '|386'")} * 4) AS INT) + 1, 1), '' ORDER BY id) AS seq FROM (SELECT cast(unnest(range(0, 2000)) AS BIGINT) AS id)")
+def sim_sequence(spark, sf):
+    return simulate.sequence(spark, simulate.Simulation(length=2000))
+
+
+@query("sim_chimeric", f"WITH p AS (SELECT cast(k AS BIGINT) AS k, cast(k * 3 AS BIGINT) AS i, cast(k * 3 + 40 AS BIGINT) AS j FROM (SELECT unnest(range(0, 40)) AS k)), r AS (SELECT c_custkey AS read_id, cast(floor({_HASH.format("'pair|' || c_custkey || '|386'")} * 40) AS BIGINT) AS k FROM customer) SELECT read_id, greatest(0, i - 15) AS first1, least(150, i + 15) AS last1, greatest(0, j - 15) AS first2, least(150, j + 15) AS last2 FROM r JOIN p ON p.k = r.k")
+def sim_chimeric(spark, sf):
+    pairs = spark.range(40).select((F.col("id") * 3).alias("i"), (F.col("id") * 3 + 40).alias("j"))
+    return simulate.chimeric_reads(table(spark, sf, "customer").select(F.col("c_custkey").alias("read_id")), pairs, 150)
+
+
+@query("score_filled", "SELECT l_orderkey, l_linenumber, round(CASE WHEN l_discount = 0 THEN 318.0::DOUBLE ELSE -log10(cast(l_discount AS DOUBLE)) END, 6) + 0.0 AS score FROM lineitem")
+def score_filled(spark, sf):
+    li = table(spark, sf, "lineitem")
+    return li.select("l_orderkey", "l_linenumber", (F.round(windows.minus_log10(F.col("l_discount").cast("double")), 6) + 0.0).alias("score"))
+
+
+@query(
+    "spaced_shares",
+    """WITH RECURSIVE mu AS (SELECT k, p, 0.02::DOUBLE + 0.2::DOUBLE * ((p * 31 + k * 17) % 97) / 97 AS mu FROM (SELECT cast(unnest(range(0, 70)) AS BIGINT) AS p), (SELECT cast(unnest(range(0, 3)) AS BIGINT) AS k)),
+d(k, i, d1, d2, d3, d4) AS (
+  SELECT cast(unnest(range(0, 3)) AS BIGINT), cast(64 AS BIGINT), 1.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE
+  UNION ALL
+  SELECT d.k, i - 1, (1 - m.mu) * d1 + m.mu * (SELECT coalesce(product(1 - q.mu), 1) FROM mu q WHERE q.k = d.k AND q.p BETWEEN i AND least(63, i + 2)) * d4, d1, d2, d3
+  FROM d JOIN mu m ON m.p = d.i - 1 AND m.k = d.k WHERE i > 0),
+w AS (SELECT k, (k + 1) / 6.0::DOUBLE / d1 AS w FROM d WHERE i = 0)
+SELECT k AS cluster, round(w / (SELECT sum(w) FROM w), 6) AS share FROM w""",
+)
+def spaced_shares(spark, sf):
+    """Shares of three clusters before reads with close mutations went missing."""
+    model = mixtures.Mixture(mixtures.hashed_start(3, L_EMBEDDING), np.array([1, 2, 3]) / 6, 0.0, 0.0)
+    return spark.createDataFrame([(k, float(x)) for k, x in enumerate(mixtures.true_shares(model))], "cluster long, share double").select("cluster", r6("share"))

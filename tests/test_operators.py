@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strandlake import cli
 from strandlake.functions import stats
 from strandlake.operators import bitvec, clustering, evaluate, filters, mixtures, nulls, ordered, regions, signals, simulate, structure, windows
 from strandlake.plans import benchmark, ensembles, folding, heterogeneity, library, two_sample
@@ -404,6 +405,57 @@ def test_similarity_scores_are_over_the_length_of_the_query(spark):
     assert r["distance"] == 2.0 and abs(r["norm_score"] - 2 / 3) < 1e-12
 
 
+def test_rejected_libraries_follow_the_margins(spark, mixture):
+    reads, mods, _ = mixture
+    got = heterogeneity.rejected_library(reads, mods, 10, limit=20_000)
+    assert got["position_fit"].first()["r2"] > 0.8 and got["read_fit"].first()["r2"] > 0.9
+    quotas = got["quotas"].collect()
+    assert sum(r["quota"] for r in quotas) == 600 - reads.join(mods, "read_id", "left_anti").count() and all(r["n"] <= r["quota"] for r in quotas)
+
+
+def test_imputed_matrices_and_the_hierarchical_prior(spark, mixture):
+    reads, mods, bits = mixture
+    few = mods.where("(read_id + 3 * pos) % 4 = 0")  # the percentile needs fewer ones than it leaves
+    made = two_sample.imputed(reads, few, 10, 70)
+    assert made.dtypes == mods.dtypes and few.count() <= made.count() <= 0.3 * bits.size + 1
+    assert few.join(made, ["read_id", "pos"], "left_anti").count() == 0
+    with pytest.raises(ValueError):
+        two_sample.imputed(reads, mods, 10**6)
+    conds = reads.withColumn("cond", F.col("read_id") % 2)
+    for extra in ({"hierarchical": True}, {"impute": True}):
+        s = two_sample.Settings(10, read_low=0.0, read_high=1.1, clusters=2, min_iters=5, max_iters=10, **extra)
+        assert 1 <= two_sample.analyse(conds, few, s)["purity"].count() <= 2
+
+
+def test_positions_by_gene(spark):
+    mods = spark.createDataFrame([("a", 5), ("a", 5), ("a", 9), ("b", 9), ("b", 2)], "gene string, pos long")
+    assert sorted(tuple(r) for r in filters.retained_positions(mods, ("gene",)).collect()) == [("a", 5, 0), ("a", 9, 1), ("b", 2, 0), ("b", 9, 1)]
+    x = spark.createDataFrame([(g, p, float(p * k % 7), float(p * p % 5)) for g, k in (("a", 3), ("b", 2)) for p in range(12)], "gene string, pos long, x double, y double")
+    both = sorted(tuple(r) for r in windows.window_correlation(x, 5, ("gene",)).collect())
+    one = [("a", *r) for r in sorted(tuple(r) for r in windows.window_correlation(x.where("gene = 'a'"), 5).collect())]
+    assert both[: len(one)] == one and len(both) == 2 * len(one)
+    total = {(r["gene"], r["pos"]): r["total"] for r in windows.moving_sum(x, 4, "x", ("gene",)).collect()}
+    assert total["b", 0] == 0.0 + 2.0
+
+
+def test_matched_pairs():
+    assert structure.matched("((..)())") == [(0, 7), (1, 4), (5, 6)]
+    assert structure.matched("(()") == structure.matched("())") == structure.matched(None) == structure.matched("..") == []
+
+
+def test_command_lines(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    bits = (rng.random((60, 8)) < np.array([[0.1] * 4 + [0.9] * 4, [0.9] * 4 + [0.1] * 4])[np.arange(60) % 2]).astype(int)
+    (tmp_path / "t.csv").write_text("\n".join([",".join(map(str, range(8))), *(",".join(map(str, r)) for r in bits)]) + "\n")
+    for name in ("bmm", "hbbmm", "vi", "spaced"):
+        out = str(tmp_path / name)
+        cli.run(spark, [name, str(tmp_path / "t.csv"), out, "--runs", "2", "--min-iters", "5"])
+        assert spark.read.text(f"{out}/posteriors").count() == 60 and spark.read.parquet(f"{out}/model/model_mu").count() == 8
+        assert spark.read.parquet(f"{out}/log_runs").count() >= 1 and spark.read.parquet(f"{out}/histogram").agg(F.sum("n_reads")).first()[0] == 60
+    cli.run(spark, ["simulate", str(tmp_path / "sim"), "--depth", "30", "--length", "20", "--rate", "0.2", "--methods", "kmeans", "ward"])
+    assert spark.read.parquet(str(tmp_path / "sim" / "scores")).count() == 2
+
+
 def test_ensembles(spark):
     dbs = ["((...))....", "((....))...", "((...))....", "....((...))", "...((....))", "....((...))", "....((...))"]
     structs = spark.createDataFrame(list(enumerate(dbs)), "struct_id long, db string")
