@@ -54,8 +54,8 @@ def external_shuffle(df: DataFrame, seed: int = SEED, bucket_bytes: int = BUCKET
     parts = min(n, most_parts)
     keys = [F.col(f.name) for f in df.schema if "map<" not in f.dataType.simpleString()]
     placed = df.withColumn("_hash", F.xxhash64(F.lit(seed), *keys)).withColumn("_row", F.monotonically_increasing_id())
-    # rows that stand several times; none in most corpora, so Spark broadcasts this side or drops the join
-    again = placed.groupBy("_hash").agg(F.count("*").alias("_n")).where("_n > 1").select("_hash", F.lit(True).alias("_again"))
+    # rows that stand several times, few in most corpora; written first, so that Spark knows its size when it plans the join
+    again, _ = materialize(placed.groupBy("_hash").agg(F.count("*").alias("_n")).where("_n > 1").select("_hash", F.lit(True).alias("_again")), "repeated")
     placed = placed.join(again, "_hash", "left").withColumn("_hash", F.when(F.col("_again"), F.xxhash64("_hash", "_row")).otherwise(F.col("_hash")))
     placed = placed.withColumn("_bucket", F.pmod("_hash", F.lit(n))).withColumn("_part", F.pmod("_bucket", F.lit(parts)).cast("int"))
     names = df.columns
