@@ -8,6 +8,8 @@ from .common import read_table
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of all documents, one row for each row. Null and wordless texts have no words, so n_hit is 0; repeated rows and ids are
+    kept; whole texts are scanned, however long; without items nothing is hit; an empty table gives no rows."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.judged(decontamination.scan(docs, read_table(spark, sf_dir, "benchmark")))
     return found.select(

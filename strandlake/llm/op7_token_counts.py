@@ -7,4 +7,6 @@ from .common import read_table
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pre-tokens and tokens of all documents, one row for each row. Null and empty texts count 0; repeated rows and ids are kept; whole
+    texts count, however long; an empty table gives no rows."""
     return token_counts.counted(read_table(spark, sf_dir, "documents"))

@@ -8,6 +8,8 @@ from .common import read_table
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of all documents, one row for each row: null and empty texts have size 8, repeated rows and null ids are records
+    like others; an empty table gives no rows."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.shard(docs).select(
         F.col("doc_id").cast("long").alias("doc_id"),
