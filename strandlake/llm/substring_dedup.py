@@ -39,7 +39,10 @@ NEAR_WORDS = NEAR_SHINGLES + SHINGLE_WORDS - 1
 PIECE_WORDS = 5
 #: A cut has the least hash of two words among so many places on either side.
 CUT_RADIUS = 5
-RUN_WORDS = 25
+#: Words of a passage that goes. Passages of over 50 words are meant; a change near an end may take a fifth of their words off.
+RUN_WORDS = 40
+#: A word that stands over and over gives no least hashes; it is cut every so many times.
+SAME_WORDS = 16
 #: Runs of fewer words aren't compared further; of others, so many words on either side are.
 ANCHOR_WORDS = 6
 CONTEXT_WORDS = 48
@@ -144,7 +147,16 @@ class Units:
         chosen = at[(pair[at] < near[at - r]) & (pair[at] < near[at + 1])]
         line = np.searchsorted(self.lines, chosen, "right") - 1
         inside = (chosen - r >= self.lines[line]) & (chosen + r + 1 < self.lines[line] + sizes[line])
-        return np.union1d(heads, chosen[inside])
+        cuts = np.union1d(heads, chosen[inside])
+        same = np.concatenate([[False], self.hashes[1:] == self.hashes[:-1]])
+        same[self.lines] = False
+        at = np.arange(n)
+        times = at - np.maximum.accumulate(np.where(same, 0, at))
+        if times.max() < SAME_WORDS:
+            return cuts
+        # a run of one word begins a piece, and another one every SAME_WORDS times
+        far = times >= SAME_WORDS
+        return np.union1d(cuts, np.concatenate([at[far] - times[far], at[far & (times % SAME_WORDS == 0)]]))
 
     def ids(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """96 bits of hash of each stretch between starts: a long and an int."""
