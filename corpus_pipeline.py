@@ -31,9 +31,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     fps, _ = materialize(simhash.fingerprints(docs.where("doc_id is not null"), tid=True), "fingerprints")
     key, tid = fresh(docs, "gone", "tid")
     gone = simhash.near_duplicates(fps).where("doc_id <> component_id").select(F.col("doc_id").alias(key), F.col("tid").alias(tid)).distinct()
-    known = docs.where("doc_id is not null")
-    stay = known.join(gone, (F.col("doc_id").cast("long") == F.col(key)) & (F.xxhash64("text") == F.col(tid)), "left_anti")
-    return stay.dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))
+    # one shuffle by the same two columns for both the join and the repeated rows
+    known = docs.where("doc_id is not null").withColumn(key, F.col("doc_id").cast("long")).withColumn(tid, F.xxhash64("text"))
+    stay = known.join(gone, [key, tid], "left_anti").dropDuplicates([key, tid]).drop(key, tid)
+    return stay.unionByName(docs.where("doc_id is null"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
