@@ -228,33 +228,40 @@ def fit_variational(sets: DataFrame, clusters: int, length: int, updates: int =
 # --- reads in which mutations closer than `gap` are never seen ----------------------------------------------------------
 
 
+def _quiet(mu: np.ndarray, gap: int) -> np.ndarray:
+    """For every position, the probability of no mutation at the gap - 1 positions after it."""
+    off = np.concatenate([1 - mu, np.ones(gap)])
+    out = np.ones(len(mu))
+    for k in range(1, gap):
+        out *= off[k : k + len(mu)]
+    return out
+
+
 def spaced_probability(mu: np.ndarray, gap: int = 4) -> np.ndarray:
     """For every position, the probability that from there on no two mutations are closer than gap; entry 0 is for a whole
     read, the entries past the end are 1."""
-    d = np.ones(len(mu) + gap)
+    d = [1.0] * (len(mu) + gap)
+    on, off = (mu * _quiet(mu, gap)).tolist(), (1 - mu).tolist()
     for i in range(len(mu) - 1, -1, -1):
-        quiet = np.prod(1 - mu[i + 1 : i + gap])
-        d[i] = (1 - mu[i]) * d[i + 1] + mu[i] * quiet * d[i + gap]
-    return d
+        d[i] = off[i] * d[i + 1] + on[i] * d[i + gap]
+    return np.array(d)
 
 
 def spaced_means(mu: np.ndarray, gap: int = 4) -> np.ndarray:
-    """Expected rate of every position among reads without close mutations."""
-    after, before = spaced_probability(mu, gap), spaced_probability(mu[::-1], gap)[::-1]
+    """Expected rate of every position among reads without close mutations: of the position, quiet places next to it on either side,
+    and no close mutations beyond these."""
     n = len(mu)
-    out = np.empty(n)
-    for i in range(n):
-        left = np.prod(1 - mu[max(0, i - gap + 1) : i]) * (before[gap + i - gap] if i - gap >= 0 else 1.0)
-        right = np.prod(1 - mu[i + 1 : i + gap]) * after[min(i + gap, n + gap - 1)]
-        out[i] = mu[i] * left * right / after[0]
-    return out
+    after, before = spaced_probability(mu, gap), spaced_probability(mu[::-1], gap)
+    right = _quiet(mu, gap) * after[gap : gap + n]
+    left = (_quiet(mu[::-1], gap) * before[gap : gap + n])[::-1]
+    return mu * left * right / after[0]
 
 
-def solve_spaced(target: np.ndarray, gap: int = 4, rounds: int = 1000, tolerance: float = 1e-10) -> np.ndarray:
-    """Rates whose spaced_means are the target, by damped fixed-point steps on the odds, kept within (0, 1). Targets that no
-    rates have (they need more mutations than the gap allows) end with a warning and the last step."""
+def solve_spaced(target: np.ndarray, gap: int = 4, rounds: int = 1000, tolerance: float = 1e-10, start: np.ndarray | None = None) -> np.ndarray:
+    """Rates whose spaced_means are the target, by damped fixed-point steps on the odds, kept within (0, 1), from start or else the
+    target on. Targets that no rates have (they need more mutations than the gap allows) end with a warning and the last step."""
     target = np.clip(target, 0, 1 - 1e-9)
-    mu = target.copy()
+    mu = target.copy() if start is None else np.where(target > 0, np.maximum(start, 1e-12), 0.0)
     for _ in range(rounds):
         now = spaced_means(mu, gap)
         ratio = np.where(now > 0, target / np.maximum(now, 1e-300), 1.0)
@@ -287,7 +294,7 @@ def fit_spaced(sets: DataFrame, max_clusters: int, length: int, runs: int = 10,
                     w.const = w.const - np.log([spaced_probability(m, gap)[0] for m in mu])
                     sums = em_pass(passed, w)
                     means, share = maximised(sums)
-                    mu, pi = np.stack([solve_spaced(m, gap) for m in means]), np.maximum(share, 1e-300)
+                    mu, pi = np.stack([solve_spaced(m, gap, start=x) for m, x in zip(means, mu)]), np.maximum(share, 1e-300)
                     trace.append((i, sums.marginal, sums.marginal - before))
                     if done := i >= least and sums.marginal - before <= cutoff:
                         break

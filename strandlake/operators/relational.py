@@ -16,16 +16,40 @@ def unassigned(reads: DataFrame, assignments: DataFrame) -> DataFrame:
     return reads.join(assignments.select("read_id").distinct(), "read_id", "left_anti")
 
 
-def shared_edges(mods: DataFrame, least: int) -> DataFrame:
-    """(a, b, score): pairs of reads a < b that share at least `least` modified positions.
+#: Reads of one position that meet in one task; longer posting lists are dealt out in pairs of blocks of so many.
+BLOCK = 4096
 
-    The self-join goes over the inverted index on pos: its cost is the sum of squared position degrees, which the read and
-    position filters of this domain keep low; pairs are summed map-side before they are shuffled.
+
+def shared_edges(mods: DataFrame, least: int, block: int = BLOCK) -> DataFrame:
+    """(a, b, score): pairs of reads a < b that share at least `least` modified positions, 1 or more.
+
+    A prefix filter: with positions in order of rarity, reads that share `least` of them share one of the first n - least + 1 of
+    both. Each pair is made once, where it first meets, and counted there from both reads' sets, which are bits of a few numbers,
+    so pairs aren't shuffled. A position that many reads have is dealt out in pairs of blocks, so no task holds more than two blocks
+    of it.
     """
-    x, y = mods.alias("x"), mods.alias("y")
-    pairs = x.join(y, (F.col("x.pos") == F.col("y.pos")) & (F.col("x.read_id") < F.col("y.read_id")))
-    counted = pairs.groupBy(F.col("x.read_id").alias("a"), F.col("y.read_id").alias("b")).agg(F.count("*").alias("score"))
-    return counted.where(F.col("score") >= least)
+    counts = mods.groupBy("pos").agg(F.countDistinct("read_id").alias("n"))  # one row for each position of a gene
+    ranked = counts.select("pos", "n", (F.row_number().over(Window.orderBy("n", "pos")) - 1).alias("r"))
+    words = range(max(1, -(-counts.count() // 64)))
+    bit = lambda r: F.call_function("shiftleft", F.lit(1).cast("long"), (r % 64).cast("int"))
+    lower = lambda r: F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("long"), (r % 64).cast("int")))
+    of = lambda w: F.col("r").cast("int").between(64 * w, 64 * w + 63)
+    masks = [F.coalesce(F.bit_or(F.when(of(w), bit(F.col("r")))), F.lit(0).cast("long")).alias(f"m{w}") for w in words]
+    lists = mods.join(F.broadcast(ranked), "pos").groupBy("read_id").agg(F.sort_array(F.collect_set(F.struct("r", "n"))).alias("l"), *masks)
+    prefix = lists.where(F.size("l") >= least).select("read_id", *[f"m{w}" for w in words], F.inline(F.slice("l", 1, F.size("l") - least + 1)))
+    blocks = F.expr(f"cast((n - 1) div {block} as int)")  # the last one
+    place = F.pmod(F.xxhash64("read_id"), blocks + 1).cast("int")
+    # of a read's positions those before this one
+    before = [F.when(F.col("r") > 64 * w + 63, F.col(f"m{w}")).when(of(w), F.col(f"m{w}").bitwiseAND(lower(F.col("r")))).otherwise(F.lit(0).cast("long")).alias(f"b{w}") for w in words]
+    dealt = prefix.withColumn("u", place).select("*", *before, F.inline(F.transform(F.sequence(F.lit(0), blocks), lambda o: F.struct(F.least("u", o).alias("i"), F.greatest("u", o).alias("j")))))
+    x, y = dealt.alias("x"), dealt.drop(*[f"b{w}" for w in words]).alias("y")
+    met = (F.col("x.r") == F.col("y.r")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j")) & (F.col("x.read_id") < F.col("y.read_id"))
+    own = (F.least("x.u", "y.u") == F.col("x.i")) & (F.greatest("x.u", "y.u") == F.col("x.j"))
+    earlier, score = F.lit(0).cast("long"), F.lit(0)
+    for w in words:
+        earlier = earlier.bitwiseOR(F.col(f"x.b{w}").bitwiseAND(F.col(f"y.m{w}")))
+        score = score + F.bit_count(F.col(f"x.m{w}").bitwiseAND(F.col(f"y.m{w}")))
+    return x.join(y, met & own & (earlier == 0) & (score >= least)).select(F.col("x.read_id").alias("a"), F.col("y.read_id").alias("b"), score.cast("long").alias("score"))
 
 
 def cooccurrence(mods: DataFrame, window: int | None = None) -> DataFrame:

@@ -397,6 +397,24 @@ def null_read_margins(spark, sf):
     return nulls.shuffled_library(order_mods(spark, sf), SEEDS, 2).distinct().groupBy("seed", "read_id").agg(F.count("*").alias("n"))
 
 
+@query(
+    "null_one_round",
+    _order(""",
+s AS (SELECT cast(unnest([386, 387]) AS BIGINT) AS seed), r AS (SELECT DISTINCT read_id FROM mods), n AS (SELECT greatest(1, count(*) // 5000) AS n FROM r),
+o AS (SELECT seed, read_id, md5(seed || '|' || read_id || '|0') AS o FROM s, r),
+k AS (SELECT seed, read_id, q, row_number() OVER (PARTITION BY seed, q ORDER BY o, read_id) AS k FROM (SELECT *, cast('0x' || substr(o, 1, 8) AS BIGINT) % (SELECT n FROM n) AS q FROM o)),
+pair AS (SELECT x.seed, x.read_id AS ra, y.read_id AS rb FROM k x LEFT JOIN k y ON y.seed = x.seed AND y.q = x.q AND y.k = x.k + 1 WHERE x.k % 2 = 1),
+cell AS (SELECT seed, ra, rb, pos, sum(a) AS a, sum(b) AS b FROM (
+  SELECT p.seed, ra, rb, pos, 1 AS a, 0 AS b FROM pair p JOIN mods m ON m.read_id = ra UNION ALL SELECT p.seed, ra, rb, pos, 0, 1 FROM pair p JOIN mods m ON m.read_id = rb) GROUP BY ALL),
+free AS (SELECT seed, ra, rb, pos, row_number() OVER (PARTITION BY seed, ra ORDER BY md5(seed || '|' || ra || '|0|' || pos), pos) AS k, sum(a) OVER (PARTITION BY seed, ra) AS na FROM cell WHERE a + b = 1)
+SELECT seed, ra AS read_id, pos FROM cell WHERE a + b = 2 UNION ALL SELECT seed, rb, pos FROM cell WHERE a + b = 2
+UNION ALL SELECT seed, CASE WHEN k <= na THEN ra ELSE rb END, pos FROM free"""),
+)
+def null_one_round(spark, sf):
+    """The reads after one round of trading."""
+    return nulls.shuffled_library(order_mods(spark, sf), SEEDS, 1).select(F.col("seed").cast("long").alias("seed"), "read_id", "pos")
+
+
 @query("null_independent")
 def null_independent(spark, sf):
     reads, mods = embedding_reads(spark, sf), embedding_mods(spark, sf)
