@@ -11,25 +11,20 @@ from pyspark.sql import functions as F
 def louvain(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, resolution: float = 1.0, refine: bool = False, seed: int = 386) -> np.ndarray:
     """Communities (numbered from 0) of a weighted graph by moving nodes while modularity rises, then merging communities.
 
-    With refine, communities that have come apart are split before they are merged: of Leiden's refinement only the guarantee
-    that communities are connected.
+    With refine (Leiden), what is merged are the well-connected parts of each community instead, and the next moves start from the
+    communities as they are; in the end every community is connected.
     """
-    names = np.arange(n)
+    names, start = np.arange(n), np.arange(n)
     rng = np.random.default_rng(seed)
+    first = (n, a, b)
     while True:
-        nbrs: list[dict[int, float]] = [{} for _ in range(n)]
-        loops = np.zeros(n)
-        for x, y, v in zip(a.tolist(), b.tolist(), w.tolist()):
-            if x == y:
-                loops[x] += v
-            else:
-                nbrs[x][y] = nbrs[x].get(y, 0.0) + v
-                nbrs[y][x] = nbrs[y].get(x, 0.0) + v
+        nbrs, loops = _adjacency(n, a, b, w)
         degree = np.array([sum(d.values()) for d in nbrs]) + 2 * loops
         total = degree.sum()
         if total == 0:
             return np.unique(names, return_inverse=True)[1]
-        home, mass, moved = np.arange(n), degree.copy(), False
+        home, moved = start.copy(), False
+        mass = np.bincount(home, degree, n)
         active = True
         while active:
             active = False
@@ -47,13 +42,52 @@ def louvain(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, resolution: flo
                 mass[there] += degree[x]
                 if there != here:
                     home[x], active, moved = there, True, True
-        if refine:
-            home = _connected(n, nbrs, home)
-        kinds, home = np.unique(home, return_inverse=True)
-        names = home[names]
-        if not moved or len(kinds) == n:
-            return np.unique(names, return_inverse=True)[1]
-        a, b, n = home[a], home[b], len(kinds)
+        part = _refined(n, nbrs, degree, total, home, resolution, rng) if refine else home
+        kinds, at, part = np.unique(part, return_index=True, return_inverse=True)
+        if len(kinds) == n or not refine and not moved:
+            out = home[names]
+            return np.unique(_connected(first[0], _adjacency(*first, w)[0], out) if refine else out, return_inverse=True)[1]
+        start = np.unique(home[at], return_inverse=True)[1] if refine else np.arange(len(kinds))
+        names, a, b, n = part[names], part[a], part[b], len(kinds)
+
+
+def _adjacency(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[list[dict[int, float]], np.ndarray]:
+    """Neighbours with their weights, and the weights of loops."""
+    nbrs: list[dict[int, float]] = [{} for _ in range(n)]
+    loops = np.zeros(n)
+    for x, y, v in zip(a.tolist(), b.tolist(), w.tolist()):
+        if x == y:
+            loops[x] += v
+        else:
+            nbrs[x][y] = nbrs[x].get(y, 0.0) + v
+            nbrs[y][x] = nbrs[y].get(x, 0.0) + v
+    return nbrs, loops
+
+
+def _refined(n: int, nbrs: list[dict[int, float]], degree: np.ndarray, total: float, home: np.ndarray, resolution: float, rng: np.random.Generator) -> np.ndarray:
+    """Parts of the communities: each node that is well connected to its community, and still alone, joins the well-connected part
+    of it with the largest gain, if that is no loss."""
+    part, mass, alone = np.arange(n), degree.astype(float).copy(), np.ones(n, bool)
+    whole = np.bincount(home, degree, n)
+    inside = [{y: v for y, v in nbrs[x].items() if home[y] == home[x]} for x in range(n)]
+    outward = np.array([sum(d.values()) for d in inside])  # of each part, to the rest of its community
+
+    def connected(links: float, own: float, c: int) -> bool:
+        return links >= resolution * own * (whole[c] - own) / total - 1e-12
+
+    for x in rng.permutation(n):
+        if not alone[x] or not connected(outward[x], degree[x], home[x]):
+            continue
+        links: dict[int, float] = {}
+        for y, v in inside[x].items():
+            links[part[y]] = links.get(part[y], 0.0) + v
+        gain = {c: v - resolution * degree[x] * mass[c] / total for c, v in links.items() if c != part[x] and connected(outward[c], mass[c], home[x])}
+        there = max(gain, key=lambda c: (gain[c], -c), default=None)
+        if there is not None and gain[there] >= 0:
+            outward[there] += outward[x] - 2 * links[there]
+            mass[there] += degree[x]
+            part[x], mass[x], alone[x], alone[there] = there, 0.0, False, False
+    return part
 
 
 def _connected(n: int, nbrs: list[dict[int, float]], home: np.ndarray) -> np.ndarray:

@@ -46,6 +46,25 @@ def base_pairs(structs: DataFrame) -> DataFrame:
     return structs.select("struct_id", "db").mapInArrow(run, f"struct_id {kind}, i long, j long")
 
 
+def pair_probabilities(structs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, i, j, p): the share of an ensemble's structures that have a pair; unbalanced structures count and have none."""
+    sizes = structs.groupBy(*by).agg(F.count("*").alias("_n"))
+    pairs = base_pairs(structs).join(structs.select("struct_id", *by), "struct_id").groupBy(*by, "i", "j").agg(F.count("*").alias("_k"))
+    both = pairs.join(F.broadcast(sizes), list(by)) if by else pairs.join(F.broadcast(sizes))
+    return both.select(*by, "i", "j", (F.col("_k") / F.col("_n")).alias("p"))
+
+
+def ensemble_centroids(structs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, db): the structure of the pairs that more than half of an ensemble's structures have, which never cross or share a base;
+    as long as the longest of them."""
+    likely = pair_probabilities(structs, by).where("p > 0.5").groupBy(*by).agg(F.collect_list("i").alias("_i"), F.collect_list("j").alias("_j"))
+    length = structs.groupBy(*by).agg(F.max(F.length("db")).alias("_l"))
+    both = length.join(likely, list(by), "left") if by else length.join(F.broadcast(likely), how="left")
+    sign = lambda x: F.when(F.array_contains("_i", x), "(").when(F.array_contains("_j", x), ")").otherwise(".")
+    text = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.col("_l").cast("long") - 1), sign), "")
+    return both.select(*by, F.when(F.col("_l") > 0, text).otherwise("").alias("db"))
+
+
 def structure_offsets(structs: DataFrame) -> DataFrame:
     """(cluster, n, first, last): where each cluster's structures stand when ensembles (cluster, struct_id) are put one after the
     other in the order of the clusters; clusters are few."""

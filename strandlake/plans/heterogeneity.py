@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.operators import filters, nulls, windows
+from strandlake.sources.scratch import kept
 
 
 @dataclass(frozen=True)
@@ -37,11 +40,21 @@ def rejected_library(reads: DataFrame, mods: DataFrame, length: int, limit: int
     }
 
 
-def analyse(mods: DataFrame, s: Settings) -> dict[str, DataFrame]:
-    """observed and simulated entropies, tests of every window, and intervals of significant ones (by window number)."""
-    observed = windows.window_entropy(mods, s.length, s.window, s.step, s.components).cache()
-    null = nulls.shuffled_library(mods, list(s.seeds), s.rounds)
-    simulated = windows.window_entropy(null, s.length, s.window, s.step, s.components, ("seed",)).cache()
+def analyse(mods: DataFrame, s: Settings, path: str | None = None) -> dict[str, DataFrame]:
+    """observed and simulated entropies, tests of every window, and intervals of significant ones (by window number).
+
+    With a path the entropies are kept there, in a folder named by the settings, and read from it the next time; else both tables
+    stay cached (spark.catalog.clearCache).
+    """
+
+    def table(name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        if path is None:
+            return make().cache()
+        mark = hashlib.md5(repr((s.length, s.window, s.step, s.components, s.seeds, s.rounds)).encode()).hexdigest()[:12]
+        return kept(mods.sparkSession, f"{path}/{name}-{mark}", make)
+
+    observed = table("observed", lambda: windows.window_entropy(mods, s.length, s.window, s.step, s.components))
+    simulated = table("simulated", lambda: windows.window_entropy(nulls.shuffled_library(mods, list(s.seeds), s.rounds), s.length, s.window, s.step, s.components, ("seed",)))
     tests = (windows.normal_test if s.normal else windows.permutation_test)(observed, simulated, s.threshold)
     mean = simulated.groupBy("start").agg(F.avg("entropy").alias("null_mean"))
     tests = tests.join(mean, "start").withColumn("difference", F.col("null_mean") - F.col("entropy"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strandlake.fixtures import BITS_SQL, DOT_SQL, L_EMBEDDING, bit_strings, dot_brackets, embedding_mods, embedding_reads
 from strandlake.operators import bitvec, structure
+from strandlake.plans import folding
 from strandlake.queries.matrix import r6
 from strandlake.sources import writers
 
@@ -223,11 +224,47 @@ def structure_balance(spark, sf):
     return structure.balanced(dot_brackets(spark, sf)).select("struct_id", "is_balanced")
 
 
+@query("structure_balance_mixed", _dot(" SELECT struct_id, CASE struct_id % 3 WHEN 0 THEN true WHEN 1 THEN substr(db, 1, 1) <> '(' ELSE position('(' IN db) = 0 END AS is_balanced, CASE WHEN struct_id % 3 = 0 OR struct_id % 3 = 1 AND substr(db, 1, 1) <> '(' OR position('(' IN db) = 0 THEN cast(length(db) - length(replace(db, '(', '')) AS BIGINT) ELSE 0 END AS n_pairs FROM structs"))
+def structure_balance_mixed(spark, sf):
+    """Whole strings, strings without their first character, and strings back to front; unbalanced ones have no pairs."""
+    k, db = F.col("struct_id") % 3, F.col("db")
+    structs = dot_brackets(spark, sf).withColumn("db", F.when(k == 0, db).when(k == 1, F.expr("substring(db, 2)")).otherwise(F.reverse(db)))
+    pairs = structure.base_pairs(structs).groupBy("struct_id").agg(F.count("*").alias("n_pairs"))
+    return structure.balanced(structs).join(pairs, "struct_id", "left").select("struct_id", "is_balanced", F.coalesce("n_pairs", F.lit(0)).cast("long").alias("n_pairs"))
+
+
 @query("contact_map", _dot(_PAIRS + ", b AS (SELECT i // 5 AS bin_i, j // 5 AS bin_j FROM pairs UNION ALL SELECT j // 5, i // 5 FROM pairs) SELECT cast(bin_i AS BIGINT) AS bin_i, cast(bin_j AS BIGINT) AS bin_j, cast(count(*) AS BIGINT) AS n FROM b GROUP BY ALL"))
 def contact_map(spark, sf):
     return structure.contact_map(structure.base_pairs(dot_brackets(spark, sf)), 5)
 
 
+_LIKELY = _PAIRS + """,
+g AS (SELECT struct_id, substr(db, 1, 4) AS head, db FROM structs), size AS (SELECT head, count(*) AS n FROM g GROUP BY head),
+prob AS (SELECT g.head, i, j, cast(count(*) AS DOUBLE) / any_value(n) AS p FROM pairs JOIN g ON g.struct_id = pairs.struct_id JOIN size ON size.head = g.head GROUP BY g.head, i, j)"""
+
+
+def _by_head(spark, sf):
+    return dot_brackets(spark, sf).withColumn("head", F.substring("db", 1, 4))
+
+
+@query("pair_probabilities", _dot(_LIKELY + " SELECT head, i, j, round(p, 6) AS p FROM prob"))
+def pair_probabilities(spark, sf):
+    """Ensembles of the structures that begin alike."""
+    return structure.pair_probabilities(_by_head(spark, sf), ("head",)).select("head", "i", "j", r6("p"))
+
+
+@query("ensemble_centroids", _dot(_LIKELY + " SELECT h.head, string_agg(CASE WHEN a.i IS NOT NULL THEN '(' WHEN b.j IS NOT NULL THEN ')' ELSE '.' END, '' ORDER BY k) AS db FROM size h CROSS JOIN (SELECT cast(unnest(range(0, 67)) AS BIGINT) AS k) LEFT JOIN (SELECT * FROM prob WHERE p > 0.5) a ON a.head = h.head AND a.i = k LEFT JOIN (SELECT * FROM prob WHERE p > 0.5) b ON b.head = h.head AND b.j = k GROUP BY h.head"))
+def ensemble_centroids(spark, sf):
+    return structure.ensemble_centroids(_by_head(spark, sf), ("head",))
+
+
+@query("shape_energies", "SELECT l_orderkey, l_linenumber, round(CASE WHEN r >= 0 THEN cast(2.6 AS DOUBLE) * ln(r + 1) - cast(0.8 AS DOUBLE) ELSE 0 END, 6) AS energy FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 3 THEN -999 ELSE cast(l_tax AS DOUBLE) * 20 END AS r FROM lineitem)")
+def shape_energies(spark, sf):
+    r = F.when(F.col("l_linenumber") == 3, -999.0).otherwise(F.col("l_tax").cast("double") * 20)
+    t = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", r.alias("reactivity"))
+    return folding.pseudo_energies(t).select("l_orderkey", "l_linenumber", F.round("energy", 6).alias("energy"))
+
+
 @query("arc_height", _dot(_PAIRS + " SELECT i, j, cast(count(*) AS BIGINT) AS n, (i + j) / 2.0::DOUBLE AS center, abs(j - i) AS width, cast(abs(j - i) AS DOUBLE) AS height FROM pairs GROUP BY i, j"))
 def arc_height(spark, sf):
     pairs = structure.base_pairs(dot_brackets(spark, sf)).groupBy("i", "j").agg(F.count("*").alias("n"))

@@ -209,6 +209,15 @@ def file_signals(spark, sf):
     return readers.signals(spark, path, "_").select("id", "run", "read", total.alias("total"), F.size("samples").cast("long").alias("n"))
 
 
+@query("file_ensembles", "SELECT 'n' || c_nationkey AS id, cast(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS BIGINT) AS struct_id, translate(substr(md5(c_name), 1, 9), '0123456789abcdef', '......((((....))') AS db FROM customer")
+def file_ensembles(spark, sf):
+    db = F.translate(F.substring(F.md5("c_name"), 1, 9), "0123456789abcdef", "......((((....))")
+    t = table(spark, sf, "customer").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("id"), F.col("c_custkey").alias("struct_id"), db.alias("db"))
+    path = scratch_path(spark, "ensembles")
+    writers.write_ensembles(t, path)
+    return readers.ensembles(spark, path)
+
+
 # --- results of a mixture ---------------------------------------------------------------------------------------------
 
 

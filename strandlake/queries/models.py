@@ -540,6 +540,22 @@ def dtw_self_all(spark, sf):
     return found.select("id", "first", "final_length", F.round("distance", 6).alias("distance"))
 
 
+@query("dtw_one_sample", "SELECT event_id AS id, cast(j AS BIGINT) AS first, cast(j AS BIGINT) AS last, round(d, 6) AS distance, round(d, 6) AS norm_score FROM (SELECT event_id, j, abs(cast(value AS DOUBLE) - j) AS d, row_number() OVER (PARTITION BY event_id ORDER BY abs(cast(value AS DOUBLE) - j), j) AS k FROM events, (SELECT unnest(range(0, 40)) AS j)) WHERE k = 1")
+def dtw_one_sample(spark, sf):
+    """Signals of one sample lie on the nearest place of a ramp."""
+    ev = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.array(F.col("value").cast("double")).alias("samples"))
+    return signals.align(ev, {"ramp": np.arange(40.0)}, normalise=False).select("id", "first", "last", F.round("distance", 6).alias("distance"), F.round("norm_score", 6).alias("norm_score"))
+
+
+@query("dtw_two_samples", "WITH s AS (SELECT user_id AS id, cast(min_by(value, k) AS DOUBLE) AS a, cast(max_by(value, k) AS DOUBLE) AS b FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) WHERE k <= 2 GROUP BY user_id HAVING count(*) = 2), r AS (SELECT j, cast(j * 37 % 101 AS DOUBLE) AS r, CASE WHEN j < 59 THEN cast((j + 1) * 37 % 101 AS DOUBLE) END AS n FROM (SELECT unnest(range(0, 60)) AS j)) SELECT id, round(sqrt(min(pow(a - r, 2) + least(pow(b - r, 2), coalesce(pow(b - n, 2), 1e18)))), 6) AS distance FROM s, r GROUP BY id")
+def dtw_two_samples(spark, sf):
+    """The first two values of each user against a jagged reference: the second sample stays at the first one's place or goes one on."""
+    ev = table(spark, sf, "events")
+    series = ev.groupBy(F.col("user_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", F.col("value").cast("double").alias("value")))).alias("x"))
+    two = series.where(F.size("x") >= 2).select("id", F.transform(F.slice("x", 1, 2), lambda x: x["value"]).alias("samples"))
+    return signals.align(two, {"jagged": np.arange(60.0) * 37 % 101}, normalise=False).select("id", F.round("distance", 6).alias("distance"))
+
+
 @query("dtw_subseq")
 def dtw_subseq(spark, sf):
     ev = table(spark, sf, "events")

@@ -142,6 +142,11 @@ def svg_texts(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(at("x").cast("double").alias("x"), at("y").cast("double").alias("y"), F.regexp_extract("node", r"(?s)>([^<]*)$", 1).alias("text"))
 
 
+def ensembles(spark: SparkSession, path: str) -> DataFrame:
+    """(id, struct_id, db) from Parquet with an array of structures for each id."""
+    return spark.read.parquet(path).select("id", F.posexplode("structures").alias("struct_id", "db")).withColumn("struct_id", F.col("struct_id").cast("long"))
+
+
 def signals(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
     """(id, samples) from Parquet; with sep, ids that are names parted by it also give (run, read): what stands before its last
     place and behind it."""

@@ -39,6 +39,12 @@ def matrix_market_lines(entries: DataFrame, rows: int, columns: int) -> DataFram
     return head.unionByName(entries.select(F.format_string("%d %d 1", F.col("row_idx") + 1, F.col("pos") + 1).alias("value")))
 
 
+def write_ensembles(structs: DataFrame, path: str) -> None:
+    """Parquet with an array of structures for each id, in the order of struct_id; structs: (id, struct_id, db)."""
+    rows = structs.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("struct_id", "db"))).alias("s"))
+    rows.select("id", F.transform("s", lambda x: x["db"]).alias("structures")).write.parquet(path)
+
+
 def mutation_summary(reads: DataFrame, mods: DataFrame, length: int) -> dict[str, DataFrame]:
     """histogram (n_mut, n_reads) and coverage (pos, n, share): how many reads are modified at a position, and their share."""
     n = reads.agg(F.count("*").alias("total"))

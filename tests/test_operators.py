@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from strandlake import cli
 from strandlake.functions import stats
-from strandlake.operators import bitvec, clustering, evaluate, filters, mixtures, nulls, ordered, regions, signals, simulate, structure, windows
+from strandlake.operators import bitvec, clustering, evaluate, filters, mixtures, nulls, ordered, regions, relational, signals, simulate, structure, windows
 from strandlake.plans import benchmark, ensembles, folding, heterogeneity, library, two_sample
 from strandlake.queries import models
 from strandlake.sources import readers, writers
+from strandlake.sources.scratch import kept
 
 PROFILES = np.array([[0.1, 0.9] * 5, [0.1] * 5 + [0.9] * 5, [0.9] * 5 + [0.1] * 5])
 
@@ -359,6 +360,56 @@ def test_shuffled_library_reads_its_input_once_a_round(spark):
         assert len(own.merge(real, on=["read_id", "pos"])) < 0.5 * len(real)
 
 
+def test_tables_are_made_once(spark, tmp_path):
+    made = []
+    make = lambda: made.append(1) or spark.range(5)
+    for _ in range(2):
+        assert kept(spark, str(tmp_path / "t"), make).count() == 5
+    assert made == [1]
+    (tmp_path / "t" / "_SUCCESS").unlink()
+    assert kept(spark, str(tmp_path / "t"), make).count() == 5 and made == [1, 1]
+
+
+def test_entropies_are_kept(spark, mixture, tmp_path):
+    s = heterogeneity.Settings(10, window=4, step=2, components=3, seeds=(1, 2, 3), rounds=1)
+    show = lambda t: sorted((r["start"], round(r["entropy"], 6), round(r["null_mean"], 6)) for r in t["tests"].collect())
+    first = show(heterogeneity.analyse(mixture[1], s, str(tmp_path)))
+    assert len(list(tmp_path.iterdir())) == 2 and first
+    assert show(heterogeneity.analyse(mixture[1].limit(0), s, str(tmp_path))) == first == show(heterogeneity.analyse(mixture[1], s))
+
+
+def test_nearest_reads_by_l1(spark):
+    """Reads that share nothing are neighbours too, and reads that share with most of the small ones find theirs."""
+    rng = np.random.default_rng(31)
+    for density, k in ((0.03, 6), (0.3, 4), (0.3, 100)):
+        x = (rng.random((60, 20)) < density * np.linspace(0.2, 2, 60)[:, None]).astype(int)
+        reads = spark.createDataFrame([(i,) for i in range(60)], "read_id long")
+        mods = spark.createDataFrame([(int(i), int(p)) for i, p in zip(*np.nonzero(x))], "read_id long, pos long")
+        got = sorted(tuple(r) for r in relational.nearest_by_l1(reads, mods, k).collect())
+        d = np.abs(x[:, None] - x[None]).sum(2)
+        want = [(a, r + 1, b, int(d[a, b])) for a in range(60) for r, b in enumerate(sorted((b for b in range(60) if b != a), key=lambda b: (d[a, b], b))[:k])]
+        assert got == want
+
+
+def test_leiden_refines():
+    rng = np.random.default_rng(21)
+    for _ in range(12):
+        n = 60
+        group = rng.integers(0, 5, n)
+        a, b = np.nonzero(np.triu(rng.random((n, n)) < np.where(group[:, None] == group[None], 0.5, 0.05), 1))
+        w = rng.random(len(a)) + 0.5
+        plain, fine = (clustering.louvain(n, a, b, w, refine=r) for r in (False, True))
+        assert clustering.modularity(fine, a, b, w) > clustering.modularity(plain, a, b, w) - 0.02
+        nbrs = clustering._adjacency(n, a, b, w)[0]
+        assert len(set(clustering._connected(n, nbrs, fine))) == len(set(fine))  # every community is connected
+    # parts of a community that hang together by nothing aren't merged
+    a, b = np.array([0, 1, 3, 4]), np.array([1, 2, 4, 5])
+    nbrs, _ = clustering._adjacency(6, a, b, np.ones(4))
+    degree = np.array([1.0, 2, 1, 1, 2, 1])
+    part = clustering._refined(6, nbrs, degree, 8.0, np.zeros(6, int), 1.0, np.random.default_rng(0))
+    assert not set(part[:3]) & set(part[3:])
+
+
 def test_communities_of_string_ids_and_genes(spark):
     edges = [(g, f"{g}{a}", f"{g}{b}", 1.0) for g in "xy" for k in (0, 10) for a in range(k, k + 4) for b in range(a + 1, k + 4)] + [("x", "x3", "x10", 1.0)]
     reads = spark.createDataFrame([(g, f"{g}{i}") for g in "xy" for i in (*range(4), *range(10, 14), 99)], "gene string, read_id string")
