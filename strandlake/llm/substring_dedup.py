@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -130,11 +131,13 @@ class Units:
             breaks = np.flatnonzero(np.frombuffer(self.raw, np.uint8) == 10)
             at = np.unique(np.concatenate([[0], np.searchsorted(self.starts, breaks)]))
             self.lines = at[at < n]
-            self.pieces = self._cuts(n)
+
+    @cached_property
+    def pieces(self) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return self._cuts(len(self.hashes)) if len(self.hashes) else self.lines
 
     def _cuts(self, n: int) -> np.ndarray:
-        if not n:
-            return self.lines
         sizes = np.diff(self.lines, append=n)
         long = sizes >= PIECE_WORDS
         heads = self.lines[long | np.r_[True, long[:-1]] | np.isin(self.lines, self.docs)]
@@ -225,41 +228,50 @@ def _groups(rows: list[str | None]) -> Iterator[slice]:
         yield slice(at, len(rows))
 
 
-def units(docs: DataFrame) -> DataFrame:
-    """(doc_id, tid, pieces, lines) of each text with a word. pieces: (first, last, h, g); lines of NEAR_WORDS words or more: these
-    and their band keys k0, k1 and so on. first and last are word positions in the text; h and g are 96 bits of hash."""
-    part = [("first", pa.int32()), ("last", pa.int32()), ("h", pa.int64()), ("g", pa.int32())]
-    band = [(f"k{k}", pa.int64()) for k in range(BANDS)]
-    fields = lambda x: ",".join(f"{n}:{'int' if t == pa.int32() else 'long'}" for n, t in x)
-
-    def nested(owners: np.ndarray, n: int, columns: list[np.ndarray], names: list[tuple]) -> pa.ListArray:
-        offsets = pa.array(np.searchsorted(owners, np.arange(n + 1)).astype(np.int32))
-        return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, names)], [x for x, _ in names]))
+def _rows(docs: DataFrame, make_rows, more: list[str]) -> DataFrame:
+    """(doc_id, tid, at, h, g) and long columns `more`: one row for each of the stretches that make_rows(units) gives as first and
+    last words, and further columns. at: first and last word in the text, as one long (words_of_place); h and g: 96 bits of hash."""
+    names = ["doc_id", "tid", "at", "h", "g", *more]
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows, out = texts(batch), []
+            rows, parts = texts(batch), []
             for s in _groups(rows):
                 u = Units(rows[s])
-                n, docs_n = len(u.hashes), len(u.docs) - 1
-                own = lambda at: np.searchsorted(u.docs, at, "right") - 1  # noqa: E731, B023
-                cuts, ends = u.pieces, np.append(u.pieces, n)[1:]
-                doc = own(cuts)
-                pieces = nested(doc, docs_n, [cuts - u.docs[doc], ends - u.docs[doc], *u.ids(cuts)], part)
-                ends = np.append(u.lines, n)[1:]
-                long = ends - u.lines >= NEAR_WORDS
-                keys = band_keys(u.hashes, u.lines[long], ends[long]) if long.any() else np.zeros((0, BANDS), np.int64)
-                h, g = u.ids(u.lines)
-                doc = own(u.lines[long])
-                lines = nested(doc, docs_n, [u.lines[long] - u.docs[doc], ends[long] - u.docs[doc], h[long], g[long], *keys.T], part + band)
-                whole = batch.slice(s.start, s.stop - s.start)
-                made = pa.RecordBatch.from_arrays([whole.column("doc_id"), whole.column("tid"), pieces, lines], ["doc_id", "tid", "pieces", "lines"])
-                out.append(made.filter(pa.array(np.diff(u.docs) > 0)))
-            return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if sum(b.num_rows for b in out) else None
+                first, last, h, g, *others = make_rows(u)
+                doc = np.searchsorted(u.docs, first, "right") - 1
+                at = (first - u.docs[doc]) << 32 | (last - u.docs[doc])
+                who = pa.array(doc + s.start)
+                parts.append([batch.column("doc_id").take(who), batch.column("tid").take(who), *map(pa.array, (at, h, g, *others))])
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(*parts)], names)
 
         return step
 
-    return map_arrow(docs.select("doc_id", "tid", "text"), make, f"doc_id long, tid long, pieces array<struct<{fields(part)}>>, lines array<struct<{fields(part + band)}>>")
+    kinds = ["int" if n == "g" else "long" for n in names]
+    return map_arrow(docs.select("doc_id", "tid", "text"), make, ", ".join(f"{n} {k}" for n, k in zip(names, kinds)))
+
+
+def pieces_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, tid, at, h, g): the pieces of each text. Hashing is cheap enough to be done for each pass, so nothing is written."""
+    return _rows(docs, lambda u: (u.pieces, np.append(u.pieces, len(u.hashes))[1:], *u.ids(u.pieces)), [])
+
+
+def lines_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, tid, at, h, g, k0, k1, ...): the lines of NEAR_WORDS words or more, and their band keys."""
+
+    def made(u: Units) -> tuple:
+        ends = np.append(u.lines, len(u.hashes))[1:]
+        long = ends - u.lines >= NEAR_WORDS
+        keys = band_keys(u.hashes, u.lines[long], ends[long]) if long.any() else np.zeros((0, BANDS), np.int64)
+        h, g = u.ids(u.lines)
+        return u.lines[long], ends[long], h[long], g[long], *keys.T
+
+    return _rows(docs, made, [f"k{k}" for k in range(BANDS)])
+
+
+def words_of_place(df: DataFrame) -> DataFrame:
+    """df with first and last (int) for at."""
+    return df.withColumn("first", F.shiftright("at", 32).cast("int")).withColumn("last", F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).drop("at")
 
 
 def _alike(a: set, b: set, least: float) -> bool:
@@ -294,10 +306,9 @@ def _bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text").join(by_doc, "doc_id"), make, "h long, body string").dropDuplicates(["h"])
 
 
-def near_lines(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(h, g, owner): lines that are similar to others, with the smallest doc_id of their component; found: units(docs)."""
+def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(h, g, owner): lines that are similar to others, with the smallest doc_id of their component; lines: lines_of(docs)."""
     spark, keys = docs.sparkSession, [f"k{k}" for k in range(BANDS)]
-    lines = found.select("doc_id", F.inline("lines"))
     distinct, path = materialize(
         lines.groupBy("h", "g").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other"), F.count("*").alias("n"), *[F.min(k).alias(k) for k in keys]), "lines"
     )
@@ -453,14 +464,15 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_
     and null, empty or wordless texts lose nothing; an empty table gives no rows. All documents take part, whole.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tid"), F.col(text_col).alias("text")).where("doc_id is not null")
-    found, path = materialize(units(docs), "units")
-    pieces = found.select("doc_id", "tid", F.inline("pieces"))
-    shared = pieces.groupBy("h", "g").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other")).where("owner < other").drop("other")
-    gone, _ = materialize(pieces.join(shared, ["h", "g"]).where("doc_id <> owner").select("doc_id", "tid", "first", "last", "owner", "h"), "gone")
-    near = found.select("doc_id", "tid", F.inline("lines")).join(near_lines(docs, found), ["h", "g"]).where("doc_id <> owner")
-    more, _ = materialize(near.select("doc_id", "tid", "first", "last", "owner").unionByName(stretches(docs, gone)), "stretches")
-    release(df.sparkSession, path)
-    every = gone.drop("h").unionByName(more)
+    spark = df.sparkSession
+    shared = pieces_of(docs).groupBy("h", "g").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other")).where("owner < other").drop("other")
+    gone, _ = materialize(words_of_place(pieces_of(docs).join(shared, ["h", "g"]).where("doc_id <> owner")).select("doc_id", "tid", "first", "last", "owner", "h"), "gone")
+    lines, path = materialize(lines_of(docs), "places")
+    near = words_of_place(lines.select("doc_id", "tid", "at", "h", "g").join(near_lines(docs, lines), ["h", "g"]).where("doc_id <> owner"))
+    near, _ = materialize(near.select("doc_id", "tid", "first", "last", "owner"), "near")
+    release(spark, path)
+    more, _ = materialize(stretches(docs, gone), "stretches")
+    every = gone.drop("h").unionByName(near).unionByName(more)
     per_doc = every.groupBy("doc_id", "tid").agg(F.sort_array(F.collect_set(F.struct("first", "last", "owner"))).alias("p"))  # of one text
     span = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("n_words", pa.int64()), ("kept_in", pa.list_(pa.int64()))])
 

@@ -558,8 +558,7 @@ def test_near_lines_are_those_of_all_pairs(spark):
     part = _parts(len(kinds), edges)
     assert any({len(kinds[i].split()), len(kinds[j].split())} == {8, 9} for i, j in edges)
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("tid", F.xxhash64("text"))
-    found = substring_dedup.units(docs).cache()
-    near = {(r["h"], r["g"]): r["owner"] for r in substring_dedup.near_lines(docs, found).collect()}
+    near = {(r["h"], r["g"]): r["owner"] for r in substring_dedup.near_lines(docs, substring_dedup.lines_of(docs).cache()).collect()}
     u = substring_dedup.Units(["\n".join(kinds)])
     ids = list(zip(*(x.tolist() for x in u.ids(u.lines))))
     truth = {i: min(min(first[kinds[j]]) for j in range(len(kinds)) if part[j] == part[i]) for e in edges for i in e}
