@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from strandlake.llm import (
     buckets,
+    common,
     components,
     decontamination,
     language_id,
@@ -567,6 +568,18 @@ def test_near_lines_are_those_of_all_pairs(spark):
     assert len(truth) > 150 and right >= 0.95 * len(truth) and set(near) <= {ids[i] for i in truth}
 
 
+def test_filters_before_joins_lose_nothing(spark, monkeypatch):
+    rows = spark.range(5000).select((F.col("id") * 7919 - 9_000_000).alias("doc_id"), F.lit("x").alias("place"), F.lit(None).cast("string").alias("text"))
+    ids = rows.where("doc_id % 11 = 0").select("doc_id")
+    want = {r["doc_id"] for r in ids.collect()}
+    for bits, most in ((1 << 26, len(want) + 5), (1 << 15, len(want) + 200)):
+        monkeypatch.setattr(common, "FILTER_BITS", bits)
+        got = common.likely_in(rows, ids, "doc_id")
+        found = {r["doc_id"] for r in got.collect()}
+        assert want <= found and len(found) <= most and got.columns == rows.columns
+    assert common.likely_in(rows, ids.limit(0), "doc_id").collect() == []
+
+
 def test_lines_of_eight_words_are_near(spark):
     base = [prose(8, 60 + i).split() for i in range(6)]
     rows = [(1, "\n".join(" ".join(w) for w in base)), (2, "\n".join(" ".join([*w, "more"]) for w in base))]
