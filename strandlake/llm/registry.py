@@ -17,6 +17,8 @@ from . import (
     op8_substring_dedup,
     op9_sharding,
     op10_language_id,
+    op11_token_files,
+    op12_hard_negatives,
 )
 
 
@@ -32,8 +34,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": op8_substring_dedup.query,
         "op9_sharding": op9_sharding.query,
         "op10_language_id": op10_language_id.query,
+        "op11_token_files": op11_token_files.query,
+        "op12_hard_negatives": op12_hard_negatives.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": op4_decontamination.SQL}
+    return {"op4_decontamination": op4_decontamination.SQL, "op12_hard_negatives": op12_hard_negatives.SQL}
