@@ -13,7 +13,10 @@ So a document's offset is ids_before of its part and block, and one select in en
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -26,14 +29,15 @@ from pyspark.sql import functions as F
 
 from .common import fresh, map_arrow, prepare
 from .elias_fano import EliasFano, encode
+from .packing import _octets
 
 END_ID = 1
 #: A block is closed at so many ids (2 MB of them at two bytes) or documents.
 BLOCK_IDS, BLOCK_DOCS = 1 << 20, 1 << 16
-#: A task remembers the ids of this many bytes of words (with what Python adds, some 100 MB), and of no word above LONG_WORD bytes.
-WORD_BYTES, LONG_WORD = 4 << 20, 64
-#: Words are given to the tokenizer in texts of about this many characters.
-CALL_CHARS = 1 << 18
+#: A worker remembers the ids of between one and two times this many words (some 200 bytes each), none longer than LONG_WORD.
+WORD_COUNT, LONG_WORD = 250_000, 64
+#: Words that go to the model in one text; longer texts take longer a word.
+CALL_WORDS = 200
 
 BLOCKS = (
     "part int, block int, docs_before long, ids_before long, n_docs long, n_ids long, n_null long, min_id long, max_id long, "
@@ -47,86 +51,91 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Letters of Latin-1: all are letters to the pattern, stay as they are under NFC, and have one lower-case form each.
+LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+
+
 class WordTokenizer:
     """The ids that `tokenizers` gives, with each different word of a batch encoded once.
 
-    By spaced=True the caller says, or the file's own normalizer and pattern say, that no token reaches over white space and that
-    white space makes no token: a text's ids are then those of its words in turn. Other files get whole texts.
+    Files that cut words by a pattern, drop white space and end words by a suffix (_by_words) have a text's ids as those of its
+    words in turn, so texts are cut at ASCII white space, and before marks that end a word. A word of Latin letters is one piece to
+    the file's pattern: its lower-case form goes straight to the file's model, with many others in one call; other words go through
+    the whole file. Files of other kinds get whole texts.
     """
 
-    def __init__(self, path: str, spaced: bool | None = None):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
-        added = {t.content: i for i, t in self.whole.get_added_tokens_decoder().items()}
-        plain = [t for t in added if not any(c.isspace() for c in t)]
-        self.spaced = self._drops_space() if spaced is None else spaced
-        self.added, self.mark = list(added), (plain[0], added[plain[0]]) if plain else None
+        spec = json.loads(self.whole.to_str())
+        self.by_words = _by_words(spec)
+        self.model = Tokenizer(self.whole.model)
+        self.model.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
+        self.ends = np.zeros(self.whole.get_vocab_size(), bool)
+        if self.by_words:
+            suffix = spec["model"]["end_of_word_suffix"]
+            self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
+        shown = {b: c for c, b in _octets().items()}
+        self.octets = {c: "".join(shown[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.held = 0
 
-    def _drops_space(self) -> bool:
-        """Whether the file is of the kind that cuts words by a pattern, drops white space and ends words by a suffix."""
-        import json
-
-        spec = json.loads(self.whole.to_str())
-        cut, ways = spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {}
-        first = (cut.get("pretokenizers") or [{}])[0]
-        simple = all(x.get("type") in ("NFC", "Lowercase", "Replace") for x in ways.get("normalizers", [ways] if ways else []))
-        return bool(
-            simple
-            and first.get("type") == "Split" and first.get("invert") and first.get("behavior") == "Removed"
-            and first["pattern"].get("Regex", "").endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-            and not any(t.get("single_word") or t.get("lstrip") or t.get("rstrip") for t in spec.get("added_tokens", ()))
-        )
-
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype)
 
-    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of different words: many in one text, with an added token between each two, which a word itself never holds."""
-        out: dict[str, bytes] = {}
-        plain = []
-        for w in words:
-            if self.mark is None or any(a in w for a in self.added):
-                out[w] = self._ids(w).tobytes()
-            else:
-                plain.append(w)
-        i = 0
-        while i < len(plain):
-            j, size = i, 0
-            while j < len(plain) and (j == i or size + len(plain[j]) <= CALL_CHARS):
-                size += len(plain[j])
-                j += 1
-            ids = self._ids(f" {self.mark[0]} ".join(plain[i:j]))
-            raw, width = ids.tobytes(), self.dtype.itemsize
-            cuts = [-1, *np.flatnonzero(ids == self.mark[1]).tolist(), len(ids)]
-            for w, a, b in zip(plain[i:j], cuts[:-1], cuts[1:], strict=True):
-                out[w] = raw[width * (a + 1) : width * b]
-            i = j
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of different words."""
+        out: list[bytes] = [b""] * len(words)
+        latin = pc.match_substring_regex(pa.array(words, pa.string()), f"^[{LATIN}]+$").to_numpy(zero_copy_only=False)
+        rest = np.flatnonzero(~latin).tolist()
+        for i, e in zip(rest, self.whole.encode_batch_fast([words[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, self.dtype).tobytes()
+        at = np.flatnonzero(latin).tolist()
+        plain = "\n".join([words[i] for i in at]).lower().translate(self.octets).split("\n") if at else []
+        calls = [" ".join(plain[k : k + CALL_WORDS]) for k in range(0, len(plain), CALL_WORDS)]
+        found = self.model.encode_batch_fast(calls, add_special_tokens=False)
+        ids = np.fromiter(itertools.chain.from_iterable(e.ids for e in found), self.dtype)
+        width, raw = self.dtype.itemsize, ids.tobytes()
+        ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        for i, a, b in zip(at, [0, *ends][:-1], ends, strict=True):
+            out[i] = raw[width * a : width * b]
         return out
 
+    def _found(self, words: list[str]) -> list[bytes]:
+        """Ids of words, most of which were seen before. Two generations are held; a word of the older one moves to the newer."""
+        found = list(map(self.known.get, words))
+        lost = [i for i, x in enumerate(found) if x is None]
+        new = []
+        for i in lost:
+            if (x := self.older.get(words[i])) is None:
+                new.append(i)
+            else:
+                found[i] = x
+        for i, x in zip(new, self._encode_words([words[i] for i in new])):
+            found[i] = x
+        for i in lost:
+            if len(w := words[i]) <= LONG_WORD:
+                if self.held >= WORD_COUNT:
+                    self.older, self.known, self.held = self.known, {}, 0
+                self.known[w] = found[i]
+                self.held += 1
+        return found
+
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and how many each has; a null has none."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        if not self.spaced:
+        if not self.by_words:
             each = [self._ids(t) for t in texts.to_pylist()]
             return np.concatenate([*each, np.empty(0, self.dtype)]), np.array([len(x) for x in each], np.int64)
+        # a mark between a letter and white space is a piece of its own anyway; apart from the word, both repeat more often
+        texts = pc.replace_substring_regex(texts, f"([{LATIN}])([.,;:!?]+)(\\s|$)", r"\1 \2\3")
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        new = self._encode_words([w for w in words if w not in self.known])
-        get = self.known.get
-        found = [x if (x := get(w)) is not None else new[w] for w in words]
-        for w, x in new.items():
-            if len(w) <= LONG_WORD:
-                if self.held > WORD_BYTES:
-                    self.known.clear()
-                    self.held = 0
-                self.known[w] = x
-                self.held += len(w)
+        found = self._found(coded.dictionary.to_pylist())
         stock = np.frombuffer(b"".join(found), self.dtype)
         size = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
         first = np.cumsum(size) - size
@@ -138,6 +147,25 @@ class WordTokenizer:
         return ids, before[offsets[1:] - offsets[0]] - before[offsets[:-1] - offsets[0]]
 
 
+def _by_words(spec: dict) -> bool:
+    """Whether WordTokenizer can take a file's texts word by word: NFC, runs of white space and lower case for a normalizer, then pieces
+    of letters, single numbers, other marks and some endings behind an apostrophe, then bytes, and BPE with ends of words."""
+    ways, cut, model = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}, spec["model"]
+    parts = cut.get("pretokenizers") or [{}, {}]
+    pattern = (parts[0].get("pattern") or {}).get("Regex", "")
+    return (
+        [w.get("type") for w in ways.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        and ways["normalizers"][1].get("pattern") == {"Regex": r"\s+"} and ways["normalizers"][1].get("content") == " "
+        and [x.get("type") for x in parts] == ["Split", "ByteLevel"]
+        and parts[0].get("behavior") == "Removed" and parts[0].get("invert") is True
+        and pattern.endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") and all(x.startswith("'") for x in pattern.split("|")[:-3])
+        and not parts[1].get("add_prefix_space") and not parts[1].get("use_regex")
+        and model["type"] == "BPE" and bool(model.get("end_of_word_suffix")) and not model.get("ignore_merges") and not model.get("dropout")
+        and not any(t.get("single_word") or t.get("lstrip") or t.get("rstrip") or len(t["content"]) < 3 for t in spec.get("added_tokens", ()))
+        and not any(re.match(f"[{LATIN}]|.*[.,;:!?]$", t["content"]) for t in spec.get("added_tokens", ()))
+    )
+
+
 _tokenizers: dict[str, WordTokenizer] = {}
 
 

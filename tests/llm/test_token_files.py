@@ -14,7 +14,7 @@ EDGE = 2**63 - 1
 SPACES = "".join(map(chr, [*range(0x21), 0x7F, 0x85, 0xA0, 0x1680, 0x2003, 0x2028, 0x3000, 0xFEFF]))
 ODD = [
     None, "", " \n\t ", "word", "Ä ß é 日本 👍🏽 ΣΑΣ İ", "é ́e", f"a{'b'.join(SPACES)}c", "x" * 100_000, "word, " * 30_000, "\x1cA\x00b c",
-    "<|endoftext|> a<|startoftext|>b <|ENDOFTEXT|>", "it's IT'S don't 'll", "1234 ½ ² 12,5",
+    "<|endoftext|> a<|startoftext|>b <|ENDOFTEXT|>. Straße, ÉTÉ! ÿ? über:;", "a.,\u0301 b.\u0301 c,", "".join(map(chr, range(0xA0, 0x250))), "it's IT'S don't 'll", "1234 ½ ² 12,5",
 ]
 
 
@@ -51,13 +51,15 @@ def test_words_have_the_ids_of_whole_texts():
     import pyarrow as pa
 
     tok = token_files.WordTokenizer(token_files.default_tokenizer())
-    assert tok.spaced
-    for texts in (ODD, ODD[::-1], [f"a{c}b {c}'s{c} ́{c}1" for c in SPACES]):
+    assert tok.by_words
+    latin = [chr(c) for c in range(0x21, 0x180)]
+    pairs = [f"{a}{b} {b}{a}{b}." for a in latin for b in latin[::7]]
+    for texts in (ODD, ODD[::-1], [f"a{c}b {c}'s{c} ́{c}1" for c in SPACES], pairs, pairs):
         ids, sizes = tok.encode_batch(pa.array(texts, pa.string()))
         cuts = np.split(ids, np.cumsum(sizes)[:-1])
         assert [c.tolist() + [1] for c in cuts] == whole(texts)
     other = token_files.WordTokenizer(token_files.default_tokenizer().replace("word_bpe_49k", "byte_bpe_50k"))
-    assert not other.spaced
+    assert not other.by_words
     ids, sizes = other.encode_batch(pa.array(["a  b", None, "c"]))
     assert sizes.tolist() == [len(other.whole.encode(t).ids) for t in ("a  b", "", "c")]
 
@@ -72,7 +74,7 @@ def expected(rows):
 
 @pytest.mark.parametrize("size", [{}, {"block_docs": 2}, {"block_ids": 40}])
 def test_files_hold_every_text_in_order(spark, tmp_path, size):
-    ids = [None, 7, -5, 7, 7, 2**40, 3, 0, 1, 2**62, -(2**62), 11, 12]
+    ids = [None, 7, -5, 7, 7, 2**40, 3, 0, 1, 2**62, -(2**62), 11, 12, 13, 14]
     rows = [(i, t, 9, b"x", 1) for i, t in zip(ids, ODD)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, part int, ids binary, row int").repartition(5)
     token_files.write(docs.coalesce(1), str(tmp_path / "t"), **size)
