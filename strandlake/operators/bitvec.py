@@ -57,24 +57,24 @@ def filter_reasons(vectors: DataFrame, length: int, info: float, least: int = 4)
     return t.withColumn("reason", reason).drop("ones")
 
 
-def cells(vectors: DataFrame) -> DataFrame:
-    """(read_id, pos, bit) of every position."""
-    return vectors.select("read_id", F.posexplode(F.split("bits", "")).alias("pos", "bit")).where("bit <> ''").withColumn("pos", F.col("pos").cast("long"))
+def cells(vectors: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, read_id, pos, bit) of every position."""
+    return vectors.select(*by, "read_id", F.posexplode(F.split("bits", "")).alias("pos", "bit")).where("bit <> ''").withColumn("pos", F.col("pos").cast("long"))
 
 
-def population_average(vectors: DataFrame, deletions: bool = False) -> DataFrame:
-    """(pos, covered, informative, mismatches, rate): covered is not missing, informative neither missing nor ambiguous; the
+def population_average(vectors: DataFrame, deletions: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, pos, covered, informative, mismatches, rate): covered is not missing, informative neither missing nor ambiguous; the
     rate is over informative rows, 0 if there is none. With deletions, 1s count as mismatches."""
     hit = F.col("bit").isin(*"ATGC", *(["1"] if deletions else []))
-    c = cells(vectors).groupBy("pos").agg(
+    c = cells(vectors, by).groupBy(*by, "pos").agg(
         F.count_if(F.col("bit") != ".").alias("covered"), F.count_if(~F.col("bit").isin(".", "?", "N")).alias("informative"), F.count_if(hit).alias("mismatches")
     )
     return c.withColumn("rate", F.coalesce(F.try_divide(F.col("mismatches").cast("double"), F.col("informative")), F.lit(0.0)))
 
 
-def base_counts(vectors: DataFrame) -> DataFrame:
-    """(pos, base, n): mismatches to each base."""
-    return cells(vectors).where(F.col("bit").isin(*"ATGC")).groupBy("pos", F.col("bit").alias("base")).agg(F.count("*").alias("n"))
+def base_counts(vectors: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, pos, base, n): mismatches to each base."""
+    return cells(vectors, by).where(F.col("bit").isin(*"ATGC")).groupBy(*by, "pos", F.col("bit").alias("base")).agg(F.count("*").alias("n"))
 
 
 def signal_positions(vectors: DataFrame, signal: float) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bits, ensembles, files, matrix, models
+from . import bits, ensembles, files, jobs, matrix, models
 
-_MODULES = [matrix, bits, models, ensembles, files]
+_MODULES = [matrix, bits, models, ensembles, files, jobs]
 
 
 def queries() -> dict:
