@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bits, ensembles, files, jobs, matrix, models
+from . import bits, ensembles, files, jobs, matrix, models, traces
 
-_MODULES = [matrix, bits, models, ensembles, files, jobs]
+_MODULES = [matrix, bits, models, ensembles, files, jobs, traces]
 
 
 def queries() -> dict:
