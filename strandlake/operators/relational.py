@@ -101,48 +101,6 @@ def similarity_summary(pairs: DataFrame, column: str = "similarity") -> DataFram
     return pairs.where(s != 1.0).agg(F.min(s).alias("least"), F.avg(s).alias("mean"), F.percentile(s, F.lit(0.5)).alias("median"), F.max(s).alias("largest"))
 
 
-def nearest_by_jaccard(reads: DataFrame, mods: DataFrame, length: int, k: int = 90) -> DataFrame:
-    """(a, rank, b, jaccard): for each read its k nearest reads among those that share a position, nearest first, ties by id."""
-    half = pair_similarity(reads, mods, length).select("a", "b", "jaccard")
-    both = half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "jaccard"))
-    ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("jaccard"), "b")).cast("long"))
-    return ranked.where(F.col("rank") <= k).select("a", "rank", "b", "jaccard")
-
-
-def nearest_by_l1(reads: DataFrame, mods: DataFrame, k: int = 90) -> DataFrame:
-    """(a, rank, b, distance): for each read its k nearest other reads by L1 distance, ties by id; all of them if there are fewer.
-
-    Reads that share positions come from the inverted index. Of the others, whose distance is the sum of both numbers of
-    modifications, only those with the fewest can be near: each read meets the first 2 k reads in the order of their numbers, and
-    those few that share with too many of these meet four times as many, and so on.
-    """
-    n = reads.select("read_id").join(mods.groupBy("read_id").agg(F.countDistinct("pos").alias("n")), "read_id", "left").select("read_id", F.coalesce("n", F.lit(0)).alias("n"))
-    half = shared_edges(mods, 1)
-    both = half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
-    a, b = (n.select(F.col("read_id").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
-    near = both.join(a, "a").join(b, "b").select("a", "b", (F.col("na") + F.col("nb") - 2 * F.col("score")).alias("distance"))
-    shares = both.groupBy("a").agg(F.count("*").alias("shared"))
-    total, most, open_reads, parts = n.count(), 2 * k, a, [near]
-    while True:
-        few = n.orderBy("n", "read_id").limit(most).select(F.col("read_id").alias("b"), F.col("n").alias("nb"))
-        far = open_reads.join(F.broadcast(few), F.col("a") != F.col("b")).join(both.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", (F.col("na") + F.col("nb")).alias("distance"))
-        if most >= total:
-            parts.append(far)
-            break
-        met = far.groupBy("a").agg(F.count("*").alias("met"))
-        wanted = F.least(F.lit(k), F.lit(total - 1) - F.coalesce("shared", F.lit(0)))
-        lacking = open_reads.join(met, "a", "left").join(shares, "a", "left").where(F.coalesce("met", F.lit(0)) < wanted).select("a", "na").cache()
-        parts.append(far.join(lacking.select("a"), "a", "left_anti"))
-        if lacking.isEmpty():
-            break
-        open_reads, most = lacking, 4 * most
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    ranked = every.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("distance", "b")).cast("long"))
-    return ranked.where(F.col("rank") <= k).select("a", "rank", "b", F.col("distance").cast("long").alias("distance"))
-
-
 def abundance(reads: DataFrame, mods: DataFrame) -> DataFrame:
     """(positions, n_reads, first_read): distinct sets of modified positions (as text), how many reads have each."""
     lists = mods.groupBy("read_id").agg(F.array_join(F.array_sort(F.collect_list("pos")), ",").alias("positions"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.fixtures import DOT_SQL, EMBEDDING_SQL, EVENT_SQL, L_EMBEDDING, L_ORDER, ORDER_SQL, dot_brackets, embedding_mods, embedding_reads, event_profiles, order_mods, order_reads, table
-from strandlake.operators import clustering, filters, mixtures, nulls, relational, simulate, structure, windows
+from strandlake.operators import clustering, filters, mixtures, neighbours, nulls, relational, simulate, structure, windows
 from strandlake.plans import ensembles, heterogeneity, two_sample
 from strandlake.queries.matrix import r6
 
@@ -187,7 +187,7 @@ def small_communities_left_out(spark, sf):
 @query("knn_l1", f"WITH {EMBEDDING_SQL}, x AS (SELECT read_id, pos, CASE WHEN v > cast(0.15 AS DOUBLE) THEN 1 ELSE 0 END AS u FROM cells), d AS (SELECT x.read_id AS a, y.read_id AS b, sum(abs(x.u - y.u)) AS d FROM x JOIN x y ON x.pos = y.pos AND x.read_id <> y.read_id GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS k FROM d) SELECT a, cast(k AS BIGINT) AS rank, b, cast(d AS BIGINT) AS distance FROM r WHERE k <= 7")
 def knn_l1(spark, sf):
     reads, mods = embedding_reads(spark, sf), embedding_mods(spark, sf)
-    return relational.nearest_by_l1(reads, mods, 7)
+    return neighbours.nearest_by_l1(reads, mods, 7)
 
 
 @query("margin_fit", f"WITH {EMBEDDING_SQL}, t AS (SELECT pos, count(*) FILTER (read_id % 2 = 0) AS y, count(*) FILTER (read_id % 2 = 1) AS x FROM mods GROUP BY pos) SELECT round(1 - sum((y - x) * (y - x)) / sum((y - m) * (y - m)), 6) AS r2 FROM t, (SELECT avg(y) AS m FROM t) a")

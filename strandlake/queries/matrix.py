@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandlake.fixtures import EMBEDDING_SQL, L_EMBEDDING, L_ORDER, ORDER_SQL, embedding_mods, embedding_reads, order_mods, order_reads
-from strandlake.operators import filters, relational
+from strandlake.operators import filters, neighbours, relational
 
 QUERIES, SQL = {}, {}
 
@@ -210,7 +210,7 @@ def similarity_summary(spark, sf):
 
 @query("knn_graph", _emb(_PAIRS + ", b2 AS (SELECT a, b, jaccard FROM s UNION ALL SELECT b, a, jaccard FROM s), k AS (SELECT a, b, jaccard, row_number() OVER (PARTITION BY a ORDER BY jaccard DESC, b) AS rank FROM b2) SELECT a, cast(rank AS BIGINT) AS rank, b, round(jaccard, 6) AS jaccard FROM k WHERE rank <= 90"))
 def knn_graph(spark, sf):
-    return relational.nearest_by_jaccard(embedding_reads(spark, sf), embedding_mods(spark, sf), L_EMBEDDING).select("a", "rank", "b", r6("jaccard"))
+    return neighbours.nearest_by_jaccard(embedding_reads(spark, sf), embedding_mods(spark, sf)).select("a", "rank", "b", r6("jaccard"))
 
 
 @query(

@@ -378,19 +378,6 @@ def test_entropies_are_kept(spark, mixture, tmp_path):
     assert show(heterogeneity.analyse(mixture[1].limit(0), s, str(tmp_path))) == first == show(heterogeneity.analyse(mixture[1], s))
 
 
-def test_nearest_reads_by_l1(spark):
-    """Reads that share nothing are neighbours too, and reads that share with most of the small ones find theirs."""
-    rng = np.random.default_rng(31)
-    for density, k in ((0.03, 6), (0.3, 4), (0.3, 100)):
-        x = (rng.random((60, 20)) < density * np.linspace(0.2, 2, 60)[:, None]).astype(int)
-        reads = spark.createDataFrame([(i,) for i in range(60)], "read_id long")
-        mods = spark.createDataFrame([(int(i), int(p)) for i, p in zip(*np.nonzero(x))], "read_id long, pos long")
-        got = sorted(tuple(r) for r in relational.nearest_by_l1(reads, mods, k).collect())
-        d = np.abs(x[:, None] - x[None]).sum(2)
-        want = [(a, r + 1, b, int(d[a, b])) for a in range(60) for r, b in enumerate(sorted((b for b in range(60) if b != a), key=lambda b: (d[a, b], b))[:k])]
-        assert got == want
-
-
 def test_leiden_refines():
     rng = np.random.default_rng(21)
     for _ in range(12):
