@@ -1,20 +1,19 @@
-"""Communities of a read graph, k-means, hierarchical and medoid clustering, embeddings, matrix completion."""
+"""Communities of a small graph, k-means, hierarchical and medoid clustering, embeddings, matrix completion."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def louvain(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, resolution: float = 1.0, refine: bool = False, seed: int = 386) -> np.ndarray:
-    """Communities (numbered from 0) of a weighted graph by moving nodes while modularity rises, then merging communities.
+def louvain(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, resolution: float = 1.0, refine: bool = False, seed: int = 386, start: np.ndarray | None = None) -> np.ndarray:
+    """Communities (numbered from 0) of a weighted graph, from the communities `start` (else every node alone), by moving nodes while modularity rises, then merging communities.
 
     With refine (Leiden), what is merged are the well-connected parts of each community instead, and the next moves start from the
     communities as they are; in the end every community is connected.
     """
-    names, start = np.arange(n), np.arange(n)
+    names, start = np.arange(n), np.arange(n) if start is None else start
     rng = np.random.default_rng(seed)
     first = (n, a, b)
     while True:
@@ -112,33 +111,6 @@ def modularity(labels: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray,
     return float(inside / w.sum() - resolution * (np.bincount(labels, degree) ** 2).sum() / (degree.sum() ** 2))
 
 
-def communities(reads: DataFrame, edges: DataFrame, resolution: float = 1.0, least_share: float = 0.0, refine: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
-    """(read_id, cluster), after the columns `by`: communities of the graph of edges (a, b, score) over all reads, those under
-    least_share of their graph's reads left out.
-
-    Each value of `by`, such as the gene, has a graph of its own, in a task of its own, since the moves depend on one another;
-    select edges by their score beforehand. Read ids are numbers or strings; a community is named by its smallest read. Reads
-    without an edge are communities of their own.
-    """
-    kinds = {f.name: f.dataType.simpleString() for f in reads.schema}
-    keys = list(by)
-
-    def kernel(rows: pd.DataFrame) -> pd.DataFrame:
-        ids = np.unique(np.concatenate([rows["a"], rows["b"]]))
-        labels = louvain(len(ids), np.searchsorted(ids, rows["a"]), np.searchsorted(ids, rows["b"]), rows["score"].to_numpy(), resolution, refine)
-        name = pd.Series(ids).groupby(labels).min()
-        return pd.DataFrame({**{k: rows[k].iloc[0] for k in keys}, "read_id": ids, "cluster": name.loc[labels].to_numpy()})
-
-    schema = ", ".join([f"{k} {kinds[k]}" for k in keys] + [f"read_id {kinds['read_id']}", f"cluster {kinds['read_id']}"])
-    found = edges.select(*keys, "a", "b", F.col("score").cast("double").alias("score")).groupBy(*keys).applyInPandas(kernel, schema)
-    all_reads = reads.select(*keys, "read_id").join(found, [*keys, "read_id"], "left").withColumn("cluster", F.coalesce("cluster", "read_id"))
-    sizes = all_reads.groupBy(*keys, "cluster").agg(F.count("*").alias("n"))
-    total = all_reads.groupBy(*keys).agg(F.count("*").alias("total"))
-    with_total = sizes.join(total, keys) if keys else sizes.join(F.broadcast(total))
-    large = with_total.where(F.col("n") >= least_share * F.col("total")).select(*keys, "cluster")
-    return all_reads.join(large, [*keys, "cluster"], "left_semi").select(*keys, "read_id", "cluster")
-
-
 def vectors(reads: DataFrame, mods: DataFrame, length: int) -> DataFrame:
     """reads with features: an MLlib vector of length 0s and 1s, made in the JVM."""
     from pyspark.ml.functions import array_to_vector

@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.fixtures import EMBEDDING_SQL, EVENT_SQL, L_EMBEDDING, L_ORDER, ORDER_SQL, bit_strings, embedding_mods, embedding_reads, event_profiles, order_mods, order_reads, table
-from strandlake.operators import clustering, evaluate, filters, mixtures, nulls, regions, relational, signals, simulate, windows
+from strandlake.operators import clustering, communities, evaluate, filters, mixtures, nulls, regions, relational, signals, simulate, windows
 from strandlake.plans import benchmark, heterogeneity, two_sample
 from strandlake.queries.matrix import r6
+from strandlake.sources.scratch import scratch_path
 
 QUERIES, SQL = {}, {}
 
@@ -567,16 +568,62 @@ def dtw_subseq(spark, sf):
 # --- communities, embeddings, simulation ------------------------------------------------------------------------------
 
 
+def _round_sql(k: int) -> str:
+    """One round of moves from the table homes{k} to homes{k + 1}."""
+    return f"""
+mass{k} AS (SELECT home, sum(degree) AS mass, count(*) AS size FROM homes{k} GROUP BY home),
+links{k} AS (
+  SELECT a, h.home AS c, sum(w) AS w FROM e JOIN homes{k} h ON h.id = b
+  WHERE (substr(md5(cast(a AS VARCHAR) || '|{k // 2}'), 1, 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e')) = {"true" if k % 2 == 0 else "false"} GROUP BY a, h.home),
+gains{k} AS (
+  SELECT l.a, l.c, x.home, w - 1.0::DOUBLE * x.degree * m.mass / total AS gain, o.size = 1 AND m.size = 1 AND l.c > x.home AS turned,
+    coalesce(max(CASE WHEN l.c = x.home THEN w END) OVER (PARTITION BY l.a), 0.0) - 1.0::DOUBLE * x.degree * (o.mass - x.degree) / total AS stay
+  FROM links{k} l JOIN homes{k} x ON x.id = l.a JOIN mass{k} o ON o.home = x.home JOIN mass{k} m ON m.home = l.c, total),
+best{k} AS (SELECT * FROM gains{k} WHERE c <> home AND NOT turned QUALIFY row_number() OVER (PARTITION BY a ORDER BY gain DESC, c) = 1),
+homes{k + 1} AS (SELECT h.id, coalesce(b.c, h.home) AS home, h.degree FROM homes{k} h LEFT JOIN best{k} b ON b.a = h.id AND b.gain > b.stay + cast(1e-12 AS DOUBLE))"""
+
+
+_MOVED = f"""WITH {EMBEDDING_SQL.strip()},
+half AS (SELECT x.read_id AS a, y.read_id AS b, cast(count(*) AS DOUBLE) AS w FROM mods x JOIN mods y ON x.pos = y.pos AND x.read_id < y.read_id GROUP BY ALL HAVING count(*) >= 3),
+e AS (SELECT a, b, w FROM half UNION ALL SELECT b, a, w FROM half),
+homes0 AS (SELECT a AS id, a AS home, sum(w) AS degree FROM e GROUP BY a),
+total AS (SELECT sum(degree) AS total FROM homes0),{",".join(_round_sql(k) for k in range(4))}"""
+
+
+def _edges(spark, sf) -> DataFrame:
+    edges = communities.both_ways(relational.shared_edges(embedding_mods(spark, sf), 3))
+    path = scratch_path(spark, "edges")
+    edges.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query("louvain_moves", _MOVED + " SELECT id AS read_id, home AS cluster FROM homes4")
+def louvain_moves(spark, sf):
+    """Where the first four rounds of moves have brought each read, by modularity."""
+    edges = _edges(spark, sf)
+    nodes = communities.after_rounds(edges, 4)
+    return nodes.select(F.col("id").alias("read_id"), F.col("home").alias("cluster"))
+
+
+@query("louvain_modularity", _MOVED + """ SELECT round((SELECT sum(w) FROM e JOIN homes4 x ON x.id = a JOIN homes4 y ON y.id = b WHERE x.home = y.home) / total
+  - (SELECT sum(m * m) FROM (SELECT sum(degree) AS m FROM homes4 GROUP BY home)) / (total * total), 9) AS modularity FROM total""")
+def louvain_modularity(spark, sf):
+    """Modularity after the first four rounds."""
+    edges = _edges(spark, sf)
+    nodes = communities.after_rounds(edges, 4)
+    return spark.createDataFrame([(round(communities.modularity(nodes, edges), 9),)], "modularity double")
+
+
 @query("louvain")
 def louvain(spark, sf):
     reads, mods = embedding_reads(spark, sf), embedding_mods(spark, sf)
-    return clustering.communities(reads, relational.shared_edges(mods, 3))
+    return communities.communities(reads, relational.shared_edges(mods, 3))
 
 
 @query("leiden")
 def leiden(spark, sf):
     reads, mods = embedding_reads(spark, sf), embedding_mods(spark, sf)
-    return clustering.communities(reads, relational.shared_edges(mods, 3), refine=True)
+    return communities.communities(reads, relational.shared_edges(mods, 3), refine=True)
 
 
 @query("community_cover", _emb(" SELECT cast(count(*) AS BIGINT) AS reads, cast(count(DISTINCT read_id) AS BIGINT) AS distinct_reads FROM reads"))

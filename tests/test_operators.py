@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandlake import cli
 from strandlake.functions import stats
-from strandlake.operators import bitvec, clustering, evaluate, filters, mixtures, nulls, ordered, regions, relational, signals, simulate, structure, windows
+from strandlake.operators import bitvec, clustering, communities, evaluate, filters, mixtures, nulls, ordered, regions, relational, signals, simulate, structure, windows
 from strandlake.plans import benchmark, ensembles, folding, heterogeneity, library, two_sample
 from strandlake.queries import models
 from strandlake.sources import readers, writers
@@ -401,10 +401,10 @@ def test_communities_of_string_ids_and_genes(spark):
     edges = [(g, f"{g}{a}", f"{g}{b}", 1.0) for g in "xy" for k in (0, 10) for a in range(k, k + 4) for b in range(a + 1, k + 4)] + [("x", "x3", "x10", 1.0)]
     reads = spark.createDataFrame([(g, f"{g}{i}") for g in "xy" for i in (*range(4), *range(10, 14), 99)], "gene string, read_id string")
     e = spark.createDataFrame(edges, "gene string, a string, b string, score double")
-    got = {(r["gene"], r["read_id"]): r["cluster"] for r in clustering.communities(reads, e, by=("gene",)).collect()}
+    got = {(r["gene"], r["read_id"]): r["cluster"] for r in communities.communities(reads, e, by=("gene",)).collect()}
     assert len(got) == 18 and got["x", "x99"] == "x99"
     assert all(got[g, f"{g}{i}"] == (f"{g}0" if i < 4 else f"{g}10") for g in "xy" for i in (*range(4), *range(10, 14)))
-    one = clustering.communities(reads.where("gene = 'x'").select("read_id"), e.where("gene = 'x'"))
+    one = communities.communities(reads.where("gene = 'x'").select("read_id"), e.where("gene = 'x'"))
     assert dict(one.dtypes) == {"read_id": "string", "cluster": "string"} and one.count() == 9
 
 
