@@ -3,8 +3,10 @@
 Texts become sequences of lower-case words, and each word of the items a character of its own, so that an item, or a document, is
 a short string. Windows of 13 item words count, and each of them holds an anchor: six item words, chosen so that every eight
 places in a row of an item have one, the one that fewest items share. The automaton holds the anchors (and whole items of fewer
-than 13 words); where a document has one, the words around it are compared with the item's, and an equal run of 13 words or more
-is a hit. A document is scanned once, and word positions map back to character spans of the original text.
+than 13 words), and with each the words that stand within a window's reach of it, seven before and seven behind, once for all
+places that have the same; where a document has an anchor, its words there are compared with these, and an equal run of 13 words
+or more is a hit. What a document has around an anchor is looked at once for all its places alike, so repeats cost nothing. A
+document is scanned once, and word positions map back to character spans of the original text.
 """
 
 from __future__ import annotations
@@ -44,20 +46,27 @@ def word_spans(text: str) -> list[tuple[int, int]]:
 
 @dataclass
 class Index:
-    """codes: a character for each word of the items; items: distinct items as strings of these, with the ids that have them;
-    patterns: of each anchor the items and places that have it, and the item that it is the whole of, or -1."""
+    """codes: a character for each word of the items, or two where these are too many; items: of each distinct item the ids that have
+    it; patterns: of each anchor what stands before and behind it, with the items that have this, and the item that it is the whole
+    of, or -1."""
 
     codes: dict[bytes, str]
-    items: list[tuple[str, list[str]]]
-    patterns: dict[str, tuple[list[tuple[int, int]], int]]
+    items: list[list[str]]
+    patterns: dict[str, tuple[dict[tuple[str, str], list[int]], int]]
     size: int
+    unit: int
 
 
-_UNKNOWN = "\0"
+#: Words that characters other than 0 and surrogates can stand for.
+MOST_CODES = 0x110000 - 0x801
+_LOW = 30_000
 
 
-def _code(i: int) -> str:
-    return chr(i + 1 if i < 0xD7FF else i + 0x801)  # surrogates are left out
+def _coded(ids: np.ndarray, unit: int) -> str:
+    """Words as characters. First and second ones of two are different characters, so pairs are never found out of step."""
+    if unit == 1:
+        return np.where(ids < 0xD7FF, ids + 1, ids + 0x801).astype("<u4").tobytes().decode("utf-32-le")
+    return np.stack([ids // _LOW + 1, ids % _LOW + 0x4001], -1).astype("<u4").tobytes().decode("utf-32-le")
 
 
 def anchors(lengths: list[int], rarity: np.ndarray, size: int, width: int) -> list[list[int]]:
@@ -76,44 +85,55 @@ def anchors(lengths: list[int], rarity: np.ndarray, size: int, width: int) -> li
     return out
 
 
-def build(items: list[tuple[str, str | None]], size: int = WINDOW_WORDS) -> Index:
+def build(items: list[tuple[str, str | None]], size: int = WINDOW_WORDS, most_codes: int = MOST_CODES) -> Index:
     """The index of items (id, text); ids of equal texts are kept together, null and wordless texts left out."""
     width = min(ANCHOR_WORDS, size)
-    codes: dict[bytes, str] = {}
-    by_text: dict[str, list[str]] = {}
+    numbers: dict[bytes, int] = {}
+    by_text: dict[bytes, dict[str, None]] = {}
     for item, text in items:
-        line = "".join([codes.setdefault(w, _code(len(codes))) for w in words_of(text)])
+        line = np.array([numbers.setdefault(w, len(numbers)) for w in words_of(text)], "<u4").tobytes()
         if line:
-            own = by_text.setdefault(line, [])
-            if item not in own:
-                own.append(item)
-    found = sorted(by_text.items())
-    patterns: dict[str, tuple[list[tuple[int, int]], int]] = {}
-    long = [(i, line) for i, (line, _) in enumerate(found) if len(line) >= size]
-    for i, (line, _) in enumerate(found):
-        if len(line) < size:
-            patterns.setdefault(line, ([], i))
+            by_text.setdefault(line, {})[item] = None
+    unit = 1 if len(numbers) <= most_codes else 2
+    found = [(np.frombuffer(line, "<u4").astype(np.int64), list(own)) for line, own in sorted(by_text.items())]
+    patterns: dict[str, tuple[dict[tuple[str, str], list[int]], int]] = {}
+    long = [(i, ids) for i, (ids, _) in enumerate(found) if len(ids) >= size]
+    for i, (ids, _) in enumerate(found):
+        if len(ids) < size:
+            patterns.setdefault(_coded(ids, unit), ({}, i))
     if long:
-        flat = np.concatenate([np.frombuffer(line.encode("utf-32-le"), "<u4") for _, line in long]).astype(np.uint64)
+        flat = np.concatenate([ids for _, ids in long]).astype(np.uint64) + np.uint64(1)
         grams = np.zeros(len(flat), np.uint64)
         with np.errstate(over="ignore"):
             for k in range(width):
                 grams[: len(flat) - width + 1] = grams[: len(flat) - width + 1] * np.uint64(0x9E3779B97F4A7C15) + flat[k : len(flat) - width + 1 + k]
         _, kind, count = np.unique(grams, return_inverse=True, return_counts=True)
-        for (i, line), places in zip(long, anchors([len(x) for _, x in long], count[kind], size, width)):
+        reach = unit * (size - width)
+        for (i, ids), places in zip(long, anchors([len(x) for _, x in long], count[kind], size, width)):
+            line = _coded(ids, unit)
             for at in places:
-                key = line[at : at + width]
-                where, whole = patterns.get(key, ([], -1))
-                where.append((i, at))
+                first, last = unit * at, unit * (at + width)
+                where, whole = patterns.get(key := line[first:last], ({}, -1))
+                own = where.setdefault((line[max(0, first - reach) : first], line[last : last + reach]), [])
+                if not own or own[-1] != i:
+                    own.append(i)
                 patterns[key] = (where, whole)
-    return Index(codes, found, patterns, size)
+    codes = dict(zip(numbers, map("".join, zip(*[iter(_coded(np.arange(len(numbers)), unit))] * unit)))) if numbers else {}
+    return Index(codes, [own for _, own in found], patterns, size, unit)
+
+
+def _alike(x: str, y: str) -> int:
+    """How many characters two strings begin with alike."""
+    n = min(len(x), len(y))
+    return next((k for k in range(n) if x[k] != y[k]), n)
 
 
 class Scanner:
     def __init__(self, index: Index):
         self.index, self.made = index, ahocorasick.Automaton()
-        for p, value in index.patterns.items():
-            self.made.add_word(p, (len(p), *value))
+        for p, (where, whole) in index.patterns.items():
+            # what stands before an anchor is read backwards
+            self.made.add_word(p, (p, [(left[::-1], right, own) for (left, right), own in where.items()], whole))
         if index.patterns:
             self.made.make_automaton()
 
@@ -122,30 +142,38 @@ class Scanner:
         index, spans, owners = self.index, [], set()
         if not index.patterns or not words:
             return spans, owners
-        line = "".join(map(index.codes.get, words, repeat(_UNKNOWN)))
-        seen: dict[tuple[int, int], int] = {}
-        for end, (n, where, whole) in self.made.iter(line):
-            first = end - n + 1
+        unit = index.unit
+        line = "".join(map(index.codes.get, words, repeat("\0" * unit)))
+        reach = unit * (index.size - min(ANCHOR_WORDS, index.size))
+        seen: dict[tuple[str, str, str], tuple[int, int] | None] = {}
+        for end, (pattern, where, whole) in self.made.iter(line):
+            last = end + 1
+            first = last - len(pattern)
             if whole >= 0:
-                spans.append((first, end + 1))
-                owners.update(index.items[whole][1])
-            for i, at in where:
-                run = (i, first - at)
-                if seen.get(run, -1) > end:
-                    continue
-                item = index.items[i][0]
-                a, b = first, end + 1
-                low, high = max(0, first - at), min(len(line), first - at + len(item))
-                while a > low and line[a - 1] == item[a - 1 - run[1]]:
-                    a -= 1
-                while b < high and line[b] == item[b - run[1]]:
-                    b += 1
-                seen[run] = b
-                if b - a >= index.size:
-                    spans.append((a, b))
-                    owners.update(index.items[i][1])
+                spans.append((first // unit, last // unit))
+                if whole not in seen:
+                    seen[whole] = None
+                    owners.update(index.items[whole])
+            if where:
+                around = (line[max(0, first - reach) : first], pattern, line[last : last + reach])
+                if around not in seen:
+                    seen[around] = self._around(around, where, owners)
+                if (span := seen[around]) is not None:
+                    spans.append((first // unit - span[0], last // unit + span[1]))
         return spans, owners
 
+    def _around(self, around: tuple[str, str, str], where: list[tuple[str, str, list[int]]], owners: set[str]) -> tuple[int, int] | None:
+        """How many words before and behind an anchor stand in windows of items, by what the text has there."""
+        before, pattern, behind = around[0][::-1], around[1], around[2]
+        unit, size, a, b = self.index.unit, self.index.size, -1, -1
+        for left, right, own in where:
+            x, y = _alike(before, left) // unit, _alike(behind, right) // unit
+            if x + len(pattern) // unit + y >= size:
+                a, b = max(a, x), max(b, y)
+                for i in own:
+                    owners.update(self.index.items[i])
+        return None if a < 0 else (a, b)
+
 
 _scanners: dict[str, Scanner] = {}
 
