@@ -115,6 +115,26 @@ def likely_in(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return map_arrow(df.withColumn(key, place(column)), make, df.schema)
 
 
+#: Bytes of texts of a sample to learn from, for each of its classes.
+SAMPLE_BYTES = 64 << 20
+
+
+def bounded_sample(rows: DataFrame, most: int, most_bytes: int = SAMPLE_BYTES, cost: F.Column | None = None) -> DataFrame:
+    """(h, y, text) of rows (text, y): equal texts of a class once, at most `most` of each class and most_bytes of their costs (else
+    their bytes); those with the smallest hashes come first, and texts that don't fit into what is left are left out."""
+    t = rows.where("text IS NOT NULL").select("y", "text", F.xxhash64("text").alias("h"))
+    thin = t.select("y", "h", (F.octet_length("text") if cost is None else cost).cast("long").alias("cost")).groupBy("y", "h").agg(F.max("cost").alias("cost"))
+    chosen = []
+    for y in sorted(r["y"] for r in thin.select("y").distinct().collect()):
+        left = most_bytes
+        for r in thin.where(F.col("y") == y).orderBy("h").limit(most).collect():  # two numbers a text
+            if r["cost"] <= left:
+                left -= r["cost"]
+                chosen.append((y, r["h"]))
+    kept = rows.sparkSession.createDataFrame(chosen, "y int, h long")
+    return t.join(F.broadcast(kept), ["y", "h"]).dropDuplicates(["y", "h"])
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

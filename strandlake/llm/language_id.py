@@ -20,6 +20,8 @@ from .common import crc_of_id, map_arrow, texts
 
 #: Texts to learn from, about so many in all, evenly over the languages, at least one of each; they are learned from whole.
 SAMPLE_ROWS = 3200
+#: Chunks of these texts that come to the driver at most, about: 29 MB. Beyond it chunks are drawn by a hash from all of the texts.
+SAMPLE_CHUNKS = 300_000
 HIDDEN = 8
 CHUNK = 96
 STEPS = 240
@@ -203,13 +205,14 @@ class Model:
         return langs, scores
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS, steps: int = STEPS, hidden: int = HIDDEN) -> Model:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS, steps: int = STEPS, hidden: int = HIDDEN, most_chunks: int = SAMPLE_CHUNKS) -> Model:
     """Learn every non-null language from documents with crc32(id) mod 4 other than 2.
 
     Texts are drawn by a threshold on their hashes, about `rows` / languages different ones of each language (all if there are
     fewer), at least the one with the least hash; so copies and repeated rows count once and no id matters. A text that stands
     under several languages counts for each. Null and empty texts teach nothing; without any other, or with an empty table, every
-    text is UNKNOWN. Long texts are learned from whole.
+    text is UNKNOWN. Long texts are learned from whole, unless the texts have more than most_chunks chunks in all: then from a part of
+    all chunks, drawn in the tasks by a hash.
     """
     known = docs.where(F.col(lang_col).isNotNull() & (F.coalesce(F.length(text_col), F.lit(0)) > 0)).where(crc_of_id(id_col) % 4 != 2)
     known = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col, F.lit(7)).alias("h"))
@@ -222,12 +225,36 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     table = known.sparkSession.createDataFrame(limits, "lang string, y int, most long")
     chosen = known.join(F.broadcast(table), "lang").where("h <= most").groupBy("y", "h").agg(F.min("text").alias("text"))
 
-    got = chosen.toArrow().sort_by([("y", "ascending"), ("h", "ascending")])
-    raw = [t.encode("utf-8", "surrogatepass") for t in got.column("text").to_pylist()]
-    parts = [chunked(b) for b in raw]
-    n = np.array([len(p) for p in parts])
-    valid = np.minimum(CHUNK, np.repeat([len(b) for b in raw], n) - CHUNK * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)))
-    network = train(np.concatenate(parts), valid, np.repeat(got.column("y").to_numpy(), n), np.repeat(np.arange(len(raw)), n), steps, hidden)
+    total = chosen.agg(F.sum(F.ceil(F.octet_length("text") / F.lit(CHUNK)))).first()[0]
+    share = min(1.0, most_chunks / total)
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            out: list[list] = [[], [], [], []]
+            for y, h, text in zip(*(batch.column(c).to_pylist() for c in ("y", "h", "text"))):
+                raw = text.encode("utf-8", "surrogatepass")
+                parts = chunked(raw)
+                valid = np.full(len(parts), CHUNK, np.int32)
+                valid[-1] = len(raw) - CHUNK * (len(parts) - 1)
+                if share < 1:
+                    with np.errstate(over="ignore"):
+                        mixed = (np.arange(len(parts), dtype=np.uint64) + np.uint64(h & (1 << 64) - 1)) * np.uint64(0x9E3779B97F4A7C15)
+                        mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+                    drawn = (mixed >> np.uint64(11)).astype(float) < share * 2.0**53
+                    drawn[mixed.argmin()] = True  # of each text one at least
+                    parts, valid = parts[drawn], valid[drawn]
+                for column, value in zip(out, (y, h, parts.tobytes(), valid.tobytes())):
+                    column.append(value)
+            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["y", "h", "parts", "valid"])
+
+        return step
+
+    got = map_arrow(chosen.select("y", "h", "text"), make, "y int, h long, parts binary, valid binary").toArrow().sort_by([("y", "ascending"), ("h", "ascending")])
+    codes = [np.frombuffer(p, np.uint8).reshape(-1, CHUNK) for p in got.column("parts").to_pylist()]
+    valid = np.concatenate([np.frombuffer(v, np.int32) for v in got.column("valid").to_pylist()]).astype(np.int64)
+    n = np.array([len(c) for c in codes])
+    network = train(np.concatenate(codes), valid, np.repeat(got.column("y").to_numpy(), n), np.repeat(np.arange(len(codes)), n), steps, hidden)
     return Model([r["lang"] for r in seen], network)
 
 

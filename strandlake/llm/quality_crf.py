@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, map_arrow, texts
+from .common import SAMPLE_BYTES, bounded_sample, crc_of_id, map_arrow, texts
 
 #: Labelled rows to learn from, at most: those with the smallest hashes of their ids.
 SAMPLE_ROWS = 5000
@@ -155,22 +155,25 @@ def pooled(weights: np.ndarray, trans: np.ndarray, parts: list[tuple[np.ndarray,
     return out
 
 
-def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """Labels, features and lengths of at most `rows` labelled documents, none with crc32(id) mod 5 = 0."""
+def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int, most_bytes: int = SAMPLE_BYTES) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Labels, features and lengths of at most `rows` different labelled texts, and of most_bytes of bytes and 64 a line for each
+    class; none with crc32(id) mod 5 = 0."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1)).where(crc_of_id("doc_id") % 5 != 0)
     chosen = known.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
+    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
+    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    picked = bounded_sample(found, rows, most_bytes, F.octet_length("text") + 64 * lines)
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             parts = [document_features(t) for t in texts(batch)]
             own = pa.array([x.tobytes() for x, _ in parts], pa.binary())
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), own, pa.array([s.tobytes() for _, s in parts], pa.binary())], ["doc_id", "y", "own", "size"])
+            return pa.RecordBatch.from_arrays([batch.column("h"), batch.column("y"), own, pa.array([s.tobytes() for _, s in parts], pa.binary())], ["h", "y", "own", "size"])
 
         return step
 
-    found = map_arrow(picked, make, "doc_id long, y int, own binary, size binary").toArrow().sort_by("doc_id").to_pylist()
-    return [(r["y"], np.frombuffer(r["own"], np.float32).reshape(-1, N_OWN), np.frombuffer(r["size"], float)) for r in found if r["own"]]
+    got = map_arrow(picked, make, "h long, y int, own binary, size binary").toArrow().sort_by([("h", "ascending"), ("y", "ascending")]).to_pylist()[:rows]
+    return [(r["y"], np.frombuffer(r["own"], np.float32).reshape(-1, N_OWN), np.frombuffer(r["size"], float)) for r in got if r["own"]]
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, epochs: int = EPOCHS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, map_arrow, materialize, release, texts
+from .common import SAMPLE_BYTES, bounded_sample, crc_of_id, map_arrow, materialize, release, texts
 
 #: At most so many labelled rows of each class are used for learning: those with the smallest hashes of their ids.
 SAMPLE_ROWS = 3000
@@ -118,12 +118,14 @@ def _labelled(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
     return known.groupBy("doc_id").agg(F.max("y").alias("y"))
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(text, y): labelled documents to learn from, at most `rows` of each class; rows with crc32(id) mod 5 = 0 are left out."""
+def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """(text, y): labelled documents to learn from, at most `rows` different texts of each class, and most_bytes of them; rows with
+    crc32(id) mod 5 = 0 are left out."""
     known = _labelled(labels, id_col, label_col).withColumn("o", F.xxhash64("doc_id"))
     chosen = known.where("y = 1").orderBy("o", "doc_id").limit(rows).unionByName(known.where("y = 0").orderBy("o", "doc_id").limit(rows)).drop("o")
     # at most twice `rows` ids
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "y").where("text is not null")
+    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return bounded_sample(found, rows, most_bytes).select("text", "y")
 
 
 def _counted(rows: DataFrame) -> DataFrame:
