@@ -128,9 +128,9 @@ def _scan(space: _Space, a: _Anchors, best: _Best, part: slice, rows: np.ndarray
         np.maximum(near, np.abs(mine[:, p : p + 1] - apart[None, :, p]), out=near)
         np.minimum(far, mine[:, p : p + 1] + apart[None, :, p], out=far)
     allowed = bracket(near, far, np.arange(len(at)))
+    seen[2] += int(allowed.sum())
     allowed &= (a.label[at][:, None] == labels[None]) == a.same
     allowed &= a.row[at][:, None] != rows[None]
-    seen[2] += int(allowed.sum())
     some, cols = allowed.any(1), np.flatnonzero(allowed.any(0))
     at, allowed = at[some], allowed[np.ix_(some, cols)]
     if not len(at):
@@ -271,7 +271,7 @@ def mine(
     twice one is a positive of the other. Shorter vectors count as ending in zeros. Components and scores beyond 64 bits stay at
     the ends of that range. An empty table, or one without anchors, gives no rows. Other columns of df are not read.
 
-    stats: gets, for each pass, the number of pairs met, left by the blocks' brackets, and left by the rows' brackets and labels.
+    stats: gets, for each pass, the number of pairs met, left by the blocks' brackets, and left by the rows' brackets, whatever their labels.
     """
     spark = df.sparkSession
     rows = _integers(df, anchor, id_col, vec_col, label_col, scale)

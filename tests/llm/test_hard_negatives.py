@@ -76,7 +76,9 @@ def test_brackets_leave_far_rows_out(spark):
     stats = []
     rows = clustered(4000, 5, dim=3)
     assert mined(table(spark, rows), stats=stats) == brute(rows)
-    assert sum(c for _, _, c in stats) < 0.35 * sum(a for a, _, _ in stats)
+    # what the brackets alone leave, whatever the labels
+    (met, _, left), (met_again, _, left_again) = stats
+    assert left < 0.8 * met and left_again < 0.35 * met_again
 
 
 def test_other_counts_and_windows(spark):
