@@ -4,7 +4,8 @@ for reads in which close mutations are never seen.
 Every model is a set of weights: the log-likelihood of a read under cluster k is const_k plus the sum of w_k over its modified
 positions. One pass over the distinct position sets (with their numbers of reads) computes posteriors and sums them by
 position; only clusters x positions numbers come to the driver, whatever the number of reads, and nothing is chained from one
-iteration to the next.
+iteration to the next. Restarts share the passes: (run, cluster) is the key of the sums, and runs that have ended drop out, so
+many runs take the jobs of the longest one.
 """
 
 from __future__ import annotations
@@ -12,9 +13,12 @@ from __future__ import annotations
 import json
 import math
 import warnings
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,7 +63,7 @@ class LocalSets:
         return Sums(counts, post.sum(1), float((post * ll).sum()), float((self.weight * total).sum()))
 
 
-#: Modifications in distinct position sets up to which EM runs on the driver (about 100 MB of numbers for each four clusters).
+#: Modifications in distinct position sets up to which EM of spaced mutations, with its hundreds of passes, runs on the driver (about 100 MB of numbers for each four clusters).
 LOCAL_MODS = 2_000_000
 
 
@@ -109,26 +113,51 @@ def predicted(sets: DataFrame, weights: Weights) -> DataFrame:
     return posteriors(sets, weights).withColumn("cluster", (F.array_position("post", F.array_max("post")) - 1).cast("long"))
 
 
+#: Cells of the dense block of position sets that a task works on at a time.
+BLOCK_CELLS = 1 << 21
+
+
+def em_passes(sets: DataFrame, weights: list[Weights]) -> list[Sums]:
+    """One E-step of several runs, with the sums that any M-step needs.
+
+    A task adds up its sets for each (run, cluster) in blocks, by one product of sets x positions and positions x clusters, and sends
+    runs x clusters x positions numbers, which are summed before they come to the driver.
+    """
+    runs, (k_all, d) = len(weights), weights[0].by_pos.shape
+    by_pos, const = np.concatenate([w.by_pos for w in weights]), np.concatenate([w.const for w in weights])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # behind the positions stand reads, complete and marginal likelihood
+        sums = np.zeros((runs * k_all, d + 3))
+        for b in batches:
+            size, flat = pc.list_value_length(b.column("p")).to_numpy(), b.column("p").flatten().to_numpy()
+            weight, ends = b.column("weight").to_numpy().astype(float), np.concatenate([[0], np.cumsum(size)])
+            for first in range(0, len(size), step := max(1, BLOCK_CELLS // d)):
+                last = min(first + step, len(size))
+                x = np.zeros((last - first, d))
+                x[np.repeat(np.arange(last - first), size[first:last]), flat[ends[first] : ends[last]]] = 1
+                ll = (x @ by_pos.T + const).reshape(last - first, runs, k_all)
+                top = ll.max(2, keepdims=True)
+                total = top + np.log(np.exp(ll - top).sum(2, keepdims=True))
+                post = np.exp(ll - total) * weight[first:last, None, None]
+                flat_post = post.reshape(last - first, -1)
+                sums[:, :d] += flat_post.T @ x
+                sums[:, d] += flat_post.sum(0)
+                sums[:, d + 1] += (post * ll).reshape(last - first, -1).sum(0)
+                sums[::k_all, d + 2] += (weight[first:last, None] * total[:, :, 0]).sum(0)
+        key, pos = np.nonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(sums[key, pos])], ["key", "pos", "v"])
+
+    found = sets.select("p", "weight").mapInArrow(run, "key int, pos int, v double").groupBy("key", "pos").agg(F.sum("v").alias("v")).toArrow()
+    sums = np.zeros((runs * k_all, d + 3))
+    sums[found.column("key").to_numpy(), found.column("pos").to_numpy()] = found.column("v").to_numpy()
+    each = sums.reshape(runs, k_all, d + 3)
+    return [Sums(e[:, :d], e[:, d], float(e[:, d + 1].sum()), float(e[:, d + 2].sum())) for e in each]
+
+
 def em_pass(sets: DataFrame | LocalSets, weights: Weights) -> Sums:
-    """One E-step, with the sums that any M-step needs."""
-    if isinstance(sets, LocalSets):
-        return sets.em_pass(weights)
-    k_all, d = weights.by_pos.shape
-    t = posteriors(sets, weights)
-    post = [(F.col("weight") * F.col("post")[k]).alias(f"w{k}") for k in range(k_all)]
-    complete = F.aggregate(F.zip_with("post", "ll", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
-    # position -1 stands for the read itself
-    rows = t.select(F.explode(F.concat(F.array(F.lit(-1)), "p")).alias("pos"), *post, (F.col("weight") * complete).alias("c"), (F.col("weight") * F.col("total")).alias("m"))
-    own = F.col("pos") == -1
-    sums = rows.groupBy("pos").agg(*[F.sum(f"w{k}").alias(f"w{k}") for k in range(k_all)], F.sum(F.when(own, F.col("c"))).alias("c"), F.sum(F.when(own, F.col("m"))).alias("m")).collect()
-    counts, totals, found = np.zeros((k_all, d)), np.zeros(k_all), (0.0, 0.0)
-    for r in sums:
-        w = [r[f"w{k}"] for k in range(k_all)]
-        if r["pos"] == -1:
-            totals[:], found = w, (r["c"], r["m"])
-        else:
-            counts[:, r["pos"]] = w
-    return Sums(counts, totals, *found)
+    """em_passes() of one run."""
+    return sets.em_pass(weights) if isinstance(sets, LocalSets) else em_passes(sets, [weights])[0]
 
 
 def bic(n: float, clusters: int, length: int, ll: float) -> float:
@@ -172,50 +201,52 @@ def maximised(sums: Sums, prior: tuple[float, float] | None = None) -> tuple[np.
     return np.clip(mu, 0.0, 1.0), sums.totals / sums.totals.sum()
 
 
-def fit(sets: DataFrame, clusters: int, length: int, runs: int = 1, threshold: float = 0.5, min_iters: int = 20, max_iters: int = 1000, seed: int = 386, hierarchical: bool = False, local_mods: int = LOCAL_MODS) -> Mixture:
-    """The run of least BIC. Starts are drawn from Beta(1.5, 20); a run ends when the likelihood changes by less than the
-    threshold after min_iters, or at max_iters (min_iters at least) with converged False. sets is cached meanwhile; if it has
-    at most local_mods modifications, the same passes run on the driver. Needs at least one read."""
+def fit(
+    sets: DataFrame, clusters: int, length: int, runs: int = 1, threshold: float = 0.5, min_iters: int = 20, max_iters: int = 1000, seed: int = 386, hierarchical: bool = False, starts: list[np.ndarray] | None = None
+) -> Mixture:
+    """The run of least BIC. Starts are drawn from Beta(1.5, 20) for each of `runs`, or given as clusters x length rates; a run ends
+    when the likelihood changes by less than the threshold after min_iters, or at max_iters (min_iters at least) with converged False.
+    sets is cached meanwhile; all runs take their passes together. Needs at least one read."""
     sets = sets.cache()
     max_iters = max(max_iters, min_iters)
     try:
-        passed = gathered(sets, local_mods) or sets
         n, ones = sets.agg(F.sum("weight"), F.sum(F.col("weight") * F.size("p"))).first()
         if not n:
             raise ValueError("no reads")
         prior = beta_prior(n * length, ones) if hierarchical else None
-        best: Mixture | None = None
-        for run in range(runs):
-            mu, pi = np.random.default_rng([seed, run]).beta(1.5, 20, (clusters, length)), np.full(clusters, 1 / clusters)
-            before, trace, done = 0.0, [], False
-            for i in range(1, max_iters + 1):
-                sums = em_pass(passed, Weights.of(mu, pi))
-                mu, pi = maximised(sums, prior)
-                pi = np.maximum(pi, 1e-300)
-                trace.append((i, sums.complete, sums.complete - before))
-                if done := i >= min_iters and abs(sums.complete - before) < threshold:
-                    break
-                before = sums.complete
-            found = Mixture(mu, pi, trace[-1][1], bic(n, clusters, length, trace[-1][1]), trace, done)
-            best = found if best is None or found.bic < best.bic else best
-        return best
+        if starts is None:
+            starts = [np.random.default_rng([seed, run]).beta(1.5, 20, (clusters, length)) for run in range(runs)]
+        mu, pi = list(starts), [np.full(clusters, 1 / clusters)] * len(starts)
+        traces: list[list[tuple[int, float, float]]] = [[] for _ in starts]
+        done = [False] * len(starts)
+        for i in range(1, max_iters + 1):
+            active = [r for r, ended in enumerate(done) if not ended]
+            if not active:
+                break
+            for r, sums in zip(active, em_passes(sets, [Weights.of(mu[r], pi[r]) for r in active])):
+                mu[r], share = maximised(sums, prior)
+                pi[r] = np.maximum(share, 1e-300)
+                change = sums.complete - (traces[r][-1][1] if traces[r] else 0.0)
+                traces[r].append((i, sums.complete, change))
+                done[r] = i >= min_iters and abs(change) < threshold
+        found = [Mixture(mu[r], pi[r], t[-1][1], bic(n, clusters, length, t[-1][1]), t, done[r]) for r, t in enumerate(traces)]
+        return min(found, key=lambda m: m.bic)
     finally:
         sets.unpersist()
 
 
-def fit_variational(sets: DataFrame, clusters: int, length: int, updates: int = 1000, tolerance: float = 1e-6, seed: int = 386, local_mods: int = LOCAL_MODS) -> Mixture:
+def fit_variational(sets: DataFrame, clusters: int, length: int, updates: int = 1000, tolerance: float = 1e-6, seed: int = 386) -> Mixture:
     """Variational Bayes with Dirichlet(1e-5) weights and Beta(1/2, 1/2) rates; the same passes with expected log rates."""
     sets = sets.cache()
     try:
         n, done = sets.agg(F.sum("weight")).first()[0], False
         start = np.random.default_rng(seed).beta(1.5, 20, (clusters, length))
-        passed = gathered(sets, local_mods) or sets
-        sums, before = em_pass(passed, Weights.of(start, np.full(clusters, 1 / clusters))), None
+        sums, before = em_pass(sets, Weights.of(start, np.full(clusters, 1 / clusters))), None
         for _ in range(updates):
             a, b = 0.5 + sums.counts, 0.5 + sums.totals[:, None] - sums.counts
             both, share = digamma(a + b), 1e-5 + sums.totals
             e_log, e_off = digamma(a) - both, digamma(b) - both
-            sums = em_pass(passed, Weights(digamma(share) - digamma(share.sum(keepdims=True)) + e_off.sum(1), e_log - e_off))
+            sums = em_pass(sets, Weights(digamma(share) - digamma(share.sum(keepdims=True)) + e_off.sum(1), e_log - e_off))
             if done := before is not None and np.abs(sums.totals - before).max() < tolerance * n:
                 break
             before = sums.totals.copy()
