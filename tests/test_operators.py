@@ -339,8 +339,8 @@ def test_em_on_the_driver_is_that_of_the_executors(spark, mixture):
     assert np.allclose(a.counts, b.counts) and np.allclose(a.totals, b.totals) and np.allclose((a.complete, a.marginal), (b.complete, b.marginal))
     assert mixtures.gathered(sets, 5) is None
     starts = [np.random.default_rng(k).beta(1.5, 20, (2, 10)) for k in range(4)]
-    each = [mixtures.fit(sets, 2, 10, max_iters=25, starts=[x]) for x in starts]
-    best = mixtures.fit(sets, 2, 10, max_iters=25, starts=starts)  # runs end at different rounds
+    each = [mixtures.fit(sets, 2, 10, min_iters=2, threshold=0.01, starts=[x]) for x in starts]
+    best = mixtures.fit(sets, 2, 10, min_iters=2, threshold=0.01, starts=starts)  # runs end at different rounds
     one = min(each, key=lambda m: m.bic)
     assert np.allclose(best.mu, one.mu, atol=1e-9) and best.converged == one.converged and len(best.trace) == len(one.trace)
     assert len({len(m.trace) for m in each}) > 1
