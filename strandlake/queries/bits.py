@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandlake.fixtures import BITS_SQL, DOT_SQL, L_EMBEDDING, bit_strings, dot_brackets, embedding_mods, embedding_reads
+from strandlake.fixtures import BITS_SQL, DOT_SQL, L_EMBEDDING, bit_strings, dot_brackets, embedding_mods, embedding_reads, table
 from strandlake.operators import bitvec, structure
 from strandlake.plans import folding
 from strandlake.queries.matrix import r6
@@ -116,29 +116,31 @@ def dense_bits(spark, sf):
 # --- alignments -------------------------------------------------------------------------------------------------------
 
 REFERENCE = "ACGTACGTTTGACCAGATTACAGGCTAAACGT"
-#: qname, mate, pos (1-based), cigar, seq, qual
-ALIGNMENTS = [
-    ("r1", 1, 1, "10M", "ACGTACGTTT", "IIIIIIIIII"),
-    ("r1", 2, 6, "10M", "CGTTTGACCA", "IIIIIIIIII"),
-    ("r2", 1, 1, "10M", "ACGAACGTTA", "IIIIII!III"),
-    ("r2", 2, 3, "8M", "GTACGTTT", "IIIIIII!"),
-    ("r3", 1, 3, "4M2D4M", "GTACTTGA", "IIIIIIII"),
-    ("r4", 1, 3, "4M1I4M", "GTACCGTTT", "IIIIIIIII"),
-    ("r5", 1, 11, "3S5M2S", "NNNGACCAGG", "IIIIIIIIII"),
-    ("r6", 1, 11, "5M3N2M", "GACCATT", "IIIIIII"),
-    ("r7", 1, 6, "3M1D4M", "CGTTGAC", "IIIIIII"),
-    ("r8", 1, 20, "6M", "ACAGCC", "II#III"),
-]
+#: CIGARs of the alignments that are made from orders, and the bases that each takes from a read.
+CIGARS = {"10M": 10, "8M": 8, "4M2D4M": 8, "4M1I4M": 9, "3S5M2S": 10, "5M3N2M": 7, "3M1D4M": 7, "6M": 6}
 QUALITY = {chr(33 + q): q for q in range(42)}
 
 
-def _alignments(spark):
-    rows = spark.createDataFrame(ALIGNMENTS, "qname string, mate long, pos long, cigar string, seq string, qual string")
-    return rows.withColumn("ref", F.lit(REFERENCE))
-
-
-_VALUES = ", ".join(f"('{q}', {m}, {p}, '{c}', '{s}', '{u}')" for q, m, p, c, s, u in ALIGNMENTS)
-_ALN = f"""WITH aln AS (SELECT * FROM (VALUES {_VALUES}) v(qname, mate, pos, cigar, seq, qual)),
+def _alignments(spark, sf):
+    """Two mates of each order, with places, CIGARs, changed bases and qualities by its key."""
+    t = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.explode(F.array(F.lit(1), F.lit(2))).alias("mate"))
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), ((F.col("k") * 2 + F.col("mate")) % len(CIGARS) + 1).cast("int"))
+    t = t.select("k", F.col("mate").cast("long").alias("mate"), (1 + (F.col("k") * 7 + F.col("mate") * 3) % 20).alias("pos"), pick(CIGARS).alias("cigar"), pick(CIGARS.values()).alias("n"))
+    seq = F.substring(F.lit(REFERENCE), F.col("pos").cast("int"), F.col("n"))
+    seq = F.when(F.col("k") % 3 == 0, seq).when(F.col("k") % 3 == 1, F.translate(seq, "A", "G")).otherwise(F.translate(seq, "TC", "CA"))
+    hashed = F.md5(F.concat_ws("|", F.col("k").cast("string"), F.col("mate").cast("string")))
+    qual = F.substring(F.translate(hashed, "0123456789abcdef", "IIIIIIIIIIII#!5J"), F.lit(1), F.col("n"))
+    return t.select(F.concat(F.lit("q"), F.col("k").cast("string")).alias("qname"), "mate", "pos", "cigar", seq.alias("seq"), qual.alias("qual"), F.lit(REFERENCE).alias("ref"))
+
+
+_PICK = f"[cast((o_orderkey * 2 + mate) % {len(CIGARS)} AS INT) + 1]"
+_ALN = f"""WITH keyed AS (
+  SELECT o_orderkey, mate, 1 + (o_orderkey * 7 + mate * 3) % 20 AS pos, {list(CIGARS)}{_PICK} AS cigar, {list(CIGARS.values())}{_PICK} AS n
+  FROM orders, (SELECT cast(unnest([1, 2]) AS BIGINT) AS mate)),
+aln AS (
+  SELECT 'q' || o_orderkey AS qname, mate, pos, cigar, CASE o_orderkey % 3 WHEN 0 THEN s WHEN 1 THEN translate(s, 'A', 'G') ELSE translate(s, 'TC', 'CA') END AS seq,
+    substr(translate(md5(o_orderkey || '|' || mate), '0123456789abcdef', 'IIIIIIIIIIII#!5J'), 1, n) AS qual
+  FROM (SELECT *, substr('{REFERENCE}', cast(pos AS INT), n) AS s FROM keyed)),
 ops AS (
   SELECT qname, cast(mate AS BIGINT) AS mate, cast(pos AS BIGINT) AS pos, seq, qual, cast(unnest(regexp_extract_all(cigar, '(\\d+)([A-Z=])', 1)) AS BIGINT) AS len,
     unnest(regexp_extract_all(cigar, '(\\d+)([A-Z=])', 2)) AS op, cast(unnest(range(0, len(regexp_extract_all(cigar, '(\\d+)([A-Z=])', 1)))) AS BIGINT) AS idx FROM aln),
@@ -165,17 +167,17 @@ bits AS (
 
 @query("cigar_parse", _ALN + " SELECT qname, mate, idx, len, op, read_at, ref_at FROM steps")
 def cigar_parse(spark, sf):
-    return bitvec.cigar_steps(_alignments(spark)).select("qname", "mate", F.col("idx").cast("long").alias("idx"), "len", "op", "read_at", "ref_at")
+    return bitvec.cigar_steps(_alignments(spark, sf)).select("qname", "mate", F.col("idx").cast("long").alias("idx"), "len", "op", "read_at", "ref_at")
 
 
 @query("convert_read", _ALN + " SELECT qname, mate, ref_at, bit FROM bits")
 def convert_read(spark, sf):
-    return bitvec.read_bits(_alignments(spark), QUALITY)
+    return bitvec.read_bits(_alignments(spark, sf), QUALITY)
 
 
 @query("ambig_deletion", _ALN + " SELECT s.qname, s.ref_at, d.qname IS NOT NULL AS ambiguous FROM (SELECT * FROM steps WHERE op = 'D') s LEFT JOIN dels d ON d.qname = s.qname AND d.mate = s.mate AND d.idx = s.idx")
 def ambig_deletion(spark, sf):
-    t = bitvec.cigar_steps(_alignments(spark)).where("op = 'D'")
+    t = bitvec.cigar_steps(_alignments(spark, sf)).where("op = 'D'")
     return t.select("qname", "ref_at", bitvec.ambiguous_deletion(F.col("ref"), F.col("ref_at"), F.col("len")).alias("ambiguous"))
 
 
@@ -191,12 +193,12 @@ joined AS (
 
 @query("combine_mates", _ALN + _MATES + " SELECT qname, ref_at, bit FROM joined")
 def combine_mates(spark, sf):
-    return bitvec.combined_mates(bitvec.read_bits(_alignments(spark), QUALITY))
+    return bitvec.combined_mates(bitvec.read_bits(_alignments(spark, sf), QUALITY))
 
 
 @query("bit_text", _ALN + _MATES + ", g AS (SELECT q.qname, p.pos, coalesce(b.bit, '.') AS bit FROM (SELECT DISTINCT qname FROM joined) q CROSS JOIN (SELECT unnest(range(0, 32)) AS pos) p LEFT JOIN joined b ON b.qname = q.qname AND b.ref_at = p.pos), t AS (SELECT qname, string_agg(bit, '' ORDER BY pos) AS bits FROM g GROUP BY qname) SELECT qname, bits, cast(length(regexp_replace(bits, '[^ATGC]', '', 'g')) AS BIGINT) AS n_mut FROM t")
 def bit_text(spark, sf):
-    return bitvec.bit_text(bitvec.combined_mates(bitvec.read_bits(_alignments(spark), QUALITY)), 0, len(REFERENCE))
+    return bitvec.bit_text(bitvec.combined_mates(bitvec.read_bits(_alignments(spark, sf), QUALITY)), 0, len(REFERENCE))
 
 
 # --- structures -------------------------------------------------------------------------------------------------------
