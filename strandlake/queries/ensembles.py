@@ -229,16 +229,26 @@ def score_filled(spark, sf):
 
 @query(
     "spaced_shares",
-    """WITH RECURSIVE mu AS (SELECT k, p, 0.02::DOUBLE + 0.2::DOUBLE * ((p * 31 + k * 17) % 97) / 97 AS mu FROM (SELECT cast(unnest(range(0, 70)) AS BIGINT) AS p), (SELECT cast(unnest(range(0, 3)) AS BIGINT) AS k)),
+    f"""WITH RECURSIVE {EMBEDDING_SQL.strip()},
+size AS (SELECT label AS k, count(*) AS n FROM reads GROUP BY label),
+hits AS (SELECT label AS k, pos, count(*) AS c FROM mods m JOIN reads r ON r.read_id = m.read_id GROUP BY ALL),
+mu AS (SELECT size.k, p, coalesce(c, 0) / n AS mu FROM size CROSS JOIN (SELECT cast(unnest(range(0, 64)) AS BIGINT) AS p) LEFT JOIN hits h ON h.k = size.k AND h.pos = p),
 d(k, i, d1, d2, d3, d4) AS (
-  SELECT cast(unnest(range(0, 3)) AS BIGINT), cast(64 AS BIGINT), 1.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE
+  SELECT k, cast(64 AS BIGINT), 1.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE FROM size
   UNION ALL
   SELECT d.k, i - 1, (1 - m.mu) * d1 + m.mu * (SELECT coalesce(product(1 - q.mu), 1) FROM mu q WHERE q.k = d.k AND q.p BETWEEN i AND least(63, i + 2)) * d4, d1, d2, d3
   FROM d JOIN mu m ON m.p = d.i - 1 AND m.k = d.k WHERE i > 0),
-w AS (SELECT k, (k + 1) / 6.0::DOUBLE / d1 AS w FROM d WHERE i = 0)
+w AS (SELECT d.k, n / (SELECT count(*) FROM reads) / d1 AS w FROM d JOIN size ON size.k = d.k WHERE i = 0)
 SELECT k AS cluster, round(w / (SELECT sum(w) FROM w), 6) AS share FROM w""",
 )
 def spaced_shares(spark, sf):
-    """Shares of three clusters before reads with close mutations went missing."""
-    model = mixtures.Mixture(mixtures.hashed_start(3, L_EMBEDDING), np.array([1, 2, 3]) / 6, 0.0, 0.0)
-    return spark.createDataFrame([(k, float(x)) for k, x in enumerate(mixtures.true_shares(model))], "cluster long, share double").select("cluster", r6("share"))
+    """Shares of the labels before reads with close mutations went missing, by the labels' rates."""
+    reads = embedding_reads(spark, sf)
+    sizes = {r["label"]: r["n"] for r in reads.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    labels = sorted(sizes)
+    mu = np.zeros((len(labels), L_EMBEDDING))
+    for r in relational.group_counts(reads.select("read_id", F.col("label").alias("cluster")), embedding_mods(spark, sf)).collect():  # labels x positions
+        mu[labels.index(r["cluster"]), r["pos"]] = r["n"] / sizes[r["cluster"]]
+    pi = np.array([sizes[k] for k in labels], float)
+    model = mixtures.Mixture(mu, pi / pi.sum(), 0.0, 0.0)
+    return spark.createDataFrame([(k, float(x)) for k, x in zip(labels, mixtures.true_shares(model))], "cluster long, share double").select("cluster", r6("share"))

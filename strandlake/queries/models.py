@@ -274,7 +274,8 @@ def hbbmm_step1(spark, sf):
 
 @query(
     "spaced_probability",
-    """WITH RECURSIVE mu AS (SELECT p, 0.02::DOUBLE + 0.2::DOUBLE * ((p * 31) % 97) / 97 AS mu FROM (SELECT cast(unnest(range(0, 70)) AS BIGINT) AS p)),
+    f"""WITH RECURSIVE {EMBEDDING_SQL.strip()},
+mu AS (SELECT p, coalesce(n, 0) / (SELECT count(*) FROM reads) AS mu FROM (SELECT cast(unnest(range(0, 70)) AS BIGINT) AS p) LEFT JOIN (SELECT pos, count(*) AS n FROM mods GROUP BY pos) ON pos = p),
 d(i, d1, d2, d3, d4) AS (
   SELECT cast(64 AS BIGINT), 1.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE
   UNION ALL
@@ -283,7 +284,9 @@ d(i, d1, d2, d3, d4) AS (
 SELECT i AS pos, round(d1, 6) AS d FROM d WHERE i < 64""",
 )
 def spaced_probability(spark, sf):
-    d = mixtures.spaced_probability(mixtures.hashed_start(1, L_EMBEDDING)[0])
+    """For the rates of all reads together."""
+    rates = filters.position_rates(embedding_reads(spark, sf), embedding_mods(spark, sf), L_EMBEDDING).orderBy("pos").collect()
+    d = mixtures.spaced_probability(np.array([r["rate"] for r in rates]))
     return spark.createDataFrame([(i, float(d[i])) for i in range(L_EMBEDDING)], "pos long, d double").select("pos", r6("d"))
 
 
