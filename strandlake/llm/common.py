@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import os
 import shutil
 import tempfile
@@ -81,20 +80,14 @@ def release(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
-def tidy(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of queries that are over: it does so once the driver's collector has seen that nothing
-    refers to them, which may take half an hour by itself, while the files of each step add up on the executors' disks."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 #: Bits of the filter of likely_in(), 8 MB whatever the size of the tables.
 FILTER_BITS = 1 << 26
 
 
-def likely_in(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """Rows of df whose value in column (long) is among those of ids, and few others: a filter of fixed size that goes before a join
-    and keeps large rows without a partner out of its shuffle. With very many ids it lets most rows pass."""
+def split_likely(df: DataFrame, ids: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of df whose value in column (long) is among those of ids, and few others; and all other rows. A filter of fixed size, which
+    goes before a join and keeps large rows without a partner out of its shuffle. With very many ids most rows are in the first. Hint the
+    join to shuffle: a broadcast one would leave this map and the next in one task, with a Python worker each."""
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)) + 1
     marks = ids.select(place(column).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
@@ -104,15 +97,23 @@ def likely_in(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(bits)
     (key,) = fresh(df, "place")
 
-    def make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            p = batch.column(key).to_numpy() - 1
-            seen = shared.value[p >> 3] >> (p & 7).astype(np.uint8) & 1
-            return batch.filter(pa.array(seen.astype(bool))).drop_columns([key])
+    def side(inside: bool) -> DataFrame:
+        def make():
+            def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+                p = batch.column(key).to_numpy() - 1
+                seen = shared.value[p >> 3] >> (p & 7).astype(np.uint8) & 1
+                return batch.filter(pa.array(seen.astype(bool) == inside)).drop_columns([key])
+
+            return step
 
-        return step
+        return map_arrow(df.withColumn(key, place(column)), make, df.schema)
 
-    return map_arrow(df.withColumn(key, place(column)), make, df.schema)
+    return side(True), side(False)
+
+
+def likely_in(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The first part of split_likely()."""
+    return split_likely(df, ids, column)[0]
 
 
 #: Bytes of texts of a sample to learn from, for each of its classes.

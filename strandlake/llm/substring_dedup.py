@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import Likeness, bucket_links
-from .common import fresh, likely_in, map_arrow, materialize, release, texts, tidy
+from .common import fresh, likely_in, map_arrow, materialize, release, split_likely, texts
 from .components import components
 
 SHINGLE_WORDS = 5
@@ -304,7 +304,7 @@ def _bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         return step
 
     some = likely_in(docs.select("doc_id", "text"), wanted, "doc_id")
-    return map_arrow(some.join(by_doc, "doc_id"), make, "h long, body string").dropDuplicates(["h"])
+    return map_arrow(some.hint("merge").join(by_doc, "doc_id"), make, "h long, body string").dropDuplicates(["h"])
 
 
 def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -316,7 +316,6 @@ def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     banded = distinct.select("h", "g", "n", "owner", F.explode(F.array(*keys)).alias("k"))
     sizes, counted = materialize(banded.groupBy("k").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
     met, at = materialize(banded.join(sizes, "k"), "met")
-    tidy(spark)
     bodies, told = materialize(_bodies(docs, met.select("h", F.col("owner").alias("doc_id")).distinct()), "bodies")
     links, held = materialize(bucket_links(met.join(bodies, "h").select("k", "size", "n", "h", "body"), LIKENESS).distinct(), "links")
     release(spark, counted, told)
@@ -433,8 +432,7 @@ def stretches(docs: DataFrame, gone: DataFrame) -> DataFrame:
         return step
 
     schema = "doc_id long, tid long, first int, last int, owner long, ha long, hb long, before string, after string"
-    seen, _ = materialize(map_arrow(docs.join(asked, "doc_id"), look, schema), "contexts")
-    tidy(docs.sparkSession)
+    seen, _ = materialize(map_arrow(likely_in(docs, asked, "doc_id").hint("merge").join(asked, "doc_id"), look, schema), "contexts")
     mine = seen.where("tid is not null").withColumn("n", F.expr("last - first"))
     kept = seen.where("tid is null").select("owner", "ha", "hb", F.col("last").alias("n"), F.col("before").alias("before2"), F.col("after").alias("after2"))
 
@@ -470,12 +468,10 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_
     spark = df.sparkSession
     shared = pieces_of(docs).groupBy("h", "g").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other")).where("owner < other").drop("other")
     gone, _ = materialize(words_of_place(pieces_of(docs).join(shared, ["h", "g"]).where("doc_id <> owner")).select("doc_id", "tid", "first", "last", "owner", "h"), "gone")
-    tidy(spark)
     lines, path = materialize(lines_of(docs), "places")
     near = words_of_place(lines.select("doc_id", "tid", "at", "h", "g").join(near_lines(docs, lines), ["h", "g"]).where("doc_id <> owner"))
     near, _ = materialize(near.select("doc_id", "tid", "first", "last", "owner"), "near")
     release(spark, path)
-    tidy(spark)
     more, _ = materialize(stretches(docs, gone), "stretches")
     every = gone.drop("h").unionByName(near).unionByName(more)
     per_doc = every.groupBy("doc_id", "tid").agg(F.sort_array(F.collect_set(F.struct("first", "last", "owner"))).alias("p"))  # of one text
@@ -521,7 +517,11 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     gone_id, gone_tid, gone = fresh(df, "gone_id", "gone_tid", "gone")
     found, _ = materialize(removals(df, id_col, text_col, run_words).toDF(gone_id, gone_tid, gone), "removals")
     same = (F.col(id_col).cast("long") == F.col(gone_id)) & (F.xxhash64(text_col) == F.col(gone_tid))
-    rows = df.join(found, same, "left").drop(gone_id, gone_tid)
+    # only texts that may lose something are shuffled
+    (key,) = fresh(df, "id")
+    ids = found.select(F.col(gone_id).alias(key))
+    some, others = (x.drop(key) for x in split_likely(df.withColumn(key, F.col(id_col).cast("long")), ids, key))
+    rows = some.hint("merge").join(found, same, "left").drop(gone_id, gone_tid)
     schema, names = df.schema, df.columns
 
     def make():
@@ -534,4 +534,4 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
 
         return step
 
-    return map_arrow(rows, make, schema)
+    return map_arrow(rows, make, schema).unionByName(others)
