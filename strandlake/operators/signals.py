@@ -34,7 +34,8 @@ def scaled(x: np.ndarray) -> np.ndarray:
 class _Tables:
     """The cost tables of some queries on one reference, diagonal by diagonal."""
 
-    def __init__(self, queries: list[np.ndarray], reference: np.ndarray):
+    def __init__(self, queries: list[np.ndarray], reference: np.ndarray, late: bool = False):
+        self.late = late  # of equal ends the last one
         self.size = np.array([len(q) for q in queries])
         self.rows, self.n, self.back = int(self.size.max()), len(reference), reference[::-1].copy()
         self.q = np.zeros((len(queries), self.rows))
@@ -70,7 +71,8 @@ class _Tables:
                 j = k - self.size + 1
                 at = np.flatnonzero((j >= 0) & (j < n))
                 value = new[at, self.size[at]]
-                better = value < self.cost[self.which[at]]
+                known = self.cost[self.which[at]]
+                better = value <= known if self.late else value < known
                 got = self.which[at[better]]
                 self.cost[got], self.end[got] = value[better], j[at[better]]
             fronts[:] = one, new, before
@@ -112,10 +114,10 @@ def distances(queries: list[np.ndarray], reference: np.ndarray, cutoff: np.ndarr
     return t.cost, t.end
 
 
-def paths(queries: list[np.ndarray], reference: np.ndarray, bits_bytes: int = BITS_BYTES) -> tuple[np.ndarray, list[np.ndarray]]:
+def paths(queries: list[np.ndarray], reference: np.ndarray, bits_bytes: int = BITS_BYTES, late: bool = False) -> tuple[np.ndarray, list[np.ndarray]]:
     """The least cost, and the warping path as rows of (sample, place), for each query. Of equal ways back the diagonal is taken,
-    then the one from above; of equal ends the first."""
-    t = _Tables(queries, reference)
+    then the one from above; of equal ends the first, or with late the last."""
+    t = _Tables(queries, reference, late)
     n, fronts = len(queries), t.start()
     stretch = max(1, bits_bytes // max(1, n * t.rows // 4 + 64))
     kept, bits = {}, []
@@ -202,9 +204,9 @@ def cascade(queries: list[np.ndarray], references: list[np.ndarray]) -> tuple[np
     return which, cost, end, left
 
 
-def subsequence_path(reference: np.ndarray, query: np.ndarray) -> tuple[int, int, float]:
+def subsequence_path(reference: np.ndarray, query: np.ndarray, late: bool = False) -> tuple[int, int, float]:
     """First and last place in the reference where the query fits best, and the root of the summed squared differences."""
-    cost, found = paths([np.asarray(query, float)], np.asarray(reference, float))
+    cost, found = paths([np.asarray(query, float)], np.asarray(reference, float), late=late)
     return int(found[0][0, 1]), int(found[0][-1, 1]), float(np.sqrt(cost[0]))
 
 
@@ -256,12 +258,12 @@ def _path_column(found: list[np.ndarray | None]) -> pa.Array:
 
 def align_self(signals: DataFrame) -> DataFrame:
     """(id, first, last, final_length, distance) of every signal (id, samples) on itself, as it is; those without samples, or with
-    a null or non-finite one, have no rows."""
+    a null or non-finite one, have no rows. Of equal ends the last is taken: a signal that ends in equal samples lies on itself whole too."""
 
     def step(b: pa.RecordBatch) -> pa.Table:
         x = _samples(b.column("samples"))
         at = [k for k, s in enumerate(x) if s is not None and len(s)]
-        got = [subsequence_path(x[k], x[k]) for k in at]  # each has a reference of its own
+        got = [subsequence_path(x[k], x[k], late=True) for k in at]  # each has a reference of its own
         first, last = (np.array([g[c] for g in got], np.int64) for c in (0, 1))
         return pa.table({"id": b.column("id").take(pa.array(at, pa.int64())), "first": first, "last": last, "final_length": last - first, "distance": np.array([g[2] for g in got], float)})
 

@@ -324,6 +324,12 @@ def test_every_series_lies_on_itself(spark):
     assert got == [(1, 0, 2, 2, 0.0), (2, 0, 0, 0, 0.0), (4, 0, 3, 3, 0.0)]
 
 
+def test_series_with_equal_ends_lie_on_themselves_whole(spark):
+    x = [(1, [1.0, 2.0, 2.0]), (2, [3.0, 3.0, 3.0, 3.0]), (3, [1.0, 1.0, 4.0, 1.0, 1.0]), (4, [float(v) for v in np.repeat(np.arange(30) % 7, 6)])]
+    got = sorted(tuple(r) for r in signals.align_self(spark.createDataFrame(x, "id long, samples array<double>")).collect())
+    assert got == [(k, 0, len(s) - 1, len(s) - 1, 0.0) for k, s in x]
+
+
 def test_dtw_self_all_has_every_user(spark, monkeypatch):
     ev = spark.createDataFrame([(i, i % 3, i, float(i * 7 % 11)) for i in range(15)], "event_id long, user_id long, ts long, value double")
     monkeypatch.setattr(models, "table", lambda *_: ev)
