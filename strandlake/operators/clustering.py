@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.operators import relational
+
 
 def louvain(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, resolution: float = 1.0, refine: bool = False, seed: int = 386, start: np.ndarray | None = None) -> np.ndarray:
     """Communities (numbered from 0) of a weighted graph, from the communities `start` (else every node alone), by moving nodes while modularity rises, then merging communities.
@@ -113,12 +118,17 @@ def modularity(labels: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray,
 
 def vectors(reads: DataFrame, mods: DataFrame, length: int) -> DataFrame:
     """reads with features: an MLlib vector of length 0s and 1s, made in the JVM."""
+    lists = mods.groupBy("read_id").agg(F.collect_set(F.col("pos").cast("int")).alias("_p"))
+    return vectors_of_sets(reads.join(lists, "read_id", "left"), length, "_p").drop("_p")
+
+
+def vectors_of_sets(sets: DataFrame, length: int, column: str = "p") -> DataFrame:
+    """sets, with positions in a column (null: none), with features."""
     from pyspark.ml.functions import array_to_vector
 
-    lists = mods.groupBy("read_id").agg(F.collect_set(F.col("pos").cast("int")).alias("_p"))
     places = F.sequence(F.lit(0), F.lit(length - 1))
-    dense = F.transform(places, lambda i: F.coalesce(F.array_contains("_p", i), F.lit(False)).cast("double"))
-    return reads.join(lists, "read_id", "left").withColumn("features", array_to_vector(dense)).drop("_p")
+    dense = F.transform(places, lambda i: F.coalesce(F.array_contains(column, i), F.lit(False)).cast("double"))
+    return sets.withColumn("features", array_to_vector(dense))
 
 
 def k_means(points: DataFrame, k: int, seed: int = 386) -> DataFrame:
@@ -132,17 +142,34 @@ def k_means(points: DataFrame, k: int, seed: int = 386) -> DataFrame:
 def lloyd_step(reads: DataFrame, mods: DataFrame, assignments: DataFrame, length: int) -> DataFrame:
     """(read_id, cluster, distance): one step of k-means from assignments (read_id, cluster): each read goes to the cluster with
     the nearest mean by squared distance, ties to the smallest; the means, clusters x length numbers at most, are broadcast."""
-    size = assignments.groupBy("cluster").agg(F.count("*").alias("n"))
-    counts = mods.join(assignments, "read_id").groupBy("cluster", "pos").agg(F.count("*").alias("c"))
-    mean = counts.join(F.broadcast(size), "cluster").select("cluster", "pos", (F.col("c") / F.col("n")).alias("m"))
-    norm = size.select("cluster").join(mean.groupBy("cluster").agg(F.sum(F.col("m") * F.col("m")).alias("s")), "cluster", "left").select("cluster", F.coalesce("s", F.lit(0.0)).alias("s"))
-    # |x - m|^2 = |m|^2 + sum over the read's positions of 1 - 2 m
-    per_read = mods.join(reads.select("read_id"), "read_id", "left_semi").join(F.broadcast(mean), "pos").groupBy("read_id", "cluster").agg(F.sum("m").alias("hit"))
-    n = reads.select("read_id").join(mods.groupBy("read_id").agg(F.count("*").alias("k")), "read_id", "left")
-    grid = n.join(F.broadcast(norm)).join(per_read, ["read_id", "cluster"], "left")
-    far = grid.select("read_id", "cluster", F.round(F.col("s") + F.coalesce("k", F.lit(0)) - 2 * F.coalesce("hit", F.lit(0.0)), 9).alias("d"))
-    best = far.groupBy("read_id").agg(F.min(F.struct("d", "cluster")).alias("m"))
-    return best.select("read_id", "m.cluster", F.col("m.d").alias("distance"))
+    lists = mods.groupBy("read_id").agg(F.collect_list("pos").alias("p"))
+    # what an explode makes looks small to the planner, which would broadcast it
+    sets = reads.select("read_id").join(lists.hint("merge"), "read_id", "left").join(assignments.select("read_id", "cluster").hint("merge"), "read_id", "left")
+    return lloyd_step_of_sets(sets)
+
+
+def lloyd_step_of_sets(sets: DataFrame) -> DataFrame:
+    """lloyd_step() of reads (read_id, cluster, p), p being the positions (null: none); reads without a cluster are in no mean. Only
+    counts by cluster and position are shuffled."""
+    clusters, size, counts = relational.counted_sets(sets)
+    mean = counts / size[:, None]
+    norm = (mean * mean).sum(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, pos = relational.flat_positions(b.column("p"))
+            known = pos < mean.shape[1]
+            # |x - m|^2 = |m|^2 + sum over the read's positions of 1 - 2 m
+            hit = np.stack([np.bincount(row[known], m[pos[known]], b.num_rows) for m in mean], 1)
+            far = norm + np.bincount(row, minlength=b.num_rows)[:, None] - 2 * hit
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, far.size + 1, len(mean), dtype=np.int32)), pa.array(far.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column("read_id"), lists], ["read_id", "far"])
+
+    if not len(clusters):
+        return sets.where("false").select("read_id", "cluster", F.lit(0.0).alias("distance"))
+    far = sets.select("read_id", "p").mapInArrow(run, f"read_id {sets.schema['read_id'].dataType.simpleString()}, far array<double>")
+    best = far.select("read_id", F.array_min(F.transform("far", lambda d, k: F.struct(F.round(d, 9).alias("d"), k.alias("k")))).alias("m"))
+    return best.select("read_id", F.get(F.array(*[F.lit(c) for c in clusters.to_pylist()]), F.col("m.k")).cast(sets.schema["cluster"].dataType).alias("cluster"), F.col("m.d").alias("distance"))
 
 
 def principal_components(points: DataFrame, k: int = 2) -> DataFrame:

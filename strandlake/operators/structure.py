@@ -11,10 +11,8 @@ from pyspark.sql import functions as F
 
 def structure_bits(db: Column, single: bool = True) -> Column:
     """0/1 text: with single, 1 where a base is unpaired ('.' or ','), else the inverse; null if another character occurs."""
-    plain = F.translate(F.regexp_replace(db, "[,]", "."), "(){}[]|", "0000000")
-    out = F.translate(plain, ".", "1")
-    known = ~db.rlike("[^.,(){}\\[\\]|]")
-    return F.when(known, out if single else F.translate(out, "01", "10"))
+    out = F.translate(db, ".,(){}[]|", "110000000" if single else "001111111")
+    return F.when(F.translate(db, ".,(){}[]|", "") == "", out)
 
 
 def matched(db: str | None) -> list[tuple[int, int]]:

@@ -11,6 +11,7 @@ from strandlake import cli
 from strandlake.functions import stats
 from strandlake.operators import bitvec, clustering, communities, evaluate, filters, mixtures, nulls, ordered, regions, relational, signals, simulate, structure, windows
 from strandlake.plans import benchmark, ensembles, folding, heterogeneity, library, two_sample
+from strandlake.queries import ensembles as ensemble_queries
 from strandlake.queries import models
 from strandlake.sources import readers, writers
 from strandlake.sources.scratch import kept
@@ -515,3 +516,20 @@ def test_ensembles(spark):
         assert abs(pair["similarity"] - (1 - 6 / 11)) < 1e-12 and abs(pair["jaccard"] - 4 / 10) < 1e-12
     made = ensembles.generated(spark.createDataFrame([("s", "ACGU", None)], "id string, seq string, reactivity array<double>"), lambda seq, react, t, n: ["." * len(seq)] * n, 3)
     assert made.count() == 3
+
+
+def test_exploded_positions_are_not_broadcast(spark, tmp_path):
+    """What an explode makes looks as small to the planner as the table it comes from; it must not be sent through the driver."""
+    path = str(tmp_path / "orders.parquet")
+    spark.range(2000).select(F.col("id").alias("o_orderkey")).write.parquet(path)
+    for name in ("ensemble_centres", "ensemble_similarity", "ensemble_lloyd", "ensemble_concordance"):
+        plan = ensemble_queries.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        joined = [line for line in plan.splitlines() if "Join" in line]
+        assert all("strategy=broadcast" in line for line in joined), (name, joined)
+        made = {r[0] for r in ensemble_queries.QUERIES[name](spark, str(tmp_path)).limit(9).collect()}
+        assert made
+    reads = spark.createDataFrame([(i, i % 2) for i in range(6)], "read_id long, cluster long")
+    mods = spark.createDataFrame([(i, p) for i in range(5) for p in range(i % 2, 4)], "read_id long, pos long")
+    got = {r["cluster"]: (r["read_id"], r["distance"]) for r in relational.medoids(reads, mods).collect()}
+    assert got == {0: (0, 0), 1: (1, 3)}
+    assert clustering.lloyd_step(reads, mods, reads, 4).count() == 6
