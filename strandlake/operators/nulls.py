@@ -16,18 +16,16 @@ def hash_uniform(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / 2.0**32
 
 
-def _traded(rows: DataFrame, turn: int, bucket_rows: int, n_reads: int) -> DataFrame:
-    """One round: reads are paired at random, and each pair deals the positions that only one of them has anew.
+def _traded(rows: DataFrame, turn: int) -> DataFrame:
+    """One round: in each bucket reads are paired at random, and each pair deals the positions that only one of them has anew.
 
-    Each read of an even rank looks at the one after it and gives both reads' rows, so a round reads its input once and shuffles
-    once. Buckets hold about bucket_rows reads, so no task sorts a library.
+    Each read of an odd rank looks at the one after it and gives both reads' rows, so a round reads its input once. Rows stay in their
+    buckets, so only the sort is made anew.
     """
-    buckets = max(1, n_reads // bucket_rows)
     order = F.md5(F.concat_ws("|", F.col("seed"), F.col("read_id"), F.lit(turn)))
-    dealt = rows.withColumn("_o", order).withColumn("_b", F.pmod(F.conv(F.substring("_o", 1, 8), 16, 10).cast("long"), F.lit(buckets)))
-    w = Window.partitionBy("seed", "_b").orderBy("_o", "read_id")
-    pair = dealt.select("seed", "read_id", "p", (F.row_number().over(w) % 2).alias("_odd"), F.lead("read_id").over(w).alias("rb"), F.lead("p").over(w).alias("pb")).where("_odd = 1")
-    pb = F.coalesce("pb", F.array().cast("array<bigint>"))
+    w = Window.partitionBy("_g", "seed", "_b").orderBy(order, "read_id")
+    pair = rows.select("_g", "seed", "_b", "read_id", "p", (F.row_number().over(w) % 2).alias("_odd"), F.lead("read_id").over(w).alias("rb"), F.lead("p").over(w).alias("pb")).where("_odd = 1")
+    pb = F.coalesce("pb", F.array().cast(rows.schema["p"].dataType))
     both = F.array_intersect("p", pb)
     free = F.concat(F.array_except("p", pb), F.array_except(pb, "p"))
     keyed = F.transform(free, lambda x: F.struct(F.md5(F.concat_ws("|", F.col("seed"), F.col("read_id"), F.lit(turn), x.cast("string"))).alias("k"), x.alias("x")))
@@ -35,7 +33,32 @@ def _traded(rows: DataFrame, turn: int, bucket_rows: int, n_reads: int) -> DataF
     pair = pair.withColumn("both", both).withColumn("mixed", mixed).withColumn("na", F.size("p") - F.size("both"))
     first = F.struct(F.col("read_id"), F.concat("both", F.slice("mixed", 1, F.col("na"))).alias("p"))
     second = F.struct(F.col("rb").alias("read_id"), F.concat("both", F.slice("mixed", F.col("na") + 1, F.size("mixed") - F.col("na"))).alias("p"))
-    return pair.select("seed", F.inline(F.array(first, second))).where("read_id is not null")
+    return pair.select("_g", "seed", "_b", F.inline(F.array(first, second))).where("read_id is not null")
+
+
+#: Rows of a task's share of a null library, one for each read and seed.
+LIBRARY_ROWS = 100_000
+
+
+def shuffled_reads(mods: DataFrame, seeds: list[int], rounds: int = 4, bucket_rows: int = 5000, share_rows: int = LIBRARY_ROWS) -> DataFrame:
+    """(seed, read_id, p): shuffled_library() with a row for each read that has a modification, p being its positions.
+
+    For each seed reads are dealt at random into buckets of about bucket_rows, and in every round they are paired anew within their
+    bucket, so the library is shuffled once, whatever the number of rounds. A share of about share_rows holds buckets of one seed;
+    there are as many partitions as shares, so a task's share doesn't grow with the library.
+    """
+    lists = mods.groupBy("read_id").agg(F.array_sort(F.collect_list(F.col("pos").cast("int"))).alias("p"))
+    n_reads = lists.count()
+    buckets, groups = max(1, n_reads // bucket_rows), max(1, n_reads // share_rows)
+    rows = lists.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+    order = F.md5(F.concat_ws("|", F.col("seed"), F.col("read_id"), F.lit(0)))
+    rows = rows.withColumn("_b", F.pmod(F.conv(F.substring(order, 1, 8), 16, 10).cast("long"), F.lit(buckets)).cast("int"))
+    rows = rows.withColumn("_g", F.concat_ws("|", F.col("seed"), F.col("_b") % groups)) if rounds else rows
+    if groups > 1:
+        rows = rows.repartition(groups * len(seeds), "_g")
+    for turn in range(rounds):
+        rows = _traded(rows, turn)
+    return rows.select("seed", "read_id", "p")
 
 
 def shuffled_library(mods: DataFrame, seeds: list[int], rounds: int = 4, bucket_rows: int = 5000) -> DataFrame:
@@ -44,12 +67,7 @@ def shuffled_library(mods: DataFrame, seeds: list[int], rounds: int = 4, bucket_
     Pairs of reads trade positions that only one of them has, which keeps both margins; all pairs of a round, and all seeds,
     trade at the same time, so no task holds a library.
     """
-    lists = mods.groupBy("read_id").agg(F.array_sort(F.collect_list(F.col("pos").cast("long"))).alias("p"))
-    n_reads = lists.count()
-    rows = lists.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
-    for turn in range(rounds):
-        rows = _traded(rows, turn, bucket_rows, n_reads)
-    return rows.select("seed", "read_id", F.explode("p").alias("pos"))
+    return shuffled_reads(mods, seeds, rounds, bucket_rows).select("seed", "read_id", F.explode(F.col("p").cast("array<long>")).alias("pos"))
 
 
 def _reads_of_counts(histogram: DataFrame, p: np.ndarray, seed: int) -> DataFrame:

@@ -54,7 +54,8 @@ def analyse(mods: DataFrame, s: Settings, path: str | None = None) -> dict[str,
         return kept(mods.sparkSession, f"{path}/{name}-{mark}", make)
 
     observed = table("observed", lambda: windows.window_entropy(mods, s.length, s.window, s.step, s.components))
-    simulated = table("simulated", lambda: windows.window_entropy(nulls.shuffled_library(mods, list(s.seeds), s.rounds), s.length, s.window, s.step, s.components, ("seed",)))
+    made = lambda: nulls.shuffled_reads(mods, list(s.seeds), s.rounds).withColumn("p", F.array_sort("p"))
+    simulated = table("simulated", lambda: windows.window_entropy_of_sets(made(), s.length, s.window, s.step, s.components, ("seed",)))
     tests = (windows.normal_test if s.normal else windows.permutation_test)(observed, simulated, s.threshold)
     mean = simulated.groupBy("start").agg(F.avg("entropy").alias("null_mean"))
     tests = tests.join(mean, "start").withColumn("difference", F.col("null_mean") - F.col("entropy"))

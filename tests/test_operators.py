@@ -533,3 +533,18 @@ def test_exploded_positions_are_not_broadcast(spark, tmp_path):
     got = {r["cluster"]: (r["read_id"], r["distance"]) for r in relational.medoids(reads, mods).collect()}
     assert got == {0: (0, 0), 1: (1, 3)}
     assert clustering.lloyd_step(reads, mods, reads, 4).count() == 6
+
+
+def test_shuffled_reads_are_shuffled_once(spark):
+    rng = np.random.default_rng(3)
+    mods = spark.createDataFrame([(f"r{i}", int(p)) for i in range(300) for p in rng.choice(30, 4, replace=False)], "read_id string, pos long")
+    exchanges = []
+    for rounds in (1, 4):
+        made = nulls.shuffled_reads(mods, [1, 2], rounds, 20, 50)
+        exchanges.append(made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+    assert exchanges[0] == exchanges[1]
+    assert all(len(set(r["p"])) == len(r["p"]) == 4 for r in made.collect()) and made.count() == 600
+    # as many partitions as shares, whatever the setting
+    assert made.rdd.getNumPartitions() == 12
+    null = made.select("seed", "read_id", F.explode("p").alias("pos"))
+    assert {(r["pos"], r["count"]) for r in mods.groupBy("pos").count().collect()} == {(r["pos"], r["count"] // 2) for r in null.groupBy("pos").count().collect()}
