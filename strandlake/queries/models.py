@@ -416,7 +416,8 @@ def null_position_margins(spark, sf):
 
 @query("null_read_margins", _order(" SELECT s.seed, read_id, cast(count(*) AS BIGINT) AS n FROM mods, (SELECT unnest([386, 387]) AS seed) s GROUP BY ALL"))
 def null_read_margins(spark, sf):
-    return nulls.shuffled_library(order_mods(spark, sf), SEEDS, 2).distinct().groupBy("seed", "read_id").agg(F.count("*").alias("n"))
+    made = nulls.shuffled_reads(order_mods(spark, sf), SEEDS, 2)
+    return made.select("seed", "read_id", F.size(F.array_distinct("p")).cast("long").alias("n"))
 
 
 @query(
