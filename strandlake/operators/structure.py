@@ -29,25 +29,26 @@ def matched(db: str | None) -> list[tuple[int, int]]:
     return [] if stack else sorted(pairs)
 
 
-def base_pairs(structs: DataFrame) -> DataFrame:
-    """(struct_id, i, j): the pairs of ( and ), 0-based, i < j; unbalanced structures have none. Each structure is read where it is,
-    with a stack: nothing is shuffled."""
-    kind = structs.schema["struct_id"].dataType.simpleString()
+def base_pairs(structs: DataFrame, keep: tuple[str, ...] = ("struct_id",)) -> DataFrame:
+    """(struct_id, i, j): the pairs of ( and ), 0-based, i < j, with the columns to keep; unbalanced structures have none. Each
+    structure is read where it is, with a stack: nothing is shuffled."""
+    kinds = {f.name: f.dataType.simpleString() for f in structs.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [matched(db) for db in batch.column("db").to_pylist()]
             owner = [k for k, pairs in enumerate(found) for _ in pairs]
             i, j = ([p[x] for pairs in found for p in pairs] for x in (0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column("struct_id").take(pa.array(owner, pa.int64())), pa.array(i, pa.int64()), pa.array(j, pa.int64())], ["struct_id", "i", "j"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(owner, pa.int64())) for c in keep), pa.array(i, pa.int64()), pa.array(j, pa.int64())], [*keep, "i", "j"])
 
-    return structs.select("struct_id", "db").mapInArrow(run, f"struct_id {kind}, i long, j long")
+    return structs.select(*keep, "db").mapInArrow(run, ", ".join([*(f"{c} {kinds[c]}" for c in keep), "i long", "j long"]))
 
 
 def pair_probabilities(structs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, i, j, p): the share of an ensemble's structures that have a pair; unbalanced structures count and have none."""
+    """(by, i, j, p): the share of an ensemble's structures that have a pair; unbalanced structures count and have none.
+    A structure's pairs keep the columns `by`, so they are counted where they are read."""
     sizes = structs.groupBy(*by).agg(F.count("*").alias("_n"))
-    pairs = base_pairs(structs).join(structs.select("struct_id", *by), "struct_id").groupBy(*by, "i", "j").agg(F.count("*").alias("_k"))
+    pairs = base_pairs(structs, by).groupBy(*by, "i", "j").agg(F.count("*").alias("_k"))
     both = pairs.join(F.broadcast(sizes), list(by)) if by else pairs.join(F.broadcast(sizes))
     return both.select(*by, "i", "j", (F.col("_k") / F.col("_n")).alias("p"))
 

@@ -548,3 +548,25 @@ def test_shuffled_reads_are_shuffled_once(spark):
     assert made.rdd.getNumPartitions() == 12
     null = made.select("seed", "read_id", F.explode("p").alias("pos"))
     assert {(r["pos"], r["count"]) for r in mods.groupBy("pos").count().collect()} == {(r["pos"], r["count"] // 2) for r in null.groupBy("pos").count().collect()}
+
+
+def test_pairs_are_counted_without_a_join_by_structure(spark):
+    structs = spark.createDataFrame([(1, "a", "((..))"), (2, "a", "(....)"), (3, "a", "(...))"), (4, "b", "......")], "struct_id long, head string, db string")
+    made = structure.pair_probabilities(structs, ("head",))
+    assert "struct_id" not in [a.name() for a in _attributes(made)]
+    assert sorted((r["head"], r["i"], r["j"], round(r["p"], 6)) for r in made.collect()) == [("a", 0, 5, 0.666667), ("a", 1, 4, 0.333333)]
+    assert {r["head"]: r["db"] for r in structure.ensemble_centroids(structs, ("head",)).collect()} == {"a": "(....)", "b": "......"}
+
+
+def _attributes(df):
+    """Columns that the joins of a plan compare."""
+    plan, found = df._jdf.queryExecution().optimizedPlan(), []
+    stack = [plan]
+    while stack:
+        node = stack.pop()
+        children = node.children()
+        stack += [children.apply(k) for k in range(children.length())]
+        if node.nodeName() == "Join" and node.condition().isDefined():
+            names = node.condition().get().references().toSeq()
+            found += [names.apply(k) for k in range(names.length())]
+    return found
