@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions.stats import digamma
+from strandlake.sources.scratch import scratch_path
 
 EPS = 1e-308
 
@@ -34,6 +35,14 @@ def position_sets(reads: DataFrame, mods: DataFrame) -> DataFrame:
     return sets.groupBy(F.coalesce("p", F.array().cast("array<int>")).alias("p")).agg(F.count("*").alias("weight"))
 
 
+def kept_sets(sets: DataFrame) -> DataFrame:
+    """sets, cached for many passes in partitions by their bytes. They are written first: what is cached behind a shuffle keeps all of its
+    partitions (200, by default), each of them a Python task of every pass, however few the sets."""
+    path = scratch_path(sets.sparkSession, "position-sets")
+    sets.write.parquet(path)
+    return sets.sparkSession.read.schema(sets.schema).parquet(path).cache()
+
+
 @dataclass
 class Weights:
     const: np.ndarray  # K
@@ -206,8 +215,8 @@ def fit(
 ) -> Mixture:
     """The run of least BIC. Starts are drawn from Beta(1.5, 20) for each of `runs`, or given as clusters x length rates; a run ends
     when the likelihood changes by less than the threshold after min_iters, or at max_iters (min_iters at least) with converged False.
-    sets is cached meanwhile; all runs take their passes together. Needs at least one read."""
-    sets = sets.cache()
+    sets is written and cached meanwhile; all runs take their passes together. Needs at least one read."""
+    sets = kept_sets(sets)
     max_iters = max(max_iters, min_iters)
     try:
         n, ones = sets.agg(F.sum("weight"), F.sum(F.col("weight") * F.size("p"))).first()
@@ -237,7 +246,7 @@ def fit(
 
 def fit_variational(sets: DataFrame, clusters: int, length: int, updates: int = 1000, tolerance: float = 1e-6, seed: int = 386) -> Mixture:
     """Variational Bayes with Dirichlet(1e-5) weights and Beta(1/2, 1/2) rates; the same passes with expected log rates."""
-    sets = sets.cache()
+    sets = kept_sets(sets)
     try:
         n, done = sets.agg(F.sum("weight")).first()[0], False
         start = np.random.default_rng(seed).beta(1.5, 20, (clusters, length))
@@ -310,7 +319,7 @@ def fit_spaced(sets: DataFrame, max_clusters: int, length: int, runs: int = 10,
     Likelihoods are over the probability of a read without close mutations, and BIC counts the distinct position sets. A run
     ends when, past min_iters, the likelihood rises by the cutoff at most. One cluster takes one run of at most 10 iterations.
     """
-    sets = sets.cache()
+    sets = kept_sets(sets)
     try:
         distinct, passed = sets.count(), gathered(sets, local_mods) or sets
         out: list[Mixture] = []
