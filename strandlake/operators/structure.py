@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.operators import bitvec
+
 
 def structure_bits(db: Column, single: bool = True) -> Column:
     """0/1 text: with single, 1 where a base is unpaired ('.' or ','), else the inverse; null if another character occurs."""
@@ -128,10 +132,62 @@ def shape_color_bins(value: Column) -> Column:
 
 
 def centroids(assignments: DataFrame, structs: DataFrame) -> DataFrame:
-    """(cluster, struct_id, distance): the structure nearest to its cluster's mean vector, by squared distance, ties by id."""
-    bits = structs.select("struct_id", F.posexplode(F.split(structure_bits(F.col("db")), "")).alias("pos", "b")).where("b <> ''")
-    cells = bits.select("struct_id", "pos", F.col("b").cast("double").alias("b")).join(assignments, "struct_id")
-    mean = cells.groupBy("cluster", "pos").agg(F.avg("b").alias("mean"))
-    far = cells.join(mean, ["cluster", "pos"]).groupBy("cluster", "struct_id").agg(F.round(F.sum(F.pow(F.col("b") - F.col("mean"), 2)), 9).alias("distance"))
-    best = far.groupBy("cluster").agg(F.min(F.struct("distance", "struct_id")).alias("m"))
-    return best.select("cluster", "m.struct_id", "m.distance")
+    """centroids_of() structures (struct_id, db) whose clusters are in a table of their own (struct_id, cluster)."""
+    return centroids_of(structs.select("struct_id", "db").join(assignments.select("struct_id", "cluster"), "struct_id"))
+
+
+#: By a character's code: 1 where a base is unpaired, 0 where it is paired, 2 for what structures don't have.
+_KINDS = np.array([1 if chr(c) in ".," else 0 if chr(c) in "(){}[]|" else 2 for c in range(129)])
+
+
+def unpaired(db: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which texts structure_bits() has a vector of that isn't empty, and of their bases the text's number, the position and whether it
+    is unpaired."""
+    codes, owner, at = bitvec.characters(db)
+    kind = _KINDS[np.minimum(codes, 128)]
+    valid = np.zeros(len(db), bool)
+    valid[owner] = True
+    valid[owner[kind == 2]] = False
+    shown = valid[owner]
+    return valid, owner[shown], at[shown], kind[shown] == 1
+
+
+def centroids_of(members: DataFrame) -> DataFrame:
+    """(cluster, struct_id, distance): the structure (cluster, struct_id, db) nearest to its cluster's mean vector, by squared distance,
+    ties by id. Positions stay in the structure's row; clusters x positions means come to the driver."""
+    kinds = {f.name: f.dataType.simpleString() for f in members.schema}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in bitvec.slices(batch, "db"):
+                clusters = b.column("cluster").dictionary_encode(null_encoding="encode")
+                _, owner, at, one = unpaired(b.column("db"))
+                width = int(at.max(initial=0)) + 1
+                cell = clusters.indices.to_numpy()[owner].astype(np.int64) * width + at
+                n, k = np.bincount(cell), np.bincount(cell, one).astype(np.int64)  # no more cells than a slice has characters
+                cell = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([clusters.dictionary.take(pa.array(cell // width)), pa.array(cell % width), pa.array(n[cell]), pa.array(k[cell])], ["cluster", "pos", "n", "k"])
+
+    # not filtered here: a filter would go before the making of db and have it made twice
+    counts = members.select("cluster", "db").mapInArrow(count, f"cluster {kinds['cluster']}, pos long, n long, k long")
+    found = counts.where("cluster IS NOT NULL").groupBy("cluster", "pos").agg((F.sum("k") / F.sum("n")).alias("mean")).toArrow()
+    names = pc.unique(found["cluster"])
+    mean = np.zeros((len(names), (pc.max(found["pos"]).as_py() or 0) + 1))
+    mean[pc.index_in(found["cluster"], names).to_numpy(), found["pos"].to_numpy()] = found["mean"].to_numpy()
+    base = np.pad(np.cumsum(mean**2, axis=1), ((0, 0), (1, 0)))  # the distance of a vector of zeros, by its length
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pc.is_valid(batch.column("cluster")))
+            for b in bitvec.slices(batch, "db"):
+                valid, owner, at, one = unpaired(b.column("db"))
+                rows = np.flatnonzero(valid)
+                cluster = pc.fill_null(pc.index_in(b.column("cluster"), names), 0).to_numpy()
+                length = np.bincount(owner, minlength=b.num_rows)
+                far = np.bincount(owner[one], 1 - 2 * mean[cluster[owner[one]], at[one]], b.num_rows)[rows] + base[cluster[rows], length[rows]]
+                kept = b.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([kept.column("cluster"), kept.column("struct_id"), pa.array(far)], ["cluster", "struct_id", "distance"])
+
+    far = members.select("cluster", "struct_id", "db").mapInArrow(measure, f"cluster {kinds['cluster']}, struct_id {kinds['struct_id']}, distance double")
+    far = far.groupBy("cluster", "struct_id").agg(F.round(F.sum("distance"), 9).alias("distance"))
+    return far.groupBy("cluster").agg(F.min(F.struct("distance", "struct_id")).alias("m")).select("cluster", "m.struct_id", "m.distance")
