@@ -42,10 +42,18 @@ def moving_sum(counts: DataFrame, width: int, value: str = "n", by: tuple[str, .
 
 
 def islands(sites: DataFrame, column: str = "pos", by: tuple[str, ...] = ()) -> DataFrame:
-    """(first, last, n): runs of consecutive integers, in each group of `by`."""
-    d = sites.select(*by, column).distinct()
-    d = d.withColumn("_g", F.col(column) - F.row_number().over(Window.partitionBy(*by).orderBy(column)))
-    return d.groupBy(*by, "_g").agg(F.min(column).alias("first"), F.max(column).alias("last"), F.count("*").alias("n")).drop("_g")
+    """(first, last, n): runs of consecutive integers, in each group of `by`; repeated sites count once, missing ones are a run.
+
+    One shuffle and one sort; what follows passes over the sorted rows, so no task holds tables of its sites or runs.
+    """
+    order, kind = Window.partitionBy(*by).orderBy("_p"), sites.schema[column].dataType
+    none = F.lit(-(1 << 63)).cast("long")
+    t = sites.select(*by, F.coalesce(F.col(column).cast("long"), none).alias("_p")).withColumn("_b", F.lag("_p").over(order))
+    t = t.where("_b IS NULL OR _b < _p").select(*by, "_p", "_b").withColumn("_a", F.lead("_p").over(order))  # each site once
+    t = t.withColumn("_begins", F.col("_b").isNull() | (F.col("_b") + 1 < F.col("_p"))).withColumn("_ends", F.col("_a").isNull() | (F.col("_a") > F.col("_p") + 1))
+    t = t.where("_begins OR _ends").withColumn("_l", F.lead("_p").over(order)).where("_begins")
+    last = F.when(F.col("_ends"), F.col("_p")).otherwise(F.col("_l"))
+    return t.select(*by, F.nullif("_p", none).cast(kind).alias("first"), F.nullif(last, none).cast(kind).alias("last"), (last - F.col("_p") + 1).alias("n"))
 
 
 def spectrum_entropy(gram: np.ndarray, top: int = -1) -> tuple[float, np.ndarray]:

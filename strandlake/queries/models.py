@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.fixtures import EMBEDDING_SQL, EVENT_SQL, L_EMBEDDING, L_ORDER, ORDER_SQL, bit_strings, embedding_mods, embedding_reads, event_profiles, order_mods, order_reads, table
+from strandlake.fixtures import EMBEDDING_SQL, EVENT_SQL, L_EMBEDDING, L_ORDER, ORDER_SQL, bit_strings, embedding_mods, embedding_reads, event_profiles, order_mods, order_reads, order_sites, table
 from strandlake.operators import clustering, communities, evaluate, filters, mixtures, nulls, regions, relational, shared_graph, signals, simulate, windows
 from strandlake.plans import benchmark, heterogeneity, two_sample
 from strandlake.queries.matrix import r6
@@ -386,7 +386,7 @@ def moving_sum(spark, sf):
 
 @query("intervals_islands", _order(", d AS (SELECT DISTINCT read_id, pos FROM mods), g AS (SELECT read_id, pos, pos - row_number() OVER (PARTITION BY read_id ORDER BY pos) AS g FROM d) SELECT read_id, min(pos) AS first, max(pos) AS last, cast(count(*) AS BIGINT) AS n FROM g GROUP BY read_id, g"))
 def intervals_islands(spark, sf):
-    return windows.islands(order_mods(spark, sf), by=("read_id",))
+    return windows.islands(order_sites(spark, sf), by=("read_id",))
 
 
 _GRAM = """,

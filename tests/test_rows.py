@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from strandlake.operators import bitvec, structure
+from strandlake.operators import bitvec, structure, windows
 
 
 def plan(df):
@@ -105,3 +105,24 @@ def test_bits_are_shuffled_as_texts(spark):
     made = plan(bitvec.bit_text(bitvec.mates_together(t, QUALITY), 0, len(REF)))
     assert "Window" not in made and "Generate" not in made
     assert "Window" not in plan(bitvec.cigar_steps(t))
+
+
+def test_islands(spark):
+    """Repeated and missing sites, runs of one, negative ones, and groups that are missing; a plan without tables of sites or runs."""
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(-30, 30)) for _ in range(120)] + [("a", None), ("a", None), ("c", None), ("d", 7)]
+    wanted = set()
+    for g in {g for g, _ in rows}:
+        sites = {p for q, p in rows if q == g and p is not None}
+        for first in (p for p in sites if p - 1 not in sites):
+            last = next(p for p in range(first, 99) if p + 1 not in sites)
+            wanted.add((g, first, last, last - first + 1))
+    wanted |= {("a", None, None, 1), ("c", None, None, 1)}
+    made = windows.islands(spark.createDataFrame(rows, "g string, pos int"), by=("g",))
+    got = [tuple(r) for r in made.collect()]
+    assert len(got) == len(wanted) and set(got) == wanted
+    assert dict(made.dtypes) == {"g": "string", "first": "int", "last": "int", "n": "bigint"}
+    shown = plan(made)
+    assert "Aggregate" not in shown and shown.split("Initial Plan")[-1].count("Exchange") == 1 == shown.split("Initial Plan")[-1].count("Sort ")
+    alone = windows.islands(spark.createDataFrame([(3,), (1,), (2,), (2,), (9,)], "at long"), "at")
+    assert sorted(tuple(r) for r in alone.collect()) == [(1, 3, 3), (9, 9, 1)]
