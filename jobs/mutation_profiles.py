@@ -25,7 +25,7 @@ import logging
 from dataclasses import dataclass, fields
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.operators import bitvec, filters
@@ -70,13 +70,8 @@ def reads_of(table: DataFrame, c: Config) -> DataFrame:
     """(read_id, sample, gene, piece, seq, length): whole texts, cut into reads. A null or empty sample or gene is 'none'; a null text
     has no read; repeated rows are reads of their own."""
     named = lambda col: F.coalesce(F.nullif(F.col(col).cast("string"), F.lit("")), F.lit("none"))
-    bases = F.upper(F.regexp_replace(F.coalesce(F.col(c.text), F.lit("")), "[^ACGTacgt]", ""))
-    rows = table.select(F.col(c.id).cast("string").alias("read_id"), named(c.sample).alias("sample"), named(c.gene).alias("gene"), bases.alias("all"))
-    rows = rows.where("all <> ''")
-    rows = rows.select("*", F.explode(F.expr(f"sequence(0L, (length(all) - 1) div {c.length})")).alias("piece"))
-    seq = F.expr(f"substring(all, cast(piece * {c.length} + 1 as int), {c.length})")
-    rows = rows.select("read_id", "sample", "gene", "piece", seq.alias("seq"))
-    return filters.filter_reads_by_length(rows.withColumn("length", F.length("seq").cast("long")), c.length, c.share)
+    rows = table.select(F.col(c.id).cast("string").alias("read_id"), named(c.sample).alias("sample"), named(c.gene).alias("gene"), F.col(c.text).alias("all"))
+    return filters.filter_reads_by_length(bitvec.cut(rows, c.length), c.length, c.share)
 
 
 def consensus_of(reads: DataFrame) -> DataFrame:
@@ -93,9 +88,7 @@ def sequences(consensus: DataFrame) -> DataFrame:
 
 def library_of(reads: DataFrame, refs: DataFrame, c: Config) -> DataFrame:
     """Bit vectors of all reads against the gene's consensus, and whether the read is kept."""
-    bit: Column = F.zip_with(F.split("seq", ""), F.split("ref", ""), lambda s, r: F.when(s.isNull(), ".").when(s == r, "0").otherwise(s))
-    rows = reads.join(refs, "gene").select("read_id", "sample", "gene", "piece", "length", F.array_join(bit, "").alias("bits"))
-    rows = rows.withColumn("n_mut", F.length(F.regexp_replace("bits", "[^ACGT]", "")).cast("long"))
+    rows = bitvec.against(reads.join(refs, "gene").select("read_id", "sample", "gene", "piece", "length", "seq", "ref"))
     rows = rows.withColumn("rate", F.col("n_mut") / F.col("length"))
     return rows.withColumn("kept", (F.col("rate") > c.low) & (F.col("rate") < c.high)).drop("length")
 

@@ -126,3 +126,36 @@ def test_islands(spark):
     assert "Aggregate" not in shown and shown.split("Initial Plan")[-1].count("Exchange") == 1 == shown.split("Initial Plan")[-1].count("Sort ")
     alone = windows.islands(spark.createDataFrame([(3,), (1,), (2,), (2,), (9,)], "at long"), "at")
     assert sorted(tuple(r) for r in alone.collect()) == [(1, 3, 3), (9, 9, 1)]
+
+
+def test_reads_of_texts(spark):
+    """Letters of either case among others, pieces of a length, texts without bases; bits against references that are longer, shorter or
+    missing."""
+    rng = random.Random(7)
+    texts = ["", None, "xyz é", "acgt", "AéC\nGt" * 5] + ["".join(rng.choice("ACGTacgtnN é-") for _ in range(rng.randrange(60))) for _ in range(30)]
+    wanted = set()
+    for k, t in enumerate(texts):
+        bases = "".join(c for c in t or "" if c in "ACGTacgt").upper()
+        wanted |= {(k, p, bases[8 * p : 8 * p + 8], len(bases[8 * p : 8 * p + 8])) for p in range(-(-len(bases) // 8))}
+    made = bitvec.cut(spark.createDataFrame(list(enumerate(texts)), "id long, all string"), 8)
+    assert {tuple(r) for r in made.collect()} == wanted and made.count() == len(wanted)
+    rows = [(0, "ACGT", "ACCTA"), (1, "ACGTAA", "AC"), (2, "GG", None), (3, None, "ACG"), (4, "", "")]
+    got = {r["id"]: (r["bits"], r["n_mut"]) for r in bitvec.against(spark.createDataFrame(rows, "id long, seq string, ref string")).collect()}
+    assert {0: ("00G0.", 1), 1: ("00GTAA", 4), 3: ("...", 0)}.items() <= got.items() and got[2] == ("GG", 2) and got[4] == ("", 0)
+
+
+def test_positions_are_counted_where_they_are_read(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["x", "y", None]), k % 2, "".join(rng.choice("01ATGC?.Né") for _ in range(rng.randrange(7)))) for k in range(90)] + [("x", 0, None)]
+    vectors = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "g string, h long, bits string, read_id long")
+    counts = {}
+    for g, h, bits in rows:
+        for p, c in enumerate(bits or ""):
+            counts[g, h, p, c] = counts.get((g, h, p, c), 0) + 1
+    made = bitvec.tallies(vectors, ("g", "h"))
+    assert {tuple(r)[:4]: r["n"] for r in made.collect()} == counts and "Generate" not in plan(made)
+    total = lambda which: sum(n for (*_, p, c), n in counts.items() if p == 3 and which(c))
+    averages = bitvec.population_average(vectors)
+    row = averages.where("pos = 3").first()
+    assert tuple(row) == (3, total(lambda c: c != "."), informative := total(lambda c: c not in ".?N"), mismatches := total(lambda c: c in "ATGC"), mismatches / informative)
+    assert "Generate" not in plan(averages) and "Generate" not in plan(bitvec.base_counts(vectors))
