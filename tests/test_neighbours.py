@@ -60,6 +60,52 @@ def test_pairs_are_made_in_proportion_to_reads(spark):
     assert made[1] < 1.5 * made[0] < 15
 
 
+@pytest.mark.parametrize("jaccard", [True, False])
+@pytest.mark.parametrize("width", [24, 90])
+def test_lookups_by_subsets(spark, monkeypatch, jaccard, width):
+    """Each pair is taken once, whatever the sizes, levels and copies of its reads; large reads are looked up by fewer positions."""
+    monkeypatch.setattr(neighbours, "LISTED", 1)
+    monkeypatch.setattr(neighbours, "SUBSETS", 40)
+    rng = np.random.default_rng(34)
+    x = rng.random((300, width)) < np.linspace(0.02, 0.45, 300)[:, None]
+    x[50:70], x[200:215] = x[50], x[200]
+    f = neighbours.nearest_by_jaccard if jaccard else neighbours.nearest_by_l1
+    got = sorted(tuple(r) for r in f(*tables(spark, x), 4, block=20, seed_block=8).collect())
+    assert got == wanted(x, 4, jaccard)
+
+
+def test_pairs_looked_at_follow_reads(spark):
+    """Reads without clusters: lists that are looked up stay about as long with eight times the reads (single positions: 8 times as long)."""
+    rng = np.random.default_rng(35)
+    looked = []
+    for n in (1000, 8000):
+        sets, _ = neighbours.position_sets(*tables(spark, rng.random((n, 64)) < 0.115))
+        level, _ = neighbours._level(sets, ())
+        looked.append(n * 0.115**level)
+    assert looked[1] < 2 * looked[0]
+    sizes = list(range(1, 19))
+    assert neighbours._asks(sizes, 3, True, 1024)(7, 1.0) == [(3, 0, 7, 3)]
+
+
+@pytest.mark.parametrize("jaccard", [True, False])
+def test_guesses_that_fail(spark, monkeypatch, jaccard):
+    """Reads that find fewer than k by a guess are looked up again."""
+    monkeypatch.setattr(neighbours, "SPREAD", -1)
+    x = np.random.default_rng(36).random((500, 30)) < 0.2
+    f = neighbours.nearest_by_jaccard if jaccard else neighbours.nearest_by_l1
+    got = sorted(tuple(r) for r in f(*tables(spark, x), 12, seed_block=40).collect())
+    assert got == wanted(x, 12, jaccard)
+
+
+def test_copies_are_listed_as_often_as_they_can_be_near(spark):
+    """A group of copies makes pairs in proportion to it and not to its square."""
+    x = np.zeros((400, 12), bool)
+    x[:, 2:5] = True
+    x[300:, 6] = True
+    assert neighbours.near_pairs_by_jaccard(*tables(spark, x), 3).count() <= 400 * 4
+    assert sorted(tuple(r) for r in neighbours.nearest_by_jaccard(*tables(spark, x), 3).collect()) == wanted(x, 3, True)
+
+
 def test_empty_tables(spark):
     reads, mods = tables(spark, np.zeros((3, 4), bool))
     assert neighbours.nearest_by_jaccard(reads, mods, 2).count() == 0
