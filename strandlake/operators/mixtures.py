@@ -3,8 +3,8 @@ for reads in which close mutations are never seen.
 
 Every model is a set of weights: the log-likelihood of a read under cluster k is const_k plus the sum of w_k over its modified
 positions. One pass over the distinct position sets (with their numbers of reads) computes posteriors and sums them by
-position; only clusters x positions numbers come to the driver, whatever the number of reads, and nothing is chained from one
-iteration to the next. Restarts share the passes: (run, cluster) is the key of the sums, and runs that have ended drop out, so
+position; only clusters x positions numbers of each task come to the driver, whatever the number of reads, and nothing is chained
+from one iteration to the next. Restarts share the passes: (run, cluster) is the key of the sums, and runs that have ended drop out, so
 many runs take the jobs of the longest one.
 """
 
@@ -122,15 +122,37 @@ def predicted(sets: DataFrame, weights: Weights) -> DataFrame:
     return posteriors(sets, weights).withColumn("cluster", (F.array_position("post", F.array_max("post")) - 1).cast("long"))
 
 
-#: Cells of the dense block of position sets that a task works on at a time.
-BLOCK_CELLS = 1 << 21
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each batch of (p, weight): its sets by their size, the positions of each size as size x sets numbers."""
+    for b in batches:
+        size, flat, weight = pc.list_value_length(b.column("p")).to_numpy(), b.column("p").flatten().to_numpy(), b.column("weight").to_numpy().astype(float)
+        order, start, (kinds, n) = np.argsort(size, kind="stable"), np.cumsum(size) - size, np.unique(size, return_counts=True)
+        rows = np.split(order, np.cumsum(n)[:-1])
+        p = [flat[start[r] + np.arange(k)[:, None]].ravel() for k, r in zip(kinds, rows)]
+        numbers = [np.stack([kinds, n], 1).astype(np.int64), np.concatenate([np.zeros(0, np.int32), *p]).astype(np.int32), weight[order]]
+        yield pa.RecordBatch.from_arrays([*(pa.array([x.tobytes()], pa.binary()) for x in numbers), pa.array([weight.sum()]), pa.array([float(weight @ size)])], ["sizes", "p", "weight", "n", "ones"])
+
+
+def packed_sets(sets: DataFrame) -> DataFrame:
+    """sets (p, weight) for em_passes(): a row holds an Arrow batch of them as three columns of numbers, with n and ones, the numbers of
+    reads and of their modifications. So what a pass takes from Spark are a few long values, not a row for each set."""
+    return sets.select("p", "weight").mapInArrow(_packed, "sizes binary, p binary, weight binary, n double, ones double")
+
+
+def kept_packed(sets: DataFrame) -> DataFrame:
+    """packed_sets(), written and cached as kept_sets() are."""
+    return kept_sets(packed_sets(sets))
+
+
+#: Numbers of one task's sums up to which they come to the driver from each task of a pass; larger ones are summed in a shuffle first.
+TASK_SUMS = 8192
 
 
 def em_passes(sets: DataFrame, weights: list[Weights]) -> list[Sums]:
-    """One E-step of several runs, with the sums that any M-step needs.
+    """One E-step of several runs, with the sums that any M-step needs; sets: (p, weight), or packed_sets() of them.
 
-    A task adds up its sets for each (run, cluster) in blocks, by one product of sets x positions and positions x clusters, and sends
-    runs x clusters x positions numbers, which are summed before they come to the driver.
+    A task adds up its sets for each (run, cluster), all sets of a batch with the same number of positions together, by what the
+    positions are and not by all that there might be. It sends runs x clusters x positions numbers.
     """
     runs, (k_all, d) = len(weights), weights[0].by_pos.shape
     by_pos, const = np.concatenate([w.by_pos for w in weights]), np.concatenate([w.const for w in weights])
@@ -139,27 +161,36 @@ def em_passes(sets: DataFrame, weights: list[Weights]) -> list[Sums]:
         # behind the positions stand reads, complete and marginal likelihood
         sums = np.zeros((runs * k_all, d + 3))
         for b in batches:
-            size, flat = pc.list_value_length(b.column("p")).to_numpy(), b.column("p").flatten().to_numpy()
-            weight, ends = b.column("weight").to_numpy().astype(float), np.concatenate([[0], np.cumsum(size)])
-            for first in range(0, len(size), step := max(1, BLOCK_CELLS // d)):
-                last = min(first + step, len(size))
-                x = np.zeros((last - first, d))
-                x[np.repeat(np.arange(last - first), size[first:last]), flat[ends[first] : ends[last]]] = 1
-                ll = (x @ by_pos.T + const).reshape(last - first, runs, k_all)
-                top = ll.max(2, keepdims=True)
-                total = top + np.log(np.exp(ll - top).sum(2, keepdims=True))
-                post = np.exp(ll - total) * weight[first:last, None, None]
-                flat_post = post.reshape(last - first, -1)
-                sums[:, :d] += flat_post.T @ x
-                sums[:, d] += flat_post.sum(0)
-                sums[:, d + 1] += (post * ll).reshape(last - first, -1).sum(0)
-                sums[::k_all, d + 2] += (weight[first:last, None] * total[:, :, 0]).sum(0)
+            for sizes, p, weight in zip(*(b.column(c).to_pylist() for c in ("sizes", "p", "weight"))):
+                flat, weight, parts, at, row = np.frombuffer(p, np.int32).astype(np.intp), np.frombuffer(weight), [], 0, 0
+                for k, n in np.frombuffer(sizes, np.int64).reshape(-1, 2).tolist():
+                    parts.append((k, slice(row, row + n), flat[at : at + k * n]))
+                    at, row = at + k * n, row + n
+                ll = np.empty((runs * k_all, row))
+                for k, rows, pos in parts:
+                    for r, w in enumerate(by_pos):
+                        ll[r, rows] = const[r] + w[pos.reshape(k, rows.stop - rows.start)].sum(0)
+                ll = ll.reshape(runs, k_all, row)
+                top = ll.max(1, keepdims=True)
+                total = top + np.log(np.exp(ll - top).sum(1, keepdims=True))
+                post = np.exp(ll - total) * weight
+                each = post.reshape(runs * k_all, row)
+                for k, rows, pos in parts:
+                    if k:
+                        for r in range(len(each)):
+                            sums[r, :d] += np.bincount(pos, np.tile(each[r, rows], k), d)
+                sums[:, d] += each.sum(1)
+                sums[:, d + 1] += (post * ll).reshape(runs * k_all, row).sum(1)
+                sums[::k_all, d + 2] += (total[:, 0] * weight).sum(1)
         key, pos = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(sums[key, pos])], ["key", "pos", "v"])
 
-    found = sets.select("p", "weight").mapInArrow(run, "key int, pos int, v double").groupBy("key", "pos").agg(F.sum("v").alias("v")).toArrow()
+    found = (sets if "sizes" in sets.columns else packed_sets(sets)).select("sizes", "p", "weight").mapInArrow(run, "key int, pos int, v double")
+    if runs * k_all * (d + 3) > TASK_SUMS:
+        found = found.groupBy("key", "pos").agg(F.sum("v").alias("v"))
+    found = found.toArrow()
     sums = np.zeros((runs * k_all, d + 3))
-    sums[found.column("key").to_numpy(), found.column("pos").to_numpy()] = found.column("v").to_numpy()
+    np.add.at(sums, (found.column("key").to_numpy(), found.column("pos").to_numpy()), found.column("v").to_numpy())
     each = sums.reshape(runs, k_all, d + 3)
     return [Sums(e[:, :d], e[:, d], float(e[:, d + 1].sum()), float(e[:, d + 2].sum())) for e in each]
 
@@ -216,10 +247,10 @@ def fit(
     """The run of least BIC. Starts are drawn from Beta(1.5, 20) for each of `runs`, or given as clusters x length rates; a run ends
     when the likelihood changes by less than the threshold after min_iters, or at max_iters (min_iters at least) with converged False.
     sets is written and cached meanwhile; all runs take their passes together. Needs at least one read."""
-    sets = kept_sets(sets)
+    sets = kept_packed(sets)
     max_iters = max(max_iters, min_iters)
     try:
-        n, ones = sets.agg(F.sum("weight"), F.sum(F.col("weight") * F.size("p"))).first()
+        n, ones = sets.agg(F.sum("n"), F.sum("ones")).first()
         if not n:
             raise ValueError("no reads")
         prior = beta_prior(n * length, ones) if hierarchical else None
@@ -246,9 +277,9 @@ def fit(
 
 def fit_variational(sets: DataFrame, clusters: int, length: int, updates: int = 1000, tolerance: float = 1e-6, seed: int = 386) -> Mixture:
     """Variational Bayes with Dirichlet(1e-5) weights and Beta(1/2, 1/2) rates; the same passes with expected log rates."""
-    sets = kept_sets(sets)
+    sets = kept_packed(sets)
     try:
-        n, done = sets.agg(F.sum("weight")).first()[0], False
+        n, done = sets.agg(F.sum("n")).first()[0], False
         start = np.random.default_rng(seed).beta(1.5, 20, (clusters, length))
         sums, before = em_pass(sets, Weights.of(start, np.full(clusters, 1 / clusters))), None
         for _ in range(updates):
