@@ -74,18 +74,18 @@ def window_entropy(mods: DataFrame, length: int, window: int, step: int, top: in
     if by:
         lists = mods.groupBy(*by, "read_id").agg(F.array_sort(F.collect_list("pos")).alias("p"))
         return window_entropy_of_sets(lists, length, window, step, top, by)
-    return _spectra(cooccurrence(mods, window), length, window, step, top, ())
+    return spectra(cooccurrence(mods, window), length, window, step, top, ())
 
 
 def window_entropy_of_sets(lists: DataFrame, length: int, window: int, step: int, top: int = -1, by: tuple[str, ...] = ()) -> DataFrame:
     """window_entropy() of reads (by, p), p being the positions in order; only counts of pairs of positions are shuffled."""
     first = lists.select(*by, F.col("p").cast("array<long>").alias("p")).select(*by, "p", F.posexplode("p").alias("k", "i"))
     pairs = first.select(*by, "i", F.explode(F.slice("p", F.col("k") + 1, F.size("p") - F.col("k"))).alias("j")).where(F.col("j") - F.col("i") < window)
-    return _spectra(pairs.groupBy(*by, "i", "j").agg(F.count("*").alias("n11")), length, window, step, top, by)
+    return spectra(pairs.groupBy(*by, "i", "j").agg(F.count("*").alias("n11")), length, window, step, top, by)
 
 
-def _spectra(counts: DataFrame, length: int, window: int, step: int, top: int, by: tuple[str, ...]) -> DataFrame:
-    """window_entropy() from counts (by, i, j, n11) of reads with both positions."""
+def spectra(counts: DataFrame, length: int, window: int, step: int, top: int = -1, by: tuple[str, ...] = ()) -> DataFrame:
+    """window_entropy() from counts (by, i, j, n11) of reads with both positions i <= j."""
     last = (max(0, length - window) + step - 1) // step - 1  # the largest index of a window
     low = F.greatest(F.lit(0), F.expr(f"(j - {window} + {step}) div {step}"))
     high = F.least(F.lit(last), F.expr(f"i div {step}"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -53,9 +54,10 @@ def analyse(mods: DataFrame, s: Settings, path: str | None = None) -> dict[str,
         mark = hashlib.md5(repr((s.length, s.window, s.step, s.components, s.seeds, s.rounds)).encode()).hexdigest()[:12]
         return kept(mods.sparkSession, f"{path}/{name}-{mark}", make)
 
-    observed = table("observed", lambda: windows.window_entropy(mods, s.length, s.window, s.step, s.components))
-    made = lambda: nulls.shuffled_reads(mods, list(s.seeds), s.rounds).withColumn("p", F.array_sort("p"))
-    simulated = table("simulated", lambda: windows.window_entropy_of_sets(made(), s.length, s.window, s.step, s.components, ("seed",)))
+    lists = functools.cache(lambda: nulls.position_lists(mods))
+    observed = table("observed", lambda: windows.window_entropy_of_sets(lists(), s.length, s.window, s.step, s.components))
+    made = lambda: nulls.shuffled_cooccurrence(lists(), list(s.seeds), s.length, s.window, s.rounds)
+    simulated = table("simulated", lambda: windows.spectra(made(), s.length, s.window, s.step, s.components, ("seed",)))
     tests = (windows.normal_test if s.normal else windows.permutation_test)(observed, simulated, s.threshold)
     mean = simulated.groupBy("start").agg(F.avg("entropy").alias("null_mean"))
     tests = tests.join(mean, "start").withColumn("difference", F.col("null_mean") - F.col("entropy"))
