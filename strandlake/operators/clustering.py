@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from strandlake.operators import relational
 
@@ -117,18 +118,32 @@ def modularity(labels: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray,
 
 
 def vectors(reads: DataFrame, mods: DataFrame, length: int) -> DataFrame:
-    """reads with features: an MLlib vector of length 0s and 1s, made in the JVM."""
+    """reads with features: an MLlib vector of length 0s and 1s."""
     lists = mods.groupBy("read_id").agg(F.collect_set(F.col("pos").cast("int")).alias("_p"))
     return vectors_of_sets(reads.join(lists, "read_id", "left"), length, "_p").drop("_p")
 
 
+#: Numbers of vectors that a task makes at a time.
+VECTOR_CELLS = 1 << 20
+
+
 def vectors_of_sets(sets: DataFrame, length: int, column: str = "p") -> DataFrame:
-    """sets, with positions in a column (null: none), with features."""
+    """sets, with positions in a column (null: none), with features. The numbers are filled in from the positions in Arrow batches,
+    not looked up in each read's array for each of `length` positions."""
     from pyspark.ml.functions import array_to_vector
 
-    places = F.sequence(F.lit(0), F.lit(length - 1))
-    dense = F.transform(places, lambda i: F.coalesce(F.array_contains(column, i), F.lit(False)).cast("double"))
-    return sets.withColumn("features", array_to_vector(dense))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, VECTOR_CELLS // max(length, 1))
+        for whole in batches:
+            for b in (whole.slice(first, step) for first in range(0, whole.num_rows, step)):
+                row, pos = relational.flat_positions(b.column(column))
+                known, x = (pos >= 0) & (pos < length), np.zeros((b.num_rows, length))
+                x[row[known], pos[known]] = 1
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * length), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([*b.columns, lists], [*b.schema.names, "features"])
+
+    made = sets.mapInArrow(run, StructType([*sets.schema.fields, StructField("features", ArrayType(DoubleType()))]))
+    return made.withColumn("features", array_to_vector("features"))
 
 
 def k_means(points: DataFrame, k: int, seed: int = 386) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from strandlake.operators import clustering, evaluate, mixtures, relational, structure
 from strandlake.plans import folding
+from strandlake.sources.scratch import scratch_path
 
 
 @dataclass(frozen=True)
@@ -83,10 +84,18 @@ def concordance(found: DataFrame) -> DataFrame:
     return evaluate.accuracy(found).select(F.col("accuracy").alias("concordance"))
 
 
+#: Structures of a task at most: they are few bytes in a file, so its splits hold many, but k-means keeps `length` numbers of each.
+TASK_STRUCTURES = 200_000
+
+
 def analyse(structs: DataFrame, length: int, s: Settings, truth: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
     """assignments (struct_id, cluster), centres (with db) and their similarity; concordance if truth gives labels of reads."""
+    if (n := structs.count()) > TASK_STRUCTURES:
+        structs = structs.repartition(-(-n // TASK_STRUCTURES), "struct_id")
     sets = encoded(structs)
-    found = clustered(sets, length, s)
+    found, path = clustered(sets, length, s), scratch_path(structs.sparkSession, "clustered")
+    found.write.parquet(path)  # several tables are made from it
+    found = structs.sparkSession.read.schema(found.schema).parquet(path)
     middle = centres(found, s.least_share)
     names = F.broadcast(middle.drop("p").withColumnRenamed("read_id", "struct_id"))  # a row for each cluster
     out = {
